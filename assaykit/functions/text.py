@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # The white space that Python's str.strip, \s and str.splitlines recognise,
 # spelled out because Java's \s is ASCII only.
-SPACE = r"[ \t\n\x0B\f\r\x1C-\x1F\x85\xA0  -     　]"
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+SPACE = (r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+         r"\x{202F}\x{205F}\x{3000}]")
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 # Answer letters and difficulty vocabulary.
 LETTERS = "ABCDEFGH"
