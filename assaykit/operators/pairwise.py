@@ -80,7 +80,7 @@ def mcnemar(df: DataFrame) -> DataFrame:
               .withColumn("mcnemar_p", F.coalesce(exact, chi2_tail(stat))))
 
 
-def chi_square_tail_without_correction_loss(df: DataFrame) -> DataFrame:
+def mcnemar_edwards(df: DataFrame) -> DataFrame:
     """Edwards form with the correction clamped at zero: 0 discordant items give p = 1."""
     import pandas as pd
 
