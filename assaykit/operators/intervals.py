@@ -14,29 +14,26 @@ def _beta_quantile_udf(tail: float):
     Regularised incomplete beta by its continued fraction (modified Lentz), inverted by
     bisection.  Runs on one row per reported group.
     """
-    import numpy as np
     import pandas as pd
 
     lgamma = math.lgamma
 
     @F.pandas_udf("double")
     def quantile(a: pd.Series, b: pd.Series) -> pd.Series:
+        def safe(v):
+            return v if abs(v) > 1e-300 else 1e-300
+
         def fraction(x, p, q):
-            tiny = 1e-300
-            c = np.ones_like(x)
-            d = 1 - (p + q) * x / (p + 1)
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            h = d.copy()
+            d = 1 / safe(1 - (p + q) * x / (p + 1))
+            c, h = 1.0, d
             # the fraction needs about sqrt(max(p, q)) terms
             for m in range(1, 200 + int(8 * math.sqrt(max(p, q)))):
                 for term in (m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m)),
                              -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))):
-                    d = 1 + term * d
-                    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-                    c = 1 + term / c
-                    c = np.where(np.abs(c) < tiny, tiny, c)
-                    h = h * c * d
-                if np.all(np.abs(c * d - 1) < 1e-15):
+                    d = 1 / safe(1 + term * d)
+                    c = safe(1 + term / c)
+                    h *= c * d
+                if abs(c * d - 1) < 1e-15:
                     break
             return h
 
@@ -44,8 +41,8 @@ def _beta_quantile_udf(tail: float):
             front = math.exp(lgamma(p + q) - lgamma(p) - lgamma(q)
                              + p * math.log(x) + q * math.log1p(-x))
             if x < (p + 1) / (p + q + 2):
-                return front * float(fraction(np.array([x]), p, q)[0]) / p
-            return 1 - front * float(fraction(np.array([1 - x]), q, p)[0]) / q
+                return front * fraction(x, p, q) / p
+            return 1 - front * fraction(1 - x, q, p) / q
 
         def solve(p, q):
             if not (p > 0 and q > 0):
