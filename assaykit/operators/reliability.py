@@ -51,10 +51,9 @@ def judge_agreement_summary(complete: DataFrame, dims: list[str]) -> DataFrame:
         F.max(F.when(F.col("metric") == "composite", F.bround("alpha", 4))).alias("alpha"),
         F.min(F.when(F.col("metric") != "composite", F.bround("alpha", 4)))
         .alias("min_dimension_alpha"))
-    size = (complete.groupBy("model", "question_id", "run_index")
-            .agg(F.collect_set("persona").alias("p"))
-            .agg(F.count("*").alias("n_units"),
-                 F.size(F.array_distinct(F.flatten(F.collect_set("p")))).alias("n_personas")))
+    size = complete.agg(
+        F.count_distinct(F.struct("model", "question_id", "run_index")).alias("n_units"),
+        F.count_distinct("persona").alias("n_personas"))
     return (wide.withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one")
             .where("n_personas >= 2").drop("_one"))
 
