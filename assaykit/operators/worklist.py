@@ -40,7 +40,7 @@ def review_jobs(items: DataFrame, reviewers: DataFrame) -> DataFrame:
     return fan_out(items, reviewers, "question_id")
 
 
-def usable_cache(cache: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+def usable_cache(cache: DataFrame) -> DataFrame:
     """Cache entries that may be reused: successful and served by the requested model."""
     return cache.where(F.coalesce("ok", F.lit(False))
                        & served_ok(F.col("model_requested"), F.col("model_served")))
