@@ -85,7 +85,7 @@ def child_seed(base: int, *labels: Column) -> Column:
     """Seed derived from labels: the first 8 digest bytes, modulo 2**63."""
     label = F.concat_ws(":", F.lit(str(base)), *labels)
     top = F.conv(F.substring(F.sha2(label, 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return (top % F.lit(2**63).cast("decimal(20,0)")).cast("bigint")
+    return (top % F.lit(str(2**63)).cast("decimal(20,0)")).cast("bigint")
 
 
 def draw_hash(seed: int, *keys: Column) -> Column:

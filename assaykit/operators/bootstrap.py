@@ -20,6 +20,8 @@ whole statistic can be replayed in plain SQL on moderate data.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +66,6 @@ def _chunks(histogram: DataFrame, groups: list[str]) -> DataFrame:
 def resampled_sums(histogram: DataFrame, groups: list[str], resamples: int, seed: int,
                    label: str) -> DataFrame:
     """Resampled sums: ``g``, ``n``, ``sums`` (one array per shard of resamples)."""
-    import numpy as np
-    import pandas as pd
-
     cells_limit = KERNEL_CELLS
 
     @F.pandas_udf("array<bigint>")
@@ -125,8 +124,8 @@ def mean_ci(df: DataFrame, groups: list[str], value: str, resamples: int, seed:
     """Bootstrap interval of the mean of ``value`` over items, per group."""
     sums = resampled_sums(value_histogram(df, groups, value), groups, resamples, seed, label)
     return (sums.select("g", "n", F.explode("sums").alias("s")).groupBy("g", "n")
-            .agg(_bounds(F.col("s"), F.col("n"), ci).alias("b"))
-            .select("g.*", "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi")))
+            .agg(_bounds(F.col("s"), F.col("n"), ci).alias("_b"))
+            .select("g.*", "n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi")))
 
 
 def two_sided_p(below: Column, above: Column, resamples: int) -> Column:
@@ -142,16 +141,16 @@ def paired_ci(histogram: DataFrame, groups: list[str], resamples: int, seed: int
     """
     sums = resampled_sums(histogram, groups, resamples, seed, label)
     return (sums.select("g", "n", F.explode("sums").alias("s")).groupBy("g", "n")
-            .agg(_bounds(F.col("s"), F.col("n"), ci).alias("b"),
+            .agg(_bounds(F.col("s"), F.col("n"), ci).alias("_b"),
                  F.count_if(F.col("s") <= 0).alias("_le"),
                  F.count_if(F.col("s") >= 0).alias("_ge"))
-            .select("g.*", "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"),
+            .select("g.*", "n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi"),
                     two_sided_p(F.col("_le"), F.col("_ge"), resamples).alias("p")))
 
 
 def hash_bootstrap(df: DataFrame, groups: list[str], value: str, key: str, resamples: int,
                    seed: int) -> DataFrame:
-    """Resampled sums with hash-drawn indexes: groups, ``n``, ``b``, ``s``.
+    """Resampled sums with hash-drawn indexes: groups, ``n``, ``resample``, ``s``.
 
     Item ``i`` of a group is the i-th in the order of its key's digest.  Draw ``j`` of
     resample ``b`` picks index ``floor(u * n)`` with ``u`` from md5("seed|b|j").  Draws
@@ -167,29 +166,29 @@ def hash_bootstrap(df: DataFrame, groups: list[str], value: str, key: str, resam
     # each item contributes the draw with its own index number, in every resample
     draws = items.select(
         "g", "n", F.col("i").alias("j"),
-        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    u = uniform(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"),
+        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    u = uniform(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"),
                                   F.col("j").cast("string"))))
-    picked = (draws.select("g", "b", F.floor(u * F.col("n")).alias("i"))
-              .groupBy("g", "i", "b").agg(F.count("*").alias("times")))
+    picked = (draws.select("g", "resample", F.floor(u * F.col("n")).alias("i"))
+              .groupBy("g", "i", "resample").agg(F.count("*").alias("times")))
     return (picked.join(items, ["g", "i"])
-            .groupBy("g", "n", "b").agg(F.sum(F.col("times") * F.col("v")).alias("s"))
-            .select("g.*", "n", "b", "s"))
+            .groupBy("g", "n", "resample").agg(F.sum(F.col("times") * F.col("v")).alias("s"))
+            .select("g.*", "n", "resample", "s"))
 
 
 def hash_mean_ci(df: DataFrame, groups: list[str], value: str, key: str, resamples: int,
                  seed: int, ci: float = 0.95) -> DataFrame:
     drawn = hash_bootstrap(df, groups, value, key, resamples, seed)
-    return (drawn.groupBy(*groups, "n").agg(_bounds(F.col("s"), F.col("n"), ci).alias("b"))
-            .select(*groups, "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi")))
+    return (drawn.groupBy(*groups, "n").agg(_bounds(F.col("s"), F.col("n"), ci).alias("_b"))
+            .select(*groups, "n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi")))
 
 
 def hash_paired(df: DataFrame, groups: list[str], value: str, key: str, resamples: int,
                 seed: int, ci: float = 0.95) -> DataFrame:
     drawn = hash_bootstrap(df, groups, value, key, resamples, seed)
     return (drawn.groupBy(*groups, "n")
-            .agg(_bounds(F.col("s"), F.col("n"), ci).alias("b"),
+            .agg(_bounds(F.col("s"), F.col("n"), ci).alias("_b"),
                  F.count_if(F.col("s") <= 0).alias("_le"),
                  F.count_if(F.col("s") >= 0).alias("_ge"))
-            .select(*groups, "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"),
+            .select(*groups, "n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi"),
                     two_sided_p(F.col("_le"), F.col("_ge"), resamples).alias("p")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +15,6 @@ def _beta_quantile_udf(tail: float):
     Regularised incomplete beta by its continued fraction (modified Lentz), inverted by
     bisection.  Runs on one row per reported group.
     """
-    import pandas as pd
-
     lgamma = math.lgamma
 
     @F.pandas_udf("double")

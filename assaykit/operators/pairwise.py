@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,8 +60,6 @@ def discordance(shared: DataFrame) -> DataFrame:
 def mcnemar(df: DataFrame) -> DataFrame:
     """McNemar's test on ``only_a`` / ``only_b``: exact binomial for few discordant items,
     otherwise chi-square with continuity correction."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def chi2_tail(stat: pd.Series) -> pd.Series:
         return stat.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")
@@ -82,8 +81,6 @@ def mcnemar(df: DataFrame) -> DataFrame:
 
 def mcnemar_edwards(df: DataFrame) -> DataFrame:
     """Edwards form with the correction clamped at zero: 0 discordant items give p = 1."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def chi2_tail(stat: pd.Series) -> pd.Series:
         return stat.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")

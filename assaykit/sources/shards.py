@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +36,6 @@ def split_objects(shards: DataFrame, *keys: str) -> DataFrame:
     braces close, and the gathered block is taken when it parses.  Everything else is
     dropped.  The walk is sequential within one shard and runs as an Arrow function.
     """
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def walk(texts: pd.Series) -> pd.Series:
         def parses(s):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assaykit.operators.audit import audit_mc
+from assaykit.operators.audit import scan_log
 from assaykit.operators.scoring import call_ok, score_responses
 
 # Waves before a tolerable rest is accepted, and the last wave.
@@ -81,25 +82,28 @@ def wave_decision(strict, accept, wave):
              .when(wave >= MAX_WAVES, "give_up").otherwise("continue"))
 
 
-def run_waves(lines: DataFrame, expected: int, landed: str, manifest: str,
-              checkpoint: str) -> None:
-    """Land each micro-batch of log lines, audit all lines so far, record the wave.
+def run_waves(lines: DataFrame, counts: str, checkpoint: str) -> None:
+    """Scan each micro-batch of log lines (one wave) and record its counts.
 
-    Writes are keyed by batch number, so a replayed batch replaces its own partition.
+    Only the new lines are read in a wave; earlier waves are already counted.  Writes are
+    keyed by batch number, so a replayed batch replaces its own partition.
     """
     def wave(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        (batch.select("value").withColumn("wave", F.lit(number).cast("bigint"))
+        (scan_log(batch.select("value")).withColumn("wave", F.lit(number).cast("bigint"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("wave").parquet(landed))
-        so_far = spark.read.parquet(landed).where(F.col("wave") <= number).select("value")
-        n = F.lit(number + 1).cast("bigint")
-        (audit_mc(so_far, expected)
-         .select(n.alias("waves"), "strict_fail", "accept_fail", "have",
-                 wave_decision(F.col("strict_fail"), F.col("accept_fail"), n)
-                 .alias("decision"), F.lit(number).cast("bigint").alias("wave"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("wave").parquet(manifest))
+         .partitionBy("wave").parquet(counts))
 
     (lines.writeStream.foreachBatch(wave).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
+
+
+def wave_states(counts: DataFrame, expected: int) -> DataFrame:
+    """Audit signals and decision after each wave (one row per wave, at most a few dozen)."""
+    so_far = W.partitionBy(F.lit(0)).orderBy("wave").rowsBetween(W.unboundedPreceding, 0)
+    total, failed, corrupt = (F.sum(c).over(so_far) for c in ("total", "failed", "corrupt"))
+    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("wave"))
+    strict = failed + corrupt + F.greatest(F.lit(0).cast("bigint"), F.lit(expected) - total)
+    return (counts.select(n.alias("waves"), total.alias("have"), strict.alias("strict_fail"))
+            .withColumn("accept_fail", F.col("strict_fail"))
+            .withColumn("decision", wave_decision(F.col("strict_fail"), F.col("accept_fail"),
+                                                  F.col("waves"))))
