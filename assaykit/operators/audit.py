@@ -41,10 +41,10 @@ def scan_log(lines: DataFrame) -> DataFrame:
 def panel_sizes(verdict_lines: DataFrame) -> DataFrame:
     """Readable primary verdicts per triple."""
     role = F.coalesce(field("judge_role"), F.lit("primary"))
+    scores = field("scores", "variant")
     return (parse_log(verdict_lines).where(F.col("record").isNotNull() & (role == "primary"))
             .select(*[field(k).alias(k) for k in TRIPLE],
-                    F.coalesce(~F.is_variant_null(field("scores", "variant")), F.lit(False))
-                    .alias("scored"))
+                    (scores.isNotNull() & ~F.is_variant_null(scores)).alias("scored"))
             .groupBy(*TRIPLE).agg(F.count_if("scored").alias("judges")))
 
 

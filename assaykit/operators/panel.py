@@ -25,9 +25,14 @@ def primary(verdicts: DataFrame) -> DataFrame:
 
 
 def parse_verdicts(raw: DataFrame, dims: list[str], text: str = "text") -> DataFrame:
-    """Adds ``scores`` (VARIANT, null when nothing usable was found) and ``parse_ok``."""
+    """Adds ``scores`` (VARIANT, null when nothing usable was found) and ``parse_ok``.
+
+    The payload leaves through a one-element generator: filters on it stay above, where
+    otherwise each would run the pattern over the text once more.
+    """
     ok = F.coalesce(F.col("call_ok"), F.lit(True)) if "call_ok" in raw.columns else F.lit(True)
-    return (raw.withColumn("scores", F.when(ok, F.try_parse_json(last_json(F.col(text), dims))))
+    payload = F.when(ok, F.try_parse_json(last_json(F.col(text), dims)))
+    return (raw.select("*", F.explode(F.array(payload)).alias("scores"))
                .withColumn("parse_ok", F.col("scores").isNotNull()))
 
 
@@ -140,8 +145,7 @@ def crosscheck_pairs(verdicts: DataFrame, dims: list[str]) -> DataFrame:
     typed = verdicts.select(
         *keys, F.when(is_primary(), "primary").otherwise(F.col("judge_role")).alias("role"),
         _mean_of([rating(F.col("scores"), d) for d in dims]).alias("score"))
-    return (typed.where(F.col("role").isin("primary", "crosscheck") & F.col("score").isNotNull())
-            .groupBy(*keys)
+    return (typed.groupBy(*keys)
             .agg(F.max(F.when(F.col("role") == "primary", F.col("score"))).alias("primary"),
                  F.max(F.when(F.col("role") == "crosscheck", F.col("score"))).alias("crosscheck"))
             .where(F.col("primary").isNotNull() & F.col("crosscheck").isNotNull()))

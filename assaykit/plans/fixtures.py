@@ -175,8 +175,7 @@ SELECT model, question_id, run_index, persona, role AS judge_role, seq, dimensio
     ', "must_include_total": ', CAST(total AS VARCHAR(9)),
     ', "should_not_violations": ', CAST(viol AS VARCHAR(9)),
     ', "meta": {{"deep": {{"er": 1}}}}, "justification": "close}} but {{open"}} done') END AS text
-FROM ({JUDGE_BASE.replace("{", "{{").replace("}", "}}")}) b""".replace("{{", "{").replace(
-    "}}", "}")
+FROM ({JUDGE_BASE}) b"""
 
 # Reviews of valid items: five reviewers, failures, a second pass for half of them.
 REVIEW_BASE = f"""
@@ -206,7 +205,7 @@ SELECT p_partkey AS question_id, concat('reviewer', CAST(reviewer AS VARCHAR(9))
     ', "rubric_fair": ', CAST(clarity + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END
                               AS VARCHAR(9)), '}}') END AS review
 FROM ({REVIEW_BASE}) r
-WHERE pass = 0 OR (failing AND p_partkey % 2 = 0)""".replace("{{", "{").replace("}}", "}")
+WHERE pass = 0 OR (failing AND p_partkey % 2 = 0)"""
 
 POOL = """
 SELECT doc_id, text, lang AS dimension, source AS difficulty FROM documents"""

@@ -12,7 +12,8 @@ from assaykit.operators.ranking import rank_by_hash
 from assaykit.plans.fixtures import fixture
 from assaykit.plans.registry import SCORED, SEED, query, using
 
-RESAMPLES = 2000     # kernel resamples in the registered queries
+RESAMPLES = 2000        # kernel resamples of the mean intervals
+PAIR_RESAMPLES = 20000  # 2*m/(B+1) must stay below the family level for m pairs
 HASH_RESAMPLES = 40  # resamples of the SQL-checkable form
 R = using("responses")
 RC = using("responses", "cohort")
@@ -61,12 +62,12 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All model pairs: difference, interval, bootstrap and McNemar p, Holm verdict."""
     shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
-    boot = bootstrap.paired_ci(pairwise.difference_histogram(shared), ["a", "b"], RESAMPLES,
+    boot = bootstrap.paired_ci(pairwise.difference_histogram(shared), ["a", "b"], PAIR_RESAMPLES,
                                SEED, "mc-pair")
     both = pairwise.mcnemar(pairwise.discordance(shared)).join(boot.drop("n"), ["a", "b"])
     return pairwise.resolution_ok(
         pairwise.holm(both.withColumn("p_bootstrap", F.bround("p", 5)), [], "p_bootstrap",
-                      "a", "b"), [], RESAMPLES).select(
+                      "a", "b"), [], PAIR_RESAMPLES).select(
         "a", "b", "n_items", F.bround("diff", 4).alias("diff"), F.bround("lo", 4).alias("lo"),
         F.bround("hi", 4).alias("hi"), "p_bootstrap", "p_holm", "significant",
         F.bround("mcnemar_p", 5).alias("mcnemar_p"), "floor_ok")
@@ -375,7 +376,7 @@ def _(spark, sf):
 @query("F2_paired_difference")
 def _(spark, sf):
     shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
-    return bootstrap.paired_ci(pairwise.difference_histogram(shared), ["a", "b"], RESAMPLES,
+    return bootstrap.paired_ci(pairwise.difference_histogram(shared), ["a", "b"], PAIR_RESAMPLES,
                                SEED, "mc-pair")
 
 
