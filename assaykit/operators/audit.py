@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.text import strip
 from assaykit.operators.panel import TRIPLE
+from assaykit.session import computed_once
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
     """Text lines (``value``) to ``record`` VARIANT; blank lines go, damaged ones stay null.
 
-    Only JSON objects are records.
+    Only JSON objects are records.  ``keys`` are the record's field names.
     """
     filled = lines.where(strip(F.col("value")) != "")
     keys = F.json_object_keys("value")
-    return filled.select("value", F.when(keys.isNotNull(), F.try_parse_json("value"))
-                         .alias("record"))
+    record = F.when(keys.isNotNull(), F.try_parse_json("value"))
+    return filled.select("value", computed_once(F.struct(keys.alias("keys"),
+                                                         record.alias("record"))).alias("_r")
+                         ).select("value", "_r.*")
 
 
 def field(name: str, kind: str = "string") -> Column:
@@ -26,8 +29,7 @@ def field(name: str, kind: str = "string") -> Column:
 
 def _failed() -> Column:
     """An absent flag is a success; a present one must be true."""
-    has = F.array_contains(F.json_object_keys("value"), "call_ok")
-    return has & ~F.coalesce(field("call_ok", "boolean"), F.lit(False))
+    return F.array_contains("keys", "call_ok") & ~F.coalesce(field("call_ok", "boolean"), F.lit(False))
 
 
 def scan_log(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.judging import last_json, rating, strict_number, tally
 from assaykit.operators.leaderboard import sem
+from assaykit.session import computed_once
 
 TRIPLE = ("model", "question_id", "run_index")
 HITS, TOTAL, VIOLATIONS = "must_include_hits", "must_include_total", "should_not_violations"
@@ -25,14 +26,10 @@ def primary(verdicts: DataFrame) -> DataFrame:
 
 
 def parse_verdicts(raw: DataFrame, dims: list[str], text: str = "text") -> DataFrame:
-    """Adds ``scores`` (VARIANT, null when nothing usable was found) and ``parse_ok``.
-
-    The payload leaves through a one-element generator: filters on it stay above, where
-    otherwise each would run the pattern over the text once more.
-    """
+    """Adds ``scores`` (VARIANT, null when nothing usable was found) and ``parse_ok``."""
     ok = F.coalesce(F.col("call_ok"), F.lit(True)) if "call_ok" in raw.columns else F.lit(True)
     payload = F.when(ok, F.try_parse_json(last_json(F.col(text), dims)))
-    return (raw.select("*", F.explode(F.array(payload)).alias("scores"))
+    return (raw.select("*", computed_once(payload).alias("scores"))
                .withColumn("parse_ok", F.col("scores").isNotNull()))
 
 
@@ -127,18 +124,27 @@ def judge_dimension_means(scores: DataFrame) -> DataFrame:
     return means.withColumn("weakest", F.row_number().over(per_model) == 1)
 
 
-def complete_ratings(verdicts: DataFrame, dims: list[str]) -> DataFrame:
+def complete_ratings(verdicts: DataFrame, dims: list[str], *extra: str) -> DataFrame:
     """Raw ratings of primary verdicts that rate *every* dimension with a number.
 
     Columns: triple, persona, one per dimension, and their mean ``composite``.
     """
     raw = primary(verdicts).select(
-        *TRIPLE, "persona", *[c for c in ("seq",) if c in verdicts.columns],
+        *TRIPLE, "persona", *extra,
         *[strict_number(F.col("scores"), d).alias(d) for d in dims])
     full = raw.where(reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in dims]))
     return full.withColumn("composite", sum(F.col(d) for d in dims) / len(dims))
 
 
+def last_complete(verdicts: DataFrame, dims: list[str], *order: str) -> DataFrame:
+    """Complete ratings, one per (triple, persona): the last in ``order`` wins."""
+    keys = [*TRIPLE, "persona"]
+    ratings = complete_ratings(verdicts, dims, *order)
+    return (ratings.groupBy(*keys)
+            .agg(F.max_by(F.struct(*dims, "composite"), F.struct(*order)).alias("_r"))
+            .select(*keys, "_r.*"))
+
+
 def crosscheck_pairs(verdicts: DataFrame, dims: list[str]) -> DataFrame:
     """Primary and cross-check ratings of the same response by the same persona."""
     keys = [*TRIPLE, "persona"]

@@ -11,6 +11,12 @@ from assaykit.functions.text import DIFFICULTIES, strip
 MIN_STEM, MIN_PROMPT = 10, 20
 MIN_CHOICES, MAX_CHOICES = 3, 6
 
+# Columns that a table of one format need not have.
+OPTIONAL = {"question": "string", "choices": "array<string>", "answer_index": "int",
+            "distractor_types": "array<string>", "source": "string", "prompt": "string",
+            "rubric": "struct<must_include:array<string>,should_not:array<string>,"
+                      "ideal_reasoning_pattern:string>"}
+
 
 def _unless(ok: Column, message: Column | str) -> Column:
     """``message`` when ``ok`` is false or unknown."""
@@ -114,8 +120,10 @@ def validate_items(items: DataFrame, taxonomy: DataFrame, types: DataFrame) -> D
     errors = (F.when(F.col("format") == "mc", choice_errors())
                .when(F.col("format") == "open", open_errors())
                .otherwise(F.array(F.concat(F.lit("unknown format: "), _shown(F.col("format"))))))
-    return (with_vocabulary(items, taxonomy, types).withColumn("errors", errors)
-            .drop("_axes", "_types", "_want", "_formats"))
+    absent = {c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in items.columns}
+    return (with_vocabulary(items.withColumns(absent) if absent else items, taxonomy, types)
+            .withColumn("errors", errors)
+            .drop("_axes", "_types", "_want", "_formats", *absent))
 
 
 def fill_from_cell(parsed: DataFrame, json_column: str,

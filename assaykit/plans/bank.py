@@ -86,10 +86,7 @@ open_errors AS (SELECT *, coalesce(array_to_string(list_filter([
 
 @query("B1_validate_mc", ITEM_VOCAB + MC_ERRORS + " SELECT p_partkey, errors FROM mc_errors")
 def _(spark, sf):
-    return validated(spark, sf, items(spark, sf).withColumn(
-        "prompt", F.lit("")).withColumn("rubric", F.lit(None).cast(
-            "struct<must_include:array<string>,should_not:array<string>,"
-            "ideal_reasoning_pattern:string>"))).select(
+    return validated(spark, sf, items(spark, sf)).select(
         "p_partkey", F.array_join("errors", "; ").alias("errors"))
 
 
@@ -325,10 +322,7 @@ def _(spark, sf):
 SELECT count(*) AS n, 0::BIGINT AS n_invalid FROM items WHERE {VALID}""")
 def _(spark, sf):
     out = bank.balance_positions(valid_items(spark, sf), SEED)
-    rows = out.withColumn("prompt", F.lit("")).withColumn("rubric", F.lit(None).cast(
-        "struct<must_include:array<string>,should_not:array<string>,"
-        "ideal_reasoning_pattern:string>"))
-    return validated(spark, sf, rows).agg(
+    return validated(spark, sf, out).agg(
         F.count("*").alias("n"), F.count_if(F.size("errors") > 0).alias("n_invalid"))
 
 

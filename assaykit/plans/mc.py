@@ -9,6 +9,7 @@ from assaykit.functions.calls import child_seed
 from assaykit.operators import (bootstrap, cohort as cohorts, intervals, items as item_stats,
                                 leaderboard, pairwise, scoring, traps, usage)
 from assaykit.operators.ranking import rank_by_hash
+from assaykit.plans import analysis
 from assaykit.plans.fixtures import fixture
 from assaykit.plans.registry import SCORED, SEED, query, using
 
@@ -47,30 +48,15 @@ def overall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """The MC leaderboard: rank, accuracy, both intervals, parse failures, run SD."""
-    board = leaderboard.with_cohort(overall(spark, sf), cohort(spark, sf))
-    ci = bootstrap.mean_ci(item_means(spark, sf), ["model"], "p", RESAMPLES, SEED, "mc-overall")
-    lo, hi = intervals.clopper_pearson(F.col("majority_correct"), F.col("n"))
-    return leaderboard.ranked(board.join(ci.drop("n"), "model", "left")).select(
-        "rank", "model", "label", "tier", "generation", "mean", "lo", "hi",
-        F.bround(lo, 4).alias("cp_lo"), F.bround(hi, 4).alias("cp_hi"),
-        F.bround("parse_fail_rate", 4).alias("parse_fail_rate"),
-        F.bround("mean_within_item_sd", 4).alias("mean_within_item_sd"), "n", "sem",
-        "served_mismatch_artifact", "served_mismatch_genuine", "n_call_failed", "n_calls")
+    """The choice leaderboard: rank, accuracy, both intervals, parse failures, run SD."""
+    c = classified(spark, sf)
+    return analysis.mc_board(scoring.per_item(scoring.scoreable(c)), scoring.call_counts(c),
+                             cohort(spark, sf), RESAMPLES)
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All model pairs: difference, interval, bootstrap and McNemar p, Holm verdict."""
-    shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
-    boot = bootstrap.paired_ci(pairwise.difference_histogram(shared), ["a", "b"], PAIR_RESAMPLES,
-                               SEED, "mc-pair")
-    both = pairwise.mcnemar(pairwise.discordance(shared)).join(boot.drop("n"), ["a", "b"])
-    return pairwise.resolution_ok(
-        pairwise.holm(both.withColumn("p_bootstrap", F.bround("p", 5)), [], "p_bootstrap",
-                      "a", "b"), [], PAIR_RESAMPLES).select(
-        "a", "b", "n_items", F.bround("diff", 4).alias("diff"), F.bround("lo", 4).alias("lo"),
-        F.bround("hi", 4).alias("hi"), "p_bootstrap", "p_holm", "significant",
-        F.bround("mcnemar_p", 5).alias("mcnemar_p"), "floor_ok")
+    """All model pairs with intervals, Holm verdicts and McNemar."""
+    return analysis.pair_table(item_means(spark, sf), cohort(spark, sf), 4, PAIR_RESAMPLES)
 
 
 # ---- filters and dimensions -------------------------------------------------
@@ -287,12 +273,7 @@ def _(spark, sf):
 
 @query("F1_group_ci")
 def _(spark, sf):
-    long = item_means(spark, sf).select(
-        "model", "p", F.inline(F.array(*[
-            F.struct(F.lit(c).alias("breakdown"), F.col(c).alias("level"))
-            for c in leaderboard.BREAKDOWNS])))
-    return bootstrap.mean_ci(long, ["model", "breakdown", "level"], "p", RESAMPLES, SEED,
-                             "mc-group")
+    return analysis.mc_groups(item_means(spark, sf), RESAMPLES)
 
 
 UNITS = f", u AS (SELECT *, CAST(round(p * {UNIT}) AS BIGINT) AS v FROM pi)"
@@ -443,6 +424,16 @@ def _(spark, sf):
         "a", "b", "only_a", "only_b", "mcnemar_stat", "mcnemar_p")
 
 
+@query("F3_mcnemar_edwards", RC + SCORED + PAIRS + """
+, d AS (SELECT a, b, count(*) FILTER (va >= 0.5 AND vb < 0.5) AS x,
+    count(*) FILTER (va < 0.5 AND vb >= 0.5) AS y FROM pr GROUP BY a, b)
+SELECT a, b, round(CASE WHEN x + y = 0 THEN 0 ELSE greatest(0, abs(x - y) - 1) ^ 2 / (x + y) END, 6)
+  AS edwards_stat FROM d""")
+def _(spark, sf):
+    shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
+    return pairwise.mcnemar_edwards(pairwise.discordance(shared)).select("a", "b", "edwards_stat")
+
+
 @query("D18_significance_counts")
 def _(spark, sf):
     return leaderboard.significance_counts(pairs(spark, sf).withColumn("family", F.lit("mc")))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions.judging import objects, rating, tally
-from assaykit.operators import audit, bootstrap, leaderboard, pairwise, panel, reliability, scoring
-from assaykit.plans import mc
+from assaykit.operators import audit, bootstrap, leaderboard, panel, reliability, scoring
+from assaykit.plans import analysis, mc
 from assaykit.plans.fixtures import JUDGE_DIMS, fixture
 from assaykit.plans.registry import SCORED, SEED, query, using
+from assaykit.session import computed_once
 
 J = using("judge_base")
 DIMS = JUDGE_DIMS
@@ -56,9 +57,9 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         "model", "question_id", "run_index", "persona",
         F.when(F.col("seq") % 3 != 0, F.col("judge_role")).alias("judge_role"),
         (F.col("seq") % 59 != 0).alias("call_ok"), "scores"))
-    return verdicts(spark, sf).select(
-        F.when(F.col("seq") % 53 == 0, F.concat(F.lit("{truncated "), body))
-         .when(F.col("seq") % 61 == 1, F.lit("   ")).otherwise(body).alias("value"))
+    line = (F.when(F.col("seq") % 53 == 0, F.concat(F.lit("{truncated "), body))
+            .when(F.col("seq") % 61 == 1, F.lit("   ")).otherwise(body))
+    return verdicts(spark, sf).select(computed_once(line).alias("value"))
 
 
 def response_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,11 +185,18 @@ def _(spark, sf):
 
 @query("F2_open_pairs")
 def _(spark, sf):
-    shared = pairwise.shared_items(panel.open_items(scores(spark, sf)), mc.cohort(spark, sf))
-    boot = bootstrap.paired_ci(pairwise.difference_histogram(shared), ["a", "b"],
-                               mc.PAIR_RESAMPLES, SEED, "open-pair")
-    return pairwise.holm(boot.withColumn("p_bootstrap", F.bround("p", 5)), [], "p_bootstrap",
-                         "a", "b")
+    return analysis.pair_table(panel.open_items(scores(spark, sf)), mc.cohort(spark, sf), 3,
+                               mc.PAIR_RESAMPLES, SEED, label="open-pair", with_mcnemar=False)
+
+
+@query("D7_open_leaderboard_full")
+def _(spark, sf):
+    return analysis.open_board(scores(spark, sf), mc.cohort(spark, sf), mc.RESAMPLES)
+
+
+@query("D8_open_by_dimension_ci")
+def _(spark, sf):
+    return analysis.open_groups(scores(spark, sf), mc.RESAMPLES)
 
 
 # Complete raw ratings; the raw value is not clamped and numeric strings do not count.
@@ -208,10 +216,7 @@ alpha AS (SELECT metric, n_units, 1 - (d / n) / (2 * (n * q - s * s) / (n * (n -
 
 
 def complete(spark: SparkSession, sf: str) -> DataFrame:
-    ratings = panel.complete_ratings(verdicts(spark, sf), DIMS)
-    return (ratings.groupBy("model", "question_id", "run_index", "persona")
-            .agg(F.max_by(F.struct(*DIMS, "composite"), "seq").alias("r"))
-            .select("model", "question_id", "run_index", "persona", "r.*"))
+    return panel.last_complete(verdicts(spark, sf), DIMS, "seq")
 
 
 @query("F7_krippendorff_alpha", J + COMPLETE + """

@@ -43,6 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def computed_once(c: Column) -> Column:
+    """A costly expression as a one-element generator.
+
+    Filters on a plain column are pushed below its projection and evaluate it again, once
+    per filter; they cannot pass a generator.
+    """
+    return F.explode(F.array(c))
+
+
 def fan_out(df: DataFrame, small: DataFrame, *spread_by: str | Column) -> DataFrame:
     """Pair every row of ``df`` with every row of the configuration table ``small``.
 
