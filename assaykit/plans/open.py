@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assaykit.functions.judging import objects, rating, tally
 from assaykit.operators import audit, bootstrap, leaderboard, panel, reliability, scoring
 from assaykit.plans import analysis, mc
-from assaykit.plans.fixtures import JUDGE_DIMS, fixture
+from assaykit.plans.fixtures import JUDGE_DIMS, fixture, table
 from assaykit.plans.registry import SCORED, SEED, query, using
 from assaykit.session import computed_once
 
@@ -64,7 +64,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def response_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One generation per order; some failed, damaged or without the flag."""
-    o = spark.read.parquet(f"{sf}/orders.parquet")
+    o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     body = F.to_json(F.struct(k.alias("question_id"),
                               F.when(k % 5 != 0, k % 50 != 1).alias("call_ok")))
