@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from assaykit.functions.calls import child_seed, uniform
 from assaykit.operators.pairwise import UNIT, in_units
 from assaykit.operators.ranking import rank_by_hash
-from assaykit.session import parallelism
+from assaykit.session import cut_lineage, parallelism
 
 CHUNK_VALUES = 1024    # distinct values per chunk before a group is cut
+MAX_CHUNKS = 1024      # hash cells a group can be cut into
 SHARD_RESAMPLES = 500  # resamples per work row
 KERNEL_CELLS = 2_000_000  # drawn counts held at once by the kernel (int64)
 
@@ -42,25 +43,35 @@ def value_histogram(df: DataFrame, groups: list[str], value: str) -> DataFrame:
             .agg(F.count("*").alias("c")))
 
 
+def _chunk_of(cell: Column, chunks: Column) -> Column:
+    return F.floor(cell * chunks / MAX_CHUNKS)
+
+
 def _chunks(histogram: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per (group, chunk) with its values and the group's chunk weights."""
-    keyed = histogram.select(F.struct(*groups).alias("g"), "v", "c")
-    sizes = keyed.groupBy("g").agg(F.count("*").alias("k"), F.sum("c").alias("n"))
-    # about sqrt(k) chunks of sqrt(k) values for very wide groups: a chunk's cost is its
-    # own values plus the number of chunks
-    n_chunks = F.ceil(F.col("k") / F.greatest(F.lit(float(CHUNK_VALUES)), F.sqrt("k")))
-    placed = keyed.join(sizes, "g").select(
-        "g", "n", "v", "c", F.pmod(F.xxhash64("v"), n_chunks).alias("chunk"))
-    chunks = placed.groupBy("g", "n", "chunk").agg(
-        F.sum("c").alias("w"),
-        F.sort_array(F.collect_list(F.struct("v", "c"))).alias("cells"))
-    weights = chunks.groupBy("g").agg(
-        F.sort_array(F.collect_list(F.struct("chunk", "w"))).alias("all_chunks"))
-    return chunks.join(weights, "g").select(
-        "g", "n",
-        (F.array_position(F.col("all_chunks.chunk"), F.col("chunk")) - 1).alias("at"),
-        F.col("all_chunks.w").alias("weights"),
-        F.col("cells.v").alias("values"), F.col("cells.c").alias("counts"))
+    """One row per (group, chunk) with its values and the group's chunk weights.
+
+    Distinct values per hash cell are counted first (at most ``MAX_CHUNKS`` rows per
+    group); from those counts every group learns how many chunks it needs, and
+    neighbouring hash cells merge into them.
+    """
+    keyed = histogram.select(F.struct(*groups).alias("g"), "v", "c",
+                             F.pmod(F.xxhash64("v"), F.lit(MAX_CHUNKS)).alias("cell"))
+    per_cell = keyed.groupBy("g", "cell").agg(
+        F.sum("c").alias("w"), F.collect_list(F.struct("v", "c")).alias("cells"))
+    sizes = per_cell.groupBy("g").agg(
+        F.sum("w").alias("n"), F.sum(F.size("cells")).alias("k"),
+        F.collect_list(F.struct("cell", "w")).alias("all_cells"))
+    needed = F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("k") / CHUNK_VALUES))
+    plan = sizes.select("g", "n", needed.alias("chunks"), F.transform(
+        F.sequence(F.lit(0).cast("bigint"), needed - 1),
+        lambda j: F.aggregate(
+            F.filter("all_cells", lambda x: _chunk_of(x["cell"], needed) == j),
+            F.lit(0).cast("bigint"), lambda acc, x: acc + x["w"])).alias("weights"))
+    return (per_cell.join(plan, "g")
+            .groupBy("g", "n", "weights", _chunk_of(F.col("cell"), F.col("chunks")).alias("at"))
+            .agg(F.flatten(F.collect_list("cells")).alias("cells"))
+            .select("g", "n", "at", "weights", F.col("cells.v").alias("values"),
+                    F.col("cells.c").alias("counts")))
 
 
 def resampled_sums(histogram: DataFrame, groups: list[str], resamples: int, seed: int,
@@ -84,6 +95,10 @@ def resampled_sums(histogram: DataFrame, groups: list[str], resamples: int, seed
                     rng.multinomial(int(n_i), w / w.sum(), size=min(step, b - lo))[:, int(a)]
                     for lo in range(0, b, step)])
             rng = np.random.default_rng(int(cs))
+            # frequent values first: the rest is then drawn from small remainders; the
+            # fixed order also makes the draw independent of how the cells arrived
+            order = np.lexsort((v, -c))
+            v, c = v[order], c[order]
             step = max(1, cells_limit // len(v))
             share = c / c.sum()
             out.append(np.concatenate([
@@ -119,13 +134,35 @@ def _bounds(sums: Column, n: Column, ci: float) -> Column:
     return F.percentile(sums / n / UNIT, F.array(F.lit(tail), F.lit(1 - tail)))
 
 
+def _quantile(ordered: Column, q: float) -> Column:
+    """Linearly interpolated quantile of a sorted array."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    x0 = F.get(ordered, low)
+    x1 = F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+    return x0 + (at - low) * (x1 - x0)
+
+
+def _percentiles(sums: DataFrame, ci: float) -> DataFrame:
+    """All resampled sums of a group in order (``s``, one per resample) and the bounds."""
+    tail = (1 - ci) / 2
+    scale = F.col("n").cast("double") * UNIT
+    return (sums.groupBy("g", "n")
+            .agg(F.sort_array(F.flatten(F.collect_list("sums"))).alias("s"))
+            .withColumn("lo", _quantile(F.col("s"), tail) / scale)
+            .withColumn("hi", _quantile(F.col("s"), 1 - tail) / scale))
+
+
 def mean_ci(df: DataFrame, groups: list[str], value: str, resamples: int, seed: int,
             label: str = "mean", ci: float = 0.95) -> DataFrame:
-    """Bootstrap interval of the mean of ``value`` over items, per group."""
-    sums = resampled_sums(value_histogram(df, groups, value), groups, resamples, seed, label)
-    return (sums.select("g", "n", F.explode("sums").alias("s")).groupBy("g", "n")
-            .agg(_bounds(F.col("s"), F.col("n"), ci).alias("_b"))
-            .select("g.*", "n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi")))
+    """Bootstrap interval of the mean of ``value`` over items, per group.
+
+    The histogram is checkpointed (one job), so the kernel stages neither replan nor
+    replay what led to it.
+    """
+    histogram = cut_lineage(value_histogram(df, groups, value))
+    sums = resampled_sums(histogram, groups, resamples, seed, label)
+    return _percentiles(sums, ci).select("g.*", "n", "lo", "hi")
 
 
 def two_sided_p(below: Column, above: Column, resamples: int) -> Column:
@@ -137,15 +174,14 @@ def paired_ci(histogram: DataFrame, groups: list[str], resamples: int, seed: int
               label: str = "pair", ci: float = 0.95) -> DataFrame:
     """Bootstrap interval and p-value of the mean paired difference, per pair.
 
-    ``histogram`` is the output of ``pairwise.difference_histogram``.
+    ``histogram`` is the output of ``pairwise.difference_histogram``, best checkpointed:
+    it is read more than once.
     """
     sums = resampled_sums(histogram, groups, resamples, seed, label)
-    return (sums.select("g", "n", F.explode("sums").alias("s")).groupBy("g", "n")
-            .agg(_bounds(F.col("s"), F.col("n"), ci).alias("_b"),
-                 F.count_if(F.col("s") <= 0).alias("_le"),
-                 F.count_if(F.col("s") >= 0).alias("_ge"))
-            .select("g.*", "n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi"),
-                    two_sided_p(F.col("_le"), F.col("_ge"), resamples).alias("p")))
+    below = F.size(F.filter("s", lambda x: x <= 0))
+    above = F.size(F.filter("s", lambda x: x >= 0))
+    return _percentiles(sums, ci).select("g.*", "n", "lo", "hi",
+                                         two_sided_p(below, above, resamples).alias("p"))
 
 
 def hash_bootstrap(df: DataFrame, groups: list[str], value: str, key: str, resamples: int,

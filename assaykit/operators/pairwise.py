@@ -42,19 +42,20 @@ def shared_items(items: DataFrame, cohort: DataFrame, value: str = "p",
 
 
 def difference_histogram(shared: DataFrame) -> DataFrame:
-    """Counts of per-item differences per pair, in integer units."""
+    """Counts of per-item differences per pair, in integer units, with the items that only
+    one side gets mostly right."""
+    ra, rb = F.col("va") >= MAJORITY, F.col("vb") >= MAJORITY
     return (shared.groupBy("a", "b", (in_units(F.col("va")) - in_units(F.col("vb"))).alias("v"))
-            .agg(F.count("*").alias("c")))
+            .agg(F.count("*").alias("c"), F.count_if(ra & ~rb).alias("only_a"),
+                 F.count_if(~ra & rb).alias("only_b")))
 
 
-def discordance(shared: DataFrame) -> DataFrame:
-    """Paired counts of majority-correct items and the mean difference."""
-    ra, rb = F.col("va") >= MAJORITY, F.col("vb") >= MAJORITY
-    return shared.groupBy("a", "b").agg(
-        F.count("*").alias("n_items"),
-        (F.sum(in_units(F.col("va")) - in_units(F.col("vb"))) / F.count("*") / UNIT)
-        .alias("diff"),
-        F.count_if(ra & ~rb).alias("only_a"), F.count_if(~ra & rb).alias("only_b"))
+def discordance(histogram: DataFrame) -> DataFrame:
+    """Shared items, mean difference and discordant counts per pair."""
+    n = F.sum("c")
+    return histogram.groupBy("a", "b").agg(
+        n.alias("n_items"), (F.sum(F.col("v") * F.col("c")) / n / UNIT).alias("diff"),
+        F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"))
 
 
 def mcnemar(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HASH_DIGITS = 4     # leading hex digits of the draw hash: 65,536 buckets per group
-VALUE_BUCKETS = 4096
+STEPS = 4096        # value buckets per power of two
 
 
 def rank_by_hash(df: DataFrame, groups: list[str], digest: str, *ties: str) -> DataFrame:
@@ -45,34 +45,37 @@ def take_by_hash(df: DataFrame, groups: list[str], digest: str, quota: Column,
                   .drop("rank", "group_size"))
 
 
+def _value_bucket(v: Column) -> Column:
+    """Order-preserving bucket: sign and ``STEPS`` steps per power of two of the size."""
+    size = F.floor(F.log2(F.abs(v)) * STEPS) + 2048 * STEPS
+    return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(
+        F.signum(v).cast("bigint") * size)
+
+
 def kth_value(df: DataFrame, groups: list[str], value: str, k: Column) -> DataFrame:
     """The ``k``-th smallest (0-based) non-null ``value`` per group, exactly.
 
     ``k`` may refer to ``n``, the group's count.  Equal values collapse to counts, the
-    counts are summed over value ranges, and only the range that holds the wanted rank
-    is sorted.  Output: groups, ``kth``, ``n``.
+    counts are summed over narrow value ranges, and only the values of the range that
+    holds the wanted rank are sorted.  Output: groups, ``kth``, ``n``.
     """
-    g = F.struct(*groups).alias("_group")
-    tally = (df.where(F.col(value).isNotNull()).select(g, F.col(value).alias("_v"))
-               .groupBy("_group", "_v").agg(F.count("*").alias("_c")))
-    spans = tally.groupBy("_group").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                        F.sum("_c").alias("n"))
-    placed = tally.join(spans, "_group").withColumn(
-        "_bucket",
-        F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-            F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-                    * (VALUE_BUCKETS - 1))).cast("int"))
-    per_bucket = placed.groupBy("_group", "_bucket").agg(F.sum("_c").alias("_bc"),
-                                                         F.first("n").alias("n"))
-    run = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    wanted = (per_bucket.withColumn("_end", F.sum("_bc").over(run))
-                        .withColumn("_start", F.col("_end") - F.col("_bc"))
-                        .withColumn("_k", k.cast("bigint"))
-                        .where((F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_end")))
-                        .select("_group", "_bucket", "_start", "_k"))
+    tally = (df.where(F.col(value).isNotNull())
+               .select(F.struct(*groups).alias("_group"), F.col(value).alias("_v"))
+               .groupBy("_group", "_v").agg(F.count("*").alias("_c"))
+               .withColumn("_bucket", _value_bucket(F.col("_v").cast("double"))))
+    per_bucket = tally.groupBy("_group", "_bucket").agg(F.sum("_c").alias("_bc"))
+    ordered = W.partitionBy("_group").orderBy("_bucket")
+    wanted = (per_bucket
+              .withColumn("_end", F.sum("_bc").over(
+                  ordered.rowsBetween(W.unboundedPreceding, 0)))
+              .withColumn("_start", F.col("_end") - F.col("_bc"))
+              .withColumn("n", F.sum("_bc").over(W.partitionBy("_group")))
+              .withColumn("_k", k.cast("bigint"))
+              .where((F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_end")))
+              .select("_group", "_bucket", "_start", "_k", "n"))
     inner = W.partitionBy("_group").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    return (placed.join(wanted, ["_group", "_bucket"])
-                  .withColumn("_end", F.col("_start") + F.sum("_c").over(inner))
-                  .where(F.col("_k") < F.col("_end"))
-                  .groupBy("_group").agg(F.min("_v").alias("kth"), F.first("n").alias("n"))
-                  .select("_group.*", "kth", "n"))
+    return (tally.join(wanted, ["_group", "_bucket"])
+                 .withColumn("_end", F.col("_start") + F.sum("_c").over(inner))
+                 .where(F.col("_k") < F.col("_end"))
+                 .groupBy("_group").agg(F.min("_v").alias("kth"), F.first("n").alias("n"))
+                 .select("_group.*", "kth", "n"))

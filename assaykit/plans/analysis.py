@@ -1,7 +1,7 @@
 """The two analyses of a run, table by table.
 
-Each function returns lazy DataFrames that share the per-item table, the only input of
-every interval.  With ``cache=True`` that table is persisted; for very large runs write it
+Results share the per-item table, the only input of every interval.  Interval tables start
+from a checkpointed histogram (one job each when they are built); the rest is lazy.  With ``cache=True`` that table is persisted; for very large runs write it
 with ``sources.tables`` and pass it back instead.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators import (bootstrap, cohort as cohorts, intervals, items as item_stats,
                                 leaderboard, pairwise, panel, reliability, scoring)
+from assaykit.session import cut_lineage
 
 RESAMPLES = 100_000   # fixed value: resamples of the published run
 SEED = 19470417       # fixed value: its seed
@@ -48,11 +49,15 @@ def mc_groups(items: DataFrame, resamples: int = RESAMPLES, seed: int = SEED,
 def pair_table(items: DataFrame, cohort: DataFrame, digits: int, resamples: int = RESAMPLES,
                seed: int = SEED, ci: float = CI, label: str = "mc-pair",
                with_mcnemar: bool = True) -> DataFrame:
-    """All model pairs: difference, interval, bootstrap p, Holm verdict, McNemar."""
-    shared = pairwise.shared_items(items, cohort)
-    boot = bootstrap.paired_ci(pairwise.difference_histogram(shared), ["a", "b"], resamples,
-                               seed, label, ci)
-    facts = pairwise.discordance(shared)
+    """All model pairs: difference, interval, bootstrap p, Holm verdict, McNemar.
+
+    One job reduces the responses to a checkpointed histogram per pair; everything else
+    works on that.
+    """
+    histogram = cut_lineage(
+        pairwise.difference_histogram(pairwise.shared_items(items, cohort)))
+    boot = bootstrap.paired_ci(histogram, ["a", "b"], resamples, seed, label, ci)
+    facts = pairwise.discordance(histogram)
     if with_mcnemar:
         facts = pairwise.mcnemar(facts)
     both = facts.join(boot.drop("n"), ["a", "b"]).withColumn("p_bootstrap", F.bround("p", 5))

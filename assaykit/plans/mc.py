@@ -12,6 +12,7 @@ from assaykit.operators.ranking import rank_by_hash
 from assaykit.plans import analysis
 from assaykit.plans.fixtures import fixture
 from assaykit.plans.registry import SCORED, SEED, query, using
+from assaykit.session import cut_lineage
 
 RESAMPLES = 2000        # kernel resamples of the mean intervals
 PAIR_RESAMPLES = 20000  # 2*m/(B+1) must stay below the family level for m pairs
@@ -47,6 +48,11 @@ def overall(spark: SparkSession, sf: str) -> DataFrame:
     return leaderboard.mc_overall(scoring.per_item(scoring.scoreable(c)), scoring.call_counts(c))
 
 
+def histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return pairwise.difference_histogram(
+        pairwise.shared_items(item_means(spark, sf), cohort(spark, sf)))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The choice leaderboard: rank, accuracy, both intervals, parse failures, run SD."""
     c = classified(spark, sf)
@@ -344,7 +350,7 @@ SELECT a, b, count(*) AS n_items,
   count(*) FILTER (va >= 0.5 AND vb < 0.5) AS only_a,
   count(*) FILTER (va < 0.5 AND vb >= 0.5) AS only_b FROM pr GROUP BY a, b""")
 def _(spark, sf):
-    return pairwise.discordance(pairwise.shared_items(item_means(spark, sf), cohort(spark, sf)))
+    return pairwise.discordance(histogram(spark, sf))
 
 
 @query("H1_common_items", RC + SCORED + PAIRS + """
@@ -356,8 +362,7 @@ def _(spark, sf):
 
 @query("F2_paired_difference")
 def _(spark, sf):
-    shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
-    return bootstrap.paired_ci(pairwise.difference_histogram(shared), ["a", "b"], PAIR_RESAMPLES,
+    return bootstrap.paired_ci(cut_lineage(histogram(spark, sf)), ["a", "b"], PAIR_RESAMPLES,
                                SEED, "mc-pair")
 
 
@@ -419,8 +424,7 @@ SELECT a, b, x AS only_a, y AS only_b, round(stat, 6) AS mcnemar_stat,
       list_transform(range(0, 400), lambda j: exp(j * ln(stat + 1e-300)
         - (lgamma(2 * j + 2) - lgamma(j + 1) - j * ln(2.0)))))) END, 6) AS mcnemar_p FROM e""")
 def _(spark, sf):
-    shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
-    return pairwise.mcnemar(pairwise.discordance(shared)).select(
+    return pairwise.mcnemar(pairwise.discordance(histogram(spark, sf))).select(
         "a", "b", "only_a", "only_b", "mcnemar_stat", "mcnemar_p")
 
 
@@ -430,8 +434,7 @@ def _(spark, sf):
 SELECT a, b, round(CASE WHEN x + y = 0 THEN 0 ELSE greatest(0, abs(x - y) - 1) ^ 2 / (x + y) END, 6)
   AS edwards_stat FROM d""")
 def _(spark, sf):
-    shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
-    return pairwise.mcnemar_edwards(pairwise.discordance(shared)).select("a", "b", "edwards_stat")
+    return pairwise.mcnemar_edwards(pairwise.discordance(histogram(spark, sf))).select("a", "b", "edwards_stat")
 
 
 @query("D18_significance_counts")
@@ -448,8 +451,7 @@ def _(spark, sf):
 SELECT a, b, round(sum(CAST(round(va * {UNIT}) AS BIGINT) - CAST(round(vb * {UNIT}) AS BIGINT))
   / count(*) / {UNIT}, 6) AS diff FROM pr GROUP BY a, b ORDER BY abs(diff) DESC, a, b""")
 def _(spark, sf):
-    shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
-    return pairwise.by_effect(pairwise.discordance(shared).select("a", "b", "diff"))
+    return pairwise.by_effect(pairwise.discordance(histogram(spark, sf)).select("a", "b", "diff"))
 
 
 @query("D3_leaderboard_full")
