@@ -40,21 +40,32 @@ def scan_log(lines: DataFrame) -> DataFrame:
         F.count_if(F.col("record").isNull()).alias("corrupt"))
 
 
-def panel_sizes(verdict_lines: DataFrame) -> DataFrame:
-    """Readable primary verdicts per triple."""
-    role = F.coalesce(field("judge_role"), F.lit("primary"))
+def verdict_audit(verdict_lines: DataFrame, needed: int) -> DataFrame:
+    """One row over a verdict log, from one reading: failed, total, corrupt, the triples
+    that have a primary verdict, and those whose panel is below the quorum.
+
+    A panel counts readable scores of primary verdicts only.
+    """
+    known = F.col("record").isNotNull()
+    first = F.coalesce(field("judge_role"), F.lit("primary")) == "primary"
     scores = field("scores", "variant")
-    return (parse_log(verdict_lines).where(F.col("record").isNotNull() & (role == "primary"))
-            .select(*[field(k).alias(k) for k in TRIPLE],
-                    (scores.isNotNull() & ~F.is_variant_null(scores)).alias("scored"))
-            .groupBy(*TRIPLE).agg(F.count_if("scored").alias("judges")))
+    per_triple = parse_log(verdict_lines).select(
+        *[field(k).alias(k) for k in TRIPLE], (known & first).alias("counts"),
+        (~known).alias("corrupt"), (known & _failed()).alias("failed"),
+        (scores.isNotNull() & ~F.is_variant_null(scores)).alias("scored")).groupBy(
+        *TRIPLE, "counts").agg(
+        F.count("*").alias("total"), F.count_if("corrupt").alias("corrupt"),
+        F.count_if("failed").alias("failed"), F.count_if("scored").alias("judges"))
+    total = [F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
+             for c in ("failed", "total", "corrupt")]
+    return per_triple.agg(
+        *total, F.count_if("counts").alias("judged_triples"),
+        F.count_if(F.col("counts") & (F.col("judges") < needed)).alias("short"))
 
 
 def quorum(verdict_lines: DataFrame, needed: int) -> DataFrame:
     """One row: triples seen, and those whose panel is below the quorum."""
-    return panel_sizes(verdict_lines).agg(
-        F.count("*").alias("judged_triples"),
-        F.count_if(F.col("judges") < needed).alias("short"))
+    return verdict_audit(verdict_lines, needed).select("judged_triples", "short")
 
 
 def _or_zero(c: Column) -> Column:
@@ -77,19 +88,19 @@ def audit_open(response_lines: DataFrame, verdict_lines: DataFrame, expected: in
     """Open phase: failed verdicts are tolerable while every panel holds a quorum.
 
     A response without any verdict is counted as a panel below quorum, and damaged
-    verdict lines block acceptance.  The three one-row scans meet on a constant key.
+    verdict lines block acceptance.  The two one-row scans meet on a constant key.
     """
     one = F.lit(1).alias("_one")
     g = scan_log(response_lines).select(F.col("failed").alias("gf"), F.col("total").alias("gt"),
                                         F.col("corrupt").alias("gc"), one)
-    j = scan_log(verdict_lines).select(F.col("failed").alias("jf"), F.col("total").alias("jt"),
-                                       F.col("corrupt").alias("jc"), one)
-    q = quorum(verdict_lines, needed).select("judged_triples", "short", one)
+    j = verdict_audit(verdict_lines, needed).select(
+        F.col("failed").alias("jf"), F.col("total").alias("jt"), F.col("corrupt").alias("jc"),
+        "judged_triples", "short", one)
     c = F.col
     made = _or_zero(c("gt") - c("gf"))
     gm, jm = _or_zero(F.lit(expected) - c("gt")), _or_zero(made * n_personas - c("jt"))
     below = c("short") + _or_zero(made - c("judged_triples"))
-    return g.join(j, "_one").join(q, "_one").select(
+    return g.join(j, "_one").select(
         (c("gf") + c("gc") + gm + c("jf") + c("jc") + jm).alias("strict_fail"),
         (c("gf") + c("gc") + gm + c("jc") + below).alias("accept_fail"),
         below.alias("below_quorum"), c("gf").alias("gen_failed"), c("gc").alias("gen_corrupt"),

@@ -16,35 +16,35 @@ def sem(value: Column) -> Column:
                   F.stddev_samp(value) / F.sqrt(F.count(value))).otherwise(F.lit(0.0))
 
 
-def within_item_sd(items: DataFrame) -> DataFrame:
-    """Mean within-item standard deviation over runs, for items with more than one run.
+def _run_variance() -> Column:
+    """Sample variance of 0/1 runs from their counts: no need to read responses again."""
+    hits, runs = F.col("hits"), F.col("runs")
+    return F.try_divide(hits * (runs - hits), runs * (runs - 1))
 
-    For 0/1 runs the sample variance is hits*(runs-hits)/(runs*(runs-1)), so the per-item
-    counts are enough and the responses need not be read again.
-    """
-    variance = F.try_divide(F.col("hits") * (F.col("runs") - F.col("hits")),
-                            F.col("runs") * (F.col("runs") - 1))
+
+def within_item_sd(items: DataFrame) -> DataFrame:
+    """Mean within-item standard deviation over runs, for items with more than one run."""
     return items.groupBy("model").agg(
-        F.coalesce(F.avg(F.when(F.col("runs") > 1, F.sqrt(variance))), F.lit(0.0))
+        F.coalesce(F.avg(F.when(F.col("runs") > 1, F.sqrt(_run_variance()))), F.lit(0.0))
         .alias("mean_within_item_sd"))
 
 
-def mc_overall(items: DataFrame, calls: DataFrame) -> DataFrame:
-    """Per-model accuracy: the item is the sampling unit, the record the parse unit."""
-    variance = F.try_divide(F.col("hits") * (F.col("runs") - F.col("hits")),
-                            F.col("runs") * (F.col("runs") - 1))
-    scores = items.groupBy("model").agg(
-        F.count("*").alias("n"), F.avg("p").alias("mean"), sem(F.col("p")).alias("sem"),
-        F.count_if(F.col("p") >= MAJORITY).alias("majority_correct"),
-        F.coalesce(F.avg(F.when(F.col("runs") > 1, F.sqrt(variance))), F.lit(0.0))
-        .alias("mean_within_item_sd"))
-    return (calls.join(scores, "model", "left")
-            .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-            .withColumn("majority_correct",
-                        F.coalesce("majority_correct", F.lit(0).cast("bigint")))
-            .withColumn("mean_within_item_sd",
-                        F.coalesce("mean_within_item_sd", F.lit(0.0)))
-            .withColumn("parse_fail_rate", F.try_divide("n_unparsed", "n_scoreable")))
+def mc_overall(table: DataFrame) -> DataFrame:
+    """Per-model accuracy from ``scoring.item_table``.
+
+    The item is the sampling unit of the mean, the record that of the parse-fail rate.
+    """
+    p, runs = F.col("p"), F.col("runs")
+    counters = ("n_calls", "n_call_failed", "served_mismatch_artifact",
+                "served_mismatch_genuine", "n_unparsed")
+    return (table.groupBy("model").agg(
+        F.count(p).alias("n"), F.avg(p).alias("mean"),
+        F.when(F.count(p) > 0, sem(p)).alias("sem"),
+        F.count_if(p >= MAJORITY).alias("majority_correct"),
+        F.coalesce(F.avg(F.when(runs > 1, F.sqrt(_run_variance()))), F.lit(0.0))
+        .alias("mean_within_item_sd"),
+        *[F.sum(c).alias(c) for c in counters], F.sum(runs).alias("n_scoreable"))
+        .withColumn("parse_fail_rate", F.try_divide("n_unparsed", "n_scoreable")))
 
 
 def mc_breakdown(items: DataFrame, *columns: str) -> DataFrame:

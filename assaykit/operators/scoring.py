@@ -90,19 +90,32 @@ def per_item(scored: DataFrame, item: str = "question_id") -> DataFrame:
             .withColumn("p", F.col("hits") / F.col("runs")))
 
 
-def call_counts(classified: DataFrame) -> DataFrame:
-    """Call accounting per model."""
+def item_table(classified: DataFrame, item: str = "question_id") -> DataFrame:
+    """``per_item`` plus call accounting, from one aggregation over the whole log.
+
+    Keeps rows whose calls were all excluded (``runs`` 0, ``p`` null) so that per-model
+    call counts are sums over this table and the log is not read a second time.
+    """
+    kept = F.col("call_class").isin("clean", "artifact")
+
     def of(kind: str) -> Column:
         return F.count_if(F.col("call_class") == kind)
 
-    kept = F.col("call_class").isin("clean", "artifact")
-    return classified.groupBy("model").agg(
-        F.count("*").alias("n_calls"),
-        of("failed").alias("n_call_failed"),
-        of("artifact").alias("served_mismatch_artifact"),
-        of("genuine").alias("served_mismatch_genuine"),
-        F.count_if(kept & ~F.col("parse_ok")).alias("n_unparsed"),
-        F.count_if(kept).alias("n_scoreable"))
+    meta = [F.first(F.when(kept, F.col(c)), ignorenulls=True).alias(c)
+            for c in ("dimension", "difficulty", "axis") if c in classified.columns]
+    return (classified.groupBy("model", item)
+            .agg(F.count_if(kept).alias("runs"),
+                 F.count_if(kept & F.col("correct")).alias("hits"),
+                 F.count_if(kept & ~F.col("parse_ok")).alias("n_unparsed"),
+                 F.count("*").alias("n_calls"), of("failed").alias("n_call_failed"),
+                 of("artifact").alias("served_mismatch_artifact"),
+                 of("genuine").alias("served_mismatch_genuine"), *meta)
+            .withColumn("p", F.try_divide("hits", "runs")))
+
+
+def scored_items(table: DataFrame) -> DataFrame:
+    """The items of ``item_table`` with at least one scoreable run."""
+    return table.where(F.col("runs") > 0)
 
 
 def quick_accuracy(scored: DataFrame) -> DataFrame:

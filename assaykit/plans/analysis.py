@@ -19,11 +19,11 @@ SEED = 19470417       # fixed value: its seed
 CI = 0.95
 
 
-def mc_board(items: DataFrame, calls: DataFrame, cohort: DataFrame, resamples: int = RESAMPLES,
+def mc_board(table: DataFrame, cohort: DataFrame, resamples: int = RESAMPLES,
              seed: int = SEED, ci: float = CI) -> DataFrame:
-    """Ranked choice leaderboard with bootstrap and exact intervals."""
-    board = leaderboard.with_cohort(leaderboard.mc_overall(items, calls), cohort)
-    boot = bootstrap.mean_ci(items, ["model"], "p", resamples, seed, "mc-overall", ci)
+    """Ranked choice leaderboard with bootstrap and exact intervals, from an item table."""
+    board = leaderboard.with_cohort(leaderboard.mc_overall(table), cohort)
+    boot = bootstrap.mean_ci(table, ["model"], "p", resamples, seed, "mc-overall", ci)
     lo, hi = intervals.clopper_pearson(F.col("majority_correct"), F.col("n"), ci)
     return leaderboard.ranked(board.join(boot.drop("n"), "model", "left")).select(
         "rank", "model", "label", "tier", "generation", "mean", "lo", "hi",
@@ -75,15 +75,15 @@ def analyze_mc(responses: DataFrame, cohort: DataFrame, order: list[str],
     """Choice results.  ``order`` is the record sequence that decides repeated cells."""
     known = cohorts.in_cohort(responses, cohort)
     classified = scoring.classify_served(known, cost)
-    kept = scoring.scoreable(classified)
-    items = scoring.per_item(kept)
+    table = scoring.item_table(classified)
     if cache:
-        items = items.persist()
-    analysis = item_stats.item_analysis(item_stats.last_outcome(kept, "question_id", *order))
+        table = table.persist()
+    items = scoring.scored_items(table)
+    analysis = item_stats.item_analysis(item_stats.last_outcome(
+        scoring.scoreable(classified), "question_id", *order))
     return {
         "mc_per_item": items,
-        "mc_overall": mc_board(items, scoring.call_counts(classified), cohort, resamples, seed,
-                               ci),
+        "mc_overall": mc_board(table, cohort, resamples, seed, ci),
         "mc_by": mc_groups(items, resamples, seed, ci),
         "mc_pairwise": pair_table(items, cohort, 4, resamples, seed, ci),
         "mc_items": analysis,

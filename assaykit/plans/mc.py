@@ -39,13 +39,16 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.scoreable(classified(spark, sf))
 
 
+def item_table(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.item_table(classified(spark, sf))
+
+
 def item_means(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.per_item(scored(spark, sf))
+    return scoring.scored_items(item_table(spark, sf))
 
 
 def overall(spark: SparkSession, sf: str) -> DataFrame:
-    c = classified(spark, sf)
-    return leaderboard.mc_overall(scoring.per_item(scoring.scoreable(c)), scoring.call_counts(c))
+    return leaderboard.mc_overall(item_table(spark, sf))
 
 
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,9 +58,8 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The choice leaderboard: rank, accuracy, both intervals, parse failures, run SD."""
-    c = classified(spark, sf)
-    return analysis.mc_board(scoring.per_item(scoring.scoreable(c)), scoring.call_counts(c),
-                             cohort(spark, sf), RESAMPLES)
+    table = cut_lineage(item_table(spark, sf))  # read twice, written once
+    return analysis.mc_board(table, cohort(spark, sf), RESAMPLES)
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:

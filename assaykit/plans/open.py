@@ -10,7 +10,7 @@ from assaykit.operators import audit, bootstrap, leaderboard, panel, reliability
 from assaykit.plans import analysis, mc
 from assaykit.plans.fixtures import JUDGE_DIMS, fixture, table
 from assaykit.plans.registry import SCORED, SEED, query, using
-from assaykit.session import computed_once
+from assaykit.session import computed_once, cut_lineage
 
 J = using("judge_base")
 DIMS = JUDGE_DIMS
@@ -191,12 +191,14 @@ def _(spark, sf):
 
 @query("D7_open_leaderboard_full")
 def _(spark, sf):
-    return analysis.open_board(scores(spark, sf), mc.cohort(spark, sf), mc.RESAMPLES)
+    # panel scores are a stored table of a run
+    return analysis.open_board(cut_lineage(scores(spark, sf)), mc.cohort(spark, sf),
+                               mc.RESAMPLES)
 
 
 @query("D8_open_by_dimension_ci")
 def _(spark, sf):
-    return analysis.open_groups(scores(spark, sf), mc.RESAMPLES)
+    return analysis.open_groups(cut_lineage(scores(spark, sf)), mc.RESAMPLES)
 
 
 # Complete raw ratings; the raw value is not clamped and numeric strings do not count.
