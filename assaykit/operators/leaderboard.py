@@ -47,9 +47,13 @@ def mc_overall(table: DataFrame) -> DataFrame:
         .withColumn("parse_fail_rate", F.try_divide("n_unparsed", "n_scoreable")))
 
 
-def mc_breakdown(items: DataFrame, *columns: str) -> DataFrame:
-    """Mean over items by model and by each of ``columns``, in one aggregation."""
+def mc_breakdown(items: DataFrame, bank: DataFrame, *columns: str) -> DataFrame:
+    """Mean over items by model and by each of ``columns``, in one aggregation.
+
+    ``bank`` holds the metadata per ``question_id``.
+    """
     columns = columns or BREAKDOWNS
+    items = items.join(bank.select("question_id", *columns), "question_id")
     sets = [["model"]] + [["model", c] for c in columns]
     grouped = items.groupingSets([[F.col(x) for x in s] for s in sets],
                                  "model", *columns)

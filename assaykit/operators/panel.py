@@ -84,11 +84,9 @@ def panel_scores(verdicts: DataFrame, dims: list[str]) -> DataFrame:
 
 def open_items(scores: DataFrame) -> DataFrame:
     """Mean composite per (model, item): the only input of the open intervals."""
-    meta = [F.first(c, ignorenulls=True).alias(c) for c in ("dimension", "difficulty")
-            if c in scores.columns]
     return (scores.where(F.col("composite_100").isNotNull())
             .groupBy("model", "question_id")
-            .agg(F.avg("composite_100").alias("p"), F.count("*").alias("runs"), *meta))
+            .agg(F.avg("composite_100").alias("p"), F.count("*").alias("runs")))
 
 
 def open_overall(scores: DataFrame) -> DataFrame:

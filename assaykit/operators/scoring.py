@@ -80,13 +80,13 @@ def per_item(scored: DataFrame, item: str = "question_id") -> DataFrame:
 
     Repeated records of one cell all count.  Runs are kept as integers and divided once,
     so the result does not depend on partitioning; the partial aggregation also absorbs a
-    model or item that dominates the log.
+    model or item that dominates the log.  Item metadata is left out: text in the buffers
+    would turn the hash aggregation into a sort, and only breakdowns need it (they join the
+    item bank).
     """
-    meta = [F.first(c, ignorenulls=True).alias(c)
-            for c in ("dimension", "difficulty", "axis") if c in scored.columns]
     return (scored.groupBy("model", item)
             .agg(F.count("*").alias("runs"),
-                 F.sum(F.col("correct").cast("bigint")).alias("hits"), *meta)
+                 F.sum(F.col("correct").cast("bigint")).alias("hits"))
             .withColumn("p", F.col("hits") / F.col("runs")))
 
 
@@ -101,18 +101,23 @@ def item_table(classified: DataFrame, item: str = "question_id") -> DataFrame:
     def of(kind: str) -> Column:
         return F.count_if(F.col("call_class") == kind)
 
-    meta = [F.first(F.when(kept, F.col(c)), ignorenulls=True).alias(c)
-            for c in ("dimension", "difficulty", "axis") if c in classified.columns]
     return (classified.groupBy("model", item)
             .agg(F.count_if(kept).alias("runs"),
                  F.count_if(kept & F.col("correct")).alias("hits"),
                  F.count_if(kept & ~F.col("parse_ok")).alias("n_unparsed"),
                  F.count("*").alias("n_calls"), of("failed").alias("n_call_failed"),
                  of("artifact").alias("served_mismatch_artifact"),
-                 of("genuine").alias("served_mismatch_genuine"), *meta)
+                 of("genuine").alias("served_mismatch_genuine"))
             .withColumn("p", F.try_divide("hits", "runs")))
 
 
+def item_meta(records: DataFrame, *order: str, item: str = "question_id") -> DataFrame:
+    """Item metadata from a log that comes without its bank: the last record decides."""
+    return (records.groupBy(item)
+            .agg(F.max_by(F.struct("dimension", "difficulty", "axis"), F.struct(*order))
+                 .alias("_m")).select(item, "_m.*"))
+
+
 def scored_items(table: DataFrame) -> DataFrame:
     """The items of ``item_table`` with at least one scoreable run."""
     return table.where(F.col("runs") > 0)

@@ -33,11 +33,12 @@ def mc_board(table: DataFrame, cohort: DataFrame, resamples: int = RESAMPLES,
         "served_mismatch_artifact", "served_mismatch_genuine", "n_call_failed", "n_calls")
 
 
-def mc_groups(items: DataFrame, resamples: int = RESAMPLES, seed: int = SEED,
+def mc_groups(items: DataFrame, bank: DataFrame, resamples: int = RESAMPLES, seed: int = SEED,
               ci: float = CI) -> DataFrame:
     """Means by dimension, difficulty and axis with their bootstrap intervals."""
     keys = ["model", "breakdown", "level"]
-    long = items.select("model", "p", F.inline(F.array(*[
+    known = items.join(bank.select("question_id", *leaderboard.BREAKDOWNS), "question_id")
+    long = known.select("model", "p", F.inline(F.array(*[
         F.struct(F.lit(c).alias("breakdown"), F.col(c).alias("level"))
         for c in leaderboard.BREAKDOWNS])))
     means = long.groupBy(*keys).agg(F.avg("p").alias("mean"),
@@ -70,21 +71,24 @@ def pair_table(items: DataFrame, cohort: DataFrame, digits: int, resamples: int
 
 
 def analyze_mc(responses: DataFrame, cohort: DataFrame, order: list[str],
-               resamples: int = RESAMPLES, seed: int = SEED, ci: float = CI,
-               cost: str = "cost_usd", cache: bool = True) -> dict[str, DataFrame]:
-    """Choice results.  ``order`` is the record sequence that decides repeated cells."""
+               bank: DataFrame | None = None, resamples: int = RESAMPLES, seed: int = SEED,
+               ci: float = CI, cost: str = "cost_usd", cache: bool = True
+               ) -> dict[str, DataFrame]:
+    """Choice results.  ``order`` is the record sequence that decides repeated cells;
+    without a ``bank`` the item metadata is taken from the records."""
     known = cohorts.in_cohort(responses, cohort)
     classified = scoring.classify_served(known, cost)
     table = scoring.item_table(classified)
     if cache:
         table = table.persist()
     items = scoring.scored_items(table)
+    meta = bank if bank is not None else scoring.item_meta(known, *order)
     analysis = item_stats.item_analysis(item_stats.last_outcome(
         scoring.scoreable(classified), "question_id", *order))
     return {
         "mc_per_item": items,
         "mc_overall": mc_board(table, cohort, resamples, seed, ci),
-        "mc_by": mc_groups(items, resamples, seed, ci),
+        "mc_by": mc_groups(items, meta, resamples, seed, ci),
         "mc_pairwise": pair_table(items, cohort, 4, resamples, seed, ci),
         "mc_items": analysis,
         "mc_item_summary": item_stats.item_summary(analysis),

@@ -59,6 +59,11 @@ TYPES = """
 SELECT DISTINCT 'pack1' AS pack, CASE p_partkey % 4 WHEN 0 THEN 'correct'
   WHEN 1 THEN 'near_miss' WHEN 2 THEN 'folk_trap' ELSE 'overreach' END AS type FROM part"""
 
+# Metadata of all items, whatever their defects.
+BANK = f"""
+SELECT p_partkey AS question_id, p_type AS dimension, {DIFFICULTY} AS difficulty, {AXIS} AS axis
+FROM part"""
+
 # One defect per p_partkey % 29, the rest is valid.
 ITEMS = f"""
 SELECT 'pack1' AS pack, d, p_partkey,
@@ -228,7 +233,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # tables whose rows become long texts, so that the work per row is large
 LOGS = ("orders", "documents", "conversations")
 
-FIXTURES = {"responses": RESPONSES, "cohort": COHORT, "taxonomy": TAXONOMY, "types": TYPES,
+FIXTURES = {"responses": RESPONSES, "cohort": COHORT, "bank": BANK, "taxonomy": TAXONOMY, "types": TYPES,
             "items": ITEMS, "open_items": OPEN_ITEMS, "answer_text": ANSWER_TEXT,
             "judge_base": JUDGE_BASE, "judge_text": JUDGE_TEXT, "review_base": REVIEW_BASE,
             "reviews": REVIEWS, "pool": POOL, "calls": CALLS}

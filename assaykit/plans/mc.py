@@ -155,7 +155,7 @@ SELECT model, CASE grouping_id(dimension, difficulty, axis) WHEN 7 THEN 'overall
   round(CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END, 6) AS sem
 FROM pi GROUP BY GROUPING SETS ((model), (model, dimension), (model, difficulty), (model, axis))""")
 def _(spark, sf):
-    return leaderboard.mc_breakdown(item_means(spark, sf))
+    return leaderboard.mc_breakdown(item_means(spark, sf), fixture(spark, sf, "bank"))
 
 
 @query("D5_quick_accuracy", R + """
@@ -240,7 +240,7 @@ DIMS = ["SMALL", "MEDIUM", "LARGE", "STANDARD", "PROMO", "ECONOMY"]
     + " FROM pi GROUP BY model")
 def _(spark, sf):
     # the order is taxonomy configuration
-    table = leaderboard.mc_breakdown(item_means(spark, sf), "dimension")
+    table = leaderboard.mc_breakdown(item_means(spark, sf), fixture(spark, sf, "bank"), "dimension")
     return leaderboard.wide(table, "dimension", DIMS)
 
 
@@ -251,7 +251,7 @@ LEVELS = ["basic", "intermediate", "advanced", "expert"]
     f"""round(avg(p) FILTER (difficulty = '{d}'), 6) AS "{d}\"""" for d in LEVELS)
     + " FROM pi GROUP BY model")
 def _(spark, sf):
-    table = leaderboard.mc_breakdown(item_means(spark, sf), "difficulty")
+    table = leaderboard.mc_breakdown(item_means(spark, sf), fixture(spark, sf, "bank"), "difficulty")
     return leaderboard.wide(table, "difficulty", LEVELS)
 
 
@@ -281,7 +281,7 @@ def _(spark, sf):
 
 @query("F1_group_ci")
 def _(spark, sf):
-    return analysis.mc_groups(item_means(spark, sf), RESAMPLES)
+    return analysis.mc_groups(item_means(spark, sf), fixture(spark, sf, "bank"), RESAMPLES)
 
 
 UNITS = f", u AS (SELECT *, CAST(round(p * {UNIT}) AS BIGINT) AS v FROM pi)"

@@ -105,7 +105,7 @@ def _(spark, sf):
     root = scratch_path(spark, "summary")
     items = mc.item_means(spark, sf)
     tables.write_summary({"mc_overall": mc.overall(spark, sf), "mc_items": items,
-                          "mc_by": leaderboard.mc_breakdown(items)}, root)
+                          "mc_by": leaderboard.mc_breakdown(items, fixture(spark, sf, "bank"))}, root)
     parts = [spark.read.parquet(f"{root}/{n}").agg(F.lit(n).alias("section"),
                                                    F.count("*").alias("n_rows"))
              for n in ("mc_overall", "mc_items", "mc_by")]

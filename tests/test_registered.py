@@ -28,6 +28,8 @@ def test_checks_belong_to_queries():
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in CHECKS and n not in SLOW])
 def test_matches_sql(spark, check, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
     res = check.execute(CHECKS[name])
     names = [d[0] for d in res.description]

@@ -42,6 +42,13 @@ def test_failures_shrink_n_not_accuracy(spark, cohort):
     assert [(r.model, r.n_dropped) for r in out["mc_outside_cohort"].collect()] == [("stray", 1)]
 
 
+def test_breakdowns_take_the_last_metadata(spark, cohort):
+    rows = [("a", f"q{q}", 0, q < 3) for q in range(4)]
+    got = analyse(spark, cohort, rows)["mc_by"].collect()
+    assert {(r.breakdown, r.level, r["mean"], r.n) for r in got} == {
+        ("dimension", "dim", 0.75, 4), ("difficulty", "basic", 0.75, 4), ("axis", "axis", 0.75, 4)}
+
+
 def test_artifact_and_genuine_fallback(spark, cohort):
     rows = [("a", f"q{q}", 0, True) for q in range(6)]
     rows += [("a", "q6", 0, True, {"served": "b", "cost": 0.0102}),
