@@ -88,19 +88,19 @@ def audit_open(response_lines: DataFrame, verdict_lines: DataFrame, expected: in
     """Open phase: failed verdicts are tolerable while every panel holds a quorum.
 
     A response without any verdict is counted as a panel below quorum, and damaged
-    verdict lines block acceptance.  The two one-row scans meet on a constant key.
+    verdict lines block acceptance.  The two one-row scans are stacked and folded.
     """
-    one = F.lit(1).alias("_one")
     g = scan_log(response_lines).select(F.col("failed").alias("gf"), F.col("total").alias("gt"),
-                                        F.col("corrupt").alias("gc"), one)
+                                        F.col("corrupt").alias("gc"))
     j = verdict_audit(verdict_lines, needed).select(
         F.col("failed").alias("jf"), F.col("total").alias("jt"), F.col("corrupt").alias("jc"),
-        "judged_triples", "short", one)
+        "judged_triples", "short")
+    both = g.unionByName(j, allowMissingColumns=True)
     c = F.col
     made = _or_zero(c("gt") - c("gf"))
     gm, jm = _or_zero(F.lit(expected) - c("gt")), _or_zero(made * n_personas - c("jt"))
     below = c("short") + _or_zero(made - c("judged_triples"))
-    return g.join(j, "_one").select(
+    return both.agg(*[F.max(name).alias(name) for name in both.columns]).select(
         (c("gf") + c("gc") + gm + c("jf") + c("jc") + jm).alias("strict_fail"),
         (c("gf") + c("gc") + gm + c("jc") + below).alias("accept_fail"),
         below.alias("below_quorum"), c("gf").alias("gen_failed"), c("gc").alias("gen_corrupt"),

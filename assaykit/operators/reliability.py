@@ -54,8 +54,9 @@ def judge_agreement_summary(complete: DataFrame, dims: list[str]) -> DataFrame:
     size = complete.agg(
         F.count_distinct(F.struct("model", "question_id", "run_index")).alias("n_units"),
         F.count_distinct("persona").alias("n_personas"))
-    return (wide.withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one")
-            .where("n_personas >= 2").drop("_one"))
+    both = wide.unionByName(size, allowMissingColumns=True)  # two one-row results
+    return (both.agg(*[F.max(name).alias(name) for name in both.columns])
+            .where("n_personas >= 2"))
 
 
 def fleiss_kappa(ratings: DataFrame, categories: int) -> DataFrame:

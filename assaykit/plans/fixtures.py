@@ -18,6 +18,10 @@ DIFFICULTY = """CASE WHEN p_size <= 15 THEN 'basic' WHEN p_size <= 35 THEN 'inte
 AXIS = """CASE WHEN p_type IN ('SMALL','MEDIUM') THEN 'axis1'
     WHEN p_type IN ('LARGE','STANDARD') THEN 'axis2' ELSE 'axis3' END"""
 
+# one pack, but as data: a literal would fold the join on it away
+PART_PACK = "CASE WHEN p_size > 0 THEN 'pack1' ELSE 'pack0' END"
+TEXT_PACK = "CASE WHEN doc_id >= 0 THEN 'pack1' ELSE 'pack0' END"
+
 RESPONSES = f"""
 SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_extendedprice,
   n.n_name AS model, r.r_name AS tier, n.n_nationkey AS ord,
@@ -49,14 +53,14 @@ SELECT n_name AS model, r_name AS tier, concat('Model ', n_name) AS label,
 FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey <> 7"""
 
 TAXONOMY = f"""
-SELECT DISTINCT 'pack1' AS pack, p_type AS dimension, {AXIS} AS axis, 'mc' AS format
+SELECT DISTINCT {PART_PACK} AS pack, p_type AS dimension, {AXIS} AS axis, 'mc' AS format
 FROM part
 UNION ALL
-SELECT DISTINCT 'pack1', lang, CASE WHEN lang IN ('en','de') THEN 'axis1' ELSE 'axis2' END,
+SELECT DISTINCT {TEXT_PACK}, lang, CASE WHEN lang IN ('en','de') THEN 'axis1' ELSE 'axis2' END,
   'open' FROM documents"""
 
-TYPES = """
-SELECT DISTINCT 'pack1' AS pack, CASE p_partkey % 4 WHEN 0 THEN 'correct'
+TYPES = f"""
+SELECT DISTINCT {PART_PACK} AS pack, CASE p_partkey % 4 WHEN 0 THEN 'correct'
   WHEN 1 THEN 'near_miss' WHEN 2 THEN 'folk_trap' ELSE 'overreach' END AS type FROM part"""
 
 # Metadata of all items, whatever their defects.
@@ -66,7 +70,7 @@ FROM part"""
 
 # One defect per p_partkey % 29, the rest is valid.
 ITEMS = f"""
-SELECT 'pack1' AS pack, d, p_partkey,
+SELECT {PART_PACK} AS pack, d, p_partkey,
   CASE WHEN d = 12 THEN 'essay' ELSE 'mc' END AS format,
   CASE WHEN d = 4 THEN 'axis0' WHEN d = 14 AND axis = 'axis1' THEN 'axis2'
        WHEN d = 14 THEN 'axis1' ELSE axis END AS axis,
@@ -93,8 +97,8 @@ FROM (SELECT *, CASE WHEN d = 6 THEN (k + 1) % 4 ELSE k END AS m
 
 VALID = "(d IN (0, 13) OR d > 15)"   # items without a defect (13: no types, still valid)
 
-OPEN_ITEMS = """
-SELECT 'pack1' AS pack, doc_id, 'open' AS format,
+OPEN_ITEMS = f"""
+SELECT {TEXT_PACK} AS pack, doc_id, 'open' AS format,
   CASE WHEN doc_id % 17 = 3 THEN 'axis3' WHEN lang IN ('en','de') THEN 'axis1'
        ELSE 'axis2' END AS axis, lang AS dimension,
   CASE doc_id % 5 WHEN 0 THEN 'basic' WHEN 1 THEN 'intermediate' WHEN 2 THEN 'advanced'
