@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.calls import child_seed, uniform
-from assaykit.operators.pairwise import UNIT, in_units
+from assaykit.functions.exact import UNIT, in_units
 from assaykit.operators.ranking import rank_by_hash
 from assaykit.session import cut_lineage, parallelism
 
@@ -117,7 +117,7 @@ def resampled_sums(histogram: DataFrame, groups: list[str], resamples: int, seed
             .withColumn("chunk_seed", child_seed(seed, F.lit(label), text,
                                                  F.col("shard").cast("string"),
                                                  F.col("at").cast("string"))))
-    spread = work.repartition(parallelism(histogram.sparkSession) * 2, "g", "shard", "at")
+    spread = work.repartition(parallelism(histogram.sparkSession), "g", "shard", "at")
     drawn = spread.select("g", "n", "shard", draw(
         "n", "size", "group_seed", "chunk_seed", "at", "weights", "values", "counts")
         .alias("part"))

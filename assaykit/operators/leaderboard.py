@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assaykit.functions.exact import exact_mean
+
 MAJORITY = 0.5   # fixed value: item mean from which an item counts as mostly correct
 BREAKDOWNS = ("dimension", "difficulty", "axis")
 
@@ -38,7 +40,7 @@ def mc_overall(table: DataFrame) -> DataFrame:
     counters = ("n_calls", "n_call_failed", "served_mismatch_artifact",
                 "served_mismatch_genuine", "n_unparsed")
     return (table.groupBy("model").agg(
-        F.count(p).alias("n"), F.avg(p).alias("mean"),
+        F.count(p).alias("n"), exact_mean(p).alias("mean"),
         F.when(F.count(p) > 0, sem(p)).alias("sem"),
         F.count_if(p >= MAJORITY).alias("majority_correct"),
         F.coalesce(F.avg(F.when(runs > 1, F.sqrt(_run_variance()))), F.lit(0.0))
@@ -65,7 +67,7 @@ def mc_breakdown(items: DataFrame, bank: DataFrame, *columns: str) -> DataFrame:
         label = F.when(F.col("_mask") == bit, F.lit(c)).otherwise(label)
         level = F.when(F.col("_mask") == bit, F.col(c)).otherwise(level)
     return (grouped.agg(mask.cast("int").alias("_mask"), F.count("*").alias("n"),
-                        F.avg("p").alias("mean"), sem(F.col("p")).alias("sem"))
+                        exact_mean(F.col("p")).alias("mean"), sem(F.col("p")).alias("sem"))
             .select("model", label.alias("breakdown"), level.alias("level"),
                     "n", "mean", "sem"))
 

@@ -9,20 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assaykit.functions.exact import UNIT, in_units
 from assaykit.operators.leaderboard import MAJORITY
 
 EXACT_BELOW = 25   # fixed value: discordant pairs up to which the binomial test is used
 ALPHA = 0.05       # fixed value: family-wise level
 
-# Sums of item values are exact integers in this unit: lcm(1..20), so means over up to 20
-# runs carry no rounding at all and a resampled difference of zero is exactly zero.
-UNIT = 232_792_560
-
-
-def in_units(value: Column) -> Column:
-    return F.round(value * UNIT).cast("bigint")
-
-
 def shared_items(items: DataFrame, cohort: DataFrame, value: str = "p",
                  item: str = "question_id") -> DataFrame:
     """Every item both models of a pair answered, first model earlier in cohort order.

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assaykit.functions.exact import exact_mean
 from assaykit.functions.judging import last_json, rating, strict_number, tally
 from assaykit.operators.leaderboard import sem
 from assaykit.session import computed_once
 
+FULL = 100.0  # fixed value: the composite scale
 TRIPLE = ("model", "question_id", "run_index")
 HITS, TOTAL, VIOLATIONS = "must_include_hits", "must_include_total", "should_not_violations"
 
@@ -86,13 +88,13 @@ def open_items(scores: DataFrame) -> DataFrame:
     """Mean composite per (model, item): the only input of the open intervals."""
     return (scores.where(F.col("composite_100").isNotNull())
             .groupBy("model", "question_id")
-            .agg(F.avg("composite_100").alias("p"), F.count("*").alias("runs")))
+            .agg(exact_mean(F.col("composite_100"), FULL).alias("p"), F.count("*").alias("runs")))
 
 
 def open_overall(scores: DataFrame) -> DataFrame:
     """Per-model open result: item-level mean, record-level coverage and violations."""
     means = open_items(scores).groupBy("model").agg(
-        F.count("*").alias("n"), F.avg("p").alias("mean"), sem(F.col("p")).alias("sem"))
+        F.count("*").alias("n"), exact_mean(F.col("p"), FULL).alias("mean"), sem(F.col("p")).alias("sem"))
     records = scores.groupBy("model").agg(
         F.count_if(F.col("composite_100").isNull()).alias("n_unscored_records"),
         F.avg("must_include_coverage").alias("mean_must_include_coverage"),
@@ -105,9 +107,9 @@ def open_by_dimension(scores: DataFrame) -> DataFrame:
     """Open means by dimension over item means, not over correlated run records."""
     items = (scores.where(F.col("composite_100").isNotNull())
              .groupBy("model", "dimension", "question_id")
-             .agg(F.avg("composite_100").alias("p")))
+             .agg(exact_mean(F.col("composite_100"), FULL).alias("p")))
     return items.groupBy("model", "dimension").agg(
-        F.count("*").alias("n"), F.avg("p").alias("mean"), sem(F.col("p")).alias("sem"))
+        F.count("*").alias("n"), exact_mean(F.col("p"), FULL).alias("mean"), sem(F.col("p")).alias("sem"))
 
 
 def judge_dimension_means(scores: DataFrame) -> DataFrame:
@@ -115,9 +117,9 @@ def judge_dimension_means(scores: DataFrame) -> DataFrame:
     long = scores.select("model", "question_id",
                          F.explode("dim_means").alias("judge_dimension", "v"))
     items = (long.where(F.col("v").isNotNull())
-             .groupBy("model", "judge_dimension", "question_id").agg(F.avg("v").alias("v")))
+             .groupBy("model", "judge_dimension", "question_id").agg(exact_mean(F.col("v")).alias("v")))
     means = items.groupBy("model", "judge_dimension").agg(
-        F.bround(F.avg("v"), 3).alias("mean"))
+        F.bround(exact_mean(F.col("v")), 3).alias("mean"))
     per_model = W.partitionBy("model").orderBy("mean", "judge_dimension")
     return means.withColumn("weakest", F.row_number().over(per_model) == 1)
 

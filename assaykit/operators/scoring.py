@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.answers import answer_letter, letter_matches_key
 from assaykit.functions.calls import any_served_ok, served_ok
+from assaykit.functions.exact import exact_mean
 from assaykit.operators.ranking import kth_value
 
 ARTIFACT_COST_RATIO = 0.5  # fixed value: share of the median cost that marks own pricing
@@ -136,4 +137,4 @@ def quick_accuracy(scored: DataFrame) -> DataFrame:
 def quick_composite(open_scores: DataFrame) -> DataFrame:
     """Record-level mean composite of the scored panels."""
     return (open_scores.where(F.col("composite_100").isNotNull()).groupBy("model")
-            .agg(F.count("*").alias("n"), F.avg("composite_100").alias("composite")))
+            .agg(F.count("*").alias("n"), exact_mean(F.col("composite_100"), 100.0).alias("composite")))

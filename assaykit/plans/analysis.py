@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.functions.exact import exact_mean
 from assaykit.operators import (bootstrap, cohort as cohorts, intervals, items as item_stats,
                                 leaderboard, pairwise, panel, reliability, scoring)
 from assaykit.session import cut_lineage
@@ -41,7 +42,7 @@ def mc_groups(items: DataFrame, bank: DataFrame, resamples: int = RESAMPLES, see
     long = known.select("model", "p", F.inline(F.array(*[
         F.struct(F.lit(c).alias("breakdown"), F.col(c).alias("level"))
         for c in leaderboard.BREAKDOWNS])))
-    means = long.groupBy(*keys).agg(F.avg("p").alias("mean"),
+    means = long.groupBy(*keys).agg(exact_mean(F.col("p")).alias("mean"),
                                     leaderboard.sem(F.col("p")).alias("sem"))
     boot = bootstrap.mean_ci(long, keys, "p", resamples, seed, "mc-group", ci)
     return means.join(boot, keys)
@@ -114,7 +115,7 @@ def open_groups(scores: DataFrame, resamples: int = RESAMPLES, seed: int = SEED,
     """Open means by dimension with intervals over item means."""
     keys = ["model", "dimension"]
     units = (scores.where(F.col("composite_100").isNotNull())
-             .groupBy(*keys, "question_id").agg(F.avg("composite_100").alias("p")))
+             .groupBy(*keys, "question_id").agg(exact_mean(F.col("composite_100"), panel.FULL).alias("p")))
     boot = bootstrap.mean_ci(units, keys, "p", resamples, seed, "open-dim", ci)
     return panel.open_by_dimension(scores).join(boot.drop("n"), keys)
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions.calls import child_seed
+from assaykit.functions.exact import UNIT, in_units
 from assaykit.operators import (bootstrap, cohort as cohorts, intervals, items as item_stats,
                                 leaderboard, pairwise, scoring, traps, usage)
 from assaykit.operators.ranking import rank_by_hash
 from assaykit.plans import analysis
 from assaykit.plans.fixtures import fixture
-from assaykit.plans.registry import SCORED, SEED, query, using
+from assaykit.plans.registry import MEAN, SCORED, SEED, query, using
 from assaykit.session import cut_lineage
 
 RESAMPLES = 2000        # kernel resamples of the mean intervals
@@ -19,7 +20,6 @@ PAIR_RESAMPLES = 20000  # 2*m/(B+1) must stay below the family level for m pairs
 HASH_RESAMPLES = 40  # resamples of the SQL-checkable form
 R = using("responses")
 RC = using("responses", "cohort")
-UNIT = pairwise.UNIT
 SEQ = ("l_orderkey", "l_linenumber", "question_id", "l_suppkey", "l_extendedprice")
 
 
@@ -130,7 +130,7 @@ def _(spark, sf):
 
 
 @query("D3_mc_overall", R + SCORED + """
-, s AS (SELECT model, count(*) AS n, avg(p) AS mean,
+, s AS (SELECT model, count(*) AS n, """ + MEAN + """ AS mean,
     CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END AS sem,
     count(*) FILTER (p >= 0.5) AS majority_correct,
     coalesce(avg(sqrt(hits * (runs - hits) / (runs * (runs - 1)))) FILTER (runs > 1), 0) AS sd
@@ -151,7 +151,7 @@ def _(spark, sf):
 @query("D4_mc_breakdowns", R + SCORED + """
 SELECT model, CASE grouping_id(dimension, difficulty, axis) WHEN 7 THEN 'overall'
     WHEN 3 THEN 'dimension' WHEN 5 THEN 'difficulty' ELSE 'axis' END AS breakdown,
-  coalesce(dimension, difficulty, axis) AS level, count(*) AS n, round(avg(p), 6) AS mean,
+  coalesce(dimension, difficulty, axis) AS level, count(*) AS n, round(""" + MEAN + """, 6) AS mean,
   round(CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END, 6) AS sem
 FROM pi GROUP BY GROUPING SETS ((model), (model, dimension), (model, difficulty), (model, axis))""")
 def _(spark, sf):
@@ -168,7 +168,7 @@ def _(spark, sf):
 
 
 @query("D18_report_totals", RC + SCORED + """
-, o AS (SELECT model, avg(p) AS mean FROM pi GROUP BY model),
+, o AS (SELECT model, """ + MEAN + """ AS mean FROM pi GROUP BY model),
 c AS (SELECT model, count(*) FILTER (call_class = 'genuine') AS g,
   count(*) FILTER (call_class = 'artifact') AS a, count(*) FILTER (call_class = 'failed') AS f
   FROM cls GROUP BY model)
@@ -182,7 +182,7 @@ def _(spark, sf):
 
 
 @query("E4_leaderboard_rank", RC + SCORED + """
-, o AS (SELECT model, avg(p) AS mean FROM pi GROUP BY model)
+, o AS (SELECT model, """ + MEAN + """ AS mean FROM pi GROUP BY model)
 SELECT row_number() OVER (ORDER BY mean DESC, c.ord) AS rank, model, label, tier,
   round(mean, 6) AS mean
 FROM o JOIN (SELECT model, label, tier, ord FROM cohort) c USING (model)""")
@@ -192,7 +192,7 @@ def _(spark, sf):
 
 
 @query("E5_progression", RC + SCORED + """
-, o AS (SELECT model, avg(p) AS mean FROM pi GROUP BY model),
+, o AS (SELECT model, """ + MEAN + """ AS mean FROM pi GROUP BY model),
 b AS (SELECT o.*, c.label, c.tier, c.generation FROM o JOIN cohort c USING (model))
 SELECT tier, model, row_number() OVER w AS position, lag(model) OVER w AS previous,
   round(mean - lag(mean) OVER w, 6) AS step
@@ -211,7 +211,7 @@ def _(spark, sf):
 
 
 @query("E6_score_by_size", RC + SCORED + """
-, o AS (SELECT model, avg(p) AS mean FROM pi GROUP BY model)
+, o AS (SELECT model, """ + MEAN + """ AS mean FROM pi GROUP BY model)
 SELECT tier, model, generation, round(mean, 6) AS mean,
   row_number() OVER (PARTITION BY tier ORDER BY generation, model) AS position
 FROM o JOIN (SELECT model, tier, generation FROM cohort) USING (model)
@@ -236,7 +236,7 @@ DIMS = ["SMALL", "MEDIUM", "LARGE", "STANDARD", "PROMO", "ECONOMY"]
 
 
 @query("E15_wide_by_dimension", R + SCORED + "\nSELECT model, " + ", ".join(
-    f"""round(avg(p) FILTER (dimension = '{d}'), 6) AS "{d}\"""" for d in DIMS)
+    f"""round(sum(pu) FILTER (dimension = '{d}') / count(*) FILTER (dimension = '{d}') / {UNIT}, 6) AS "{d}\"""" for d in DIMS)
     + " FROM pi GROUP BY model")
 def _(spark, sf):
     # the order is taxonomy configuration
@@ -248,7 +248,7 @@ LEVELS = ["basic", "intermediate", "advanced", "expert"]
 
 
 @query("E15_wide_by_difficulty", R + SCORED + "\nSELECT model, " + ", ".join(
-    f"""round(avg(p) FILTER (difficulty = '{d}'), 6) AS "{d}\"""" for d in LEVELS)
+    f"""round(sum(pu) FILTER (difficulty = '{d}') / count(*) FILTER (difficulty = '{d}') / {UNIT}, 6) AS "{d}\"""" for d in LEVELS)
     + " FROM pi GROUP BY model")
 def _(spark, sf):
     table = leaderboard.mc_breakdown(item_means(spark, sf), fixture(spark, sf, "bank"), "difficulty")
@@ -386,9 +386,9 @@ def hash_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Paired differences of neighbouring tiers by the SQL-checkable bootstrap."""
     side = item_means(spark, sf).join(cohort(spark, sf).select("model", "ord"), "model")
     a = side.select("question_id", F.col("model").alias("a"), F.col("ord").alias("oa"),
-                    pairwise.in_units(F.col("p")).alias("ua"))
+                    in_units(F.col("p")).alias("ua"))
     b = side.select("question_id", F.col("model").alias("b"), F.col("ord").alias("ob"),
-                    pairwise.in_units(F.col("p")).alias("ub"))
+                    in_units(F.col("p")).alias("ub"))
     d = (a.join(b, "question_id").where(F.col("oa") < F.col("ob"))
          .select("a", "b", "question_id",
                  ((F.col("ua") - F.col("ub")).cast("double") / UNIT).alias("d")))

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.functions.exact import UNIT
 from assaykit.functions.judging import objects, rating, tally
 from assaykit.operators import audit, bootstrap, leaderboard, panel, reliability, scoring
 from assaykit.plans import analysis, mc
 from assaykit.plans.fixtures import JUDGE_DIMS, fixture, table
-from assaykit.plans.registry import SCORED, SEED, query, using
+from assaykit.plans.registry import MEAN, SCORED, SEED, query, using
 from assaykit.session import computed_once, cut_lineage
 
 J = using("judge_base")
 DIMS = JUDGE_DIMS
 NEEDED, PERSONAS, EXPECTED = 2, 3, 16000  # audit parameters of the registered queries
 
+def mean_of(column: str) -> str:
+    """SQL mean of a 0-100 column in exact units."""
+    return f"(sum(CAST(round({column} / 100 * {UNIT}) AS BIGINT)) / count(*) / {UNIT} * 100)"
+
+
+UNIT_MEAN = f"(sum(CAST(round(v * {UNIT}) AS BIGINT)) / count(*) / {UNIT})"
+
 # Typed verdicts, last per judge, panels: from the numbers, not from the judge text.
 TYPED = """, ty AS (SELECT *, CASE WHEN prose OR junk THEN NULL ELSE least(5, a)::DOUBLE END AS accuracy,
   CASE WHEN prose OR absent THEN NULL ELSE b::DOUBLE END AS voice,
@@ -34,7 +42,7 @@ pa AS (SELECT model, question_id, run_index, any_value(dimension) AS dimension,
 ps AS (SELECT *, list_avg(list_filter([accuracy, voice, wisdom, distinct_],
   lambda x: x IS NOT NULL)) AS five FROM pa),
 sc AS (SELECT *, (five - 1) / 4 * 100 AS composite_100 FROM ps),
-oi AS (SELECT model, question_id, avg(composite_100) AS p FROM sc
+oi AS (SELECT model, question_id, """ + mean_of("composite_100") + """ AS p FROM sc
   WHERE composite_100 IS NOT NULL GROUP BY ALL)"""
 
 
@@ -126,14 +134,14 @@ def _(spark, sf):
 
 
 @query("D5_quick_composite", J + PANEL + """
-SELECT model, count(*) AS n, round(avg(composite_100), 6) AS composite FROM sc
+SELECT model, count(*) AS n, round(""" + mean_of("composite_100") + """, 6) AS composite FROM sc
 WHERE composite_100 IS NOT NULL GROUP BY model""")
 def _(spark, sf):
     return scoring.quick_composite(scores(spark, sf))
 
 
 @query("D7_open_overall", J + PANEL + """
-, m AS (SELECT model, count(*) AS n, avg(p) AS mean,
+, m AS (SELECT model, count(*) AS n, """ + mean_of("p") + """ AS mean,
     CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END AS sem
   FROM oi GROUP BY model)
 SELECT model, n, round(mean, 6) AS mean, round(sem, 6) AS sem, n_unscored_records,
@@ -147,9 +155,9 @@ def _(spark, sf):
 
 
 @query("D8_open_by_dimension", J + PANEL + """
-SELECT model, dimension, count(*) AS n, round(avg(p), 6) AS mean,
+SELECT model, dimension, count(*) AS n, round(""" + mean_of("p") + """, 6) AS mean,
   round(CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END, 6) AS sem
-FROM (SELECT model, dimension, question_id, avg(composite_100) AS p FROM sc
+FROM (SELECT model, dimension, question_id, """ + mean_of("composite_100") + """ AS p FROM sc
   WHERE composite_100 IS NOT NULL GROUP BY ALL) GROUP BY model, dimension""")
 def _(spark, sf):
     return panel.open_by_dimension(scores(spark, sf))
@@ -158,9 +166,9 @@ def _(spark, sf):
 @query("D16_judge_dimensions", J + PANEL + """
 , lg AS (UNPIVOT (SELECT model, question_id, accuracy, voice, wisdom, distinct_ AS "distinct"
     FROM sc) ON accuracy, voice, wisdom, "distinct" INTO NAME judge_dimension VALUE v),
-it AS (SELECT model, judge_dimension, question_id, avg(v) AS v FROM lg WHERE v IS NOT NULL
+it AS (SELECT model, judge_dimension, question_id, """ + UNIT_MEAN + """ AS v FROM lg WHERE v IS NOT NULL
   GROUP BY ALL),
-mm AS (SELECT model, judge_dimension, round_even(avg(v), 3) AS mean FROM it GROUP BY ALL)
+mm AS (SELECT model, judge_dimension, round_even(""" + UNIT_MEAN + """, 3) AS mean FROM it GROUP BY ALL)
 SELECT model, judge_dimension, mean, row_number() OVER (PARTITION BY model
   ORDER BY mm.mean, judge_dimension) = 1 AS weakest FROM mm""")
 def _(spark, sf):
@@ -170,8 +178,8 @@ def _(spark, sf):
 @query("C11_choice_vs_open", using("responses", "judge_base") + SCORED.replace("sc AS", "rs AS")
        .replace("FROM sc", "FROM rs") + PANEL + """
 SELECT model, round(a.mean, 6) AS mc_mean, round(b.mean, 6) AS open_mean
-FROM (SELECT model, avg(p) AS mean FROM pi GROUP BY model) a
-JOIN (SELECT model, avg(p) AS mean FROM oi GROUP BY model) b USING (model)""")
+FROM (SELECT model, """ + MEAN + """ AS mean FROM pi GROUP BY model) a
+JOIN (SELECT model, """ + mean_of("p") + """ AS mean FROM oi GROUP BY model) b USING (model)""")
 def _(spark, sf):
     return leaderboard.axes_together(mc.overall(spark, sf),
                                      panel.open_overall(scores(spark, sf)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.functions.exact import UNIT
 from assaykit.plans.fixtures import check_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +48,7 @@ def using(*fixtures: str) -> str:
 
 
 # Call classes, scoreable calls and item means, as the checks compute them.
-SCORED = """, med AS (
+SCORED = f""", med AS (
   SELECT model, list_sort(list(cost_micro))[count(*) // 2 + 1] AS med FROM responses
   WHERE call_ok AND model_served = model GROUP BY model),
 cls AS (SELECT r.*, CASE WHEN NOT call_ok THEN 'failed' WHEN model_served = model THEN 'clean'
@@ -57,4 +58,7 @@ sc AS (SELECT * FROM cls WHERE call_class IN ('clean', 'artifact')),
 pi AS (SELECT model, question_id, any_value(dimension) AS dimension,
     any_value(difficulty) AS difficulty, any_value(axis) AS axis, any_value(ord) AS ord,
     count(*) AS runs, sum(CAST(correct AS INT)) AS hits,
-    sum(CAST(correct AS INT)) / count(*) AS p FROM sc GROUP BY model, question_id)"""
+    sum(CAST(correct AS INT)) / count(*) AS p,
+    CAST(round(sum(CAST(correct AS INT)) / count(*) * {UNIT}) AS BIGINT) AS pu
+  FROM sc GROUP BY model, question_id)"""
+MEAN = f"(sum(pu) / count(*) / {UNIT})"   # mean of p in exact units

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assaykit.functions.exact import UNIT
 from assaykit.operators import bootstrap, intervals, items, pairwise, reliability
 from assaykit.operators.ranking import kth_value, rank_by_hash
 
@@ -141,7 +142,7 @@ def test_chunked_draws_have_the_same_law(spark, monkeypatch):
     hist = bootstrap.value_histogram(df, ["g"], "p")
     assert bootstrap._chunks(hist, ["g"]).count() > 10
     sums = bootstrap.resampled_sums(hist, ["g"], 6000, 5, "t").collect()
-    means = np.concatenate([r.sums for r in sums]) / 700 / pairwise.UNIT
+    means = np.concatenate([r.sums for r in sums]) / 700 / UNIT
     x = np.array(DATA["wide"])
     assert len(means) == 6000
     assert means.mean() == pytest.approx(x.mean(), abs=4 * x.std() / math.sqrt(700 * 6000))
@@ -168,7 +169,7 @@ def test_hash_form_equals_brute_force(spark):
                for j in range(len(xs))]
         want.append(sum(xs[order[i]] for i in idx))
     got = bootstrap.hash_bootstrap(groups(spark, {"few": xs}), ["g"], "p", "i", 25, 9).collect()
-    assert [r.s / pairwise.UNIT for r in sorted(got, key=lambda r: r.resample)] == want
+    assert [r.s / UNIT for r in sorted(got, key=lambda r: r.resample)] == want
 
 
 def paired(spark, a, b, resamples=1000):
