@@ -20,7 +20,8 @@ def item_analysis(outcomes: DataFrame, item: str = "question_id") -> DataFrame:
     ``outcomes``: model, run_index, ``item``, x.  Only items that every respondent (model
     and run) answered count.  The correlation of x with the respondent's total over the
     other items comes from moments; it is null when either side is constant.  The number
-    of respondents is bounded by cohort size times runs.
+    of respondents is bounded by cohort size times runs.  ``outcomes`` is read four times:
+    pass a stored, checkpointed or persisted table.
     """
     n_resp = outcomes.select("model", "run_index").distinct().agg(F.count("*").alias("r"))
     per_item = outcomes.groupBy(item).agg(F.count("*").alias("answered"))

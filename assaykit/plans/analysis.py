@@ -84,8 +84,8 @@ def analyze_mc(responses: DataFrame, cohort: DataFrame, order: list[str],
         table = table.persist()
     items = scoring.scored_items(table)
     meta = bank if bank is not None else scoring.item_meta(known, *order)
-    analysis = item_stats.item_analysis(item_stats.last_outcome(
-        scoring.scoreable(classified), "question_id", *order))
+    outcomes = item_stats.last_outcome(scoring.scoreable(classified), "question_id", *order)
+    analysis = item_stats.item_analysis(outcomes.persist() if cache else outcomes)
     return {
         "mc_per_item": items,
         "mc_overall": mc_board(table, cohort, resamples, seed, ci),

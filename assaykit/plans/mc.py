@@ -499,7 +499,7 @@ def _(spark, sf):
 SELECT question_id, round(difficulty_p, 6) AS difficulty_p,
   round(discrimination, 6) AS discrimination, n_resp FROM ia""")
 def _(spark, sf):
-    return item_stats.item_analysis(outcomes(spark, sf))
+    return item_stats.item_analysis(cut_lineage(outcomes(spark, sf)))
 
 
 @query("D17_item_summary", R + SCORED + DENSE + """
@@ -510,14 +510,14 @@ SELECT count(*) AS n_items, round(avg(difficulty_p), 6) AS mean_difficulty_p,
   count(*) FILTER (difficulty_p < 0.30) AS n_floor,
   count(*) FILTER (discrimination < 0.10) AS n_low_discrimination FROM ia""")
 def _(spark, sf):
-    return item_stats.item_summary(item_stats.item_analysis(outcomes(spark, sf)))
+    return item_stats.item_summary(item_stats.item_analysis(cut_lineage(outcomes(spark, sf))))
 
 
 @query("E9_hardest_items", R + SCORED + DENSE + """
 SELECT question_id, round(difficulty_p, 6) AS difficulty_p FROM ia
 ORDER BY ia.difficulty_p, question_id LIMIT 10""")
 def _(spark, sf):
-    return item_stats.hardest(item_stats.item_analysis(outcomes(spark, sf))).select(
+    return item_stats.hardest(item_stats.item_analysis(cut_lineage(outcomes(spark, sf)))).select(
         "question_id", "difficulty_p")
 
 
