@@ -1,8 +1,8 @@
 """Packing documents into token sequences (operator 10).
 
 Cost-balanced packing: a piece of n tokens costs n + n*n/scale (linear work plus attention).
-Pieces are taken in descending length, each into the lowest-cost sequence that has room for it;
-a piece that fits nowhere is cut to fill the lowest-cost sequences that have any room.
+Pieces are taken in descending length, each into the lowest-cost sequence that has room for it
+among the TRIES lowest; a piece that fits none of them is cut to fill the roomiest of them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from assaykit.llm.words import column
 LENGTH = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
+TRIES = 8
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -65,7 +66,7 @@ def balanced(lengths: list[int], length: int = LENGTH,
 
     for n, d, start in pieces:
         passed, best = [], None
-        while heap:
+        while heap and len(passed) < TRIES:
             cost, s = heapq.heappop(heap)
             if rooms[s] - used[s] >= n:
                 best = (cost, s)
@@ -79,7 +80,7 @@ def balanced(lengths: list[int], length: int = LENGTH,
         passed.sort(key=lambda p: (used[p[1]] - rooms[p[1]], p))   # cut into the largest rooms
         at = 0
         while n:
-            cost, s = passed[at]
+            cost, s = passed[at] if at < len(passed) else heapq.heappop(heap)
             at += 1
             part = min(n, rooms[s] - used[s])
             put(d, start, part, s, cost)

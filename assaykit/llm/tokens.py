@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
+
+import numpy as np
 
 from assaykit.llm.words import SLICE_BYTES
 
-KEPT = 1 << 18
+KEPT = 1 << 19
+_MARK = "\x01"
 _BREAKS = re.compile(r"[ \t\n\r\f\v]+")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -30,12 +34,17 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.mark, = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -44,22 +53,43 @@ class Encoder:
             return [w for w in _BREAKS.split(text) if w]
         return text.split()
 
+    def _encode_words(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words: many at a time, joined by a mark that no word holds."""
+        found, joined = {}, []
+        for w in new:
+            if _MARK in w or "<|" in w:
+                found[w] = _bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
+            else:
+                joined.append(w)
+        for at in range(0, len(joined), 1024):
+            some = joined[at:at + 1024]
+            ids = np.asarray(self.tokenizer.encode(f" {_MARK} ".join(some),
+                                                   add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), ids.size).tolist()
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                found[w] = raw[4 * start:4 * end]
+                start = end + 1
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        import numpy as np
         parts = [self.split(t) for t in texts]
-        new = list(set().union(*parts).difference(self.kept)) if parts else []
-        kept, found = self.kept, {}
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for word, e in zip(some, coded):
-                found[word] = np.asarray(e.ids, "<u4").tobytes()
-        if len(kept) + len(found) <= KEPT:
-            kept.update(found)
-            get = kept.__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        return [b"".join([kept[w] if w in kept else found[w] for w in p]) for p in parts]
+        own = dict.fromkeys(chain.from_iterable(parts))
+        kept = self.kept
+        new = [w for w in own if w not in kept]
+        if new:
+            found = self._encode_words(new)
+            if len(kept) + len(found) <= KEPT:
+                kept.update(found)
+            else:
+                own.update(found)
+                for w in own.keys() - found.keys():
+                    own[w] = kept[w]
+                get = own.__getitem__
+                return [b"".join(map(get, p)) for p in parts]
+        get = kept.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
 
 def text_slices(texts: list[str], limit: int = SLICE_BYTES):
