@@ -35,7 +35,7 @@ from assaykit.session import parallelism
 
 GROUPS = 128            # coordinates of a point
 LEAF = 16               # points of an R-tree leaf
-PART = 1024             # members of a large block in one part
+PART = 256              # members of a large block in one part
 BITMAP = 1 << 18        # 64-bit words of the filter that spares texts no pair asks for
 HOT_SHARE = 1 / 1024    # a block key with this share of a sample is dealt over SALTS tasks
 SALTS = 16
