@@ -8,8 +8,10 @@ prunes with both, and surviving pairs are verified on the whole sets.
 Count vectors of texts of one language and length lie close together in every coordinate, so a
 single tree over the corpus would visit most of its leaves. The trees are therefore built within
 blocks that no qualifying pair escapes: two sets that differ by at most k shingles, dealt into
-k + 1 groups, agree entirely in one group at least, and the content of a group is the block key.
-k follows from the sizes (bands of sizes in the ratio of the threshold). Within a block:
+m > k groups, agree entirely in m - k groups at least. Each set gives the contents of all but its
+m - k - 1 emptiest groups as block keys; the fullest of the groups in which two sets agree is
+among the keys of both, and chance agreement in nearly empty groups is avoided. k follows from
+the sizes (bands of sizes in the ratio of the threshold). Within a block:
 
 1. every member is compared with the block's first member, streaming over sorted keys, and
    verified links are merged into components;
@@ -60,8 +62,8 @@ def band(n: int, num: int, den: int) -> tuple[int, int, int]:
 
 
 @lru_cache(maxsize=4096)
-def band_groups(k: int, hi: int, num: int, den: int) -> int:
-    """Groups of a band: one more than the most by which a pair whose smaller is in it differs."""
+def band_keys(hi: int, num: int, den: int) -> int:
+    """Keys of a set: one more than the most by which a pair whose smaller is in the band differs."""
     return (hi + hi * den // num) * (den - num) // (den + num) + 1
 
 
@@ -71,13 +73,16 @@ def bounds(groups: int) -> np.ndarray:
     return np.array([(g << 64) // groups for g in range(groups)], np.uint64)
 
 
-def group_keys(u: np.ndarray, mixed: np.ndarray, k: int, groups: int) -> np.ndarray:
-    """A key for the content of each group of a sorted set."""
+def group_keys(u: np.ndarray, mixed: np.ndarray, k: int, wanted: int) -> np.ndarray:
+    """Keys for the contents of the ``wanted`` fullest groups of a sorted set; 0 for the others."""
+    groups = wanted + max(2, wanted // 5)
     at = np.append(np.searchsorted(u, bounds(groups)), u.size)
     with np.errstate(over="ignore"):
         sums = np.append(U64(0), np.cumsum(mixed, dtype=np.uint64))
         place = mix(np.arange(groups, dtype=np.uint64) + U64(k << 32))
-        return mix(sums[at[1:]] - sums[at[:-1]] + place).view(np.int64)
+        keys = mix(sums[at[1:]] - sums[at[:-1]] + place) | U64(1)
+    keys[np.argsort(-np.diff(at), kind="stable")[wanted:]] = 0
+    return keys.view(np.int64)
 
 
 def point(u: np.ndarray) -> np.ndarray:
@@ -108,11 +113,11 @@ def _shapes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int):
                                       .view(np.int64)))
                 k, least, most = band(n, num, den)
                 bands.append(k)
-                groups = band_groups(k, most, num, den)
-                home.append(group_keys(u, mixed, k, groups) if groups > 1 else None)
+                wanted = band_keys(most, num, den)
+                home.append(group_keys(u, mixed, k, wanted) if wanted > 1 else None)
                 keys = None
                 if k and n * num <= (least - 1) * den:
-                    below = band_groups(k - 1, least - 1, num, den)
+                    below = band_keys(least - 1, num, den)
                     keys = group_keys(u, mixed, k - 1, below) if below > 1 else None
                 low.append(keys)
         yield pa.RecordBatch.from_arrays(
@@ -184,12 +189,12 @@ def block_rows(shapes: DataFrame) -> DataFrame:
                         F.posexplode("home").alias("nth", "key"))
     two = shapes.select("doc_id", (F.col("band") - 1).alias("band"), F.lit(False).alias("home"),
                         F.posexplode("low").alias("nth", "key"))
-    rows = one.unionByName(two)
+    rows = one.unionByName(two).where("key <> 0")
     spark = shapes.sparkSession
     # a bounded sample only decides which keys are dealt over several tasks; at most 1/HOT_SHARE
     some = shapes.where("home is not null").select("doc_id", "home").where(
         F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(64)) == 0)
-    keys = some.select(F.explode("home").alias("key"))
+    keys = some.select(F.explode("home").alias("key")).where("key <> 0")
     total = keys.count()
     hot = [r.key for r in keys.groupBy("key").count()
            .where(F.col("count") > max(50, total * HOT_SHARE)).select("key").collect()]
@@ -326,7 +331,8 @@ def _search(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         ok &= i < j
     i, j = i[ok], j[ok]
     if nth and i.size:   # an earlier common block has this pair
-        fresh = ~(keys[i, :nth] == keys[j, :nth]).any(axis=1)
+        x, y = keys[i, :nth], keys[j, :nth]
+        fresh = ~((x == y) & (x != 0)).any(axis=1)
         i, j = i[fresh], j[fresh]
     return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
