@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,21 +91,20 @@ def point(u: np.ndarray) -> np.ndarray:
     return np.diff(np.append(np.searchsorted(u, bounds(GROUPS)), u.size))
 
 
-SHAPE = ("doc_id long, n_shingles long, set_a long, set_b long, band int, "
+SHAPE = ("doc_id long, n_shingles long, set_a long, set_b long, "
          "home array<long>, low array<long>")
 
 
 def _shapes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int):
     for batch in batches:
-        sizes, first, second, bands, home, low = [], [], [], [], [], []
+        sizes, first, second, home, low = [], [], [], [], []
         for lo, hi, hashes, at in word_slices(column(batch, "text")):
             for i in range(hi - lo):
                 u = np.unique(shingles(hashes[at[i]:at[i + 1]], width))
                 n = int(u.size)
                 sizes.append(n)
                 if not n:
-                    first.append(0), second.append(0), bands.append(-1)
-                    home.append(None), low.append(None)
+                    first.append(0), second.append(0), home.append(None), low.append(None)
                     continue
                 with np.errstate(over="ignore"):
                     mixed = mix(u + U64(0x632BE59BD9B4E019))
@@ -112,7 +112,6 @@ def _shapes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int):
                     second.append(int(mix(u ^ U64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)
                                       .view(np.int64)))
                 k, least, most = band(n, num, den)
-                bands.append(k)
                 wanted = band_keys(most, num, den)
                 home.append(group_keys(u, mixed, k, wanted) if wanted > 1 else None)
                 keys = None
@@ -122,21 +121,28 @@ def _shapes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int):
                 low.append(keys)
         yield pa.RecordBatch.from_arrays(
             [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
-             pa.array(second, pa.int64()), pa.array(bands, pa.int32()),
-             pa.array(home, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_a", "set_b", "band", "home", "low"])
+             pa.array(second, pa.int64()), pa.array(home, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "set_a", "set_b", "home", "low"])
 
 
 # blocks
 
-BLOCK = "key long, doc_id long, home boolean, nth int, band int, pivot long"
+BLOCK = "key long, doc_id long, home boolean, nth int, pivot long"
+PARTS = ("doc_id", "home", "nth")
+
+
+def _rows_of(batch: pa.RecordBatch, pivots) -> pa.RecordBatch:
+    key = pc.coalesce(column(batch, "hot"), column(batch, "run"))
+    return pa.RecordBatch.from_arrays(
+        [key, *[column(batch, c) for c in PARTS], pa.array(pivots, pa.int64())],
+        ["key", *PARTS, "pivot"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]):
     """Rows of blocks with two members at least, with the block's first member.
 
-    The rows come sorted by block, members of the block's own band first; only the current
-    block's first row is kept between batches.
+    The rows come sorted by run (the block's key, or a share of a hot block), members of the
+    block's own band first; only the current run's first row is kept between batches.
     """
     key, first, pending = None, None, None
     for batch in batches:
@@ -164,58 +170,44 @@ def _members(batches: Iterator[pa.RecordBatch]):
             parts.append(pending)
             pending = None
         if take.any():
-            rows = batch.filter(pa.array(take))
-            parts.append(pa.RecordBatch.from_arrays(
-                [column(rows, c) for c in ("key", "doc_id", "home", "nth", "band")]
-                + [pa.array(pivots[take], pa.int64())],
-                ["key", "doc_id", "home", "nth", "band", "pivot"]))
+            parts.append(_rows_of(batch.filter(pa.array(take)), pivots[take]))
         if starts.size:
             s = int(starts[-1])
             key = keys[s]
             first = int(docs[s]) if own[s] else None
             pending = None
             if own[s] and not lead[s]:
-                row = batch.slice(s, 1)
-                pending = pa.RecordBatch.from_arrays(
-                    [column(row, c) for c in ("key", "doc_id", "home", "nth", "band")]
-                    + [pa.array([first], pa.int64())],
-                    ["key", "doc_id", "home", "nth", "band", "pivot"])
+                pending = _rows_of(batch.slice(s, 1), [first])
         yield from parts
 
 
 def block_rows(shapes: DataFrame) -> DataFrame:
-    """(key, doc_id, home, nth, band, pivot): members of all blocks with two members or more."""
-    one = shapes.select("doc_id", "band", F.lit(True).alias("home"),
-                        F.posexplode("home").alias("nth", "key"))
-    two = shapes.select("doc_id", (F.col("band") - 1).alias("band"), F.lit(False).alias("home"),
-                        F.posexplode("low").alias("nth", "key"))
-    rows = one.unionByName(two).where("key <> 0")
-    spark = shapes.sparkSession
+    """(key, doc_id, home, nth, pivot): members of all blocks with two members or more."""
+    one = shapes.select("doc_id", F.lit(True).alias("home"), F.posexplode("home").alias("nth", "run"))
+    two = shapes.select("doc_id", F.lit(False).alias("home"), F.posexplode("low").alias("nth", "run"))
+    rows = one.unionByName(two).where("run <> 0")
     # a bounded sample only decides which keys are dealt over several tasks; at most 1/HOT_SHARE
-    some = shapes.where("home is not null").select("doc_id", "home").where(
-        F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(64)) == 0)
+    some = shapes.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(64)) == 0)
     keys = some.select(F.explode("home").alias("key")).where("key <> 0")
     total = keys.count()
     hot = [r.key for r in keys.groupBy("key").count()
            .where(F.col("count") > max(50, total * HOT_SHARE)).select("key").collect()]
-    salt = F.lit(0)
-    if hot:
-        salt = F.when(F.col("key").isin(hot), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))\
-            .otherwise(0)
-    rows = rows.withColumn("run", F.xxhash64("key", salt) if hot else F.col("key"))
+    is_hot = F.col("run").isin(hot) if hot else F.lit(False)
+    rows = rows.select(
+        F.when(is_hot, F.xxhash64("run", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
+        .otherwise(F.col("run")).alias("run"), F.when(is_hot, F.col("run")).alias("hot"),
+        *PARTS)
     found = written(
-        rows.repartition(parallelism(spark), "run")
-        .sortWithinPartitions("run", F.desc("home"), "doc_id")
-        .select("run", "key", "doc_id", "home", "nth", "band")
-        .mapInArrow(_members, BLOCK), "blocks")
+        rows.repartition(parallelism(shapes.sparkSession), "run")
+        .sortWithinPartitions("run", F.desc("home"), "doc_id").mapInArrow(_members, BLOCK), "blocks")
     if hot:
         # the runs of a hot key meet through their first members
-        heads = found.where(F.col("key").isin(hot)).groupBy("key", "pivot", "band").agg(
+        heads = found.where(F.col("key").isin(hot)).groupBy("key", "pivot").agg(
             F.first("nth").alias("nth"))
         least = heads.groupBy("key").agg(F.min("pivot").alias("least"))
         more = (heads.join(least, "key").where("pivot <> least")
                 .select("key", F.col("pivot").alias("doc_id"), F.lit(True).alias("home"), "nth",
-                        "band", F.col("least").alias("pivot")))
+                        F.col("least").alias("pivot")))
         found = found.unionByName(more)
     return found
 
@@ -348,7 +340,7 @@ def _points(batches: Iterator[pa.RecordBatch]):
 
 def open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of blocks of three and more that are not yet in one component, dealt into parts."""
-    labelled = written(blocks.select("key", "doc_id", "home", "nth", "band")
+    labelled = written(blocks.select("key", "doc_id", "home", "nth")
                        .dropDuplicates(["key", "doc_id"])
                        .join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                        .withColumn("component", F.coalesce("component", "doc_id")), "labelled")
@@ -362,7 +354,7 @@ def open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:
         "part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     rows = rows.select("*", other)
-    return rows.select("key", "doc_id", "home", "nth", "band", "component", "part",
+    return rows.select("key", "doc_id", "home", "nth", "component", "part",
                        F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
@@ -376,7 +368,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80,
     bounds, and every pair that is left is verified on whole sets.
 
     Fewer words than ``width`` make one shingle; null, empty or word-free texts have no shingles
-    and link with nothing. Rows that share a doc_id are one document to the links. A row with a
+    and link with nothing. Rows that share a doc_id share the links of their texts. A row with a
     null id takes the component of its equals, or null. An empty table gives no rows; other
     columns are ignored.
     """
@@ -385,8 +377,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80,
     same = ["n_shingles", "set_a", "set_b"]
     classes = written(shapes.where("n_shingles > 0").groupBy(*same)
                       .agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = (shapes.join(classes, same).where("doc_id = class_id"))
-    reps = written(reps.select("doc_id", "n_shingles", "band", "home", "low"), "reps")
+    # one document stands for each set; the keys of the others are left out where they are read
+    others = written(shapes.select("doc_id", *same).join(classes, same)
+                     .where("doc_id <> class_id").drop("class_id").distinct(), "others")
+    reps = shapes.where("doc_id is not null and n_shingles > 0").select(
+        "doc_id", *same, "home", "low").join(others, ["doc_id", *same], "left_anti")
     known = docs.where("doc_id is not null")
 
     blocks = block_rows(reps)
@@ -400,7 +395,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80,
     wanted = written(rows.select("doc_id").distinct(), "wanted")
     if not wanted.isEmpty():
         points = (whole_sets(known, wanted, width).mapInArrow(_points, "doc_id long, point array<int>"))
-        shape = reps.select("doc_id", "n_shingles", F.col("band").alias("_own"), "home", "low")
+        shape = reps.select("doc_id", "n_shingles", "home", "low")
         facts = written(points.join(shape.withColumnsRenamed({"home": "_home", "low": "_low"}),
                                     "doc_id"), "facts")
         full = rows.join(facts, "doc_id").select(
