@@ -307,7 +307,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: n
 
 def _search(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Pairs of one block, or of two parts of a large one, that survive the bounds."""
-    points = np.stack(block["point"].to_numpy()).astype(np.int32)
+    points = np.stack([np.frombuffer(p, "<i4") for p in block["point"]])
     keys = np.stack(block["keys"].to_numpy())
     sizes = block["n_shingles"].to_numpy(np.int64)
     comp, ids = block["component"].to_numpy(), block["doc_id"].to_numpy()
@@ -323,7 +323,7 @@ def _search(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         ok &= i < j
     i, j = i[ok], j[ok]
     if nth and i.size:   # an earlier common block has this pair
-        x, y = keys[i, :nth], keys[j, :nth]
+        x, y = keys[i], keys[j]
         fresh = ~((x == y) & (x != 0)).any(axis=1)
         i, j = i[fresh], j[fresh]
     return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
@@ -332,10 +332,10 @@ def _search(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 def _points(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         items = column(batch, "items")
-        rows = [point(np.sort(x.view(np.uint64))) for x in
+        rows = [point(np.sort(x.view(np.uint64))).astype("<i4").tobytes() for x in
                 (v.values.to_numpy() for v in items)]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "point"])
+            [column(batch, "doc_id"), pa.array(rows, pa.binary())], ["doc_id", "point"])
 
 
 def open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:
@@ -394,13 +394,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80,
     rows = open_blocks(blocks, comps)
     wanted = written(rows.select("doc_id").distinct(), "wanted")
     if not wanted.isEmpty():
-        points = (whole_sets(known, wanted, width).mapInArrow(_points, "doc_id long, point array<int>"))
+        points = (whole_sets(known, wanted, width).mapInArrow(_points, "doc_id long, point binary"))
         shape = reps.select("doc_id", "n_shingles", "home", "low")
         facts = written(points.join(shape.withColumnsRenamed({"home": "_home", "low": "_low"}),
                                     "doc_id"), "facts")
         full = rows.join(facts, "doc_id").select(
             "key", "i", "j", "doc_id", "component", "home", "nth", "part", "n_shingles", "point",
-            F.when(F.col("home"), F.col("_home")).otherwise(F.col("_low")).alias("keys"))
+            F.slice(F.when(F.col("home"), F.col("_home")).otherwise(F.col("_low")), F.lit(1),
+                    F.col("nth")).alias("keys"))       # only the blocks before this one
         near = (full.groupBy("key", "i", "j")
                 .applyInPandas(lambda pdf: _search(pdf, num, den), "a long, b long"))
         more = verified(near, known, width, num, den)
