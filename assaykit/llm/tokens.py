@@ -15,7 +15,7 @@ import numpy as np
 
 from assaykit.llm.words import SLICE_BYTES
 
-KEPT = 1 << 19
+KEPT = 1 << 20
 _MARK = "\x01"
 _BREAKS = re.compile(r"[ \t\n\r\f\v]+")
 _encoders: dict[str, "Encoder"] = {}
@@ -92,7 +92,7 @@ class Encoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
-def text_slices(texts: list[str], limit: int = SLICE_BYTES):
+def text_slices(texts: list[str], limit: int = SLICE_BYTES >> 2):
     """Runs of whole texts of about ``limit`` characters."""
     run, size, at = [], 0, 0
     for k, t in enumerate(texts):
