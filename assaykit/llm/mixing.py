@@ -138,8 +138,18 @@ def take(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
             F.first("budget").alias("_b"),
             F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("_t"))
             .select("source", (F.col("_b") - F.col("_t")).alias("budget")), "gaps")
-    return state.withColumn("copies", F.col("every").cast("int") + F.col("more").cast("int")) \
-        .drop("every", "budget", "more")
+    # what no further document fits may hold a second copy of a small one
+    again = F.col("more") & ~F.col("every")
+    gaps = budgets.withColumnRenamed("budget", "gap")
+    small = state.where(again).alias("r").join(gaps.alias("b"), same).where("size <= gap")
+    found = thresholds(small.select("r.source", "h", "size"), budgets)
+    found = written(found.alias("r").join(gaps.alias("b"), same).select("b.source", "upto", "gap"),
+                    "found")
+    twice = again & (F.col("size") <= F.col("gap")) & (F.col("h") <= F.col("upto"))
+    return state.alias("r").join(found.alias("b"), same, "left").select(
+        *[f"r.{c}" for c in rows.columns], "source_size", "target",
+        (F.col("every").cast("int") + F.col("more").cast("int")
+         + F.coalesce(twice, F.lit(False)).cast("int")).alias("copies"))
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:

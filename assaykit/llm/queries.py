@@ -162,11 +162,14 @@ g AS (SELECT source, source_size, least(lim, w * max(CASE WHEN level <= ratio TH
 s0 AS (SELECT d.doc_id, d.source, h, size, source_size, target, target >= source_size AS every,
     CASE WHEN target >= source_size THEN target - source_size ELSE target END AS budget,
     FALSE AS more, CASE WHEN target >= source_size THEN target - source_size ELSE target END AS gap
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),{_fills(mixing.FILLS)}
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),{_fills(mixing.FILLS)},
+again AS (SELECT *, more AND NOT every AND size <= gap AND sum(CASE WHEN more AND NOT every
+    AND size <= gap THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) <= gap AS twice
+  FROM s{mixing.FILLS + 1}),
+taken AS (SELECT *, CAST(every AS INT) + CAST(more AS INT) + CAST(twice AS INT) AS copies FROM again)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target,
-  size * (CAST(every AS INT) + CAST(more AS INT)) AS taken,
-  CAST(every AS INT) + CAST(more AS INT) AS copies
-FROM s{mixing.FILLS + 1}"""
+  size * copies AS taken, copies
+FROM taken"""
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_fingerprints, op3_token_counts, op4_toxicity, op5_url_filter,
