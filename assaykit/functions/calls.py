@@ -44,14 +44,14 @@ def any_served_ok(requested: Column, served_all: Column) -> Column:
 
 
 def dominant_model(usage: Column) -> Column:
-    """Key of a usage map with the largest (output tokens, cost).
+    """Key of a usage map with the largest (output tokens, cost); the first key on a tie.
 
     ``usage`` is MAP<STRING, STRUCT<outputTokens BIGINT, costUSD DOUBLE>>.
     """
-    weighed = F.transform(F.map_entries(usage), lambda e: F.struct(
+    weighed = F.transform(F.map_entries(usage), lambda e, at: F.struct(
         F.coalesce(e["value"]["outputTokens"], F.lit(0).cast("bigint")).alias("tokens"),
         F.coalesce(e["value"]["costUSD"], F.lit(0.0)).alias("cost"),
-        e["key"].alias("model")))
+        (-at).alias("first"), e["key"].alias("model")))
     return F.array_max(weighed)["model"]
 
 

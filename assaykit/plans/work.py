@@ -290,9 +290,9 @@ def _(spark, sf):
 @query("G9_dominant_model", """
 SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 = 1 THEN 'main'
     WHEN event_id % 10 > event_id % 7 THEN 'main' WHEN event_id % 10 < event_id % 7 THEN 'helper'
-    WHEN value > 10 THEN 'main' ELSE 'helper' END AS model,
+    WHEN value >= 10 THEN 'main' ELSE 'helper' END AS model,
   CASE WHEN event_id % 6 > 1 THEN 'main,helper' END AS all_models
-FROM events WHERE value <> 10""")
+FROM events""")
 def _(spark, sf):
     def use(tokens, cost):
         return F.struct(tokens.cast("bigint").alias("outputTokens"), cost.alias("costUSD"))
@@ -303,7 +303,7 @@ def _(spark, sf):
     usage = (F.when(k % 6 == 0, F.create_map().cast(kind))
               .when(k % 6 == 1, F.create_map(F.lit("main"), main))
               .otherwise(F.create_map(F.lit("main"), main, F.lit("helper"), helper)))
-    return table(spark, sf, "events").where("value <> 10").select(
+    return table(spark, sf, "events").select(
         "event_id", call_fns.dominant_model(usage).alias("model"),
         call_fns.all_models(usage).alias("all_models"))
 
