@@ -11,7 +11,7 @@ from assaykit.operators import (bootstrap, cohort as cohorts, intervals, items a
                                 leaderboard, pairwise, scoring, traps, usage)
 from assaykit.operators.ranking import rank_by_hash
 from assaykit.plans import analysis
-from assaykit.plans.fixtures import fixture
+from assaykit.plans.fixtures import VALID, fixture
 from assaykit.plans.registry import MEAN, SCORED, SEED, query, using
 from assaykit.session import cut_lineage
 
@@ -550,19 +550,19 @@ def _(spark, sf):
     return usage.text_length(texts.withColumnRenamed("role", "model"))
 
 
-@query("X1_trap_rates", using("responses", "items") + """
+@query("X1_trap_rates", using("responses", "items") + f"""
 , ch AS (SELECT r.model, i.dimension, i.difficulty, i.distractor_types AS dt,
     CASE WHEN r.correct THEN i.answer_index ELSE (i.answer_index + 1 + picked_raw % 3) % 4 END AS pick,
     r.parse_ok
   FROM responses r JOIN items i ON i.p_partkey = r.question_id
-  WHERE call_ok AND i.distractor_types IS NOT NULL AND d IN (0, 16, 17, 18, 19, 20)),
+  WHERE call_ok AND i.distractor_types IS NOT NULL AND {VALID}),
 sl AS (SELECT *, unnest(range(0, 4)) AS slot FROM ch)
 SELECT model, dimension, difficulty, dt[slot + 1] AS distractor_type, count(*) AS offered,
   count(*) FILTER (parse_ok AND slot = pick) AS chosen,
   round(count(*) FILTER (parse_ok AND slot = pick) / count(*), 6) AS pull_rate
 FROM sl WHERE dt[slot + 1] <> 'correct' GROUP BY ALL""")
 def _(spark, sf):
-    bank = fixture(spark, sf, "items").where("d IN (0, 16, 17, 18, 19, 20)").withColumnRenamed(
+    bank = fixture(spark, sf, "items").where(VALID).withColumnRenamed(
         "p_partkey", "question_id")
     # the response log records outcomes; the picked letter follows from the outcome
     recs = scoring.completed(responses(spark, sf)).join(
