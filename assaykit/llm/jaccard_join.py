@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -305,28 +304,93 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: n
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _search(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Pairs of one block, or of two parts of a large one, that survive the bounds."""
-    points = np.stack([np.frombuffer(p, "<i4") for p in block["point"]])
-    keys = np.stack(block["keys"].to_numpy())
-    sizes = block["n_shingles"].to_numpy(np.int64)
-    comp, ids = block["component"].to_numpy(), block["doc_id"].to_numpy()
-    home, nth = block["home"].to_numpy(bool), int(block["nth"].iloc[0])
-    part = block["part"].to_numpy()
-    if part.min() == part.max():
-        left = right = np.arange(len(block))
-    else:
-        left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
-    i, j = tree_pairs(points, sizes, left, right, num, den)
-    ok = (ids[i] != ids[j]) & (comp[i] != comp[j]) & (home[i] | home[j])
-    if part.min() == part.max():
-        ok &= i < j
-    i, j = i[ok], j[ok]
-    if nth and i.size:   # an earlier common block has this pair
-        x, y = keys[i], keys[j]
-        fresh = ~((x == y) & (x != 0)).any(axis=1)
-        i, j = i[fresh], j[fresh]
-    return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows at which another block, or another two parts of one, begin."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for name in ("key", "i", "j"):
+        values = column(batch, name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, cut where a group ends; a group is two parts at most."""
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if left is not None:
+            batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+        last = int(_starts(batch)[-1])
+        if last:
+            yield batch.slice(0, last)
+        left = batch.slice(last)
+    if left is not None:
+        yield left
+
+
+def _fresh(keys: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs share no key of an earlier block: rows carry as many keys as blocks before."""
+    flat, at = keys.flatten().to_numpy(), keys.offsets.to_numpy()
+    at, lengths = (at[:-1] - at[0]).astype(np.int64), np.diff(at)
+    fresh = np.ones(i.size, bool)
+    for m in np.unique(lengths[i]):
+        rows = np.flatnonzero(lengths[i] == m)
+        for some in np.array_split(rows, 1 + rows.size * int(m) // (1 << 20)):
+            x = flat[at[i[some]][:, None] + np.arange(m)]
+            y = flat[at[j[some]][:, None] + np.arange(m)]
+            fresh[some] = ~((x == y) & (x != 0)).any(axis=1)
+    return fresh
+
+
+def _search(batches: Iterator[pa.RecordBatch], num: int, den: int):
+    """Pairs of blocks, or of two parts of a large one, that survive the bounds.
+
+    The rows come sorted by group. Groups that fit in one leaf are compared for a whole batch at
+    a time; larger ones get a tree.
+    """
+    for batch in _whole_groups(batches):
+        n = batch.num_rows
+        starts = _starts(batch)
+        counts = np.diff(starts, append=n)
+        group = np.repeat(np.arange(starts.size), counts)
+        ids, comp = column(batch, "doc_id").to_numpy(), column(batch, "component").to_numpy()
+        sizes, part = column(batch, "n_shingles").to_numpy(), column(batch, "part").to_numpy()
+        home = column(batch, "home").to_numpy(zero_copy_only=False)
+        one = column(batch, "i").to_numpy() == column(batch, "j").to_numpy()
+        points = np.stack([np.frombuffer(p, "<i4") for p in column(batch, "point").to_pylist()])
+
+        def usable(i, j):
+            return ((ids[i] != ids[j]) & (comp[i] != comp[j]) & (home[i] | home[j])
+                    & (one[i] | (part[i] != part[j])))
+
+        found = []
+        small = (counts <= LEAF)[group]
+        for d in range(1, min(LEAF, n)):
+            i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+            i = i[usable(i, i + d)]
+            need = -(-num * (sizes[i] + sizes[i + d]) // (num + den))
+            i = i[np.minimum(points[i], points[i + d]).sum(axis=1) >= need]
+            found.append((i, i + d))
+        for g in np.flatnonzero(counts > LEAF):
+            rows = np.arange(starts[g], starts[g] + counts[g])
+            left = right = rows
+            if not one[rows[0]]:
+                least = part[rows].min()
+                left, right = rows[part[rows] == least], rows[part[rows] != least]
+                if not right.size:
+                    continue
+            i, j = tree_pairs(points, sizes, left, right, num, den)
+            ok = usable(i, j) & ((i < j) | ~one[i])
+            found.append((i[ok], j[ok]))
+        if not found:
+            continue
+        i, j = (np.concatenate(side) for side in zip(*found))
+        fresh = _fresh(column(batch, "keys"), i, j)
+        a, b = ids[i[fresh]], ids[j[fresh]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
+                                         ["a", "b"])
 
 
 def _points(batches: Iterator[pa.RecordBatch]):
@@ -402,8 +466,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80,
             "key", "i", "j", "doc_id", "component", "home", "nth", "part", "n_shingles", "point",
             F.slice(F.when(F.col("home"), F.col("_home")).otherwise(F.col("_low")), F.lit(1),
                     F.col("nth")).alias("keys"))       # only the blocks before this one
-        near = (full.groupBy("key", "i", "j")
-                .applyInPandas(lambda pdf: _search(pdf, num, den), "a long, b long"))
+        near = (full.repartition(parallelism(docs.sparkSession), "key", "i", "j")
+                .sortWithinPartitions("key", "i", "j")
+                .mapInArrow(lambda b: _search(b, num, den), "a long, b long"))
         more = verified(near, known, width, num, den)
         if not more.isEmpty():
             comps = components(links.union(more))
