@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 16          # nesting that the balanced-object pattern follows
+MAX_DEPTH = 16          # nesting that the pattern follows; with more braces a scan takes over
 LOW, HIGH = 1.0, 5.0    # fixed values: the rating scale
 
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
@@ -24,9 +24,44 @@ def _balanced_object() -> str:
 OBJECTS = rf"(?s){_balanced_object()}|\{{.*"
 
 
+def scanned(text: Column, strings: bool = True) -> Column:
+    """Top-level balanced ``{...}`` spans of any depth, in order, by one pass over the characters.
+
+    Braces inside strings of an object do not count, unless ``strings`` is off.
+    """
+    start = F.struct(
+        F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(0).alias("first"),
+        F.lit(False).alias("quoted"), F.lit(False).alias("escaped"),
+        F.array().cast("array<struct<first:int,size:int>>").alias("spans"))
+
+    def step(s: Column, c: Column) -> Column:
+        pos, free = s.pos + 1, ~s.quoted
+        inside = s.depth > 0
+        opens, closes = free & (c == "{"), free & inside & (c == "}")
+        depth = s.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
+        span = F.struct(s["first"].alias("first"), (pos - s["first"] + 1).alias("size"))
+        quote = inside & (c == '"') & ~s.escaped if strings else F.lit(False)
+        return F.struct(
+            pos.alias("pos"), depth.alias("depth"),
+            F.when(opens & ~inside, pos).otherwise(s["first"]).alias("first"),
+            F.when(quote, free).otherwise(s.quoted).alias("quoted"),
+            (s.quoted & ~s.escaped & (c == "\\")).alias("escaped"),
+            F.when(closes & (depth == 0), F.array_append(s.spans, span))
+            .otherwise(s.spans).alias("spans"))
+
+    return F.transform(F.aggregate(F.split(text, ""), start, step, lambda s: s.spans),
+                       lambda x: F.substring(text, x["first"], x["size"]))
+
+
+def many_braces(text: Column) -> Column:
+    """Whether a text may nest deeper than the patterns follow."""
+    return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) > MAX_DEPTH
+
+
 def objects(text: Column) -> Column:
     """Top-level balanced ``{...}`` spans, in order."""
-    return F.regexp_extract_all(text, F.lit(OBJECTS), F.lit(0))
+    return (F.when(many_braces(text), scanned(text))
+            .otherwise(F.regexp_extract_all(text, F.lit(OBJECTS), F.lit(0))))
 
 
 def last_json(text: Column, required: list[str] | None = None) -> Column:

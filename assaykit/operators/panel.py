@@ -145,15 +145,22 @@ def last_complete(verdicts: DataFrame, dims: list[str], *order: str) -> DataFram
             .select(*keys, "_r.*"))
 
 
-def crosscheck_pairs(verdicts: DataFrame, dims: list[str]) -> DataFrame:
-    """Primary and cross-check ratings of the same response by the same persona."""
+def crosscheck_pairs(verdicts: DataFrame, dims: list[str], *order: str) -> DataFrame:
+    """Primary and cross-check ratings of the same response by the same persona.
+
+    Of repeated verdicts, the last in ``order`` that holds a rating counts.
+    """
     keys = [*TRIPLE, "persona"]
     typed = verdicts.select(
-        *keys, F.when(is_primary(), "primary").otherwise(F.col("judge_role")).alias("role"),
+        *keys, *order,
+        F.when(is_primary(), "primary").otherwise(F.col("judge_role")).alias("role"),
         _mean_of([rating(F.col("scores"), d) for d in dims]).alias("score"))
-    return (typed.groupBy(*keys)
-            .agg(F.max(F.when(F.col("role") == "primary", F.col("score"))).alias("primary"),
-                 F.max(F.when(F.col("role") == "crosscheck", F.col("score"))).alias("crosscheck"))
+
+    def last(role: str) -> Column:
+        rated = (F.col("role") == role) & F.col("score").isNotNull()
+        return F.max_by("score", F.when(rated, F.struct(*order))).alias(role)
+
+    return (typed.groupBy(*keys).agg(last("primary"), last("crosscheck"))
             .where(F.col("primary").isNotNull() & F.col("crosscheck").isNotNull()))
 
 

@@ -15,7 +15,6 @@ QUORUM = 3
 MIN_AGREEMENT, MIN_CLARITY, MAX_DEFENSIBLE, MAX_BAD = 0.6, 4.0, 1.5, 1
 MIN_REALISTIC, MIN_FAIR = 4.0, 4.0
 KAPPA_CATEGORIES = 6
-MAX_REASONS = 50   # drop reasons listed in the report
 
 
 def typed_reviews(raw: DataFrame, payload: str = "review") -> DataFrame:
@@ -134,9 +133,10 @@ def validation_report(reviewed: DataFrame, split: DataFrame) -> DataFrame:
     return status.join(sides, "format", "left").na.fill(0, ["public", "holdout"])
 
 
-def drop_reasons(reviewed: DataFrame, *order: str) -> DataFrame:
-    """The first dropped items with their review summary (report excerpt)."""
-    return (reviewed.where(F.col("status") != "kept").orderBy(*order).limit(MAX_REASONS))
+def drop_reasons(reviewed: DataFrame, *order: str, limit: int | None = None) -> DataFrame:
+    """Dropped items with their review summary; a ``limit`` gives the first in ``order``."""
+    dropped = reviewed.where(F.col("status") != "kept")
+    return dropped if limit is None else dropped.orderBy(*order).limit(limit)
 
 
 def unreviewed_ids(reviewed: DataFrame) -> DataFrame:

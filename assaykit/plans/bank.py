@@ -557,10 +557,9 @@ def _(spark, sf):
 
 
 @query("D13_drop_reasons", RV + LATEST + """
-SELECT question_id, status, n AS n_reviewers FROM st WHERE status <> 'kept'
-ORDER BY question_id LIMIT 50""")
+SELECT question_id, status, n AS n_reviewers FROM st WHERE status <> 'kept'""")
 def _(spark, sf):
-    return reviews.drop_reasons(reviewed(spark, sf), "question_id").select(
+    return reviews.drop_reasons(reviewed(spark, sf)).select(
         "question_id", "status", "n_reviewers")
 
 

@@ -183,7 +183,8 @@ SELECT model, question_id, run_index, persona, role AS judge_role, seq, dimensio
     CASE WHEN seq % 23 = 0 THEN '"three"' ELSE CAST(hits AS VARCHAR(9)) END,
     ', "must_include_total": ', CAST(total AS VARCHAR(9)),
     ', "should_not_violations": ', CAST(viol AS VARCHAR(9)),
-    ', "meta": {{"deep": {{"er": 1}}}}, "justification": "close}} but {{open"}} done') END AS text
+    ', "meta": {{"deep": ', repeat('{{"er": ', 1 + CAST(seq % 25 AS INT)), '1',
+    repeat('}}', 1 + CAST(seq % 25 AS INT)), '}}, "justification": "close}} but {{open"}} done') END AS text
 FROM ({JUDGE_BASE}) b"""
 
 # Reviews of valid items: five reviewers, failures, a second pass for half of them.

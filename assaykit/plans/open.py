@@ -244,11 +244,12 @@ def _(spark, sf):
     return reliability.judge_agreement_summary(complete(spark, sf), DIMS)
 
 
-CROSS = TYPED + """, sv AS (SELECT model, question_id, run_index, persona, role,
+CROSS = TYPED + """, sv AS (SELECT model, question_id, run_index, persona, role, seq,
   list_avg(list_filter([accuracy, voice, wisdom, distinct_], lambda x: x IS NOT NULL)) AS s
   FROM ty WHERE NOT prose),
 xp AS (SELECT model, question_id, run_index, persona,
-  max(s) FILTER (role = 'primary') AS p, max(s) FILTER (role = 'crosscheck') AS c
+  arg_max(s, seq) FILTER (role = 'primary') AS p,
+  arg_max(s, seq) FILTER (role = 'crosscheck') AS c
   FROM sv GROUP BY ALL HAVING p IS NOT NULL AND c IS NOT NULL)"""
 
 
@@ -256,7 +257,7 @@ xp AS (SELECT model, question_id, run_index, persona,
 SELECT model, count(*) AS n, round(avg(p) - avg(c), 6) AS mean_diff, round(corr(p, c), 6) AS corr
 FROM xp GROUP BY model""")
 def _(spark, sf):
-    return panel.crosscheck_agreement(panel.crosscheck_pairs(verdicts(spark, sf), DIMS))
+    return panel.crosscheck_agreement(panel.crosscheck_pairs(verdicts(spark, sf), DIMS, "seq"))
 
 
 @query("X2_crosscheck_alpha", J + CROSS + """
@@ -268,7 +269,7 @@ al AS (SELECT model, count(*) AS n_units, sum(m) AS n, sum(s) AS s, sum(q) AS q,
 SELECT model, n_units, round(1 - (d / n) / (2 * (n * q - s * s) / (n * (n - 1))), 6) AS alpha
 FROM al""")
 def _(spark, sf):
-    pairs = panel.crosscheck_pairs(verdicts(spark, sf), DIMS)
+    pairs = panel.crosscheck_pairs(verdicts(spark, sf), DIMS, "seq")
     long = pairs.select("model", F.struct("question_id", "run_index", "persona").alias("unit"),
                         F.explode(F.array("primary", "crosscheck")).alias("value"))
     return reliability.krippendorff_alpha(long, ["model"])

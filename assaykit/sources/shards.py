@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.functions.judging import MAX_DEPTH, many_braces, scanned
 from assaykit.functions.text import without_fences
 
-MAX_DEPTH = 16  # nesting that object salvage follows
-
 # Braces are counted without regard to strings here, unlike in judge payloads.
 SALVAGE = "(?s)" + reduce(lambda inner, _: rf"\{{(?:[^{{}}]++|{inner})*+\}}",
                           range(MAX_DEPTH - 1), r"\{[^{}]*+\}") + r"|\{.*"
@@ -77,8 +76,9 @@ def array_items(text: Column) -> Column:
     body = F.regexp_extract(plain, r"(?s)\[.*\]", 0)
     parsed = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
     inside = F.substring(body, F.lit(2), F.length(body) - 2)
-    salvaged = F.filter(F.regexp_extract_all(inside, F.lit(SALVAGE), F.lit(0)),
-                        lambda s: F.try_parse_json(s).isNotNull())
+    spans = (F.when(many_braces(inside), scanned(inside, strings=False))
+             .otherwise(F.regexp_extract_all(inside, F.lit(SALVAGE), F.lit(0))))
+    salvaged = F.filter(spans, lambda s: F.try_parse_json(s).isNotNull())
     return F.when(body != "", F.coalesce(
         F.transform(parsed, lambda v: F.to_json(v)),
         F.when(F.size(salvaged) > 0, salvaged)))

@@ -2,8 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from assaykit.functions.judging import last_json, objects
+from assaykit.functions.judging import last_json, objects, scanned
 from assaykit.operators import panel
+from assaykit.sources.shards import array_items
 
 DIMS = ["accuracy", "voice", "wisdom", "distinct"]
 
@@ -101,3 +102,47 @@ def test_complete_ratings_need_all_numbers(spark):
         "scores", F.try_parse_json("js"))
     got = panel.complete_ratings(df, DIMS).collect()
     assert [(r.persona, r.composite) for r in got] == [("p1", 9.0)]
+
+
+def nested(depth):
+    return '{"k": ' * depth + "1" + "}" * depth
+
+
+def test_objects_of_any_depth(spark):
+    deep = nested(40)
+    texts = {
+        f"so {deep} and {{open": [deep],
+        f'a "quote {nested(20)} then {{"s": "}}{{ \\" }}"}}': [nested(20), '{"s": "}{ \\" }"}'],
+        nested(3) + "} x " + nested(18) + nested(2): [nested(3), nested(18), nested(2)],
+        "{" * 30: [],
+    }
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", objects(F.col("t")).alias("o"), last_json(F.col("t")).alias("last"))
+    for r in got.collect():
+        assert r.o == texts[r.t]
+        assert r.last == (texts[r.t][-1] if texts[r.t] else None)
+
+
+def test_pattern_and_scan_agree(spark):
+    texts = ['x {"a": "}"} y {"b": {"c": 1}}', '{"a": "\\\\"}{"b": 2}', '"{" {"a": 1}', "", "}}{}", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        objects(F.col("t")).alias("a"), scanned(F.col("t")).alias("b")).collect()
+    parsed = [[s for s in r.a if s.count("{") == s.count("}") or '"}"' in s] if r.a else r.a for r in rows]
+    assert parsed == [r.b for r in rows]
+
+
+def test_salvage_of_deep_items(spark):
+    text = f"[{nested(30)}, {nested(2)}, broken"
+    got = spark.createDataFrame([(text + "]",)], "t string").select(array_items(F.col("t"))).first()[0]
+    assert got == [nested(30), nested(2)]
+
+
+def test_last_of_repeated_crosschecks_counts(spark):
+    rows = [("m", "q", 0, "p", role, seq, json.dumps(dict.fromkeys(DIMS, v)))
+            for role, seq, v in [("primary", 1, 5), ("primary", 2, 2), ("crosscheck", 3, 4),
+                                 ("crosscheck", 4, 3), ("crosscheck", 5, None)]]
+    df = spark.createDataFrame(rows, "model string, question_id string, run_index int,"
+                               "persona string, judge_role string, seq long, js string").withColumn(
+        "scores", F.try_parse_json("js"))
+    r = panel.crosscheck_pairs(df, DIMS, "seq").first()
+    assert (r.primary, r.crosscheck) == (2.0, 3.0)
