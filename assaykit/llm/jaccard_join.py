@@ -90,6 +90,24 @@ def point(u: np.ndarray) -> np.ndarray:
     return np.diff(np.append(np.searchsorted(u, bounds(GROUPS)), u.size))
 
 
+def block_keys(u: np.ndarray, mixed: np.ndarray, num: int, den: int):
+    """Keys of a set in its own band of sizes and, where a pair may reach there, in the one below."""
+    n = int(u.size)
+    k, least, most = band(n, num, den)
+    wanted = band_keys(most, num, den)
+    home = group_keys(u, mixed, k, wanted) if wanted > 1 else None
+    low = None
+    if k and n * num <= (least - 1) * den:
+        below = band_keys(least - 1, num, den)
+        low = group_keys(u, mixed, k - 1, below) if below > 1 else None
+    return home, low
+
+
+def _mixed(u: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(u + U64(0x632BE59BD9B4E019))
+
+
 SHAPE = ("doc_id long, n_shingles long, set_a long, set_b long, "
          "home array<long>, low array<long>")
 
@@ -105,25 +123,45 @@ def _shapes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int):
                 if not n:
                     first.append(0), second.append(0), home.append(None), low.append(None)
                     continue
-                with np.errstate(over="ignore"):
-                    mixed = mix(u + U64(0x632BE59BD9B4E019))
-                    first.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
-                    second.append(int(mix(u ^ U64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)
-                                      .view(np.int64)))
-                k, least, most = band(n, num, den)
-                wanted = band_keys(most, num, den)
-                home.append(group_keys(u, mixed, k, wanted) if wanted > 1 else None)
-                keys = None
-                if k and n * num <= (least - 1) * den:
-                    below = band_keys(least - 1, num, den)
-                    keys = group_keys(u, mixed, k - 1, below) if below > 1 else None
-                low.append(keys)
+                mixed = _mixed(u)
+                first.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
+                second.append(int(mix(u ^ U64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)
+                                  .view(np.int64)))
+                own, below = block_keys(u, mixed, num, den)
+                home.append(own), low.append(below)
         yield pa.RecordBatch.from_arrays(
             [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
              pa.array(second, pa.int64()), pa.array(home, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))],
             ["doc_id", "n_shingles", "set_a", "set_b", "home", "low"])
 
 
+# ids as a bitmap of fixed size (2 MiB)
+
+def _spots(batches: Iterator[pa.RecordBatch]):
+    """Bits of the ids of a partition, as (word, bits)."""
+    bits = np.zeros(BITMAP, np.uint64)
+    for batch in batches:
+        spot = mix(column(batch, "doc_id").to_numpy().view(np.uint64)) >> U64(64 - 24)
+        np.bitwise_or.at(bits, (spot >> U64(6)).astype(np.int64), U64(1) << (spot & U64(63)))
+    at = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))],
+                                     ["word", "bits"])
+
+
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    rows = (ids.select("doc_id").mapInArrow(_spots, "word long, bits long").groupBy("word")
+            .agg(F.bit_or("bits").alias("bits")).toPandas())
+    bitmap = np.zeros(BITMAP, np.uint64)
+    bitmap[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
+
+
+def _hits(batch: pa.RecordBatch, bitmap: np.ndarray) -> np.ndarray:
+    """Which rows may be among the ids of the bitmap; the others certainly are not."""
+    spot = mix(column(batch, "doc_id").to_numpy().view(np.uint64)) >> U64(64 - 24)
+    return (bitmap[(spot >> U64(6)).astype(np.int64)] >> (spot & U64(63)) & U64(1)).astype(bool)
+
+
 # blocks
 
 BLOCK = "key long, doc_id long, home boolean, nth int, pivot long"
@@ -180,13 +218,51 @@ def _members(batches: Iterator[pa.RecordBatch]):
         yield from parts
 
 
-def block_rows(shapes: DataFrame) -> DataFrame:
-    """(key, doc_id, home, nth, pivot): members of all blocks with two members or more."""
-    one = shapes.select("doc_id", F.lit(True).alias("home"), F.posexplode("home").alias("nth", "run"))
-    two = shapes.select("doc_id", F.lit(False).alias("home"), F.posexplode("low").alias("nth", "run"))
-    rows = one.unionByName(two).where("run <> 0")
+KEY_ROW = "doc_id long, home boolean, nth int, run long"
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch]):
+    """One row per block key; ``nth`` is the key's place among the keys of its document."""
+    for batch in batches:
+        ids = column(batch, "doc_id").to_numpy()
+        for name in ("home", "low"):
+            lists = column(batch, name)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            keys = pc.list_flatten(lists).to_numpy()
+            nth = np.arange(keys.size) - np.repeat(np.cumsum(counts) - counts, counts)
+            some = keys != 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, counts)[some]),
+                 pa.array(np.full(int(some.sum()), name == "home")),
+                 pa.array(nth[some].astype(np.int32)), pa.array(keys[some])],
+                ["doc_id", "home", "nth", "run"])
+
+
+def block_rows(shapes: DataFrame, others: DataFrame) -> DataFrame:
+    """(key, doc_id, home, nth, pivot): members of all blocks with two members or more.
+
+    ``others`` are the rows of ``shapes`` for which another document stands. Rows that a bitmap
+    of their ids clears give their keys where they are read; only possible ones are joined.
+    """
+    same = ["doc_id", "n_shingles", "set_a", "set_b"]
+    bitmap = bitmap_of(others)
+
+    def part(marked: bool):
+        def kept(batches):
+            for batch in batches:
+                rows = batch.filter(pa.array(_hits(batch, bitmap) == marked))
+                if rows.num_rows:
+                    yield rows
+        return kept
+
+    sure, maybe = part(False), part(True)
+    rows = (shapes.select("doc_id", "home", "low")
+            .mapInArrow(lambda b: _key_rows(sure(b)), KEY_ROW)
+            .unionByName(shapes.mapInArrow(maybe, SHAPE).join(others, same, "left_anti")
+                         .select("doc_id", "home", "low").mapInArrow(_key_rows, KEY_ROW)))
     # a bounded sample only decides which keys are dealt over several tasks; at most 1/HOT_SHARE
-    some = shapes.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(64)) == 0)
+    some = shapes.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(64)) == 0).select(
+        *same, "home").join(others, same, "left_anti")
     keys = some.select(F.explode("home").alias("key")).where("key <> 0")
     total = keys.count()
     hot = [r.key for r in keys.groupBy("key").count()
@@ -215,10 +291,7 @@ def block_rows(shapes: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray):
     for batch in batches:
-        ids = column(batch, "doc_id").to_numpy()
-        spot = mix(ids.view(np.uint64)) >> U64(64 - 24)
-        wanted = bitmap[(spot >> U64(6)).astype(np.int64)] >> (spot & U64(63)) & U64(1)
-        rows = batch.filter(pa.array(wanted.astype(bool)))
+        rows = batch.filter(pa.array(_hits(batch, bitmap)))
         if not rows.num_rows:
             continue
         sets = []
@@ -229,35 +302,20 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray):
             [column(rows, "doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "items"])
 
 
-def _spots(batches: Iterator[pa.RecordBatch]):
-    """Bits of the ids of a partition, as (word, bits)."""
-    bits = np.zeros(BITMAP, np.uint64)
-    for batch in batches:
-        spot = mix(column(batch, "doc_id").to_numpy().view(np.uint64)) >> U64(64 - 24)
-        np.bitwise_or.at(bits, (spot >> U64(6)).astype(np.int64), U64(1) << (spot & U64(63)))
-    at = np.flatnonzero(bits)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))],
-                                     ["word", "bits"])
-
-
 def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, items): the shingle sets of the documents in ``ids``, read from the texts.
+    """(doc_id, items): the sorted shingle sets of the documents in ``ids``, read from the texts.
 
-    A bitmap of fixed size (2 MiB) spares most other documents; an exact join removes the rest.
+    A bitmap spares most other documents; the caller's join on doc_id removes the rest.
     """
-    rows = (ids.mapInArrow(_spots, "word long, bits long").groupBy("word")
-            .agg(F.bit_or("bits").alias("bits")).toPandas())
-    bitmap = np.zeros(BITMAP, np.uint64)
-    bitmap[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    sets = docs.mapInArrow(lambda b: _sets(b, width, bitmap), "doc_id long, items array<long>")
-    return written(sets.join(ids, "doc_id", "left_semi"), "sets")
+    bitmap = bitmap_of(ids)
+    return docs.mapInArrow(lambda b: _sets(b, width, bitmap), "doc_id long, items array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets overlap enough."""
     pairs = written(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = whole_sets(docs, ids, width)
+    sets = written(whole_sets(docs, ids, width), "sets")
     both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
             .join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a"))
     common = F.size(F.array_intersect("x", "y"))
@@ -393,13 +451,23 @@ def _search(batches: Iterator[pa.RecordBatch], num: int, den: int):
                                          ["a", "b"])
 
 
-def _points(batches: Iterator[pa.RecordBatch]):
+FACTS = "doc_id long, n_shingles long, point binary, _home array<long>, _low array<long>"
+
+
+def _facts(batches: Iterator[pa.RecordBatch], num: int, den: int):
+    """What the search needs of a set: size, point and block keys."""
     for batch in batches:
-        items = column(batch, "items")
-        rows = [point(np.sort(x.view(np.uint64))).astype("<i4").tobytes() for x in
-                (v.values.to_numpy() for v in items)]
+        sizes, points, home, low = [], [], [], []
+        for items in column(batch, "items"):
+            u = items.values.to_numpy().view(np.uint64)
+            sizes.append(u.size)
+            points.append(point(u).astype("<i4").tobytes())
+            own, below = block_keys(u, _mixed(u), num, den) if u.size else (None, None)
+            home.append(own), low.append(below)
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), pa.array(rows, pa.binary())], ["doc_id", "point"])
+            [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()),
+             pa.array(home, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "point", "_home", "_low"])
 
 
 def open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:
@@ -444,11 +512,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80,
     # one document stands for each set; the keys of the others are left out where they are read
     others = written(shapes.select("doc_id", *same).join(classes, same)
                      .where("doc_id <> class_id").drop("class_id").distinct(), "others")
-    reps = shapes.where("doc_id is not null and n_shingles > 0").select(
-        "doc_id", *same, "home", "low").join(others, ["doc_id", *same], "left_anti")
     known = docs.where("doc_id is not null")
 
-    blocks = block_rows(reps)
+    blocks = block_rows(shapes.where("doc_id is not null and n_shingles > 0"), others)
     stars = blocks.where("doc_id <> pivot").select(F.col("pivot").alias("a"),
                                                    F.col("doc_id").alias("b"))
     links = verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
@@ -458,10 +524,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80,
     rows = open_blocks(blocks, comps)
     wanted = written(rows.select("doc_id").distinct(), "wanted")
     if not wanted.isEmpty():
-        points = (whole_sets(known, wanted, width).mapInArrow(_points, "doc_id long, point binary"))
-        shape = reps.select("doc_id", "n_shingles", "home", "low")
-        facts = written(points.join(shape.withColumnsRenamed({"home": "_home", "low": "_low"}),
-                                    "doc_id"), "facts")
+        facts = written(whole_sets(known, wanted, width)
+                        .mapInArrow(lambda b: _facts(b, num, den), FACTS), "facts")
         full = rows.join(facts, "doc_id").select(
             "key", "i", "j", "doc_id", "component", "home", "nth", "part", "n_shingles", "point",
             F.slice(F.when(F.col("home"), F.col("_home")).otherwise(F.col("_low")), F.lit(1),
