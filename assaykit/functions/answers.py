@@ -47,9 +47,9 @@ def _own_line(text: Column, valid: Column) -> Column:
         F.filter(lines, lambda s: (F.length(s) == 1) & F.contains(valid, s)), F.lit(-1))
 
 
-def _restated(text: Column, choices: Column) -> Column:
+def _restated(text: Column, choices: Column, tail_chars: int | None) -> Column:
     """The single choice whose full text is repeated at the end of the response."""
-    tail = F.lower(F.right(text, F.lit(TAIL_CHARS)))
+    tail = F.lower(text if tail_chars is None else F.right(text, F.lit(tail_chars)))
     hits = F.filter(
         F.transform(choices, lambda c, i: F.when(
             (F.length(strip(c)) >= MIN_CHOICE_CHARS) & F.contains(tail, F.lower(strip(c))), i)),
@@ -57,14 +57,18 @@ def _restated(text: Column, choices: Column) -> Column:
     return F.when(F.size(hits) == 1, letter_at(F.try_element_at(hits, F.lit(1))))
 
 
-def answer_letter(text: Column, n_choices: Column, choices: Column | None = None) -> Column:
-    """The letter a response settles on, or null when it does not settle on one."""
+def answer_letter(text: Column, n_choices: Column, choices: Column | None = None,
+                  tail_chars: int | None = TAIL_CHARS) -> Column:
+    """The letter a response settles on, or null when it does not settle on one.
+
+    A repeated choice counts within the last ``tail_chars`` characters (None: anywhere).
+    """
     body = strip(text)
     valid = letters_of(n_choices)
     rules = [_announced(body, EXPLICIT, valid), _announced(body, STATEMENT, valid),
              _announced(body, MENTION, valid), _own_line(body, valid)]
     if choices is not None:
-        rules.append(_restated(body, choices))
+        rules.append(_restated(body, choices, tail_chars))
     return F.when(F.length(text) > 0, F.coalesce(*rules))
 
 

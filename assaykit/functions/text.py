@@ -15,8 +15,6 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 LETTERS = "ABCDEFGH"
 DIFFICULTIES = ("basic", "intermediate", "advanced", "expert")
 
-STEM_LENGTH = 160  # fixed value: characters of the normalised stem that identify an item
-
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
@@ -34,10 +32,10 @@ def letters_of(n: Column) -> Column:
     return F.substring(F.lit(LETTERS), F.lit(1), n)
 
 
-def stem(c: Column) -> Column:
-    """Normalised stem used for duplicate detection."""
+def stem(c: Column, length: int | None = None) -> Column:
+    """Normalised text used for duplicate detection; whole, or its first ``length`` characters."""
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
-    return F.substring(words, 1, STEM_LENGTH)
+    return words if length is None else F.substring(words, 1, length)
 
 
 def content_basis(fmt: Column, question: Column, choices: Column, prompt: Column) -> Column:

@@ -19,7 +19,8 @@ def work_grid(items: DataFrame, cohort: DataFrame, n_runs: int) -> DataFrame:
     """
     if n_runs < 1:
         raise ValueError("a run needs at least one repetition")
-    grid = fan_out(items, cohort.select("model"), "question_id")
+    grid = fan_out(require_rows(items, "items"),
+                   require_rows(cohort.select("model"), "models"), "question_id")
     return grid.withColumn("run_index", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
 
 

@@ -217,7 +217,7 @@ def _(spark, sf):
 # ---- ids, stems, duplicates ------------------------------------------------------
 
 @query("G6_stems", """
-SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 160) AS stem
+SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS stem
 FROM documents""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", stem(F.col("text")).alias("stem"))
@@ -244,7 +244,7 @@ def pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STEMS = """, st AS (SELECT doc_id, dimension, difficulty, row_number() OVER (PARTITION BY
-  substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 160) ORDER BY doc_id) AS rn,
+  trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) ORDER BY doc_id) AS rn,
   concat_ws('_', dimension, difficulty, substr(sha256(text), 1, 10)) AS question_id FROM pool),
 kept AS (SELECT * FROM st WHERE rn = 1)"""
 

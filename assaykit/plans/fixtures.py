@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaykit.functions.text import LETTERS
+
 JUDGE_DIMS = ["accuracy", "voice", "wisdom", "distinct"]
 REVIEWERS = 5
 DIFFICULTY = """CASE WHEN p_size <= 15 THEN 'basic' WHEN p_size <= 35 THEN 'intermediate'
@@ -110,28 +112,39 @@ SELECT {TEXT_PACK} AS pack, doc_id, 'open' AS format,
   CASE WHEN doc_id % 19 = 6 THEN '' ELSE 'from principle to counsel' END AS ideal
 FROM documents"""
 
-# (response ending, choices offered, expected letter); the known letter is the check.
-ANSWERS = [
-    ("reasoning...\nANSWER: B", 4, "B"), ("The correct answer is C.", 4, "C"),
-    ("blah\n\nD", 4, "D"), ("I would choose (A).", 4, "A"), ("**ANSWER: E**", 5, "E"),
-    ("first ANSWER: A ... reconsidered ANSWER: C", 4, "C"), ("answer is E", 4, None),
-    ("no letter here", 4, None), ("The answer depends on context.", 5, None),
-    ("The answer appears to be C", 5, "C"), ("ANSWER: Actually, it is unclear.", 5, None),
-    ("ANSWER: A or B", 5, None), ("The answer is C or D, hard to say.", 5, None),
-    ("The correct answer is B, though option C is tempting but option D is wrong.", 5, "B"),
-    ("Reasoning...\nANSWER: C", 5, "C"), ("blah\nANSWER: (D)", 5, "D"), ("\n**B**", 5, "B"),
-    ("I would choose E", 5, "E"), ("Final line:\nB", 5, "B"),
-    ("ANSWER: B, or a close variant of it.", 5, "B"), ("ANSWER: C or D", 5, None),
-    ("ANSWER: A/B", 4, None), ("I'd go with d", 4, "D"), ("My answer is **a**", 4, "A"),
-    ("Option B fits, though choice C was close", 4, "C"), ("answer - d", 4, "D"),
-    ("ANSWER: A or B. No wait, I would choose C", 4, "C"), ("\n(c).", 4, "C"),
-    ("It must be the second alternative", 4, "B"), ("so: THE THIRD ALTERNATIVE.", 4, "C"),
-    ("the first alternative or the second alternative", 4, None), ("", 4, None),
-]
 ANSWER_CHOICES = ["the first alternative", "the second alternative", "the third alternative",
                   "the fourth alternative", "short"]
 
 
+def _answer_endings() -> list[tuple[str, int, str | None]]:
+    """(response ending, choices offered, expected letter), built so that the letter is known.
+
+    A phrase announces a letter in one of several forms; the announcement may be hedged, out of
+    range or taken back. Otherwise a line of its own or a repeated choice tells the letter.
+    """
+    leads = ["ANSWER: ", "answer - ", "My answer is ", "I select ", "Going with ", "choice "]
+    forms = ["{}", "({})", "**{}**"]
+    openings = ["Each part was weighed. ", "", "Some of these fall away at once.\n"]
+    endings = ["", ".", ", since nothing else fits the passage."]
+    out = []
+    for i, lead in enumerate(leads):
+        for j, form in enumerate(forms):
+            letter = LETTERS[(i + 2 * j) % 4]
+            out.append((openings[j] + lead + form.format(letter) + endings[(i + j) % 3],
+                        4 + j % 2, letter))
+        out += [(f"{lead}{LETTERS[i % 4]} or {LETTERS[4 - i % 4]}", 5, None),
+                (f"{lead}{LETTERS[i % 4]}/{LETTERS[3]}", 5, None), (f"{lead}F.", 4, None),
+                (f"{lead}D at first; on a second look {lead}B", 4, "B")]
+    out += [(f"\n{form.format(LETTERS[j])}", 4, LETTERS[j]) for j, form in enumerate(forms)]
+    out += [(f"so it has to be {c.upper()}.", 4, LETTERS[i])
+            for i, c in enumerate(ANSWER_CHOICES[:4])]
+    return out + [(" and ".join(ANSWER_CHOICES[1:3]), 4, None), ("Nothing here is settled.", 4, None),
+                  ("", 4, None)]
+
+
+ANSWERS = _answer_endings()
+
+
 def _answer_case(column: int, text: bool) -> str:
     def lit(v):
         if v is None:
@@ -235,9 +248,6 @@ FROM events"""
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
-# tables whose rows become long texts, so that the work per row is large
-LOGS = ("orders", "documents", "conversations")
-
 FIXTURES = {"responses": RESPONSES, "cohort": COHORT, "bank": BANK, "taxonomy": TAXONOMY, "types": TYPES,
             "items": ITEMS, "open_items": OPEN_ITEMS, "answer_text": ANSWER_TEXT,
             "judge_base": JUDGE_BASE, "judge_text": JUDGE_TEXT, "review_base": REVIEW_BASE,
@@ -258,17 +268,8 @@ def check_sql(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, spread over the cores when its scan has fewer splits than those.
-
-    The test tables are single row groups, so everything up to the first shuffle would run
-    in one task.  A real log has many splits and is left as it is; the split count comes
-    from planning the bare scan and runs no job.
-    """
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in LOGS and scan.rdd.getNumPartitions() < cores:
-        return scan.repartition(cores)
-    return scan
+    """A test table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -122,12 +122,12 @@ def _(spark, sf):
                               mc.cohort(spark, sf), RUNS)
 
 
-PEOPLE = [("bishop",), ("teacher",), ("professor",)]
+PEOPLE = [("strict",), ("lenient",), ("expert",)]
 
 
 @query("C2_judge_jobs", AT + """
 SELECT conv_id, turn, persona FROM answer_text,
-  (VALUES ('bishop'), ('teacher'), ('professor')) p(persona) WHERE t % 3 <> 0""")
+  (VALUES ('strict'), ('lenient'), ('expert')) p(persona) WHERE t % 3 <> 0""")
 def _(spark, sf):
     r = fixture(spark, sf, "answer_text").select(
         "conv_id", "turn", F.lit("m").alias("model"), F.col("conv_id").alias("question_id"),
@@ -179,7 +179,7 @@ def _(spark, sf):
 
 @query("C9_crosscheck_jobs", using("responses") + SAMPLED + """
 SELECT model, question_id, run_index::BIGINT AS run_index, persona FROM sm,
-  (VALUES ('bishop'), ('teacher'), ('professor')) p(persona) WHERE taken""")
+  (VALUES ('strict'), ('lenient'), ('expert')) p(persona) WHERE taken""")
 def _(spark, sf):
     r = mc.responses(spark, sf).withColumn("text", F.when(F.col("call_ok"), "x").otherwise(""))
     return worklist.crosscheck_jobs(r, spark.createDataFrame(PEOPLE, "persona string"),
@@ -399,17 +399,15 @@ def timed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J2_stream_rate", """
 SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type AS model,
-  count(*) AS done FROM events
-WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY
-  <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY 1, 2""")
+  count(*) AS done FROM events GROUP BY 1, 2""")
 def _(spark, sf):
     log = timed(spark, sf)
     source = land(log, spark, "timed", 4, "at")
-    # all files in one batch, so nothing is late; windows close once the watermark passes
+    # all files in one batch, so nothing is late
     stream = intake.response_stream(spark, source, log.schema, "parquet")
     out, mark = scratch_path(spark, "rate"), scratch_path(spark, "mark")
-    intake.run_available(intake.rate(stream, "at", "1 day", "2 hours"), out, mark)
-    return spark.read.parquet(out).select(F.unix_timestamp("start").alias("start"), "model",
+    intake.run_updates(intake.rate(stream, "at", "1 day", "2 hours"), out, mark)
+    return intake.latest(spark.read.parquet(out), "start", "model").select(F.unix_timestamp("start").alias("start"), "model",
                                           "done")
 
 

@@ -55,24 +55,34 @@ def rate(stream: DataFrame, time: str, width: str, delay: str) -> DataFrame:
             .select(F.col("w.start").alias("start"), "model", "done"))
 
 
-def run_progress(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Update-mode counters to ``out``: each batch appends the models that changed, tagged
-    with the batch number; the last row of a model is its current state."""
+def run_updates(table: DataFrame, out: str, checkpoint: str) -> None:
+    """Update-mode rows to ``out``: each batch appends the rows that changed, tagged with the
+    batch number; the last row of a key is its current state, open windows included."""
     def upsert(batch: DataFrame, number: int) -> None:
         (batch.withColumn("batch", F.lit(number).cast("bigint"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch").parquet(out))
 
-    (progress(stream).writeStream.outputMode("update").foreachBatch(upsert)
+    (table.writeStream.outputMode("update").foreachBatch(upsert)
      .option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def run_progress(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """The counters of ``progress`` after each batch."""
+    run_updates(progress(stream), out, checkpoint)
+
+
+def latest(written: DataFrame, *keys: str) -> DataFrame:
+    """The last row that ``run_updates`` wrote for each key."""
+    fields = [c for c in written.columns if c not in (*keys, "batch")]
+    return (written.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r"))
+            .select(*keys, "r.*"))
+
+
 def current_progress(written: DataFrame) -> DataFrame:
     """Latest counters per model."""
-    fields = [c for c in written.columns if c not in ("model", "batch")]
-    return (written.groupBy("model").agg(F.max_by(F.struct(*fields), "batch").alias("r"))
-            .select("model", "r.*"))
+    return latest(written, "model")
 
 
 def wave_decision(strict, accept, wave):

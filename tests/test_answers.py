@@ -52,5 +52,5 @@ def test_reasoning_is_removed(spark, raw, want):
 
 def test_stem_is_normalised_and_cut(spark):
     df = spark.createDataFrame([("  What's  UP, Doc?! ",), ("ab " * 100,), ("中文",), (None,)], "t string")
-    got = [r[0] for r in df.select(stem(F.col("t"))).collect()]
+    got = [r[0] for r in df.select(stem(F.col("t"), 160)).collect()]
     assert got[0] == "what s up doc" and len(got[1]) == 160 and got[2:] == ["", ""]
