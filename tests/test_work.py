@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from assaykit import session
 from assaykit.operators import audit, cohort, prompts, worklist
 from assaykit.sources import jsonl, shards, tables
+from assaykit.session import shared_dir
 from assaykit.streaming import intake
 
 PEOPLE = ["p1", "p2", "p3"]
@@ -91,6 +92,19 @@ def test_grid_is_the_full_product(spark):
         worklist.require_rows(grid.where("false"), "grid")
     with pytest.raises(ValueError):
         worklist.work_grid(items, models, 0)
+    for empty in ((items.where("false"), models), (items, models.where("false"))):
+        with pytest.raises(ValueError):
+            worklist.work_grid(*empty, 2)
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077",
+                                            "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
 
 
 def test_missing_work_is_not_hidden_by_repeats(spark):
