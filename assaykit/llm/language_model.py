@@ -1,12 +1,16 @@
 """Language-model scoring by a weighted backoff automaton (operator 9).
 
-Every word of the training texts is counted. Words and word pairs that make up at least
-``SHARE`` of all (so at most ``1 / SHARE`` of either) become the automaton: a state per frequent
-word and one root; an arc per kept pair with its discounted log-probability; and from every
-state a failure arc to the root that charges the state's backoff weight. One left-to-right
-traversal of a text carries the state and adds up the arcs. Words too rare for the automaton
-always leave through failure arcs to the root; their log-probabilities come from a join with the
-whole table of counts, so no count is approximated and what is gathered grows with the corpus.
+Every word and every word pair of the training texts is counted. A pair seen ``MIN_PAIR`` times
+or more has an arc with its discounted log-probability, at every size of the corpus; every word
+is a state, with a failure arc to the root that charges its backoff weight. A text's score is the
+sum over its words of root arc and failure arc, corrected at each pair with an arc by what the
+arc differs from that way. So words and pairs are looked up one by one: the ``CACHE`` most
+frequent of either are held in the tasks, and all others come from joins with the whole tables
+of counts. The cache decides where a value is found and not what it is: no count is approximated
+or left out, and what is gathered grows with the corpus.
+
+A pair is known by a 64-bit hash of its two words. A bitmap of fixed size spares the join pairs
+that surely have no arc; the more pairs have one, the fewer it spares.
 
 At the root, words seen once to ``KATZ`` times have Good-Turing probabilities, unseen words
 share what the words seen once make up, and the rest is in proportion to the counts.
@@ -15,7 +19,7 @@ share what the words seen once make up, and the rest is in proportion to the cou
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.shared import written
-from assaykit.llm.words import U64, column, crc32, mix, word_slices
+from assaykit.llm.words import U64, Lookup, column, crc32, mix, word_slices
 
-SHARE = 2.0 ** -20      # of all tokens: what a word or pair needs to enter the automaton
+CACHE = 1 << 20         # words, and pairs, that every task holds
+MIN_PAIR = 2            # training count from which a pair has an arc
+TURN = 21               # bits by which the first word's hash is turned in a pair's hash
+BITS = 27               # of a pair's hash that place it in the bitmap
 DISCOUNT = 0.6
 KATZ = 5
 END = np.int64(mix(np.array([0xE0D], np.uint64)).view(np.int64)[0])   # the token after the last word
@@ -64,24 +71,42 @@ def _count(batches: Iterator[pa.RecordBatch]):
         yield rows()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray):
-    """(code, count) of pairs of frequent words in training texts."""
+def pair_codes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs within texts, and the places of their first words."""
+    inner = np.ones(max(0, words.size - 1), bool)
+    inner[bounds[1:-1] - 1] = False
+    at = np.flatnonzero(inner)
+    w = words.view(np.uint64)
+    return ((w[at] << U64(TURN)) | (w[at] >> U64(64 - TURN))) ^ w[at + 1], at
+
+
+def pair_code(u: Column, w: Column) -> Column:
+    """The hash of ``pair_codes`` in Spark."""
+    turned = F.shiftleft(u, TURN).bitwiseOR(F.shiftrightunsigned(u, 64 - TURN))
+    return turned.bitwiseXOR(w)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]):
+    """(first word, second word, count) of pairs of training texts."""
     parts: list = []
     size = 0
 
     def rows():
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["code", "count"])
+        code, u = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        code, first, counts = np.unique(code, return_index=True, return_counts=True)
+        u = u[first]
+        w = code ^ ((u << U64(TURN)) | (u >> U64(64 - TURN)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(counts)],
+            ["u", "w", "count"])
 
     for batch in batches:
         for lo, hi, hashes, at in word_slices(column(batch, "text")):
             words, bounds = with_end(hashes, at)
-            ids = places(frequent, words)
-            first = np.zeros(ids.size, bool)
-            first[bounds[:-1]] = True
-            ok = (ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:]
-            parts.append(ids[:-1][ok] * frequent.size + ids[1:][ok])
-            size += int(ok.sum())
+            code, first = pair_codes(words, bounds)
+            parts.append((code, words.view(np.uint64)[first]))
+            size += code.size
             if size > 16 * FLUSH:
                 yield rows()
                 parts, size = [], 0
@@ -89,74 +114,88 @@ def _pairs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray):
         yield rows()
 
 
-def places(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The id of each word in the sorted ``frequent``, or -1."""
-    if not frequent.size:
-        return np.full(words.size, -1, np.int64)
-    at = np.minimum(np.searchsorted(frequent, words), frequent.size - 1)
-    return np.where(frequent[at] == words, at, -1)
-
-
 @dataclass
 class Automaton:
-    frequent: np.ndarray         # hashes of the frequent words, sorted: state ids
+    """The machine in one piece, state by state: the definition that ``score`` is checked by."""
+    frequent: np.ndarray         # hashes of the words, sorted: state ids
     root: np.ndarray             # their log10 probabilities at the root
-    base: np.ndarray             # log10 (c + 1) of them
     arcs: dict[int, float]       # code of a kept pair -> log10 probability
     backoff: list[float]         # log10 backoff weight of each state
-    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))   # c > 0
 
-    def walk(self, ids: list[int], rare_root: float = 0.0) -> float:
-        """Accumulated log10 probability of a text, without the root arcs of rare words."""
-        arcs, backoff, root, n = self.arcs, self.backoff, self.root_list, self.frequent.size
-        state, total = -1, 0.0
+    def walk(self, ids: list[int]) -> float:
+        """Accumulated log10 probability of a text, without the root arcs of words without id."""
+        n, state, total = self.frequent.size, -1, 0.0
         for w in ids:
-            if state >= 0:
-                if w >= 0:
-                    p = arcs.get(state * n + w)
-                    if p is not None:
-                        total += p
-                        state = w
-                        continue
-                total += backoff[state]
-            if w >= 0:
-                total += root[w]
+            p = self.arcs.get(state * n + w) if state >= 0 and w >= 0 else None
+            if p is None:
+                total += (self.backoff[state] if state >= 0 else 0.0)
+                total += (float(self.root[w]) if w >= 0 else 0.0)
+            else:
+                total += p
             state = w
         return total
 
-    @property
-    def root_list(self) -> list[float]:
-        if not hasattr(self, "_root"):
-            self._root = self.root.tolist()
-        return self._root
 
-
-def _traverse(batches: Iterator[pa.RecordBatch], m: Automaton):
-    """Per text: tokens, sums over frequent words; and its rare words with their counts."""
+@dataclass
+class Cache:
+    """What tasks hold of the tables of words and arcs, and where arcs may be."""
+    words: np.ndarray       # hashes of the most frequent words
+    weight: np.ndarray      # their root arc and failure arc
+    base: np.ndarray        # log10 (c + 1) of them
+    arcs: np.ndarray        # hashes of the most frequent pairs
+    gain: np.ndarray        # what their arcs differ from failure and root arc
+    bitmap: np.ndarray      # of all other pairs with arcs
+
+    def tables(self):
+        if not hasattr(self, "_tables"):
+            self._tables = Lookup(self.words), Lookup(self.arcs)
+        return self._tables
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
+    def may_be(self, codes: np.ndarray) -> np.ndarray:
+        word, bit = codes >> U64(64 - BITS + 6), (codes >> U64(64 - BITS)) & U64(63)
+        return (self.bitmap[word.astype(np.int64)] >> bit) & U64(1) > 0
+
+
+def _counted(keys: np.ndarray, of: np.ndarray, texts: int):
+    """Per text, the distinct keys and their counts; ``of`` is in order."""
+    bounds = np.searchsorted(of, np.arange(texts + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        found, counts = np.unique(keys[a:b], return_counts=True)
+        yield found.view(np.int64), counts.astype(np.int32)
+
+
+def _traverse(batches: Iterator[pa.RecordBatch], m: Cache):
+    """Per text: tokens, sums over what is held; and its other words and pairs with counts."""
     for batch in batches:
-        n_tokens, n_known, base, score, rare, times = [], [], [], [], [], []
+        table, arcs = m.tables()
         for lo, hi, hashes, at in word_slices(column(batch, "text")):
             words, bounds = with_end(hashes, at)
-            ids = places(m.frequent, words)
-            hit = ids >= 0
-            of = np.repeat(np.arange(hi - lo), np.diff(bounds))
-            n_tokens.append(np.diff(bounds))
-            n_known.append(np.bincount(of[hit], m.seen[ids[hit]], minlength=hi - lo))
-            base.append(np.bincount(of[hit], m.base[ids[hit]], minlength=hi - lo))
-            codes = ids.tolist()
-            for k in range(hi - lo):
-                a, b = int(bounds[k]), int(bounds[k + 1])
-                score.append(m.walk(codes[a:b]))
-                keys, counts = np.unique(words[a:b][~hit[a:b]], return_counts=True)
-                rare.append(keys)
-                times.append(counts.astype(np.int32))
-        both = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, base)]
-        yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), column(batch, "row_id"), pa.array(both[0].astype(np.int64)),
-             pa.array(both[1].astype(np.int64)), pa.array(both[2].astype(float)),
-             pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.int64())),
-             pa.array(times, pa.list_(pa.int32()))],
-            ["doc_id", "row_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
+            n = hi - lo
+            of = np.repeat(np.arange(n), np.diff(bounds))
+            place = table.find(words.view(np.uint64))
+            hit = place >= 0
+            codes, first = pair_codes(words, bounds)
+            arc = arcs.find(codes)
+            on = arc >= 0
+            score = (np.bincount(of[hit], m.weight[place[hit]], minlength=n)
+                     + np.bincount(of[first[on]], m.gain[arc[on]], minlength=n))
+            asked = np.flatnonzero(~on)
+            asked = asked[m.may_be(codes[asked])]
+            others = [(*w, *p) for w, p in zip(
+                _counted(words[~hit], of[~hit], n), _counted(codes[asked], of[first[asked]], n))]
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id").slice(lo, n), column(batch, "row_id").slice(lo, n),
+                 pa.array(np.diff(bounds).astype(np.int64)),
+                 pa.array(np.bincount(of[hit], minlength=n).astype(np.int64)),
+                 pa.array(np.bincount(of[hit], m.base[place[hit]], minlength=n).astype(float)),
+                 pa.array(score.astype(float)),
+                 *[pa.array([o[k] for o in others], pa.list_(pa.int32() if k % 2 else pa.int64()))
+                   for k in range(4)]],
+                ["doc_id", "row_id", "n_tokens", "n_known", "base", "score", "rare", "times",
+                 "codes", "code_times"])
 
 
 def word_counts(docs: DataFrame, learnable: Column) -> DataFrame:
@@ -198,50 +237,109 @@ def root_of(n: int, v: int, ones: list[int]) -> Root:
     return Root(n, v, star, rest, unseen)
 
 
-def score(docs: DataFrame, learnable: Column, share: float = SHARE) -> DataFrame:
+def most_frequent(df: DataFrame, c: str, limit: int) -> Column:
+    """Whether ``c`` is so high that at most ``limit`` rows have it or more."""
+    grade = F.floor(16 * F.log2(c))       # at most about a thousand
+    sizes = df.where(F.col(c) > 0).groupBy(grade.alias("grade")).agg(
+        F.count("*").alias("n")).collect()
+    least, total = None, 0
+    for row in sorted(sizes, key=lambda r: -r.grade):
+        total += row.n
+        if total > limit:
+            break
+        least = row.grade
+    return F.lit(False) if least is None else (F.col(c) > 0) & (grade >= least)
+
+
+def word_arcs(docs: DataFrame, learnable: Column, counts: DataFrame,
+              root: Root) -> tuple[DataFrame, DataFrame]:
+    """Words (word, c, weight) and arcs (code, count, gain), both whole.
+
+    ``weight`` is the log10 of a word's root arc and failure arc; every state's arcs and what it
+    backs off to add up to one. ``gain`` is what a pair's arc differs from the first word's failure
+    arc and the second's root arc.
+    """
+    kept = (docs.where(learnable).select("text")
+            .mapInArrow(_pairs, "u long, w long, count long")
+            .groupBy("u", "w").agg(F.sum("count").alias("count"))
+            .where(F.col("count") >= MIN_PAIR))
+    learned = counts.where("c > 0")
+    lower = written(kept.join(learned.select(F.col("word").alias("w"),
+                                             root.log10(F.col("c")).alias("root")), "w")
+                    .select("u", pair_code(F.col("u"), F.col("w")).alias("code"), "count", "root"),
+                    "pairs")
+    states = lower.groupBy("u").agg(F.sum(F.col("count") - DISCOUNT).alias("_kept"),
+                                    F.sum(F.pow(F.lit(10.0), "root")).alias("_lower"))
+    free = F.greatest(1 - F.col("_kept") / F.col("c"), F.lit(1e-9))
+    backoff = F.coalesce(F.log10(free / F.greatest(1 - F.col("_lower"), F.lit(1e-9))), F.lit(0.0))
+    words = written(counts.join(states, counts["word"] == states["u"], "left")
+                    .select("word", "c", backoff.alias("backoff"),
+                            (root.log10(F.col("c")) + backoff).alias("weight")), "words")
+    first = words.where("c > 0").select(
+        F.col("word").alias("u"), (F.log10("c") + F.col("backoff")).alias("_less"))
+    arcs = written(lower.join(first, "u").select(
+        "code", "count",
+        (F.log10(F.col("count") - DISCOUNT) - F.col("_less") - F.col("root")).alias("gain")), "arcs")
+    return words, arcs
+
+
+def bitmap_of(arcs: DataFrame) -> np.ndarray:
+    """Bits at the first ``BITS`` bits of the arcs' hashes."""
+    bit = F.shiftrightunsigned("code", 64 - BITS)
+    found = (arcs.groupBy(F.shiftrightunsigned(bit, 6).alias("at"))
+             .agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(code, {64 - BITS}) & 63))"))
+                  .alias("bits")).toArrow())
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def score(docs: DataFrame, learnable: Column, cache: int = CACHE) -> DataFrame:
     """doc_id, row_id, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Null counts as empty: such a text is its end token alone. Rows are scored one by one, so
     repeated and null ids are kept. ``docs`` must give the same rows in the same order whenever it
     is read, as a table does. Without training texts every word is unseen. An empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. ``cache`` is the number of words, and of pairs, that tasks
+    hold; scores do not depend on it but for the order of sums.
     """
     counts = word_counts(docs, learnable)
-    total = counts.agg(F.sum("c").alias("n"), F.sum("seen").alias("all"),
-                       F.count_if(F.col("c") > 0).alias("v"),
+    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"),
                        *[F.count_if(F.col("c") == k + 1).alias(f"n{k}")
                          for k in range(KATZ + 1)]).first()
     n, v = total["n"] or 0, total["v"] or 0
     root = root_of(n, v, [total[f"n{k}"] or 0 for k in range(KATZ + 1)])
-    # at most 1 / share words reach this share of all tokens
-    often = F.col("seen") >= F.lit(share * (total["all"] or 0))
-    top = counts.where(often).select("word", "c", root.log10(F.col("c")).alias("p")).toPandas()
-    top = top.sort_values("word")
-    frequent, c = top["word"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-
-    pairs = (docs.where(learnable).select("text")
-             .mapInArrow(lambda b: _pairs(b, frequent), "code long, count long")
-             .groupBy("code").agg(F.sum("count").alias("count"))
-             .where(F.col("count") >= max(2, int(np.ceil(share * n)))).toPandas())
-    machine = automaton(frequent, c, top["p"].to_numpy(float), pairs["code"].to_numpy(np.int64),
-                        pairs["count"].to_numpy(np.int64))
+    words, arcs = word_arcs(docs, learnable, counts, root)
+    often, usual = most_frequent(words, "c", cache), most_frequent(arcs, "count", cache)
+    top = words.where(often).select("word", "c", "weight").toArrow()
+    best = arcs.where(usual).select("code", "gain").toArrow()
+    held = Cache(top["word"].to_numpy().view(np.uint64), top["weight"].to_numpy(),
+                 np.log10(top["c"].to_numpy() + 1.0), best["code"].to_numpy().view(np.uint64),
+                 best["gain"].to_numpy(), bitmap_of(arcs.where(~usual)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.monotonically_increasing_id().alias("row_id"), "text")
     walked = written(rows.mapInArrow(
-        lambda b: _traverse(b, machine),
+        lambda b: _traverse(b, held),
         "doc_id long, row_id long, n_tokens long, n_known long, base double, score double, "
-        "rare array<long>, times array<int>"), "walked")
-    rare = walked.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
-        "row_id", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    table = counts.where(~often).select("word", "c")
-    sums = (rare.join(table, "word")
-            .groupBy("row_id").agg(
-                F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-                F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("more_base"),
-                F.sum(F.col("times") * root.log10(F.col("c"))).alias("more")))
+        "rare array<long>, times array<int>, codes array<long>, code_times array<int>"), "walked")
+
+    def apart(keys: str, times: str, name: str) -> DataFrame:
+        return walked.select("row_id", F.explode(F.arrays_zip(keys, times)).alias("r")).select(
+            "row_id", F.col(f"r.{keys}").alias(name), F.col(f"r.{times}").alias("times"))
+
+    of_words = apart("rare", "times", "word").join(words.where(~often), "word").select(
+        "row_id", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),
+        (F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("base"),
+        (F.col("times") * F.col("weight")).alias("score"))
+    of_pairs = apart("codes", "code_times", "code").join(arcs.where(~usual), "code").select(
+        "row_id", F.lit(0).alias("known"), F.lit(0.0).alias("base"),
+        (F.col("times") * F.col("gain")).alias("score"))
+    sums = of_words.unionByName(of_pairs).groupBy("row_id").agg(
+        F.sum("known").alias("known"), F.sum("base").alias("more_base"),
+        F.sum("score").alias("more"))
     norm = float(np.log10(n + v + 1))
-    return (walked.drop("rare", "times").join(sums, "row_id", "left")
+    return (walked.drop("rare", "times", "codes", "code_times").join(sums, "row_id", "left")
             .select("doc_id", "row_id", "n_tokens",
                     (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
                     F.lit(n).cast("long").alias("train_tokens"),
@@ -261,9 +359,8 @@ def automaton(frequent: np.ndarray, c: np.ndarray, root: np.ndarray, codes: np.n
     lower = np.bincount(u, p_root[w] if codes.size else None, minlength=n) if codes.size else \
         np.zeros(n)
     weight = (1 - np.minimum(kept, 1 - 1e-9)) / np.maximum(1 - lower, 1e-9)
-    return Automaton(frequent, root, np.log10(c + 1.0), dict(zip(codes.tolist(),
-                                                                 np.log10(p).tolist())),
-                     np.log10(weight).tolist(), c > 0)
+    return Automaton(frequent, root, dict(zip(codes.tolist(), np.log10(p).tolist())),
+                     np.log10(weight).tolist())
 
 
 def held_out() -> Column:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import string
 import struct
@@ -324,6 +325,39 @@ def test_automaton_is_a_distribution():
         assert sum(p) + rare == pytest.approx(1)
 
 
+@pytest.mark.parametrize("cache", [0, 40, 1 << 20])
+def test_language_model_keeps_every_pair(spark, cache):
+    """Rare pairs have arcs however little the tasks hold: the same scores as one machine."""
+    rng = random.Random(4)
+    common = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.9 else f"rare{rng.randrange(150)}"
+                         for _ in range(rng.randrange(60)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = language_model.held_out()
+    seqs = [[*words(t), None] for _, t in rows]
+    train = [s for s, (i, _) in zip(seqs, rows) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(x for s in train for x in s)
+    pairs = collections.Counter(p for s in train for p in zip(s, s[1:]))
+    names = sorted({x for s in seqs for x in s}, key=str)
+    ids = {x: k for k, x in enumerate(names)}
+    n, sizes = sum(c.values()), collections.Counter(c.values())
+    root = language_model.root_of(n, len(c), [sizes[k + 1] for k in range(language_model.KATZ + 1)])
+
+    def at_root(k):
+        return math.log10(root.unseen if k == 0 else root.star[k - 1] / n
+                          if k <= language_model.KATZ else k * root.rest / n)
+
+    kept = {p: k for p, k in pairs.items() if k >= 2}
+    assert any(k == 2 for k in kept.values())
+    m = language_model.automaton(
+        np.arange(len(names)), np.array([c[x] for x in names]),
+        np.array([at_root(c[x]) for x in names]),
+        np.array([ids[a] * len(names) + ids[b] for a, b in kept]), np.array(list(kept.values())))
+    got = {r.doc_id: r.score for r in language_model.score(df, ~held, cache).collect()}
+    for s, (i, _) in zip(seqs, rows):
+        assert got[i] == pytest.approx(m.walk([ids[x] for x in s]), abs=1e-9)
+
+
 # 10
 
 @pytest.mark.parametrize("table", ["docs", "odd_docs", "no_docs"])
