@@ -4,14 +4,17 @@ Resampling n items with replacement depends on the multiset of values alone, so
 starts from a histogram ``(group, value in integer units, count)``:
 
 * the histogram is one aggregation, however many items there are;
-* a group with many distinct values is cut into chunks by value hash.  Every chunk draws
-  the same chunk totals (a multinomial over chunk weights, from a seed that names the
-  group and the shard) and then, given its own total, a multinomial over its own values.
-  Together that is exactly the multinomial over all values, and no task ever holds a
-  whole large group;
+* a group with many distinct values is halved by value hash until a chunk holds about
+  ``CHUNK_VALUES``, with no limit to the halvings.  Every chunk follows its own path from the
+  whole group, draws at each halving the same binomial as the other chunks below it (from a
+  seed that names the group, the shard and the place) and then, given its own total, a
+  multinomial over its own values.  Together that is exactly the multinomial over all
+  values, and no task ever holds a whole large group;
 * resamples are cut into shards, and each (group, chunk, shard) is one row of work for an
   Arrow kernel that returns the resampled sums;
-* sums are integers, so adding chunks is exact and ties at zero are exact.
+* sums are pairs of integers (units and the rest), so adding chunks is exact.  Values are
+  rounded to 2^-16 of a unit; a sum within one such step an item is a tie at zero, for any
+  number of runs.
 
 The result does not depend on partitioning.  ``hash_bootstrap`` draws one index per
 resampled item from a hash instead; it costs resamples x items and exists so that the
@@ -26,74 +29,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.calls import child_seed, uniform
-from assaykit.functions.exact import UNIT, in_units
+from assaykit.functions.exact import FINE, UNIT, in_fine_units, in_units
 from assaykit.operators.ranking import rank_by_hash
 from assaykit.session import cut_lineage, parallelism
 
 CHUNK_VALUES = 1024    # distinct values per chunk before a group is cut
-MAX_CHUNKS = 1024      # hash cells a group can be cut into
 SHARD_RESAMPLES = 500  # resamples per work row
 KERNEL_CELLS = 2_000_000  # drawn counts held at once by the kernel (int64)
 
 
 def value_histogram(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Histogram of non-null values in integer units."""
+    """Histogram of non-null values in fine integer units."""
     return (df.where(F.col(value).isNotNull())
-            .groupBy(*groups, in_units(F.col(value)).alias("v"))
+            .groupBy(*groups, in_fine_units(F.col(value)).alias("v"))
             .agg(F.count("*").alias("c")))
 
 
-def _chunk_of(cell: Column, chunks: Column) -> Column:
-    return F.floor(cell * chunks / MAX_CHUNKS)
-
-
 def _chunks(histogram: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per (group, chunk) with its values and the group's chunk weights.
+    """One row per (group, chunk) with its values and the weights on the way to it.
 
-    Distinct values per hash cell are counted first (at most ``MAX_CHUNKS`` rows per
-    group); from those counts every group learns how many chunks it needs, and
-    neighbouring hash cells merge into them.
+    A group with k distinct values is halved ``depth`` = log2(k / ``CHUNK_VALUES``) times by the
+    leading bits of the value hash.  ``weights`` are those of the whole group, of the half the
+    chunk is in, and so on to the chunk's own.
     """
     keyed = histogram.select(F.struct(*groups).alias("g"), "v", "c",
-                             F.pmod(F.xxhash64("v"), F.lit(MAX_CHUNKS)).alias("cell"))
-    per_cell = keyed.groupBy("g", "cell").agg(
+                             F.xxhash64("v").alias("hash"))
+    halvings = F.ceil(F.log2(F.col("k") / CHUNK_VALUES))
+    sizes = keyed.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("k")).select(
+        "g", "n", F.greatest(F.lit(0), halvings).cast("int").alias("depth"))
+    at = F.when(F.col("depth") == 0, F.lit(0).cast("bigint")).otherwise(
+        F.expr("shiftrightunsigned(hash, 64 - depth)"))
+    chunks = keyed.join(sizes, "g").groupBy("g", "n", "depth", at.alias("at")).agg(
         F.sum("c").alias("w"), F.collect_list(F.struct("v", "c")).alias("cells"))
-    sizes = per_cell.groupBy("g").agg(
-        F.sum("w").alias("n"), F.sum(F.size("cells")).alias("k"),
-        F.collect_list(F.struct("cell", "w")).alias("all_cells"))
-    needed = F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("k") / CHUNK_VALUES))
-    plan = sizes.select("g", "n", needed.alias("chunks"), F.transform(
-        F.sequence(F.lit(0).cast("bigint"), needed - 1),
-        lambda j: F.aggregate(
-            F.filter("all_cells", lambda x: _chunk_of(x["cell"], needed) == j),
-            F.lit(0).cast("bigint"), lambda acc, x: acc + x["w"])).alias("weights"))
-    return (per_cell.join(plan, "g")
-            .groupBy("g", "n", "weights", _chunk_of(F.col("cell"), F.col("chunks")).alias("at"))
-            .agg(F.flatten(F.collect_list("cells")).alias("cells"))
-            .select("g", "n", "at", "weights", F.col("cells.v").alias("values"),
-                    F.col("cells.c").alias("counts")))
+    places = (keyed.join(sizes, "g").groupBy("g", "depth", at.alias("at"))
+              .agg(F.sum("c").alias("w"))
+              .withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth"))))
+              .withColumn("node", F.expr("shiftrightunsigned(at, depth - level)")))
+    nodes = places.groupBy("g", "level", "node").agg(F.sum("w").alias("node_w"))
+    ways = (places.join(nodes, ["g", "level", "node"]).groupBy("g", "at")
+            .agg(F.sort_array(F.collect_list(F.struct("level", "node_w"))).alias("way")))
+    return chunks.join(ways, ["g", "at"]).select(
+        "g", "n", "at", F.col("way.node_w").alias("weights"), F.col("cells.v").alias("values"),
+        F.col("cells.c").alias("counts"))
+
+
+def chunk_totals(n: int, draws: int, seed: int, at: int, weights: np.ndarray) -> np.ndarray:
+    """Draws that fall to the chunk ``at``, by the binomials on the way to it."""
+    totals, depth = np.full(draws, n, dtype=np.int64), len(weights) - 1
+    for level in range(1, depth + 1):
+        node, whole, own = at >> (depth - level), int(weights[level - 1]), int(weights[level])
+        left = whole - own if node % 2 else own
+        drawn = np.random.default_rng([seed, level, node >> 1]).binomial(totals, left / whole)
+        totals = totals - drawn if node % 2 else drawn
+    return totals
 
 
 def resampled_sums(histogram: DataFrame, groups: list[str], resamples: int, seed: int,
                    label: str) -> DataFrame:
-    """Resampled sums: ``g``, ``n``, ``sums`` (one array per shard of resamples)."""
+    """Resampled sums: ``g``, ``n``, ``sums`` and ``rest`` (one array each per shard of resamples):
+    whole units and the fine units beyond them."""
     cells_limit = KERNEL_CELLS
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("array<array<bigint>>")
     def draw(n: pd.Series, size: pd.Series, group_seed: pd.Series, chunk_seed: pd.Series,
              at: pd.Series, weights: pd.Series, values: pd.Series,
              counts: pd.Series) -> pd.Series:
         out = []
         for n_i, b, gs, cs, a, w, v, c in zip(n, size, group_seed, chunk_seed, at,
                                               weights, values, counts):
-            if len(w) == 1:
-                totals = np.full(b, n_i, dtype=np.int64)
-            else:
-                rng = np.random.default_rng(int(gs))
-                step = max(1, cells_limit // len(w))
-                totals = np.concatenate([
-                    rng.multinomial(int(n_i), w / w.sum(), size=min(step, b - lo))[:, int(a)]
-                    for lo in range(0, b, step)])
+            totals = chunk_totals(int(n_i), int(b), int(gs), int(a), w)
             rng = np.random.default_rng(int(cs))
             # frequent values first: the rest is then drawn from small remainders; the
             # fixed order also makes the draw independent of how the cells arrived
@@ -101,9 +105,11 @@ def resampled_sums(histogram: DataFrame, groups: list[str], resamples: int, seed
             v, c = v[order], c[order]
             step = max(1, cells_limit // len(v))
             share = c / c.sum()
-            out.append(np.concatenate([
-                rng.multinomial(totals[lo:lo + step], share) @ v
-                for lo in range(0, b, step)]))
+            units = (v + FINE // 2) // FINE
+            parts = np.stack([units, v - units * FINE], axis=1)
+            sums = np.concatenate([rng.multinomial(totals[lo:lo + step], share) @ parts
+                                   for lo in range(0, b, step)])
+            out.append([sums[:, 0].tolist(), sums[:, 1].tolist()])
         return pd.Series(out)
 
     shards = -(-resamples // SHARD_RESAMPLES)
@@ -121,12 +127,16 @@ def resampled_sums(histogram: DataFrame, groups: list[str], resamples: int, seed
     drawn = spread.select("g", "n", "shard", draw(
         "n", "size", "group_seed", "chunk_seed", "at", "weights", "values", "counts")
         .alias("part"))
-    added = F.reduce(
-        F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))),
-        F.try_element_at("parts", F.lit(1)),
-        lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
-    return (drawn.groupBy("g", "n", "shard").agg(F.collect_list("part").alias("parts"))
-                 .select("g", "n", added.alias("sums")))
+    def added(name: str) -> Column:
+        return F.reduce(
+            F.slice(name, 2, F.greatest(F.size(name) - 1, F.lit(0))),
+            F.try_element_at(name, F.lit(1)),
+            lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
+
+    return (drawn.groupBy("g", "n", "shard").agg(
+                F.collect_list(F.col("part")[0]).alias("sums"),
+                F.collect_list(F.col("part")[1]).alias("rest"))
+                 .select("g", "n", added("sums").alias("sums"), added("rest").alias("rest")))
 
 
 def _bounds(sums: Column, n: Column, ci: float) -> Column:
@@ -144,10 +154,18 @@ def _quantile(ordered: Column, q: float) -> Column:
 
 
 def _percentiles(sums: DataFrame, ci: float) -> DataFrame:
-    """All resampled sums of a group in order (``s``, one per resample) and the bounds."""
+    """All resampled sums of a group in order (``s``, one per resample) and the bounds.
+
+    A sum of n items within n fine units, what their rounding can make of zero, is zero.
+    """
     tail = (1 - ci) / 2
+
+    def whole(units, rest):
+        x = units.cast("double") + rest / F.lit(float(FINE))
+        return F.when(F.abs(x) <= F.col("n") / F.lit(float(FINE)), F.lit(0.0)).otherwise(x)
+
     scale = F.col("n").cast("double") * UNIT
-    return (sums.groupBy("g", "n")
+    return (sums.withColumn("sums", F.zip_with("sums", "rest", whole)).groupBy("g", "n")
             .agg(F.sort_array(F.flatten(F.collect_list("sums"))).alias("s"))
             .withColumn("lo", _quantile(F.col("s"), tail) / scale)
             .withColumn("hi", _quantile(F.col("s"), 1 - tail) / scale))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assaykit.functions.exact import UNIT, in_units
+from assaykit.functions.exact import FINE, UNIT, in_fine_units
 from assaykit.operators.leaderboard import MAJORITY
 
 EXACT_BELOW = 25   # fixed value: discordant pairs up to which the binomial test is used
@@ -34,10 +34,10 @@ def shared_items(items: DataFrame, cohort: DataFrame, value: str = "p",
 
 
 def difference_histogram(shared: DataFrame) -> DataFrame:
-    """Counts of per-item differences per pair, in integer units, with the items that only
-    one side gets mostly right."""
+    """Counts of per-item differences per pair, in fine integer units, with the items that
+    only one side gets mostly right."""
     ra, rb = F.col("va") >= MAJORITY, F.col("vb") >= MAJORITY
-    return (shared.groupBy("a", "b", (in_units(F.col("va")) - in_units(F.col("vb"))).alias("v"))
+    return (shared.groupBy("a", "b", (in_fine_units(F.col("va")) - in_fine_units(F.col("vb"))).alias("v"))
             .agg(F.count("*").alias("c"), F.count_if(ra & ~rb).alias("only_a"),
                  F.count_if(~ra & rb).alias("only_b")))
 
@@ -45,8 +45,10 @@ def difference_histogram(shared: DataFrame) -> DataFrame:
 def discordance(histogram: DataFrame) -> DataFrame:
     """Shared items, mean difference and discordant counts per pair."""
     n = F.sum("c")
+    total = F.sum(F.col("v").cast("decimal(19,0)") * F.col("c").cast("decimal(12,0)"))
+    off = F.when(F.abs(total) <= n, F.lit(0.0)).otherwise(total.cast("double"))
     return histogram.groupBy("a", "b").agg(
-        n.alias("n_items"), (F.sum(F.col("v") * F.col("c")) / n / UNIT).alias("diff"),
+        n.alias("n_items"), (off / F.lit(float(FINE)) / n / UNIT).alias("diff"),
         F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"))
 
 

@@ -188,6 +188,26 @@ def test_paired_edges(spark):
     assert paired(spark, [1 / 3 + 1 / 3, 1 / 3], [2 / 3, 1 / 3]).first().p == 1.0
 
 
+def test_ties_at_zero_for_any_number_of_runs(spark):
+    for runs in (3, 23, 97, 1009):
+        a, b = [1 / runs, (runs - 2) / runs], [0, (runs - 1) / runs]
+        r = paired(spark, a, b).first()
+        assert r.p == 1.0 and r.lo == pytest.approx(-1 / runs) and r.hi == pytest.approx(1 / runs)
+    many = spark.createDataFrame([("x", "y", 1 / 23, 0.0)] * 23 + [("x", "y", 0.0, 1.0)],
+                                 "a string, b string, va double, vb double")
+    assert pairwise.discordance(pairwise.difference_histogram(many)).first().diff == 0
+
+
+def test_chunks_have_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "CHUNK_VALUES", 2)
+    df = spark.range(6000).select(F.lit("g").alias("g"), (F.col("id") / 6000).alias("p"))
+    chunks = bootstrap._chunks(bootstrap.value_histogram(df, ["g"], "p"), ["g"]).collect()
+    assert len(chunks) > 1024 and max(len(c["values"]) for c in chunks) < 16
+    assert sum(len(c["values"]) for c in chunks) == 6000
+    totals = sum(bootstrap.chunk_totals(6000, 20, 7, c["at"], np.array(c["weights"])) for c in chunks)
+    assert totals.tolist() == [6000] * 20
+
+
 def test_shared_items_vanish_without_overlap(spark):
     its = spark.createDataFrame([("a", "q1", 1.0), ("b", "q2", 1.0)],
                                 "model string, question_id string, p double")
