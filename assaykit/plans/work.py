@@ -440,11 +440,12 @@ def _(spark, sf):
         (k % 4).alias("wave"),
         F.when(k % 91 == 1, F.lit("{cut")).otherwise(body).alias("value"))
     source = scratch_path(spark, "waves")
-    for wave in range(4):  # one file per wave, landed in order
-        (log.where(F.col("wave") == wave).select("value").coalesce(1)
-            .write.mode("append").parquet(source))
-    stream = intake.response_stream(spark, source, "value string", "parquet", 1)
     counts, mark = scratch_path(spark, "counts"), scratch_path(spark, "mark")
-    intake.run_waves(stream, counts, mark)
     expected = table(spark, sf, "events").count()
+    for wave in range(4):  # a wave lands in many files and is read as one micro-batch
+        log.where(F.col("wave") == wave).select("value").write.mode("append").parquet(source)
+        intake.run_waves(intake.response_stream(spark, source, "value string", "parquet"),
+                         counts, mark)
+        if intake.finished(intake.wave_states(spark.read.parquet(counts), expected)):
+            break
     return intake.wave_states(spark.read.parquet(counts), expected)

@@ -72,6 +72,15 @@ def test_wave_decision(spark, strict, accept, wave, want):
     assert df.select(intake.wave_decision(F.col("s"), F.col("a"), F.col("w"))).first()[0] == want
 
 
+def test_open_waves_end_with_a_quorum(spark):
+    gen = lines(spark, [{"model": "m", "question_id": "q1", "run_index": 0, "call_ok": True}])
+    judged = lines(spark, [verdict("q1", p, ok=p != "p2", scored=p != "p2") for p in PEOPLE])
+    got = intake.run_open_waves(gen.withColumn("wave", F.lit(1)), judged.withColumn("wave", F.lit(2)),
+                                1, 3, 2).orderBy("waves").collect()
+    assert [(r.waves, r.strict_fail, r.accept_fail, r.decision) for r in got] == [
+        (1, 3, 1, "continue"), (2, 1, 0, "continue"), (3, 1, 0, "clean_quorum")]
+
+
 def test_cohort_selection_is_loud(spark):
     c = cohort.cohort_table(spark, [{"id": "m-4-8"}, {"id": "m-4-5", "generation": 4}])
     assert [r.model for r in cohort.select_cohort(c, " m-4-8, ").collect()] == ["m-4-8"]
