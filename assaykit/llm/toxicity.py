@@ -1,9 +1,9 @@
-"""Toxicity by class-conditional Kneser-Ney models (operator 4).
+"""Toxicity by class-conditional letter models with absolute discounting (operator 4).
 
 Two models of the same shape, one of toxic and one of ordinary text, over the stream of a text's
 letters with one mark between words. The probability of a letter after the letters before it is
-discounted absolutely in each class, and what the discount frees goes to a lower order whose
-counts both classes share: an expression that a class has rarely seen is smoothed towards the
+discounted absolutely in each class, and what the discount frees goes to the estimate of the same
+order that both classes' counts give together (no continuation counts, no lower order): an expression that a class has rarely seen is smoothed towards the
 common model, and one that neither knows says nothing. A text's evidence is the difference of
 its two log-likelihoods divided by its length; a logistic curve, fitted on labelled rows that
 the counts have not seen, turns it into a score. Orders above the word (pairs of words) and
