@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import (exact_dedup, fingerprints, jaccard_join, language_id, language_model,
+from assaykit.llm import (conversation_queries, exact_dedup, fingerprints, jaccard_join, language_id, language_model,
                           mixing, packing, token_counts, toxicity, url_filters)
 from assaykit.llm.shared import table
 from assaykit.session import scratch_path
@@ -173,6 +173,7 @@ FROM taken"""
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_fingerprints, op3_token_counts, op4_toxicity, op5_url_filter,
-    op6_language_id, op7_jaccard_join, op8_mixing, op9_lm_scores, op10_packing, pipeline)}
+    op6_language_id, op7_jaccard_join, op8_mixing, op9_lm_scores, op10_packing,
+    pipeline)} | conversation_queries.QUERIES
 CHECKS = {"op1_exact_dedup": EXACT_SQL, "op5_url_filter": URL_SQL,
-          "op7_jaccard_join": JACCARD_SQL, "op8_mixing": MIXING_SQL}
+          "op7_jaccard_join": JACCARD_SQL, "op8_mixing": MIXING_SQL} | conversation_queries.CHECKS

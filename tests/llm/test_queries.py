@@ -13,7 +13,7 @@ from assaykit.llm.shared import written
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     rel = con.sql(CHECKS[name])
