@@ -80,3 +80,11 @@ def letter_matches_key(letter: Column, answer_index: Column) -> Column:
 def harness_letter(text: Column) -> Column:
     """The stricter extraction used by the generative harness task: last ``ANSWER: X``."""
     return F.try_element_at(F.regexp_extract_all(text, F.lit(HARNESS), F.lit(1)), F.lit(-1))
+
+
+def exact_match(letter: Column, target: Column) -> Column:
+    """1.0 where two answers agree without case and punctuation; no answer agrees with none."""
+    def plain(c: Column) -> Column:
+        return F.lower(F.regexp_replace(c, r"\p{Punct}", ""))
+
+    return F.coalesce((plain(letter) == plain(target)).cast("double"), F.lit(0.0))

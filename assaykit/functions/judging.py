@@ -2,83 +2,92 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 16          # nesting that the pattern follows; with more braces a scan takes over
+from assaykit.session import computed_once
+
+PATTERN_DEPTH = 8       # nesting that the pattern follows; it hands on what is deeper
 LOW, HIGH = 1.0, 5.0    # fixed values: the rating scale
 
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
 
 
-def _balanced_object() -> str:
-    """Possessive pattern for one balanced ``{...}`` that skips braces inside strings."""
-    return reduce(lambda inner, _: rf'\{{(?:[^{{}}"]++|{_STRING}|{inner})*+\}}',
-                  range(MAX_DEPTH - 1), rf'\{{(?:[^{{}}"]++|{_STRING})*+\}}')
+def _pattern(strings: bool) -> str:
+    """Possessive pattern: group 1 is one balanced ``{...}``; empty where an object does not
+    close within ``PATTERN_DEPTH``, which also ends the search."""
+    plain = rf'[^{{}}"]++|{_STRING}' if strings else "[^{}]++"
+    body = reduce(lambda inner, _: rf"\{{(?:{plain}|{inner})*+\}}", range(PATTERN_DEPTH - 1),
+                  rf"\{{(?:{plain})*+\}}")
+    return rf"(?s)({body})|\{{.*"
 
 
-# An object that never closes swallows the rest of the text, as a left-to-right brace
-# count would; the swallowed piece is not valid JSON and is dropped by the parse below.
-OBJECTS = rf"(?s){_balanced_object()}|\{{.*"
+_PATTERNS = {strings: _pattern(strings) for strings in (True, False)}
+_TOKENS = {True: re.compile(r'[{}]|"(?:[^"\\]++|\\.)*+(?:"|\\?\Z)', re.S), False: re.compile("[{}]")}
 
 
-def scanned(text: Column, strings: bool = True) -> Column:
-    """Top-level balanced ``{...}`` spans of any depth, in order, by one pass over the characters.
+def spans(text: str, strings: bool = True) -> list[str]:
+    """Top-level balanced ``{...}`` of any depth, in order.
 
-    Braces inside strings of an object do not count, unless ``strings`` is off.
+    Braces and whole strings are the only tokens; the depth is their running sum and an object
+    ends where it returns to 0. One that never closes swallows the rest and is none.
     """
-    start = F.struct(
-        F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(0).alias("first"),
-        F.lit(False).alias("quoted"), F.lit(False).alias("escaped"),
-        F.array().cast("array<struct<first:int,size:int>>").alias("spans"))
-
-    def step(s: Column, c: Column) -> Column:
-        pos, free = s.pos + 1, ~s.quoted
-        inside = s.depth > 0
-        opens, closes = free & (c == "{"), free & inside & (c == "}")
-        depth = s.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
-        span = F.struct(s["first"].alias("first"), (pos - s["first"] + 1).alias("size"))
-        quote = inside & (c == '"') & ~s.escaped if strings else F.lit(False)
-        return F.struct(
-            pos.alias("pos"), depth.alias("depth"),
-            F.when(opens & ~inside, pos).otherwise(s["first"]).alias("first"),
-            F.when(quote, free).otherwise(s.quoted).alias("quoted"),
-            (s.quoted & ~s.escaped & (c == "\\")).alias("escaped"),
-            F.when(closes & (depth == 0), F.array_append(s.spans, span))
-            .otherwise(s.spans).alias("spans"))
-
-    return F.transform(F.aggregate(F.split(text, ""), start, step, lambda s: s.spans),
-                       lambda x: F.substring(text, x["first"], x["size"]))
-
-
-def many_braces(text: Column) -> Column:
-    """Whether a text may nest deeper than the patterns follow."""
-    return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) > MAX_DEPTH
-
-
-def objects(text: Column) -> Column:
-    """Top-level balanced ``{...}`` spans, in order."""
-    return (F.when(many_braces(text), scanned(text))
-            .otherwise(F.regexp_extract_all(text, F.lit(OBJECTS), F.lit(0))))
-
-
-def last_json(text: Column, required: list[str] | None = None) -> Column:
-    """The last span that parses as a JSON object and holds all ``required`` keys.
-
-    Returned as a JSON string.  Keys must be present; their values may be null.
+    out, at = [], text.find("{")
+    while at >= 0:
+        depth, end = 0, -1
+        for token in _TOKENS[strings].finditer(text, at):
+            first = text[token.start()]
+            depth += 1 if first == "{" else -1 if first == "}" else 0
+            if depth == 0:
+                end = token.end()
+                break
+        if end < 0:
+            break
+        out.append(text[at:end])
+        at = text.find("{", end)
+    return out
+
+
+def _scanner(strings: bool):
+    @F.pandas_udf("array<string>")
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else spans(t, strings))
+
+    return scan
+
+
+def with_objects(df: DataFrame, text: Column, into: str, strings: bool = True) -> DataFrame:
+    """Adds the top-level balanced ``{...}`` spans of a text, in order, null for a null text.
+
+    The pattern finds them where no object nests deeper than it follows and all close. Other
+    texts go to the token scan, which has the same meaning of an object; the rest pass it
+    by as nulls. Braces inside strings of an object do not count, unless ``strings`` is off.
     """
-    def usable(s: Column) -> Column:
-        ok = F.try_parse_json(s).isNotNull()
-        if required:
-            keys = F.json_object_keys(s)
-            ok = ok & F.coalesce(
-                reduce(lambda a, b: a & b, [F.array_contains(keys, k) for k in required]),
-                F.lit(False))
-        return ok
-
-    return F.try_element_at(F.filter(objects(text), usable), F.lit(-1))
+    found = df.select("*", text.alias("_text"), computed_once(
+        F.regexp_extract_all(text, F.lit(_PATTERNS[strings]), F.lit(1))).alias("_found"))
+    unsure = F.try_element_at("_found", F.lit(-1)) == ""
+    deep = _scanner(strings)(F.when(unsure, F.col("_text")))
+    return found.withColumn(into, F.coalesce(deep, "_found")).drop("_text", "_found")
+
+
+def with_last_object(df: DataFrame, text: Column, into: str,
+                     required: list[str] | None = None) -> DataFrame:
+    """Adds the last span that parses as a JSON object and holds all ``required`` keys, as a
+    VARIANT; null without one. Keys must be present; their values may be null. Each span is
+    parsed once."""
+    def usable(v: Column) -> Column:
+        # a JSON null is a value here, a missing key is none
+        has = [F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in required or []]
+        return reduce(lambda a, b: a & b, has, v.isNotNull())
+
+    parsed = F.transform(F.col("_spans"), lambda s: F.try_parse_json(s))
+    return (with_objects(df, text, "_spans")
+            .select("*", computed_once(F.try_element_at(F.filter(parsed, usable), F.lit(-1)))
+                    .alias(into)).drop("_spans"))
 
 
 def number(payload: Column, key: str) -> Column:

@@ -9,9 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assaykit.functions.exact import exact_mean
-from assaykit.functions.judging import last_json, rating, strict_number, tally
+from assaykit.functions.judging import rating, strict_number, tally, with_last_object
 from assaykit.operators.leaderboard import sem
-from assaykit.session import computed_once
 
 FULL = 100.0  # fixed value: the composite scale
 TRIPLE = ("model", "question_id", "run_index")
@@ -30,9 +29,8 @@ def primary(verdicts: DataFrame) -> DataFrame:
 def parse_verdicts(raw: DataFrame, dims: list[str], text: str = "text") -> DataFrame:
     """Adds ``scores`` (VARIANT, null when nothing usable was found) and ``parse_ok``."""
     ok = F.coalesce(F.col("call_ok"), F.lit(True)) if "call_ok" in raw.columns else F.lit(True)
-    payload = F.when(ok, F.try_parse_json(last_json(F.col(text), dims)))
-    return (raw.select("*", computed_once(payload).alias("scores"))
-               .withColumn("parse_ok", F.col("scores").isNotNull()))
+    return (with_last_object(raw, F.when(ok, F.col(text)), "scores", dims)
+            .withColumn("parse_ok", F.col("scores").isNotNull()))
 
 
 def sanitise(verdicts: DataFrame, dims: list[str]) -> DataFrame:
@@ -41,7 +39,7 @@ def sanitise(verdicts: DataFrame, dims: list[str]) -> DataFrame:
     hits, total = tally(v, HITS), tally(v, TOTAL)
     counted = hits.isNotNull() & (total != 0)
     # an empty payload is no judge
-    judged = v.isNotNull() & (F.size(F.json_object_keys(F.to_json(v))) > 0)
+    judged = v.isNotNull() & (F.to_json(v) != "{}")
     return (verdicts
             .withColumns({d: rating(v, d) for d in dims})
             .withColumn("hits", F.when(counted, F.least(hits, total)))

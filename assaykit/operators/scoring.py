@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.answers import answer_letter, letter_matches_key
+from assaykit.functions.answers import (answer_letter, exact_match, harness_letter,
+                                       letter_matches_key)
 from assaykit.functions.calls import any_served_ok, served_ok
 from assaykit.functions.exact import exact_mean
+from assaykit.functions.text import letter_at
 from assaykit.operators.ranking import kth_value
 
 ARTIFACT_COST_RATIO = 0.5  # fixed value: share of the median cost that marks own pricing
@@ -134,6 +136,13 @@ def quick_accuracy(scored: DataFrame) -> DataFrame:
         F.try_divide(F.count_if(ok & ~F.col("parse_ok")), F.count_if(ok)).alias("parse_fail"))
 
 
+def harness_mean(responses: DataFrame, by: list[str]) -> DataFrame:
+    """Mean exact match of the harness letter with the key, over all responses of a group."""
+    target = letter_at(F.col("answer_index"))
+    return responses.groupBy(*by).agg(F.count("*").alias("n"), F.avg(exact_match(
+        harness_letter(F.col("text")), target)).alias("exact_match"))
+
+
 def quick_composite(open_scores: DataFrame) -> DataFrame:
     """Record-level mean composite of the scored panels."""
     return (open_scores.where(F.col("composite_100").isNotNull()).groupBy("model")

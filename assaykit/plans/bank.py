@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.functions.judging import last_json
+from assaykit.functions.judging import with_last_object
 from assaykit.functions.text import content_basis, content_id, stem
 from assaykit.operators import bank, prompts, reliability, reviews, validate, worklist
 from assaykit.plans.fixtures import REVIEWERS, VALID, fixture, table
@@ -462,9 +462,9 @@ def _(spark, sf):
         "question_id", F.regexp_extract("persona", "([0-9]+)", 1).cast("int").alias("reviewer"),
         F.concat(F.lit('Thinking {"a": {"b": "}"}} so: '), F.col("review"),
                  F.lit(" {trailing")).alias("text"))
-    v = F.try_parse_json(last_json(F.col("text")))
-    return noisy.where(F.col("text").isNotNull()).select(
-        "question_id", "reviewer", F.try_variant_get(v, "$.clarity", "int").alias("clarity"))
+    found = with_last_object(noisy.where(F.col("text").isNotNull()), F.col("text"), "v")
+    return found.select("question_id", "reviewer",
+                        F.try_variant_get("v", "$.clarity", "int").alias("clarity"))
 
 
 @query("C7_latest_reviews", RV + LATEST + """
@@ -625,10 +625,12 @@ def _(spark, sf):
 
 
 def array_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Responses holding item arrays: clean, fenced, broken, or none."""
+    """Responses holding item arrays: clean, fenced, broken, or none; some nest deeply."""
     k = F.col("p_partkey")
     a = F.concat(F.lit('{"id": '), k.cast("string"), F.lit(', "t": "x"}'))
-    b = F.concat(F.lit('{"id": -'), k.cast("string"), F.lit(', "in": {"d": 1}}'))
+    levels = (1 + k % 25).cast("int")
+    b = F.concat(F.lit('{"id": -'), k.cast("string"), F.lit(', "in": '),
+                 F.repeat(F.lit('{"d": '), levels), F.lit("1"), F.repeat(F.lit("}"), levels), F.lit("}"))
     text = (F.when(k % 4 == 0, F.concat(F.lit("["), a, F.lit(", "), b, F.lit("]")))
              .when(k % 4 == 1, F.concat(F.lit("Sure:\n```json\n["), a, F.lit("]\n``` done")))
              .when(k % 4 == 2, F.concat(F.lit("["), a, F.lit(" oops "), b, F.lit(", {bad}]")))
@@ -642,7 +644,7 @@ SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN [0, 1] WHEN 1 THEN [0] W
   unnest(CASE p_partkey % 4 WHEN 0 THEN [p_partkey, -p_partkey] WHEN 1 THEN [p_partkey]
     WHEN 2 THEN [p_partkey, -p_partkey] ELSE [] END) AS id FROM part""")
 def _(spark, sf):
-    rows = array_texts(spark, sf).select(
-        "p_partkey", F.posexplode(shards.array_items(F.col("text"))).alias("pos", "json"))
+    rows = shards.with_array_items(array_texts(spark, sf), "text", "items").select(
+        "p_partkey", F.posexplode("items").alias("pos", "json"))
     return rows.select("p_partkey", "pos", F.try_variant_get(
         F.try_parse_json("json"), "$.id", "bigint").alias("id"))

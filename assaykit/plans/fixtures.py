@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from assaykit.functions.text import LETTERS
+from assaykit.session import spread
 
 JUDGE_DIMS = ["accuracy", "voice", "wisdom", "distinct"]
 REVIEWERS = 5
@@ -157,8 +158,11 @@ def _answer_case(column: int, text: bool) -> str:
                                 for i, a in enumerate(ANSWERS)) + " END"
 
 
+# The conversation comes quoted, line by line, so that only the ending can announce a letter or
+# hold one on a line of its own.
 ANSWER_TEXT = f"""
-SELECT conv_id, turn, t, concat(text, chr(10), 'Then. ', {_answer_case(0, True)}) AS text,
+SELECT conv_id, turn, t, concat('> ', replace(text, chr(10), concat(chr(10), '> ')), chr(10),
+    'Then. ', {_answer_case(0, True)}) AS text,
   {_answer_case(1, False)} AS n_choices, {_answer_case(2, True)} AS expected,
   (conv_id + turn) % 4 AS answer_index
 FROM (SELECT *, (conv_id * 8 + turn) % {len(ANSWERS)} AS t FROM conversations) c"""
@@ -254,6 +258,11 @@ FIXTURES = {"responses": RESPONSES, "cohort": COHORT, "bank": BANK, "taxonomy":
             "reviews": REVIEWS, "pool": POOL, "calls": CALLS}
 
 
+# The table whose rows a fixture expands into texts or a log; small files come in one split.
+LARGE = {"responses": "lineitem", "answer_text": "conversations", "judge_base": "orders",
+         "judge_text": "orders", "reviews": "part", "review_base": "part"}
+
+
 def _spark_sql(sql: str) -> str:
     sql = re.sub(r"\$unnest\(([^$]*)\)\$", r"explode(array(\1))", sql)
     sql = sql.replace("$[]$", "cast(array() as array<string>)")
@@ -285,5 +294,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         sql = sql.replace("{", "{{").replace("}", "}}")
         for k, v in marks.items():
             sql = sql.replace(v, k)
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used
-                             if "{%s}" % t in sql})
+    tables = {t: table(spark, sf_dir, t) for t in used if "{%s}" % t in sql}
+    if LARGE.get(name) in tables:
+        tables[LARGE[name]] = spread(tables[LARGE[name]])
+    return spark.sql(sql, **tables)

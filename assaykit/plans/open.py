@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions.exact import UNIT
-from assaykit.functions.judging import objects, rating, tally
+from assaykit.functions.judging import rating, tally, with_objects
 from assaykit.operators import audit, bootstrap, leaderboard, panel, reliability, scoring
 from assaykit.plans import analysis, mc
 from assaykit.plans.fixtures import JUDGE_DIMS, fixture, table
@@ -61,13 +61,14 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict log lines; every 53rd is damaged and some predate the role field."""
+    ratings = F.struct(*[F.col(c).alias(d) for c, d in zip("abce", DIMS, strict=True)])
     body = F.to_json(F.struct(
         "model", "question_id", "run_index", "persona",
-        F.when(F.col("seq") % 3 != 0, F.col("judge_role")).alias("judge_role"),
-        (F.col("seq") % 59 != 0).alias("call_ok"), "scores"))
+        F.when(F.col("seq") % 3 != 0, F.col("role")).alias("judge_role"),
+        (F.col("seq") % 59 != 0).alias("call_ok"), F.when(~F.col("prose"), ratings).alias("scores")))
     line = (F.when(F.col("seq") % 53 == 0, F.concat(F.lit("{truncated "), body))
             .when(F.col("seq") % 61 == 1, F.lit("   ")).otherwise(body))
-    return verdicts(spark, sf).select(computed_once(line).alias("value"))
+    return fixture(spark, sf, "judge_base").select(computed_once(line).alias("value"))
 
 
 def response_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,11 +92,16 @@ def _(spark, sf):
 
 
 @query("G3_object_counts", J + """
-SELECT model, count(*) AS n, sum(CASE WHEN prose THEN 1 ELSE 3 END)::BIGINT AS n_objects
+SELECT model, count(*) AS n,
+  sum(seq % 31 + CASE WHEN prose THEN 1 ELSE 3 END)::BIGINT AS n_objects
 FROM judge_base GROUP BY model""")
 def _(spark, sf):
-    return fixture(spark, sf, "judge_text").groupBy("model").agg(
-        F.count("*").alias("n"), F.sum(F.size(objects(F.col("text")))).alias("n_objects"))
+    # up to 30 more flat objects, then one that never closes
+    text = F.concat("text", F.repeat(F.lit(' {"x": "{"}'), (F.col("seq") % 31).cast("int")),
+                    F.lit(" and {so on"))
+    found = with_objects(fixture(spark, sf, "judge_text"), text, "spans")
+    return found.groupBy("model").agg(
+        F.count("*").alias("n"), F.sum(F.size("spans")).alias("n_objects"))
 
 
 @query("G5_sanitised_numbers", J + TYPED + """

@@ -266,6 +266,23 @@ def _(spark, sf):
                        F.col("harness").eqNullSafe(F.col("full")).alias("agrees"))
 
 
+@query("G17_harness_mean", AT + f"""
+SELECT 'm' || (conv_id % 5) AS model, count(*) AS n,
+  round(avg(CASE WHEN {HARNESS_CASE} = substr('ABCDEFGH', CAST(answer_index AS INT) + 1, 1)
+    THEN 1.0 ELSE 0.0 END), 6) AS exact_match FROM answer_text GROUP BY 1""")
+def _(spark, sf):
+    model = F.concat(F.lit("m"), (F.col("conv_id") % 5).cast("string"))
+    return scoring.harness_mean(answers(spark, sf).withColumn("model", model), ["model"])
+
+
+@query("G1_letters_whole_text", AT + """
+SELECT conv_id, turn, expected AS letter FROM answer_text""")
+def _(spark, sf):
+    # a restated choice counts anywhere in the response, not only in its closing characters
+    return answers(spark, sf).select("conv_id", "turn", answer_letter(
+        F.col("text"), F.col("n_choices"), F.col("choices"), tail_chars=None).alias("letter"))
+
+
 @query("G13_without_reasoning", """
 SELECT conv_id, turn, md5(regexp_replace(CASE WHEN turn % 3 = 0 THEN text
   ELSE ' tail ' || text END, '^\\s+|\\s+$', '', 'g')) AS digest FROM conversations""")

@@ -20,6 +20,15 @@ def parallelism(spark: SparkSession) -> int:
     return max(shuffle, spark.sparkContext.defaultParallelism)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores, where its files give fewer splits than there are cores.
+
+    For stages that cost much CPU per row; an input of many splits is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see (``spark.checkpoint.dir``).
 

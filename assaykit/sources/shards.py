@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.functions.judging import MAX_DEPTH, many_braces, scanned
+from assaykit.functions.judging import with_objects
 from assaykit.functions.text import without_fences
-
-# Braces are counted without regard to strings here, unlike in judge payloads.
-SALVAGE = "(?s)" + reduce(lambda inner, _: rf"\{{(?:[^{{}}]++|{inner})*+\}}",
-                          range(MAX_DEPTH - 1), r"\{[^{}]*+\}") + r"|\{.*"
+from assaykit.session import computed_once
 
 
 def read_shards(spark: SparkSession, pattern: str) -> DataFrame:
@@ -66,19 +62,18 @@ def split_objects(shards: DataFrame, *keys: str) -> DataFrame:
             .where(F.json_object_keys("json").isNotNull()))
 
 
-def array_items(text: Column) -> Column:
-    """Items of the outermost JSON array in a response, as JSON strings.
+def with_array_items(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Adds the items of the outermost JSON array in a response, as JSON strings.
 
-    When the bracketed part does not parse, its objects are salvaged one by one; null when
-    there is nothing to take.
+    When the bracketed part does not parse, its objects are salvaged one by one, and braces are
+    counted without regard to strings there; null when there is nothing to take.
     """
-    plain = without_fences(text)
-    body = F.regexp_extract(plain, r"(?s)\[.*\]", 0)
-    parsed = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
-    inside = F.substring(body, F.lit(2), F.length(body) - 2)
-    spans = (F.when(many_braces(inside), scanned(inside, strings=False))
-             .otherwise(F.regexp_extract_all(inside, F.lit(SALVAGE), F.lit(0))))
-    salvaged = F.filter(spans, lambda s: F.try_parse_json(s).isNotNull())
-    return F.when(body != "", F.coalesce(
-        F.transform(parsed, lambda v: F.to_json(v)),
-        F.when(F.size(salvaged) > 0, salvaged)))
+    body = F.regexp_extract(without_fences(F.col(text)), r"(?s)\[.*\]", 0)
+    parsed = F.try_variant_get(F.try_parse_json("_body"), "$", "array<variant>")
+    rows = (df.select("*", computed_once(body).alias("_body"))
+            .select("*", computed_once(F.transform(parsed, lambda v: F.to_json(v))).alias("_items")))
+    broken = F.when(F.col("_items").isNull() & (F.col("_body") != ""),
+                    F.substring("_body", F.lit(2), F.length("_body") - 2))
+    salvaged = F.filter("_spans", lambda s: F.try_parse_json(s).isNotNull())
+    return (with_objects(rows, broken, "_spans", strings=False)
+            .select(*df.columns, F.coalesce("_items", F.when(F.size(salvaged) > 0, salvaged)).alias(into)))

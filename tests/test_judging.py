@@ -2,9 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from assaykit.functions.judging import last_json, objects, scanned
+from assaykit.functions.judging import PATTERN_DEPTH, spans, with_last_object, with_objects
 from assaykit.operators import panel
-from assaykit.sources.shards import array_items
+from assaykit.sources.shards import with_array_items
 
 DIMS = ["accuracy", "voice", "wisdom", "distinct"]
 
@@ -23,12 +23,24 @@ def panels(spark, payloads):
     return panel.panel_scores(panel.sanitise(panel.primary(df), DIMS), DIMS).first()
 
 
+def last(spark, text, required=None):
+    df = spark.createDataFrame([(text,)], "t string")
+    got = with_last_object(df, F.col("t"), "v", required).select(F.to_json("v")).first()[0]
+    return got and json.loads(got)
+
+
+def found(spark, texts, **kw):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r.o for r in with_objects(df, F.col("t"), "o", **kw).orderBy("i").collect()]
+
+
 def test_last_object_wins_and_strings_hide_braces(spark):
     t = 'prefix {"a":1} mid {"b":2, "c": "close} but {open", "d": {"e": {"f": []}}} end'
-    df = spark.createDataFrame([(t,)], "t string")
-    assert json.loads(df.select(last_json(F.col("t"))).first()[0])["c"] == "close} but {open"
-    assert json.loads(df.select(last_json(F.col("t"), ["a"])).first()[0]) == {"a": 1}
-    assert df.select(last_json(F.col("t"), ["zz"])).first()[0] is None
+    assert last(spark, t)["c"] == "close} but {open"
+    assert last(spark, t, ["a"]) == {"a": 1}
+    assert last(spark, t, ["zz"]) is None
+    assert last(spark, t + ' {"a": null}', ["a"]) == {"a": None}   # a null value is present
+    assert last(spark, t + ' {"a": 2, "a": 3} {"a": oops}', ["a"]) == {"a": 1}
 
 
 def scan(text):
@@ -55,10 +67,27 @@ def test_spans_equal_brace_counting(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choice('{}"\\a:1 \n') for _ in range(rng.randrange(40)))
              for _ in range(2000)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for r in df.select("t", objects(F.col("t")).alias("o")).collect():
-        closed = r.o if r.o == scan(r.t) else r.o[:-1]  # an unclosed rest may come last
-        assert closed == scan(r.t), r.t
+    texts += [t + tail for t in texts[:300] for tail in (nested(30), nested(12) + " {", '{"' * 12)]
+    for t, o in zip(texts, found(spark, texts), strict=True):
+        assert o == scan(t) == spans(t), t
+
+
+def test_one_meaning_of_an_object_at_every_size(spark):
+    """Depth, number of objects and an unclosed tail do not change what an object is."""
+    for levels in (1, PATTERN_DEPTH, PATTERN_DEPTH + 1, 20, 60):
+        for flat in (0, 1, 30):
+            want = [nested(levels)] + ['{"x": "{"}'] * flat
+            text = "so " + " and ".join(want)
+            assert found(spark, [text, text + " {open", text + ' {"a": "'] ) == [want] * 3
+    assert found(spark, [None, "", "none", "{"]) == [None, [], [], []]
+
+
+def test_plain_texts_skip_the_scan(spark):
+    """Only texts with an object that the pattern cannot close reach Python."""
+    df = spark.createDataFrame([("{} " * 50,), (nested(PATTERN_DEPTH),)], "t string")
+    plan = with_objects(df, F.col("t"), "o")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "CASE WHEN" in plan
+    assert spans("{a {b} c} }{ {d}") == ["{a {b} c}"]
 
 
 def test_malformed_counts_are_missing(spark):
@@ -116,25 +145,15 @@ def test_objects_of_any_depth(spark):
         nested(3) + "} x " + nested(18) + nested(2): [nested(3), nested(18), nested(2)],
         "{" * 30: [],
     }
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
-        "t", objects(F.col("t")).alias("o"), last_json(F.col("t")).alias("last"))
-    for r in got.collect():
-        assert r.o == texts[r.t]
-        assert r.last == (texts[r.t][-1] if texts[r.t] else None)
-
-
-def test_pattern_and_scan_agree(spark):
-    texts = ['x {"a": "}"} y {"b": {"c": 1}}', '{"a": "\\\\"}{"b": 2}', '"{" {"a": 1}', "", "}}{}", None]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
-        objects(F.col("t")).alias("a"), scanned(F.col("t")).alias("b")).collect()
-    parsed = [[s for s in r.a if s.count("{") == s.count("}") or '"}"' in s] if r.a else r.a for r in rows]
-    assert parsed == [r.b for r in rows]
+    for (t, want), o in zip(texts.items(), found(spark, texts), strict=True):
+        assert o == want
+        assert last(spark, t) == (json.loads(want[-1]) if want else None)
 
 
 def test_salvage_of_deep_items(spark):
     text = f"[{nested(30)}, {nested(2)}, broken"
-    got = spark.createDataFrame([(text + "]",)], "t string").select(array_items(F.col("t"))).first()[0]
-    assert got == [nested(30), nested(2)]
+    df = spark.createDataFrame([(text + "]",)], "t string")
+    assert with_array_items(df, "t", "v").first().v == [nested(30), nested(2)]
 
 
 def test_last_of_repeated_crosschecks_counts(spark):

@@ -189,7 +189,7 @@ def test_shards(spark, tmp_path):
 def test_array_items(spark):
     texts = ['x [{"a":1},{"b":[2]}] y', '[{"a":1} {"b":2},{"c":}]', "none", "[broken", "[]", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.v for r in df.select("i", shards.array_items(F.col("t")).alias("v")).collect()}
+    got = {r.i: r.v for r in shards.with_array_items(df, "t", "v").collect()}
     assert got[0] == ['{"a":1}', '{"b":[2]}'] and got[1] == ['{"a":1}', '{"b":2}']
     assert got[2] is None and got[3] is None and got[4] == [] and got[5] is None
 
