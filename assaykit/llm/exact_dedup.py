@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.shared import written
+from assaykit.llm.shared import with_rows, written
 from assaykit.llm.words import SLICE_BYTES, U64, VALUES, buffers, column, mix, slices
 
 MIN_CHUNK, AVERAGE_BITS, MAX_CHUNK = 512, 11, 16384
@@ -115,11 +115,6 @@ def clashes(recipes: DataFrame, width: int) -> DataFrame:
             .where("least <> most"))
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row_id``: the place of a row, the same each time ``docs`` is read."""
-    return docs.withColumn("_llm_row", F.monotonically_increasing_id())
-
-
 def recipe_table(docs: DataFrame, digest: Callable[[bytes], bytes] = _digest) -> DataFrame:
     """One row per document: doc_id, row_id, text_sha256, recipe (verified identifiers)."""
     rows = with_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"),

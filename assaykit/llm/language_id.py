@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.llm.shared import with_rows, written
 from assaykit.llm.tokens import text_slices
 from assaykit.llm.words import U64, Lookup, code_points, column, crc32, letter_runs, letters, mix
 
 LONGEST = 4
-SAMPLE_ROWS = 20000     # at most about so many rows are fitted on
+SAMPLE_ROWS = 20000     # at most about so many rows are fitted on,
+SAMPLE_CHARS = 1 << 27  # with so many characters
 MIN_COUNT = 3           # a word or n-gram is known from so many occurrences in the sample
 UNKNOWN = "und"
 STEP = 512
@@ -81,22 +83,24 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_tables"}
 
 
-def bounded(rows: DataFrame, limit: int, *key: Column | str) -> DataFrame:
-    """At most about ``limit`` rows, chosen by hash."""
-    n = rows.count()
-    if n <= limit:
+def bounded(rows: DataFrame, limit: int, *key: Column | str,
+            limit_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """At most about ``limit`` rows with about ``limit_chars`` characters of ``text``, by hash."""
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    share = min(1.0, limit / max(n, 1), limit_chars / max(chars, 1))
+    if share == 1.0:
         return rows
     return rows.where(F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 20))
-                      < int((1 << 20) * limit / n))
+                      < int((1 << 20) * share))
 
 
 def fit(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows where ``learnable`` holds and text and lang are present."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = bounded(rows.select("doc_id", "lang", "text"), sample_rows, "doc_id")
-    counts = (rows.select("lang", "text")
-              .mapInArrow(_count, "lang string, n int, hash long, count long")
-              .groupBy("lang", "n", "hash").agg(F.sum("count").alias("count")))
+    counts = written(rows.select("lang", "text")
+                     .mapInArrow(_count, "lang string, n int, hash long, count long")
+                     .groupBy("lang", "n", "hash").agg(F.sum("count").alias("count")), "ngrams")
     totals = counts.groupBy("lang", "n").agg(F.sum("count").alias("total")).toPandas()
     langs = sorted(totals["lang"].unique())
     per = counts.groupBy("n", "hash").agg(
@@ -191,16 +195,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a predicted language and a score of ``least`` or more."""
-    columns = docs.columns
-    clean = docs.select(F.struct(*columns).alias("_llm_row"), F.col("doc_id").alias("doc_id"),
-                        F.col("text").alias("text"))
-    schema = clean.drop("text").schema
-    schema.add("lang_pred", "string").add("score", "double")
-    judged = clean.mapInArrow(lambda b: _predict(b, model), schema)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)) \
-        .select("_llm_row.*")
+    """The rows of ``docs`` with a predicted language and a score of ``least`` or more.
+
+    Only texts go to the model; the rows that go come back as row ids. ``docs`` must give the
+    same rows in the same order whenever it is read, as a table does.
+    """
+    judged = with_rows(docs).select("_llm_row", "text").mapInArrow(
+        lambda b: _predict(b, model), "_llm_row long, lang_pred string, score double")
+    gone = written(judged.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+                   .select("_llm_row"), "unidentified")
+    return with_rows(docs).join(gone, "_llm_row", "left_anti").drop("_llm_row")
 
 
 def held_out() -> Column:
-    return F.pmod(crc32(F.col("doc_id")), F.lit(4)) == 2
+    """Whether a row is held out of the fit; one with a null id is not."""
+    return F.coalesce(F.pmod(crc32(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))

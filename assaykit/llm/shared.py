@@ -20,6 +20,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_llm_row``: the place of a row by (file split, row in it).
+
+    It is the same each time an unchanged table is read with unchanged settings of file splits
+    within one session; two reads that split the files otherwise would not agree, so both
+    reads of a caller must come from one DataFrame.
+    """
+    return docs.withColumn("_llm_row", F.monotonically_increasing_id())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the least node that links reach.
 
