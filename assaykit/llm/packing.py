@@ -1,8 +1,12 @@
 """Packing documents into token sequences (operator 10).
 
 Cost-balanced packing: a piece of n tokens costs n + n*n/scale (linear work plus attention).
-Pieces are taken in descending length, each into the lowest-cost sequence that has room for it
-among the TRIES lowest; a piece that fits none of them is cut to fill the roomiest of them.
+Pieces are taken in descending length, each into the lowest-cost sequence of its group that has
+room for it. A piece that no sequence can hold is cut: it fills the roomiest sequence (the cheapest
+of several), and what is left of it takes its turn by its new length.
+
+Descending order and lowest cost hold within a group of about ``GROUP_TOKENS`` tokens, read by one
+task; groups are packed apart, so that nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ from assaykit.llm.words import column
 LENGTH = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
-TRIES = 8
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -50,43 +53,47 @@ def balanced(lengths: list[int], length: int = LENGTH,
     rooms = capacities(sum(lengths), length)
     used = [0] * len(rooms)
     out = []
-    pieces = []
+    pieces = []                     # longest first; ties by document and place
     for d, n in enumerate(lengths):
-        pieces += [(length, d, s) for s in range(0, n - length + 1, length)]
+        pieces += [(-length, d, s) for s in range(0, n - length + 1, length)]
         if n % length:
-            pieces.append((n % length, d, n - n % length))
-    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
-    heap = [(0.0, s) for s in range(len(rooms))]   # already in heap order
-
-    def put(d, start, n, s, cost):
-        out.append((d, start, n, s, used[s]))
-        used[s] += n
-        if used[s] < rooms[s]:
-            heapq.heappush(heap, (cost + attention_cost(n, scale), s))
-
-    for n, d, start in pieces:
-        passed, best = [], None
-        while heap and len(passed) < TRIES:
-            cost, s = heapq.heappop(heap)
-            if rooms[s] - used[s] >= n:
-                best = (cost, s)
-                break
-            passed.append((cost, s))
-        if best:
-            for p in passed:
-                heapq.heappush(heap, p)
-            put(d, start, n, best[1], best[0])
-            continue
-        passed.sort(key=lambda p: (used[p[1]] - rooms[p[1]], p))   # cut into the largest rooms
-        at = 0
-        while n:
-            cost, s = passed[at] if at < len(passed) else heapq.heappop(heap)
-            at += 1
-            part = min(n, rooms[s] - used[s])
-            put(d, start, part, s, cost)
-            start, n = start + part, n - part
-        for p in passed[at:]:
-            heapq.heappush(heap, p)
+            pieces.append((-(n % length), d, n - n % length))
+    heapq.heapify(pieces)
+    # Lengths never grow, so a sequence that can hold the piece at hand goes on to be asked until
+    # it is too full; then it waits under its room until pieces are short enough.
+    ready: list[tuple[float, int]] = []              # room for the piece at hand, cheapest first
+    waiting: dict[int, list[tuple[float, int]]] = {}
+    roomiest: list[int] = []                         # rooms with waiting sequences, largest first
+
+    def place(s, cost, n):
+        room = rooms[s] - used[s]
+        if room >= n:
+            heapq.heappush(ready, (cost, s))
+        elif room:
+            if not waiting.get(room):
+                waiting[room] = []
+                heapq.heappush(roomiest, -room)
+            heapq.heappush(waiting[room], (cost, s))
+
+    for s in range(len(rooms)):
+        place(s, 0.0, length)
+    while pieces:
+        n, d, start = heapq.heappop(pieces)
+        n = -n
+        while roomiest and -roomiest[0] >= n:
+            for cost, s in waiting.pop(-heapq.heappop(roomiest)):
+                heapq.heappush(ready, (cost, s))
+        if ready:
+            part, (cost, s) = n, heapq.heappop(ready)
+        else:
+            part = -roomiest[0]
+            cost, s = heapq.heappop(waiting[part])
+            if not waiting[part]:
+                heapq.heappop(roomiest)
+            heapq.heappush(pieces, (part - n, d, start + part))
+        out.append((d, start, part, s, used[s]))
+        used[s] += part
+        place(s, cost + attention_cost(part, scale), n)
     return out
 
 

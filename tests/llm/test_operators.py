@@ -383,3 +383,36 @@ def test_packing(request, table):
             assert offset == end
             end += n
         assert end <= 4096 and end & (end - 1) == 0
+
+
+def plain_balanced(lengths, length, scale=2048.0):
+    """The packing rule by looking at every sequence for every piece."""
+    rooms = packing.capacities(sum(lengths), length)
+    used, cost, out = [0] * len(rooms), [0.0] * len(rooms), []
+    pieces = []
+    for d, n in enumerate(lengths):
+        pieces += [(length, d, s) for s in range(0, n - length + 1, length)]
+        pieces += [(n % length, d, n - n % length)] if n % length else []
+    while pieces:
+        piece = min(pieces, key=lambda p: (-p[0], p[1], p[2]))
+        pieces.remove(piece)
+        n, d, start = piece
+        fits = [s for s in range(len(rooms)) if rooms[s] - used[s] >= n]
+        if fits:
+            s, part = min(fits, key=lambda s: (cost[s], s)), n
+        else:
+            s = min(range(len(rooms)), key=lambda s: (used[s] - rooms[s], cost[s], s))
+            part = rooms[s] - used[s]
+            pieces.append((n - part, d, start + part))
+        out.append((d, start, part, s, used[s]))
+        used[s] += part
+        cost[s] += packing.attention_cost(part, scale)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_takes_the_cheapest_of_all_sequences(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([1, 2, rng.randrange(1, 9), rng.randrange(1, 64), rng.randrange(1, 400)])
+               for _ in range(rng.choice([0, 1, 5, 120]))]
+    assert packing.balanced(lengths, 64) == plain_balanced(lengths, 64)
