@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit.functions.answers import (answer_letter, exact_match, harness_letter,
                                        letter_matches_key)
@@ -11,8 +12,10 @@ from assaykit.functions.calls import any_served_ok, served_ok
 from assaykit.functions.exact import exact_mean
 from assaykit.functions.text import letter_at
 from assaykit.operators.ranking import kth_value
+from assaykit.session import parallelism, stored
 
 ARTIFACT_COST_RATIO = 0.5  # fixed value: share of the median cost that marks own pricing
+BROADCAST_MODELS = 100_000  # medians that are sent to every task, about 40 bytes each
 
 
 def call_ok() -> Column:
@@ -56,21 +59,37 @@ def classify_served(responses: DataFrame, cost: str = "cost_usd") -> DataFrame:
     A call reported under another model is an artifact when the requested model is among
     all serving models or when it was billed like the requested model; otherwise it is a
     genuine silent fallback.  Without a positive clean median every mismatch is genuine.
+
+    The medians are a written table with one row per model. Up to ``BROADCAST_MODELS`` of them go
+    to every task and the log is not shuffled. Beyond that, only mismatched records meet
+    their model's median, each model's records being dealt to many tasks.
     """
-    medians = clean_call_median(responses, cost).select("model", "median_cost")
+    medians = stored(clean_call_median(responses, cost)
+                     .select(F.col("model").alias("_model"), "median_cost"), "medians")
+    decided = (F.when(~call_ok(), "failed")
+               .when(served_ok(F.col("model"), F.col("model_served")), "clean"))
+    rows = responses.withColumn("_decided", decided)
+    mismatch = F.col("_decided").isNull()
+    if medians.count() <= BROADCAST_MODELS:
+        priced = rows.join(F.broadcast(medians), mismatch & (F.col("model") == F.col("_model")), "left")
+    else:
+        salts = parallelism(responses.sparkSession)
+        every = medians.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        plain = [f.name for f in responses.schema if isinstance(f.dataType, T.AtomicType)]
+        dealt = rows.where(mismatch).withColumn(
+            "_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+        met = dealt.join(every, (F.col("model") == F.col("_model")) & (F.col("_salt") == F.col("_to")),
+                         "left").drop("_salt", "_to")
+        priced = rows.where(~mismatch).unionByName(met, allowMissingColumns=True)
     served_all = F.col("served_all") if "served_all" in responses.columns else F.lit(None)
-    priced = F.coalesce(F.col(cost), F.lit(0).cast("double"))
+    price = F.coalesce(F.col(cost), F.lit(0).cast("double"))
     has_baseline = F.coalesce(F.col("median_cost") > 0, F.lit(False))
-    own_price = F.coalesce(F.try_divide(priced, F.col("median_cost")) > ARTIFACT_COST_RATIO,
+    own_price = F.coalesce(F.try_divide(price, F.col("median_cost")) > ARTIFACT_COST_RATIO,
                            F.lit(False))
     named = any_served_ok(F.col("model"), served_all.cast("string"))
-    return (responses.join(medians, "model", "left")
-            .withColumn("call_class",
-                        F.when(~call_ok(), "failed")
-                         .when(served_ok(F.col("model"), F.col("model_served")), "clean")
-                         .when(has_baseline & (named | own_price), "artifact")
-                         .otherwise("genuine"))
-            .drop("median_cost"))
+    return (priced.withColumn("call_class", F.coalesce(
+        "_decided", F.when(has_baseline & (named | own_price), "artifact").otherwise("genuine")))
+            .drop("_decided", "_model", "median_cost"))
 
 
 def scoreable(classified: DataFrame) -> DataFrame:

@@ -58,6 +58,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, read again: lineage ends and the size is known,
+    so that a join with it is planned by what it really holds."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def computed_once(c: Column) -> Column:
     """A costly expression as a one-element generator.
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,36 @@ def test_served_all_names_the_model_and_no_baseline_means_genuine(spark):
     assert got["c", "q1"] == "genuine" and got["d", "q0"] == "genuine"
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_log_is_shuffled_by_model_and_item_only(spark, adaptive):
+    """With a model that holds 90 % of the log: one exchange above it, of partial sums."""
+    rows = [("a" if i % 10 else f"m{i % 7}", f"q{i % 300}", i % 3, i % 2 == 0,
+             {"served": "b"} if i % 11 == 0 else {}) for i in range(3000)]
+    log = records(spark, rows)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        plan = scoring.item_table(scoring.classify_served(log))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    plan = plan.split("== Initial Plan ==")[-1]
+    exchanges = re.findall(r"Exchange (\w+)\(([^#]*)#\d+, ([^#]*)#", plan)
+    assert exchanges == [("hashpartitioning", "model", "question_id")] and plan.count(" Exchange ") == 1
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "partial_count" in plan
+
+
+def test_many_models_meet_mismatches_only(spark, monkeypatch):
+    """Beyond the bound of the broadcast the result is the same, and clean records are not joined."""
+    rows = [("a", f"q{i}", 0, True, {"served": "b", "cost": c} if i % 3 else {"cost": 0.01})
+            for i, c in enumerate([0.001, 0.009, 0.004, 0.02] * 20)]
+    log = records(spark, rows)
+    def classes():
+        return sorted((r.question_id, r.call_class) for r in scoring.classify_served(log).collect())
+    want = classes()
+    monkeypatch.setattr(scoring, "BROADCAST_MODELS", 0)
+    assert classes() == want and {c for _, c in want} == {"clean", "artifact", "genuine"}
+
+
 def test_pairs_are_adjusted(spark, cohort):
     rows = [("a", f"q{q}", 0, True) for q in range(10)]
     rows += [("b", f"q{q}", 0, q % 2 == 0) for q in range(10)]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.exact import UNIT
 from assaykit.operators import bootstrap, intervals, items, pairwise, reliability
-from assaykit.operators.ranking import kth_value, rank_by_hash
+from assaykit.operators import ranking
+from assaykit.operators.ranking import kth_value, rank_by_hash, take_by_hash
 
 
 def test_holm_vector(spark):
@@ -233,3 +234,47 @@ def test_kth_value_with_ties_nulls_and_outliers(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r.g: (r.kth, r.n) for r in kth_value(df, ["g"], "v", F.floor(F.col("n") / 2)).collect()}
     assert got == {g: (float(sorted(v)[len(v) // 2]), len(v)) for g, v in data.items()}
+
+
+@pytest.mark.parametrize("few", [50_000, 3])
+def test_kth_value_of_crowded_values(spark, monkeypatch, few):
+    """Ranges are cut until few values are left; equal results however few that is."""
+    monkeypatch.setattr(ranking, "FEW", few)
+    data = {"close": [1 + i / 1e9 for i in range(400)], "wide": [(-1) ** i * 1.7 ** i for i in range(80)],
+            "mixed": [5.0] * 100 + [5.0 + i / 1e12 for i in range(90)] + [-1e300, 1e300], "one": [2.5]}
+    rows = [(g, float(v)) for g, vs in data.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for share in (0, 0.5, 0.99):
+        got = {r.g: r.kth for r in kth_value(df, ["g"], "v", F.floor(F.col("n") * share)).collect()}
+        assert got == {g: sorted(v)[int(len(v) * share)] for g, v in data.items()}
+
+
+@pytest.mark.parametrize("few, groups", [(50_000, ["g"]), (2, ["g"]), (2, [])])
+def test_take_by_hash(spark, monkeypatch, few, groups):
+    """The quota of each group, exactly, with repeated rows and null groups."""
+    monkeypatch.setattr(ranking, "FEW", few)
+    ids = [i for i in range(900)] + [7] * 30 + [8] * 5
+    df = spark.createDataFrame([(None if i % 5 == 0 else i % 3, i, "text" * 9) for i in ids],
+                               "g int, id long, text string").withColumn(
+        "h", F.md5((F.col("id") % 850).cast("string")))
+    for share in (0.0, 0.31, 1.0, 5.0):
+        quota = F.bround(F.col("group_size") * share)
+        got = take_by_hash(df, groups, "h", quota, "id").collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.g if groups else 0, []).append(r)
+        assert len(got) == len(ids)
+        for own in by.values():
+            n = min(len(own), round(len(own) * share))
+            assert sum(r.taken for r in own) == n
+            order = sorted((r.h, r.id) for r in own)
+            assert sorted((r.h, r.id) for r in own if r.taken) == order[:n]
+
+
+def test_complete_rows_stay_where_they_are(spark):
+    """Full rows meet their group's threshold by a broadcast: no sort, window or shuffle."""
+    df = spark.range(2000).select("id", (F.col("id") % 4).alias("g"), F.md5(F.col("id").cast("string")).alias("h"))
+    plan = take_by_hash(df, ["g"], "h", F.col("group_size") / 2, "id")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert "BroadcastHashJoin" in plan
+    assert not any(x in plan for x in ("Window", "Sort", "Exchange hashpartitioning", "Exchange rangepartitioning"))
