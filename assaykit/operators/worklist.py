@@ -11,6 +11,9 @@ from assaykit.operators.panel import TRIPLE
 from assaykit.session import fan_out
 
 
+WORD = 64   # bits of a word of a run set
+
+
 def work_grid(items: DataFrame, cohort: DataFrame, n_runs: int) -> DataFrame:
     """Every (model, item, run) of a run.
 
@@ -95,6 +98,45 @@ def missing_work(expected: DataFrame, present: DataFrame, keys: list[str]) -> Da
     return expected.select(*keys).join(present.select(*keys).distinct(), keys, "left_anti")
 
 
+def missing_runs(items: DataFrame, cohort: DataFrame, present: DataFrame, n_runs: int,
+                 item: str = "question_id") -> DataFrame:
+    """(item, model, run_index) of every expected call without any record.
+
+    The calls of an item are bits, numbered model by model and run by run. Records set bits in one
+    ``bit_or`` aggregation that combines before the shuffle, an item's set is complemented,
+    and only the bits that are left become rows: neither the grid nor a model's runs are ever
+    spelled out. Records outside the grid do not count; repeats cannot hide gaps. ``cohort`` is
+    configuration; the set of an item holds models x runs bits.
+    """
+    if n_runs < 1:
+        raise ValueError("a run needs at least one repetition")
+    names = [r.model for r in cohort.select("model").distinct().orderBy("model").collect()]
+    places = cohort.sparkSession.createDataFrame(list(enumerate(names)), "place long, model string")
+    calls = len(names) * n_runs
+    words = -(-calls // WORD)
+    run = F.col("run_index")
+    bit = F.col("place") * n_runs + run
+    known = (present.where((run >= 0) & (run < n_runs)).join(places, "model")
+             .select(item, bit.alias("_bit")))
+    sets = (known.groupBy(item, F.floor(F.col("_bit") / WORD).cast("int").alias("_word"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"),
+                                          (F.col("_bit") % WORD).cast("int"))).alias("_bits"))
+            .groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_set")))
+    missing = F.transform(
+        F.sequence(F.lit(0), F.lit(words - 1)) if words else F.array().cast("array<int>"),
+        lambda w: F.struct(w.alias("word"), F.bitwise_not(F.coalesce(
+            F.try_element_at("_set", w), F.lit(0).cast("bigint"))).alias("bits")))
+    left = (items.select(item).distinct().join(sets, item, "left")
+            .select(item, F.explode(missing).alias("_m")).where("_m.bits <> 0")
+            .select(item, F.explode(F.transform(
+                F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("_m.bits", i) == 1),
+                lambda i: F.col("_m.word").cast("bigint") * WORD + i)).alias("_bit"))
+            .where(F.col("_bit") < calls))
+    return (left.select(item, F.floor(F.col("_bit") / n_runs).alias("place"),
+                        (F.col("_bit") % n_runs).cast("int").alias("run_index"))
+            .join(places, "place").select(item, "model", "run_index"))
+
+
 def retry_list(records: DataFrame) -> DataFrame:
     """Failed calls with their error class; permanent ones are not worth a retry."""
     return (records.where(~F.coalesce("call_ok", F.lit(True)))

@@ -16,7 +16,7 @@ from assaykit.plans.fixtures import ANSWER_CHOICES, ANSWERS, fixture, table
 from assaykit.plans.registry import SCORED, SEED, query, using
 from assaykit.session import scratch_path
 from assaykit.sources import jsonl, tables
-from assaykit.streaming import intake
+from assaykit.streaming import intake, waves
 
 RUNS = 3
 FRACTION = 0.25
@@ -191,10 +191,21 @@ SELECT p_partkey AS question_id, model, r AS run_index FROM items, cohort, range
 WHERE {bank.VALID} AND NOT EXISTS (SELECT 1 FROM responses x WHERE x.question_id = p_partkey
   AND x.model = cohort.model AND x.run_index = r)""")
 def _(spark, sf):
-    grid = worklist.work_grid(bank.valid_items(spark, sf).select("question_id"),
-                              mc.cohort(spark, sf), RUNS)
-    return worklist.missing_work(grid, mc.responses(spark, sf),
-                                 ["question_id", "model", "run_index"])
+    return worklist.missing_runs(bank.valid_items(spark, sf), mc.cohort(spark, sf),
+                                 mc.responses(spark, sf), RUNS)
+
+
+@query("C12_missing_by_model", using("responses", "items", "cohort") + f"""
+SELECT model, count(*) AS n_missing, count(DISTINCT p_partkey) AS n_items
+FROM items, cohort, range({RUNS}) t(r)
+WHERE {bank.VALID} AND NOT EXISTS (SELECT 1 FROM responses x WHERE x.question_id = p_partkey
+  AND x.model = cohort.model AND x.run_index = r) GROUP BY model""")
+def _(spark, sf):
+    gaps = worklist.missing_runs(bank.valid_items(spark, sf), mc.cohort(spark, sf),
+                                 mc.responses(spark, sf), RUNS)
+    # one row per (model, item) before the distinct count
+    cells = gaps.groupBy("model", "question_id").agg(F.count("*").alias("n"))
+    return cells.groupBy("model").agg(F.sum("n").alias("n_missing"), F.count("*").alias("n_items"))
 
 
 # ---- response text -----------------------------------------------------------------------
@@ -466,3 +477,47 @@ def _(spark, sf):
         if intake.finished(intake.wave_states(spark.read.parquet(counts), expected)):
             break
     return intake.wave_states(spark.read.parquet(counts), expected)
+
+
+# Three personas judge every order's response, one per wave; a tolerable rest fails.
+WAVES = """
+SELECT o_orderkey AS k, 'response' AS log, -1 AS persona, 'primary' AS role,
+  CASE WHEN o_orderkey % 10 < 7 THEN 0 ELSE 1 END AS wave, true AS ok FROM orders
+UNION ALL
+SELECT o_orderkey, 'verdict', p, 'primary', p, NOT (p = 2 AND o_orderkey % 13 = 5)
+FROM orders, (SELECT 0 AS p UNION ALL SELECT 1 UNION ALL SELECT 2) x
+UNION ALL
+SELECT o_orderkey, 'verdict', 0, 'crosscheck', 1, true FROM orders WHERE o_orderkey % 4 = 0
+UNION ALL
+SELECT o_orderkey, 'verdict', 2, 'primary', 3, true FROM orders WHERE o_orderkey % 13 = 5"""
+
+
+@query("J4_open_waves", f"""
+WITH l AS ({WAVES}), n AS (SELECT count(*) AS expected FROM orders),
+s AS (SELECT w, count(*) FILTER (log = 'response') AS gt, count(*) FILTER (log = 'verdict') AS jt,
+    count(*) FILTER (log = 'verdict' AND NOT ok) AS jf
+  FROM l, range(3) r(w) WHERE wave <= w GROUP BY w),
+t AS (SELECT w, k, count(*) FILTER (ok) AS judges FROM l, range(3) r(w)
+  WHERE wave <= w AND log = 'verdict' AND role = 'primary' GROUP BY w, k),
+q AS (SELECT w, count(*) AS judged, count(*) FILTER (judges < 2) AS short FROM t GROUP BY w),
+a AS (SELECT w + 1 AS waves, gt AS have, greatest(0, expected - gt) + jf + greatest(0, gt * 3 - jt) AS strict_fail,
+    greatest(0, expected - gt) + short + greatest(0, gt - judged) AS accept_fail,
+    short + greatest(0, gt - judged) AS below_quorum
+  FROM s JOIN q USING (w), n)
+SELECT *, CASE WHEN strict_fail = 0 THEN 'clean' WHEN waves >= 3 AND accept_fail = 0 THEN 'clean_quorum'
+  ELSE 'continue' END AS decision FROM a""")
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    rows = spark.sql(WAVES.replace("FROM orders", "FROM {orders}"), orders=orders)
+    scores = F.when(F.col("ok") & (F.col("log") == "verdict"), F.struct(F.lit(4).alias("accuracy")))
+    log = rows.select("wave", "log", F.to_json(F.struct(
+        F.lit("m").alias("model"), F.col("k").alias("question_id"), F.lit(0).alias("run_index"),
+        "persona", F.col("role").alias("judge_role"), F.col("ok").alias("call_ok"),
+        scores.alias("scores"))).alias("value"))
+    source, mark = scratch_path(spark, "open-waves"), scratch_path(spark, "mark")
+    run = waves.OpenWaves(spark, scratch_path(spark, "run"), orders.count(), 3, 2)
+    for wave in range(4):       # the fourth would heal the rest, but the run has ended by then
+        log.where(F.col("wave") == wave).select("log", "value").write.mode("append").parquet(source)
+        waves.run_open_waves(intake.response_stream(spark, source, "log string, value string", "parquet"),
+                             run, mark)
+    return run.states()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assaykit.operators.audit import audit_open, scan_log
+from assaykit.operators.audit import scan_log
 from assaykit.operators.scoring import call_ok, score_responses
 
 # Waves before a tolerable rest is accepted, and the last wave.
@@ -85,11 +85,11 @@ def current_progress(written: DataFrame) -> DataFrame:
     return latest(written, "model")
 
 
-def wave_decision(strict, accept, wave):
+def wave_decision(strict, accept, wave, grace: int = GRACE_WAVES, most: int = MAX_WAVES):
     """clean, clean_quorum, give_up or continue; a column over audit numbers."""
     return (F.when(strict == 0, "clean")
-             .when((wave >= GRACE_WAVES) & (accept == 0), "clean_quorum")
-             .when(wave >= MAX_WAVES, "give_up").otherwise("continue"))
+             .when((wave >= grace) & (accept == 0), "clean_quorum")
+             .when(wave >= most, "give_up").otherwise("continue"))
 
 
 def run_waves(lines: DataFrame, counts: str, checkpoint: str) -> None:
@@ -111,7 +111,7 @@ def run_waves(lines: DataFrame, counts: str, checkpoint: str) -> None:
 def wave_states(counts: DataFrame, expected: int) -> DataFrame:
     """Audit signals and decision after each wave (one row per wave, at most a few dozen).
 
-    Of a choice log nothing is tolerable, so both signals agree; ``run_open_waves`` is the form
+    Of a choice log nothing is tolerable, so both signals agree; ``waves.OpenWaves`` is the form
     for open logs.
     """
     so_far = W.partitionBy(F.lit(0)).orderBy("wave").rowsBetween(W.unboundedPreceding, 0)
@@ -128,26 +128,3 @@ def finished(states: DataFrame) -> bool:
     """Whether the decision after the last wave ends the run."""
     last = states.agg(F.max_by("decision", "waves").alias("d")).first().d
     return last not in (None, "continue")
-
-
-def run_open_waves(responses: DataFrame, verdicts: DataFrame, expected: int, n_personas: int,
-                   needed: int) -> DataFrame:
-    """Open-phase signals and decision after each wave, up to the one that ends the run.
-
-    Both logs have ``wave`` (from 1) and ``value``. A wave audits all lines so far, as a later
-    verdict can fill a panel of an earlier wave; waves after the end are not read.
-    """
-    states = None
-    for wave in range(1, MAX_WAVES + 1):
-        so_far = F.col("wave") <= wave
-        row = audit_open(responses.where(so_far).select("value"),
-                         verdicts.where(so_far).select("value"), expected, n_personas, needed)
-        one = row.select(F.lit(wave).alias("waves"), F.col("gen_have").alias("have"),
-                         "strict_fail", "accept_fail", wave_decision(
-                             F.col("strict_fail"), F.col("accept_fail"), F.lit(wave))
-                         .alias("decision"))
-        one = one.sparkSession.createDataFrame(one.collect(), one.schema)
-        states = one if states is None else states.unionByName(one)
-        if finished(one):
-            break
-    return states

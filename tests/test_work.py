@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from assaykit import session
 from assaykit.operators import audit, cohort, prompts, worklist
 from assaykit.sources import jsonl, shards, tables
-from assaykit.session import shared_dir
-from assaykit.streaming import intake
+from assaykit.session import scratch_path, shared_dir
+from assaykit.streaming import intake, waves
 
 PEOPLE = ["p1", "p2", "p3"]
 
@@ -72,15 +72,45 @@ def test_wave_decision(spark, strict, accept, wave, want):
     assert df.select(intake.wave_decision(F.col("s"), F.col("a"), F.col("w"))).first()[0] == want
 
 
+def wave(spark, gen, judged):
+    return (lines(spark, gen).withColumn("log", F.lit("response"))
+            .unionByName(lines(spark, judged).withColumn("log", F.lit("verdict"))))
+
+
+GEN = {"model": "m", "question_id": "q1", "run_index": 0, "call_ok": True}
+
+
 def test_open_waves_end_with_a_quorum(spark):
-    gen = lines(spark, [{"model": "m", "question_id": "q1", "run_index": 0, "call_ok": True}])
-    judged = lines(spark, [verdict("q1", p, ok=p != "p2", scored=p != "p2") for p in PEOPLE])
-    got = intake.run_open_waves(gen.withColumn("wave", F.lit(1)), judged.withColumn("wave", F.lit(2)),
-                                1, 3, 2).orderBy("waves").collect()
+    run = waves.OpenWaves(spark, scratch_path(spark, "run"), 1, 3, 2)
+    judged = [verdict("q1", p, ok=p != "p2", scored=p != "p2") for p in PEOPLE]
+    for number, (g, j) in enumerate([([GEN], []), ([], judged), ([], []), ([GEN] * 9, [])]):
+        run.take(wave(spark, g, j), number)
+    got = run.states().orderBy("waves").collect()
     assert [(r.waves, r.strict_fail, r.accept_fail, r.decision) for r in got] == [
         (1, 3, 1, "continue"), (2, 1, 0, "continue"), (3, 1, 0, "clean_quorum")]
 
 
+def test_open_waves_agree_with_the_whole_audit(spark):
+    """State carried from wave to wave gives what an audit of all lines so far gives."""
+    import random
+    rng = random.Random(4)
+    run = waves.OpenWaves(spark, scratch_path(spark, "run"), 30, 3, 2)
+    gen, judged = [], []
+    for number in range(5):
+        g = [rng.choice([{**GEN, "question_id": f"q{rng.randrange(40)}", "call_ok": rng.random() < 0.9},
+                         "{broken"]) for _ in range(8)]
+        j = [rng.choice([verdict(f"q{rng.randrange(12)}", rng.choice(PEOPLE), ok=rng.random() < 0.8,
+                                 scored=rng.random() < 0.8), "{", "  "]) for _ in range(25)]
+        run.take(wave(spark, g, j), number)
+        if number == 2:                      # a wave that is replayed counts once
+            run.take(wave(spark, g, j), number)
+        gen, judged = gen + g, judged + j
+        want = audit.audit_open(lines(spark, gen), lines(spark, judged), 30, 3, 2).first()
+        got = run.states().where(F.col("waves") == number + 1).first()
+        assert (got.have, got.strict_fail, got.accept_fail, got.below_quorum) == (
+            want.gen_have, want.strict_fail, want.accept_fail, want.below_quorum)
+
+
 def test_cohort_selection_is_loud(spark):
     c = cohort.cohort_table(spark, [{"id": "m-4-8"}, {"id": "m-4-5", "generation": 4}])
     assert [r.model for r in cohort.select_cohort(c, " m-4-8, ").collect()] == ["m-4-8"]
@@ -116,6 +146,24 @@ def test_no_local_folder_on_a_cluster():
         shared_dir(Session())
 
 
+@pytest.mark.parametrize("n_models, runs", [(1, 1), (3, 64), (21, 3), (65, 2), (2, 200)])
+def test_missing_runs_are_the_complement(spark, n_models, runs):
+    import random
+    rng = random.Random(runs)
+    models = [f"m{i:03}" for i in range(n_models)]
+    every = [(q, m, r) for q in range(9) for m in models for r in range(runs)]
+    have = [c for c in every if c[0] not in (3, 4) and (c[0] == 5 or rng.random() < 0.7)]
+    noise = [(0, "stranger", 0), (99, models[0], 0), (1, models[0], runs), (1, models[0], -1), (1, models[0], None)]
+    present = spark.createDataFrame(have + have[:50] + noise, "question_id long, model string, run_index int")
+    items = spark.range(9).withColumnRenamed("id", "question_id")
+    cohort_ = spark.createDataFrame([(m,) for m in models], "model string")
+    got = worklist.missing_runs(items, cohort_, present, runs)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(set(every) - set(have))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, %d" % (runs - 1) not in plan or runs == 64   # no exploded grid of runs
+    assert "CartesianProduct" not in plan and plan.count("Generate") == 2
+
+
 def test_missing_work_is_not_hidden_by_repeats(spark):
     want = spark.createDataFrame([(i,) for i in range(4)], "k int")
     have = spark.createDataFrame([(0,)] * 9, "k int")
