@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.llm.words import kept
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED = "assistant"
 BLOCK_CHARS = 1 << 20
@@ -48,7 +50,6 @@ _ARROW = pa.schema([("key", pa.string()), ("block", pa.int64()), ("first_char",
                     ("formatted", pa.string()), ("token_ids", pa.list_(pa.int32())),
                     ("token_starts", pa.list_(pa.int64())), ("token_ends", pa.list_(pa.int64())),
                     ("loss_mask", pa.list_(pa.bool_()))])
-_tokenizers: dict[str, object] = {}
 
 
 def default_path() -> str:
@@ -59,14 +60,15 @@ def default_path() -> str:
 
 def tokenizer(path: str):
     """One tokenizer per worker and file, with the markers as added tokens."""
-    if path not in _tokenizers:
+    tokenizers = kept("chat")
+    if path not in tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import AddedToken, Tokenizer
         own = Tokenizer.from_file(path)
         own.add_special_tokens([AddedToken(m, special=True, normalized=False)
                                 for m in (START, SEP, END)])
-        _tokenizers[path] = own
-    return _tokenizers[path]
+        tokenizers[path] = own
+    return tokenizers[path]
 
 
 def escape(text: str) -> str:

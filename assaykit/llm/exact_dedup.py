@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.shared import with_rows, written
-from assaykit.llm.words import SLICE_BYTES, U64, VALUES, buffers, column, mix, slices
+from assaykit.llm.words import SLICE_BYTES, U64, VALUES, buffers, column, kept, mix, slices
 
 MIN_CHUNK, AVERAGE_BITS, MAX_CHUNK = 512, 11, 16384
 WINDOW = 32
@@ -57,6 +57,7 @@ def chunk_ends(places: np.ndarray, lo: int, hi: int) -> list[int]:
 
 def _texts(batches: Iterator[pa.RecordBatch]):
     """(batch, row, bytes, ends of chunks) of every text."""
+    kept("chunks")
     for batch in batches:
         data, offsets = buffers(column(batch, "text"))
         for lo, hi in slices(offsets, SLICE_BYTES):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.shared import components, written
-from assaykit.llm.words import U64, column, mix, shingles, word_slices
+from assaykit.llm.words import U64, column, kept, mix, shingles, word_slices
 from assaykit.session import parallelism
 
 GROUPS = 128            # coordinates of a point
@@ -113,6 +113,7 @@ SHAPE = ("doc_id long, n_shingles long, set_a long, set_b long, "
 
 
 def _shapes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int):
+    kept("jaccard")
     for batch in batches:
         sizes, first, second, home, low = [], [], [], [], []
         for lo, hi, hashes, at in word_slices(column(batch, "text")):
@@ -290,6 +291,7 @@ def block_rows(shapes: DataFrame, others: DataFrame) -> DataFrame:
 # verification
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray):
+    kept("jaccard")
     for batch in batches:
         rows = batch.filter(pa.array(_hits(batch, bitmap)))
         if not rows.num_rows:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.shared import with_rows, written
 from assaykit.llm.tokens import text_slices
-from assaykit.llm.words import U64, Lookup, code_points, column, crc32, letter_runs, letters, mix
+from assaykit.llm.words import U64, Lookup, code_points, column, crc32, kept, letter_runs, letters, mix
 
 LONGEST = 4
 SAMPLE_ROWS = 20000     # at most about so many rows are fitted on,
@@ -43,6 +43,7 @@ def grams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch]):
+    kept("language")
     for batch in batches:
         langs, texts = column(batch, "lang").to_pylist(), column(batch, "text")
         totals: dict[tuple[str, int], list] = {}
@@ -149,6 +150,7 @@ def score_words(model: Model, points, hashes, starts, ends) -> np.ndarray:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model):
+    kept("language")
     names = np.array([*model.langs, UNKNOWN], object)
     is_letter = letters()
     for batch in batches:

@@ -20,6 +20,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of this session hold about ``size`` bytes at most, where it keeps Spark's
+    default: 64 MB a batch, several times over in every task, is much for small executors."""
+    if spark.conf.get(ARROW_BYTES, ARROW_DEFAULT) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, str(size))
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_llm_row``: the place of a row by (file split, row in it).
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts under a public tokenizer file, word by word.
 
 The tokenizer splits at white space and never joins across it, so each distinct word is encoded
-once and remembered. The memory holds at most ``KEPT`` words for the life of a worker and the
-distinct words of one slice of texts besides.
+once and remembered. The memory holds at most ``KEPT`` words, until the worker turns to another
+operator, and the distinct words of one slice of texts besides.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from itertools import chain
 
 import numpy as np
 
-from assaykit.llm.words import SLICE_BYTES
+from assaykit.llm.words import SLICE_BYTES, kept
 
-KEPT = 1 << 20
+KEPT = 1 << 19
 _MARK = "\x01"
 _BREAKS = re.compile(r"[ \t\n\r\f\v]+")
-_encoders: dict[str, "Encoder"] = {}
 
 
 def default_path() -> str:
@@ -29,9 +28,10 @@ def default_path() -> str:
 
 def encoder(path: str) -> "Encoder":
     """One encoder per worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    encoders = kept("tokens")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def _bytes(ids: list[int]) -> bytes:

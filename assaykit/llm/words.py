@@ -44,6 +44,18 @@ VALUES = _byte_values()
 _powers = np.ones(1, np.uint64)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in a worker between tasks. Workers are used again by other
+    operators, so whoever asks takes the place: the others' caches go."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
 def powers(n: int) -> np.ndarray:
     """The first ``n`` powers of the rolling base, kept for the next call."""
     global _powers
