@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.calls import draw_hash
 from assaykit.functions.text import content_basis, content_id, stem
+from assaykit.operators.latest import first_rows
 from assaykit.operators.ranking import rank_by_hash, take_by_hash
 from assaykit.session import cut_lineage
 
@@ -27,14 +28,14 @@ def with_ids(items: DataFrame) -> DataFrame:
                  .withColumn("stem", stem(asked)))
 
 
-def first_per_stem(items: DataFrame, *order: str) -> DataFrame:
-    """Keep the first item of each stem.  Enough when equal ids imply equal stems.
+def first_per_stem(items: DataFrame, seq: str) -> DataFrame:
+    """Keep the first item of each stem by ``seq`` (BIGINT).  Enough when equal ids imply equal
+    stems.
 
-    ``min_by`` combines before the shuffle, so a stem shared by much of the pool arrives
-    as one row per map task.
+    Stems meet as digests with their smallest sequence number, combined before the shuffle, so
+    one shared by much of the pool arrives as one row per map task; texts are not moved.
     """
-    return (items.groupBy("stem").agg(F.min_by(F.struct(*items.columns), F.struct(*order))
-                                      .alias("_row")).select("_row.*"))
+    return first_rows(items, F.sha2("stem", 256), seq)
 
 
 def deduplicate(items: DataFrame, *order: str) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.operators.latest import last_values
+
 CEILING, FLOOR, LOW_DISCRIMINATION = 0.95, 0.30, 0.10  # fixed values: report thresholds
 
 
-def last_outcome(scored: DataFrame, item: str, *order: str) -> DataFrame:
-    """One 0/1 outcome per (model, run, item): the last record in ``order`` wins."""
-    return (scored.groupBy("model", "run_index", item)
-            .agg(F.max_by(F.col("correct").cast("int"), F.struct(*order)).alias("x")))
+def last_outcome(scored: DataFrame, item: str, seq: str) -> DataFrame:
+    """One 0/1 outcome per (model, run, item): the last record by ``seq`` (BIGINT) wins."""
+    outcomes = scored.select("model", "run_index", item, F.col("correct").cast("int").alias("x"), seq)
+    return last_values(outcomes, ["model", "run_index", item], seq)
 
 
 def item_analysis(outcomes: DataFrame, item: str = "question_id") -> DataFrame:

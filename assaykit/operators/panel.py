@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.exact import exact_mean
 from assaykit.functions.judging import rating, strict_number, tally, with_last_object
+from assaykit.operators.latest import last_values
 from assaykit.operators.leaderboard import sem
 
 FULL = 100.0  # fixed value: the composite scale
@@ -49,13 +50,10 @@ def sanitise(verdicts: DataFrame, dims: list[str]) -> DataFrame:
             .drop("scores"))
 
 
-def last_per_judge(verdicts: DataFrame, *order: str) -> DataFrame:
-    """One verdict per (triple, persona): the last in ``order`` wins.  Typed columns only."""
-    keys = [*TRIPLE, "persona"]
-    rest = [c for c in verdicts.columns if c not in keys]
-    return (verdicts.groupBy(*keys)
-            .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-            .select(*keys, "_row.*"))
+def last_per_judge(verdicts: DataFrame, seq: str) -> DataFrame:
+    """One verdict per (triple, persona): the last by ``seq`` (BIGINT) wins. Numbers and flags
+    only; text columns go."""
+    return last_values(verdicts, [*TRIPLE, "persona"], seq)
 
 
 def _mean_of(columns: list[Column]) -> Column:
@@ -134,29 +132,25 @@ def complete_ratings(verdicts: DataFrame, dims: list[str], *extra: str) -> DataF
     return full.withColumn("composite", sum(F.col(d) for d in dims) / len(dims))
 
 
-def last_complete(verdicts: DataFrame, dims: list[str], *order: str) -> DataFrame:
-    """Complete ratings, one per (triple, persona): the last in ``order`` wins."""
-    keys = [*TRIPLE, "persona"]
-    ratings = complete_ratings(verdicts, dims, *order)
-    return (ratings.groupBy(*keys)
-            .agg(F.max_by(F.struct(*dims, "composite"), F.struct(*order)).alias("_r"))
-            .select(*keys, "_r.*"))
+def last_complete(verdicts: DataFrame, dims: list[str], seq: str) -> DataFrame:
+    """Complete ratings, one per (triple, persona): the last by ``seq`` (BIGINT) wins."""
+    return last_values(complete_ratings(verdicts, dims, seq), [*TRIPLE, "persona"], seq)
 
 
-def crosscheck_pairs(verdicts: DataFrame, dims: list[str], *order: str) -> DataFrame:
+def crosscheck_pairs(verdicts: DataFrame, dims: list[str], seq: str) -> DataFrame:
     """Primary and cross-check ratings of the same response by the same persona.
 
-    Of repeated verdicts, the last in ``order`` that holds a rating counts.
+    Of repeated verdicts, the last by ``seq`` (BIGINT) that holds a rating counts.
     """
     keys = [*TRIPLE, "persona"]
     typed = verdicts.select(
-        *keys, *order,
+        *keys, seq,
         F.when(is_primary(), "primary").otherwise(F.col("judge_role")).alias("role"),
         _mean_of([rating(F.col("scores"), d) for d in dims]).alias("score"))
 
     def last(role: str) -> Column:
         rated = (F.col("role") == role) & F.col("score").isNotNull()
-        return F.max_by("score", F.when(rated, F.struct(*order))).alias(role)
+        return F.max_by("score", F.when(rated, F.col(seq))).alias(role)
 
     return (typed.groupBy(*keys).agg(last("primary"), last("crosscheck"))
             .where(F.col("primary").isNotNull() & F.col("crosscheck").isNotNull()))

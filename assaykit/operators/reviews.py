@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assaykit.functions.judging import number
@@ -30,16 +31,23 @@ def typed_reviews(raw: DataFrame, payload: str = "review") -> DataFrame:
         number(v, "realistic").alias("realistic"),
         number(v, "rubric_fair").alias("rubric_fair"),
         F.filter(flags, lambda f: f.isNotNull() & ~f.isin("", "none")).alias("flags"))
-    return raw.select("question_id", "persona",
+    seq = ["seq"] if "seq" in raw.columns else []
+    return raw.select("question_id", "persona", *seq,
                       F.coalesce("resolicited", F.lit(False)).alias("resolicited"),
                       F.when(F.coalesce(present, F.lit(False)), body).alias("review"))
 
 
 def latest_reviews(typed: DataFrame) -> DataFrame:
-    """One review per (item, persona); the second pass wins only when it parsed."""
-    return (typed.groupBy("question_id", "persona")
-            .agg(F.max_by("review", F.struct(F.col("review").isNotNull(), "resolicited"))
-                 .alias("review"))
+    """One review per (item, persona); the second pass wins only when it parsed.
+
+    Of several in one pass the one with the largest ``seq`` wins; without that column, any rule
+    that does not depend on file order will do: the largest hash. An (item, persona) has a handful
+    of rows, so they are put in order where they meet.
+    """
+    last = F.col("seq") if "seq" in typed.columns else F.xxhash64(F.to_json("review"))
+    order = W.partitionBy("question_id", "persona").orderBy(
+        F.col("review").isNotNull().desc(), F.desc("resolicited"), last.desc())
+    return (typed.withColumn("_n", F.row_number().over(order)).where("_n = 1")
             .select("question_id", "persona", "review.*",
                     F.col("review").isNotNull().alias("parsed")))
 

@@ -11,6 +11,7 @@ from assaykit.functions.answers import (answer_letter, exact_match, harness_lett
 from assaykit.functions.calls import any_served_ok, served_ok
 from assaykit.functions.exact import exact_mean
 from assaykit.functions.text import letter_at
+from assaykit.operators.latest import last_rows
 from assaykit.operators.ranking import kth_value
 from assaykit.session import parallelism, stored
 
@@ -133,11 +134,9 @@ def item_table(classified: DataFrame, item: str = "question_id") -> DataFrame:
             .withColumn("p", F.try_divide("hits", "runs")))
 
 
-def item_meta(records: DataFrame, *order: str, item: str = "question_id") -> DataFrame:
+def item_meta(records: DataFrame, seq: str, item: str = "question_id") -> DataFrame:
     """Item metadata from a log that comes without its bank: the last record decides."""
-    return (records.groupBy(item)
-            .agg(F.max_by(F.struct("dimension", "difficulty", "axis"), F.struct(*order))
-                 .alias("_m")).select(item, "_m.*"))
+    return last_rows(records, F.col(item), seq).select(item, "dimension", "difficulty", "axis")
 
 
 def scored_items(table: DataFrame) -> DataFrame:

@@ -71,7 +71,16 @@ def pair_table(items: DataFrame, cohort: DataFrame, digits: int, resamples: int
         *([F.bround("mcnemar_p", 5).alias("mcnemar_p")] if with_mcnemar else []))
 
 
-def analyze_mc(responses: DataFrame, cohort: DataFrame, order: list[str],
+def _sequence(order: list[str] | str) -> str:
+    """The one BIGINT column that puts a log in order (``latest.packed`` makes one of several)."""
+    if isinstance(order, str):
+        return order
+    if len(order) != 1:
+        raise ValueError("a log needs one sequence column; see operators.latest.packed")
+    return order[0]
+
+
+def analyze_mc(responses: DataFrame, cohort: DataFrame, order: list[str] | str,
                bank: DataFrame | None = None, resamples: int = RESAMPLES, seed: int = SEED,
                ci: float = CI, cost: str = "cost_usd", cache: bool = True
                ) -> dict[str, DataFrame]:
@@ -83,8 +92,9 @@ def analyze_mc(responses: DataFrame, cohort: DataFrame, order: list[str],
     if cache:
         table = table.persist()
     items = scoring.scored_items(table)
-    meta = bank if bank is not None else scoring.item_meta(known, *order)
-    outcomes = item_stats.last_outcome(scoring.scoreable(classified), "question_id", *order)
+    meta = bank if bank is not None else scoring.item_meta(known, _sequence(order))
+    outcomes = item_stats.last_outcome(scoring.scoreable(classified), "question_id",
+                                       _sequence(order))
     analysis = item_stats.item_analysis(outcomes.persist() if cache else outcomes)
     return {
         "mc_per_item": items,
@@ -121,11 +131,11 @@ def open_groups(scores: DataFrame, resamples: int = RESAMPLES, seed: int = SEED,
 
 
 def analyze_open(scores: DataFrame, verdicts: DataFrame, cohort: DataFrame, dims: list[str],
-                 order: list[str], resamples: int = RESAMPLES, seed: int = SEED,
+                 order: list[str] | str, resamples: int = RESAMPLES, seed: int = SEED,
                  ci: float = CI) -> dict[str, DataFrame]:
     """Open results.  ``verdicts`` carry ``scores`` payloads and the columns of ``order``."""
     known = cohorts.in_cohort(scores, cohort)
-    complete = panel.last_complete(verdicts, dims, *order)
+    complete = panel.last_complete(verdicts, dims, _sequence(order))
     return {
         "open_overall": open_board(known, cohort, resamples, seed, ci),
         "open_by_dim": open_groups(known, resamples, seed, ci),

@@ -9,6 +9,7 @@ from assaykit.functions.calls import child_seed
 from assaykit.functions.exact import UNIT, in_units
 from assaykit.operators import (bootstrap, cohort as cohorts, intervals, items as item_stats,
                                 leaderboard, pairwise, scoring, traps, usage)
+from assaykit.operators.latest import packed
 from assaykit.operators.ranking import rank_by_hash
 from assaykit.plans import analysis
 from assaykit.plans.fixtures import VALID, fixture
@@ -20,7 +21,6 @@ PAIR_RESAMPLES = 20000  # 2*m/(B+1) must stay below the family level for m pairs
 HASH_RESAMPLES = 40  # resamples of the SQL-checkable form
 R = using("responses")
 RC = using("responses", "cohort")
-SEQ = ("l_orderkey", "l_linenumber", "question_id", "l_suppkey", "l_extendedprice")
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -468,7 +468,8 @@ def _(spark, sf):
 
 # ---- item analysis ---------------------------------------------------------------
 
-DENSE = """, dense AS (SELECT tier AS model, run_index, question_id % 20 AS question_id, correct,
+# Tiers answer in two sessions each, so that most items have an answer of every respondent.
+DENSE = """, dense AS (SELECT tier AS model, run_index % 2 AS run_index, question_id, correct,
   struct_pack(a := l_orderkey, b := l_linenumber, c := question_id, d := l_suppkey,
               e := l_extendedprice) AS seq FROM sc),
 oc AS (SELECT model, run_index, question_id, arg_max(CAST(correct AS INT), seq) AS x
@@ -483,10 +484,13 @@ ia AS (SELECT question_id, avg(x) AS difficulty_p, count(*) AS n_resp,
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    # rows that agree in these keys agree in their outcome, so the price is not part of the order
+    seq = packed((F.col("l_orderkey"), 26), (F.col("l_linenumber"), 3), (F.col("question_id"), 20),
+                 (F.col("l_suppkey"), 14))
     dense = scored(spark, sf).select(
-        F.col("tier").alias("model"), "run_index", (F.col("question_id") % 20).alias("item"),
-        "correct", *SEQ)
-    return item_stats.last_outcome(dense, "item", *SEQ).withColumnRenamed("item", "question_id")
+        F.col("tier").alias("model"), (F.col("run_index") % 2).alias("run_index"), "question_id",
+        "correct", seq.alias("seq"))
+    return item_stats.last_outcome(dense, "question_id", "seq")
 
 
 @query("E7_last_record_wins", R + SCORED + DENSE + """
@@ -497,7 +501,7 @@ def _(spark, sf):
 
 @query("F5_item_analysis", R + SCORED + DENSE + """
 SELECT question_id, round(difficulty_p, 6) AS difficulty_p,
-  round(discrimination, 6) AS discrimination, n_resp FROM ia""")
+  round(discrimination, 6) + 0 AS discrimination, n_resp FROM ia""")   # no negative zero
 def _(spark, sf):
     return item_stats.item_analysis(cut_lineage(outcomes(spark, sf)))
 
