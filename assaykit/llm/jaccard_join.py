@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.shared import components, written
+from assaykit.llm.shared import components, with_rows, written
 from assaykit.llm.words import U64, column, kept, mix, shingles, word_slices
 from assaykit.session import parallelism
 
@@ -551,7 +551,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80,
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component."""
-    gone = written(jaccard_components(docs, **how)
-                   .where("doc_id <> component_id").select("doc_id").distinct(), "near")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without those that links tie to an earlier row.
+
+    Rows are compared, not ids: of rows that share an id, or have none, each text stands for
+    itself, so a text that nothing links stays. The first row read of each component stays.
+    ``docs`` must give the same rows in the same order whenever it is read, as a table does.
+    """
+    rows = with_rows(docs)
+    found = jaccard_components(rows.select(F.col("_llm_row").alias("doc_id"), "text"), **how)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_llm_row")), "near")
+    return rows.join(gone, "_llm_row", "left_anti").select(*docs.columns)

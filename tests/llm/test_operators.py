@@ -416,3 +416,13 @@ def test_packing_takes_the_cheapest_of_all_sequences(seed):
     lengths = [rng.choice([1, 2, rng.randrange(1, 9), rng.randrange(1, 64), rng.randrange(1, 400)])
                for _ in range(rng.choice([0, 1, 5, 120]))]
     assert packing.balanced(lengths, 64) == plain_balanced(lengths, 64)
+
+
+def test_rows_that_share_an_id_stand_for_themselves(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, a, "x"), (9, a + " more", "y"), (9, b, "z"), (None, b + " more", "n"), (None, "alone", "m"),
+            (3, "", "e"), (3, "", "f")]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, size string").coalesce(1), "ids")
+    got = jaccard_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.size for r in got.collect()) == ["e", "f", "m", "x", "z"]
