@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.shared import with_rows, written
-from assaykit.llm.words import SLICE_BYTES, U64, VALUES, buffers, column, kept, mix, slices
+from assaykit.llm.words import SLICE_BYTES, U64, VALUES, buffers, column, kept, mix, slices, tidy
 
 MIN_CHUNK, AVERAGE_BITS, MAX_CHUNK = 512, 11, 16384
 WINDOW = 32
@@ -80,6 +80,7 @@ def _check(raw: bytes) -> int:
                           "little", signed=True)
 
 
+@tidy
 def _recipes(batches, digest: Callable[[bytes], bytes]):
     """(row columns, SHA-256 of the text, digests and check values of its chunks) of every row."""
     at_batch, rows = None, []

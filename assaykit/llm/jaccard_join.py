@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.shared import components, with_rows, written
-from assaykit.llm.words import U64, column, kept, mix, shingles, word_slices
+from assaykit.llm.words import U64, column, kept, mix, shingles, word_slices, tidy
 from assaykit.session import parallelism
 
 GROUPS = 128            # coordinates of a point
@@ -112,6 +112,7 @@ SHAPE = ("doc_id long, n_shingles long, set_a long, set_b long, "
          "home array<long>, low array<long>")
 
 
+@tidy
 def _shapes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int):
     kept("jaccard")
     for batch in batches:
@@ -138,6 +139,7 @@ def _shapes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int):
 
 # ids as a bitmap of fixed size (2 MiB)
 
+@tidy
 def _spots(batches: Iterator[pa.RecordBatch]):
     """Bits of the ids of a partition, as (word, bits)."""
     bits = np.zeros(BITMAP, np.uint64)
@@ -176,6 +178,7 @@ def _rows_of(batch: pa.RecordBatch, pivots) -> pa.RecordBatch:
         ["key", *PARTS, "pivot"])
 
 
+@tidy
 def _members(batches: Iterator[pa.RecordBatch]):
     """Rows of blocks with two members at least, with the block's first member.
 
@@ -222,6 +225,7 @@ def _members(batches: Iterator[pa.RecordBatch]):
 KEY_ROW = "doc_id long, home boolean, nth int, run long"
 
 
+@tidy
 def _key_rows(batches: Iterator[pa.RecordBatch]):
     """One row per block key; ``nth`` is the key's place among the keys of its document."""
     for batch in batches:
@@ -290,6 +294,7 @@ def block_rows(shapes: DataFrame, others: DataFrame) -> DataFrame:
 
 # verification
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray):
     kept("jaccard")
     for batch in batches:
@@ -404,6 +409,7 @@ def _fresh(keys: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return fresh
 
 
+@tidy
 def _search(batches: Iterator[pa.RecordBatch], num: int, den: int):
     """Pairs of blocks, or of two parts of a large one, that survive the bounds.
 
@@ -456,6 +462,7 @@ def _search(batches: Iterator[pa.RecordBatch], num: int, den: int):
 FACTS = "doc_id long, n_shingles long, point binary, _home array<long>, _low array<long>"
 
 
+@tidy
 def _facts(batches: Iterator[pa.RecordBatch], num: int, den: int):
     """What the search needs of a set: size, point and block keys."""
     for batch in batches:

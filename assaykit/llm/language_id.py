@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.shared import with_rows, written
 from assaykit.llm.tokens import text_slices
-from assaykit.llm.words import U64, Lookup, code_points, column, crc32, kept, letter_runs, letters, mix
+from assaykit.llm.words import (U64, Lookup, code_points, column,
+                                crc32, kept, letter_runs, letters, mix, tidy)
 
 LONGEST = 4
 SAMPLE_ROWS = 20000     # at most about so many rows are fitted on,
@@ -42,6 +43,7 @@ def grams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int):
     return h, place + 2 >= n
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]):
     kept("language")
     for batch in batches:
@@ -149,6 +151,7 @@ def score_words(model: Model, points, hashes, starts, ends) -> np.ndarray:
     return out
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], model: Model):
     kept("language")
     names = np.array([*model.langs, UNKNOWN], object)

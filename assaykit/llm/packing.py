@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.tokens import default_path, encoder, text_slices
-from assaykit.llm.words import column
+from assaykit.llm.words import column, tidy
 
 LENGTH = 4096
 END_ID = 2
@@ -97,6 +97,7 @@ def balanced(lengths: list[int], length: int = LENGTH,
     return out
 
 
+@tidy
 def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: int,
           group_tokens: int) -> Iterator[pa.RecordBatch]:
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
