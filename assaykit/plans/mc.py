@@ -18,6 +18,7 @@ from assaykit.session import cut_lineage
 
 RESAMPLES = 2000        # kernel resamples of the mean intervals
 PAIR_RESAMPLES = 20000  # 2*m/(B+1) must stay below the family level for m pairs
+POISSON_RESAMPLES = 100
 HASH_RESAMPLES = 40  # resamples of the SQL-checkable form
 R = using("responses")
 RC = using("responses", "cohort")
@@ -303,6 +304,38 @@ def _(spark, sf):
                                   HASH_RESAMPLES, SEED)
 
 
+# Poisson weights as the checks draw them: splitmix64 of a key and a resample's number.
+def _mixed(x: str, shift: int, factor: int) -> str:
+    return f"(xor({x}, {x} >> {shift})::UHUGEINT * {factor} % 18446744073709551616)::UBIGINT"
+
+
+def poisson_sql(rows: str, by: str, resamples: int) -> str:
+    """CTEs ``pw`` (weighted sums of the ``rows`` by, key, v) and ``pc`` (bounds and p)."""
+    steps = " + ".join(f"(u >= {t})::BIGINT" for t in bootstrap.POISSON_STEPS)
+    return f"""
+px AS (SELECT {by}, v, b, ((('0x' || substr(md5('{SEED}|' || key), 1, 15))::UBIGINT::UHUGEINT
+    + (b + 1)::UHUGEINT * {bootstrap.STEP64}) % 18446744073709551616)::UBIGINT AS x
+  FROM ({rows}), range({resamples}) t(b)),
+py AS (SELECT {by}, v, b, {_mixed('x', 30, bootstrap.MIX64[0])} AS x FROM px),
+pz AS (SELECT {by}, v, b, {_mixed('x', 27, bootstrap.MIX64[1])} AS x FROM py),
+pu AS (SELECT {by}, v, b, xor(x, x >> 31) >> 11 AS u FROM pz),
+pw AS (SELECT {by}, b, sum(v * w)::BIGINT AS s, sum(w)::BIGINT AS w
+  FROM (SELECT {by}, v, b, {steps} AS w FROM pu) GROUP BY ALL),
+pc AS (SELECT {by}, quantile_cont(s::DOUBLE / w / {UNIT}, 0.025) FILTER (w > 0) AS lo,
+    quantile_cont(s::DOUBLE / w / {UNIT}, 0.975) FILTER (w > 0) AS hi,
+    least(1.0, 2 * (least(count(*) FILTER (s <= 0), count(*) FILTER (s >= 0)) + 1)
+      / {resamples + 1}) AS p FROM pw GROUP BY ALL)"""
+
+
+@query("F1_mean_ci_poisson", R + SCORED + ", " + poisson_sql(
+    "SELECT model, question_id AS key, pu AS v FROM pi", "model", POISSON_RESAMPLES) + """
+SELECT model, n, round(lo, 6) AS lo, round(hi, 6) AS hi, 'poisson' AS method
+FROM pc JOIN (SELECT model, count(*) AS n FROM pi GROUP BY model) USING (model)""")
+def _(spark, sf):
+    return bootstrap.poisson_ci(item_means(spark, sf), ["model"], "p", "question_id",
+                                POISSON_RESAMPLES, SEED).drop("p")
+
+
 # Clopper-Pearson bounds by bisection over exact binomial tails.
 @query("F4_exact_ci", R + SCORED + """
 , m AS (SELECT model, count(*) AS n, count(*) FILTER (p >= 0.5) AS k FROM pi GROUP BY model),

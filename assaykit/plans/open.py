@@ -203,6 +203,20 @@ def _(spark, sf):
                                mc.PAIR_RESAMPLES, SEED, label="open-pair", with_mcnemar=False)
 
 
+# Composites are continuous: means of means over panels.
+UNITS_AS_V = f"CAST(round(p / 100 * {UNIT}) AS BIGINT)"
+
+
+@query("F1_open_ci_poisson", J + PANEL + ", " + mc.poisson_sql(
+    f"SELECT model, question_id AS key, {UNITS_AS_V} AS v FROM oi", "model", mc.POISSON_RESAMPLES) + """
+SELECT model, n, round(lo, 6) AS lo, round(hi, 6) AS hi, 'poisson' AS method
+FROM pc JOIN (SELECT model, count(*) AS n FROM oi GROUP BY model) USING (model)""")
+def _(spark, sf):
+    items = panel.open_items(scores(spark, sf)).withColumn("share", F.col("p") / panel.FULL)
+    return bootstrap.poisson_ci(items, ["model"], "share", "question_id", mc.POISSON_RESAMPLES,
+                                SEED).drop("p")
+
+
 @query("D7_open_leaderboard_full")
 def _(spark, sf):
     # panel scores are a stored table of a run

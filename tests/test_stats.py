@@ -278,3 +278,37 @@ def test_complete_rows_stay_where_they_are(spark):
     plan = plan.split("== Initial Plan ==")[-1]
     assert "BroadcastHashJoin" in plan
     assert not any(x in plan for x in ("Window", "Sort", "Exchange hashpartitioning", "Exchange rangepartitioning"))
+
+
+# ---- Poisson weights ---------------------------------------------------------------------
+
+def test_poisson_weights_have_the_law():
+    keys = np.random.default_rng(1).integers(0, 1 << 60, 4000)
+    w = bootstrap.poisson_weights(keys, 0, 250)
+    assert (bootstrap.poisson_weights(keys, 100, 50) == w[:, 100:150]).all()
+    share = np.bincount(w.ravel(), minlength=5)[:5] / w.size
+    law = [math.exp(-1) / math.factorial(k) for k in range(5)]
+    assert np.abs(share - law).max() < 0.002
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.25
+
+
+def test_poisson_agrees_with_the_histogram(spark, monkeypatch):
+    """Continuous values, several groups, one of them a single item."""
+    rng = np.random.default_rng(2)
+    rows = [("a", f"q{i}", float(x)) for i, x in enumerate(rng.beta(2, 3, 900))]
+    rows += [("b", f"q{i}", float(x)) for i, x in enumerate(rng.normal(0.01, 0.2, 700).clip(-1, 1))]
+    rows += [("c", "q0", 0.5), ("c", "q1", None), (None, "q2", 0.25)]
+    df = spark.createDataFrame(rows, "g string, q string, x double")
+    want = {r.g: r for r in bootstrap.mean_ci(df, ["g"], "x", 4000, 7).collect()}
+    got = {r.g: r for r in bootstrap.poisson_ci(df, ["g"], "x", "q", 4000, 7).collect()}
+    assert set(got) == set(want) == {"a", "b", "c", None}
+    for g in ("a", "b"):
+        width = want[g].hi - want[g].lo
+        assert got[g].n == want[g].n and got[g].method == "poisson"
+        assert abs(got[g].lo - want[g].lo) < 0.05 * width and abs(got[g].hi - want[g].hi) < 0.05 * width
+    assert got["a"].p == pytest.approx(2 / 4001) and got["b"].p > 0.01
+    assert (got["c"].lo, got["c"].hi) == (0.5, 0.5)
+    # the same result however the rows lie, and however often partial sums are handed on
+    monkeypatch.setattr(bootstrap, "POISSON_BYTES", 1)
+    again = {r.g: r for r in bootstrap.poisson_ci(df.repartition(13), ["g"], "x", "q", 4000, 7).collect()}
+    assert again == got
