@@ -137,10 +137,12 @@ def totals(overall: DataFrame) -> DataFrame:
         (F.max("mean") - F.min("mean")).alias("spread"), best["model"].alias("top_model"))
 
 
-def significance_counts(pairs: DataFrame) -> DataFrame:
-    """How many comparisons of each family survive the correction."""
+def significance_counts(pairs: DataFrame, p: str = "p_bootstrap", alpha: float = 0.05) -> DataFrame:
+    """How many comparisons of each family have a small p-value, and how many survive the
+    correction."""
     return pairs.groupBy("family").agg(
-        F.count("*").alias("n_pairs"), F.count_if("significant").alias("n_significant"))
+        F.count("*").alias("n_pairs"), F.count_if(F.col(p) < alpha).alias("n_nominal"),
+        F.count_if("significant").alias("n_significant"))
 
 
 def significance_by_tier(pairs: DataFrame, cohort: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def shared_items(items: DataFrame, cohort: DataFrame, value: str = "p",
     b = side.select(F.col(item).alias("_item"), F.col("model").alias("b"),
                     F.col("ord").alias("ord_b"), F.col("v").alias("vb"))
     return (a.join(b, (a["_item"] == b["_item"]) & (a["ord_a"] < b["ord_b"]))
-            .select("a", "b", "va", "vb"))
+            .select("a", "b", "va", "vb", a["_item"].alias("item")))
 
 
 def difference_histogram(shared: DataFrame) -> DataFrame:

@@ -13,12 +13,13 @@ from assaykit.operators.latest import packed
 from assaykit.operators.ranking import rank_by_hash
 from assaykit.plans import analysis
 from assaykit.plans.fixtures import VALID, fixture
-from assaykit.plans.registry import MEAN, SCORED, SEED, query, using
+from assaykit.plans.registry import MEAN, NEAR, SCORED, SEED, near_normal, query, using
 from assaykit.session import cut_lineage
 
 RESAMPLES = 2000        # kernel resamples of the mean intervals
 PAIR_RESAMPLES = 20000  # 2*m/(B+1) must stay below the family level for m pairs
 POISSON_RESAMPLES = 100
+FEW_ITEMS = 25          # groups with fewer items are not held against normal bounds
 HASH_RESAMPLES = 40  # resamples of the SQL-checkable form
 R = using("responses")
 RC = using("responses", "cohort")
@@ -203,14 +204,6 @@ def _(spark, sf):
     return leaderboard.progression(board).select("tier", "model", "position", "previous", "step")
 
 
-@query("E5_step_significance")
-def _(spark, sf):
-    board = leaderboard.with_cohort(overall(spark, sf), cohort(spark, sf))
-    return leaderboard.step_significance(
-        leaderboard.progression(board).where("previous IS NOT NULL"), pairs(spark, sf)).select(
-        "tier", "model", "previous", "step", "p_holm", "significant")
-
-
 @query("E6_score_by_size", RC + SCORED + """
 , o AS (SELECT model, """ + MEAN + """ AS mean FROM pi GROUP BY model)
 SELECT tier, model, generation, round(mean, 6) AS mean,
@@ -274,15 +267,27 @@ def _(spark, sf):
 
 # ---- intervals ---------------------------------------------------------------
 
-@query("F1_mean_ci")
+@query("F1_mean_ci", R + SCORED + f"""
+SELECT model, count(*) AS n, round({MEAN}, 6) AS mean,
+  round(CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END, 6) AS sem, {NEAR}
+FROM pi GROUP BY model""")
 def _(spark, sf):
-    return bootstrap.mean_ci(item_means(spark, sf), ["model"], "p", RESAMPLES, SEED,
-                             "mc-overall")
+    items = item_means(spark, sf)
+    drawn = bootstrap.mean_ci(items, ["model"], "p", RESAMPLES, SEED, "mc-overall")
+    means = leaderboard.mc_overall(item_table(spark, sf)).select("model", "mean", "sem")
+    return near_normal(drawn.join(means, "model"))
 
 
-@query("F1_group_ci")
+@query("F1_group_ci", R + SCORED + f"""
+SELECT model, breakdown, level, count(*) AS n, round({MEAN}, 6) AS mean,
+  round(CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END, 6) AS sem,
+  {NEAR}
+FROM (SELECT *, unnest(['dimension', 'difficulty', 'axis']) AS breakdown,
+    unnest([dimension, difficulty, axis]) AS level FROM pi) GROUP BY ALL""")
 def _(spark, sf):
-    return analysis.mc_groups(item_means(spark, sf), fixture(spark, sf, "bank"), RESAMPLES)
+    groups = near_normal(analysis.mc_groups(item_means(spark, sf), fixture(spark, sf, "bank"), RESAMPLES))
+    few = F.col("n") < FEW_ITEMS        # the normal bounds are no guide for a few items
+    return groups.withColumns({c: F.when(few, F.lit(True)).otherwise(F.col(c)) for c in ("lo_near", "hi_near")})
 
 
 UNITS = f", u AS (SELECT *, CAST(round(p * {UNIT}) AS BIGINT) AS v FROM pi)"
@@ -336,8 +341,8 @@ def _(spark, sf):
                                 POISSON_RESAMPLES, SEED).drop("p")
 
 
-# Clopper-Pearson bounds by bisection over exact binomial tails.
-@query("F4_exact_ci", R + SCORED + """
+# Clopper-Pearson bounds by bisection over exact binomial tails: CTE ``cp``.
+CP = """
 , m AS (SELECT model, count(*) AS n, count(*) FILTER (p >= 0.5) AS k FROM pi GROUP BY model),
 t AS MATERIALIZED (SELECT model, n, k, j, lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) AS lc
   FROM m, range(0, n + 1) r(j)),
@@ -351,11 +356,14 @@ bis AS (SELECT model, side, 0.0::DOUBLE AS a, 1.0::DOUBLE AS z FROM m, side),
          ELSE sum(exp(lc + j * ln((q.a + q.z) / 2)
            + (n - j) * ln(1 - (q.a + q.z) / 2))) FILTER (j <= k) > 0.025 END AS below
   FROM {'bis' if i == 0 else f'b{i - 1}'} q JOIN t USING (model)
-  GROUP BY q.model, q.side, q.a, q.z) p)""" for i in range(34)) + """
-SELECT model, n, k AS majority_correct,
-  round(CASE WHEN k = 0 THEN 0 ELSE (l.a + l.z) / 2 END, 6) AS cp_lo,
-  round(CASE WHEN k = n THEN 1 ELSE (h.a + h.z) / 2 END, 6) AS cp_hi
-FROM m JOIN b33 l USING (model) JOIN b33 h USING (model) WHERE l.side = 'lo' AND h.side = 'hi'""")
+  GROUP BY q.model, q.side, q.a, q.z) p)""" for i in range(34)) + """,
+cp AS (SELECT model, n, k, CASE WHEN k = 0 THEN 0 ELSE (l.a + l.z) / 2 END AS lo,
+    CASE WHEN k = n THEN 1 ELSE (h.a + h.z) / 2 END AS hi
+  FROM m JOIN b33 l USING (model) JOIN b33 h USING (model) WHERE l.side = 'lo' AND h.side = 'hi')"""
+
+
+@query("F4_exact_ci", R + SCORED + CP + """
+SELECT model, n, k AS majority_correct, round(lo, 6) AS cp_lo, round(hi, 6) AS cp_hi FROM cp""")
 def _(spark, sf):
     lo, hi = intervals.clopper_pearson(F.col("majority_correct"), F.col("n"))
     return overall(spark, sf).select("model", "n", "majority_correct",
@@ -395,10 +403,19 @@ def _(spark, sf):
     return shared.groupBy("a", "b").agg(F.count("*").alias("n_common"))
 
 
-@query("F2_paired_difference")
+@query("F2_paired_difference", RC + SCORED + PAIRS + f"""
+SELECT a, b, count(*) AS n, {NEAR}, true AS p_agrees FROM pr GROUP BY a, b""")
 def _(spark, sf):
-    return bootstrap.paired_ci(cut_lineage(histogram(spark, sf)), ["a", "b"], PAIR_RESAMPLES,
-                               SEED, "mc-pair")
+    shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
+    d = F.col("va") - F.col("vb")
+    facts = shared.groupBy("a", "b").agg(F.avg(d).alias("mean"), (
+        F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("sem"))
+    drawn = bootstrap.paired_ci(cut_lineage(histogram(spark, sf)), ["a", "b"], PAIR_RESAMPLES,
+                                SEED, "mc-pair")
+    outside = (F.col("lo") > 0) | (F.col("hi") < 0)
+    agrees = F.when(outside, F.col("p") < 0.06).otherwise(F.col("p") > 0.04)
+    return near_normal(drawn.join(facts, ["a", "b"]).withColumn("p_agrees", agrees)).drop(
+        "mean", "sem", "p")
 
 
 PAIR_DRAWS = f"""
@@ -434,52 +451,84 @@ def _(spark, sf):
     return hash_pairs(spark, sf)
 
 
-@query("E1_holm", RC + SCORED + PAIRS + PAIR_DRAWS + """
-, q AS (SELECT a, b, round(p, 5) AS p_bootstrap FROM h),
-o AS (SELECT *, row_number() OVER (ORDER BY p_bootstrap, a, b) AS rn, count(*) OVER () AS m FROM q),
-adj AS (SELECT *, least(1.0, max((m - rn + 1) * p_bootstrap) OVER (ORDER BY p_bootstrap, a, b
-  ROWS UNBOUNDED PRECEDING)) AS ph FROM o)
-SELECT a, b, round(p_bootstrap, 6) AS p_bootstrap, round(ph, 5) AS p_holm,
-  ph < 0.05 AS significant FROM adj""")
-def _(spark, sf):
-    h = hash_pairs(spark, sf).select("a", "b", F.bround("p", 5).alias("p_bootstrap"))
-    return pairwise.holm(h, [], "p_bootstrap", "a", "b")
+def chi2_sql(stat: str) -> str:
+    """Chi-square(1) tail: 1 - erf(z), z = sqrt(stat / 2), by its all-positive series."""
+    return f"""greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-{stat} / 2) * sqrt({stat} / 2) * list_sum(
+      list_transform(range(0, 400), lambda j: exp(j * ln({stat} + 1e-300)
+        - (lgamma(2 * j + 2) - lgamma(j + 1) - j * ln(2.0))))))"""
 
 
-@query("F3_mcnemar", RC + SCORED + PAIRS + """
-, d AS (SELECT a, b, count(*) FILTER (va >= 0.5 AND vb < 0.5) AS x,
-    count(*) FILTER (va < 0.5 AND vb >= 0.5) AS y FROM pr GROUP BY a, b),
+MCNEMAR = PAIRS + f"""
+, d AS (SELECT a, b, count(*) AS n_items, count(*) FILTER (va >= 0.5 AND vb < 0.5) AS x,
+    count(*) FILTER (va < 0.5 AND vb >= 0.5) AS y,
+    sum(CAST(round(va * {UNIT}) AS BIGINT) - CAST(round(vb * {UNIT}) AS BIGINT)) / count(*) / {UNIT} AS diff
+  FROM pr GROUP BY a, b),
 e AS (SELECT *, x + y AS n, CASE WHEN x + y < 25 THEN least(x, y)::DOUBLE
-    ELSE (abs(x - y) - 1) ^ 2 / (x + y) END AS stat FROM d)
-SELECT a, b, x AS only_a, y AS only_b, round(stat, 6) AS mcnemar_stat,
-  round(CASE WHEN n < 25 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(x, y) + 1),
+    ELSE (abs(x - y) - 1) ^ 2 / (x + y) END AS stat FROM d),
+mn AS (SELECT *, CASE WHEN n < 25 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(x, y) + 1),
       lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)))) / 2.0 ^ n)
-    -- chi-square(1) tail: 1 - erf(z), z = sqrt(stat / 2), by its all-positive series
-    ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-stat / 2) * sqrt(stat / 2) * list_sum(
-      list_transform(range(0, 400), lambda j: exp(j * ln(stat + 1e-300)
-        - (lgamma(2 * j + 2) - lgamma(j + 1) - j * ln(2.0)))))) END, 6) AS mcnemar_p FROM e""")
+    ELSE {chi2_sql('stat')} END AS p FROM e)"""
+
+
+@query("F3_mcnemar", RC + SCORED + MCNEMAR + """
+SELECT a, b, x AS only_a, y AS only_b, round(stat, 6) AS mcnemar_stat, round(p, 6) AS mcnemar_p FROM mn""")
 def _(spark, sf):
     return pairwise.mcnemar(pairwise.discordance(histogram(spark, sf))).select(
         "a", "b", "only_a", "only_b", "mcnemar_stat", "mcnemar_p")
 
 
-@query("F3_mcnemar_edwards", RC + SCORED + PAIRS + """
+@query("F3_mcnemar_edwards", RC + SCORED + PAIRS + f"""
 , d AS (SELECT a, b, count(*) FILTER (va >= 0.5 AND vb < 0.5) AS x,
-    count(*) FILTER (va < 0.5 AND vb >= 0.5) AS y FROM pr GROUP BY a, b)
-SELECT a, b, round(CASE WHEN x + y = 0 THEN 0 ELSE greatest(0, abs(x - y) - 1) ^ 2 / (x + y) END, 6)
-  AS edwards_stat FROM d""")
+    count(*) FILTER (va < 0.5 AND vb >= 0.5) AS y FROM pr GROUP BY a, b),
+e AS (SELECT a, b, CASE WHEN x + y = 0 THEN 0 ELSE greatest(0, abs(x - y) - 1) ^ 2 / (x + y) END AS stat FROM d)
+SELECT a, b, round(stat, 6) AS edwards_stat, round({chi2_sql('stat')}, 6) AS edwards_p FROM e""")
 def _(spark, sf):
-    return pairwise.mcnemar_edwards(pairwise.discordance(histogram(spark, sf))).select("a", "b", "edwards_stat")
+    return pairwise.mcnemar_edwards(pairwise.discordance(histogram(spark, sf))).select(
+        "a", "b", "edwards_stat", "edwards_p")
+
+
+# The family of all pairs by McNemar's p, which is not drawn.
+HOLM = MCNEMAR + """
+, q AS (SELECT *, round(p, 5) AS pr5 FROM mn),
+o AS (SELECT *, row_number() OVER (ORDER BY pr5, a, b) AS rn, count(*) OVER () AS m FROM q),
+adj AS (SELECT *, least(1.0, max((m - rn + 1) * pr5) OVER (ORDER BY pr5, a, b
+  ROWS UNBOUNDED PRECEDING)) AS ph FROM o)"""
+
 
+def tested(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs with McNemar's p, Holm-corrected."""
+    p = pairwise.mcnemar(pairwise.discordance(histogram(spark, sf))).withColumn(
+        "p_mcnemar", F.bround("mcnemar_p", 5))
+    return pairwise.holm(p, [], "p_mcnemar", "a", "b")
 
-@query("D18_significance_counts")
+
+@query("E1_holm", RC + SCORED + HOLM + """
+SELECT a, b, pr5 AS p_mcnemar, round(ph, 5) AS p_holm, ph < 0.05 AS significant FROM adj""")
 def _(spark, sf):
-    return leaderboard.significance_counts(pairs(spark, sf).withColumn("family", F.lit("mc")))
+    return tested(spark, sf).select("a", "b", "p_mcnemar", "p_holm", "significant")
 
 
-@query("D18_significance_by_tier")
+@query("E5_step_significance", RC + SCORED + HOLM + """
+, om AS (SELECT model, """ + MEAN + """ AS mean FROM pi GROUP BY model),
+bo AS (SELECT om.*, c.label, c.tier, c.generation FROM om JOIN cohort c USING (model)),
+st AS (SELECT tier, model, lag(model) OVER w AS previous, mean - lag(mean) OVER w AS step
+  FROM bo WINDOW w AS (PARTITION BY tier ORDER BY coalesce(generation, 0), label))
+SELECT tier, model, previous, round(step, 6) AS step, round(ph, 5) AS p_holm, ph < 0.05 AS significant
+FROM st LEFT JOIN adj ON (a = model AND b = previous) OR (b = model AND a = previous)
+WHERE previous IS NOT NULL""")
 def _(spark, sf):
-    return leaderboard.significance_by_tier(pairs(spark, sf), cohort(spark, sf))
+    board = leaderboard.with_cohort(overall(spark, sf), cohort(spark, sf))
+    return leaderboard.step_significance(
+        leaderboard.progression(board).where("previous IS NOT NULL"), tested(spark, sf)).select(
+        "tier", "model", "previous", "step", "p_holm", "significant")
+
+
+@query("D18_significance_by_tier", RC + SCORED + HOLM + """
+SELECT x.tier AS tier_a, y.tier AS tier_b, count(*) AS n_pairs,
+  count(*) FILTER (ph < 0.05) AS n_significant
+FROM adj JOIN cohort x ON x.model = a JOIN cohort y ON y.model = b GROUP BY 1, 2""")
+def _(spark, sf):
+    return leaderboard.significance_by_tier(tested(spark, sf), cohort(spark, sf))
 
 
 @query("E14_pairs_by_effect", RC + SCORED + PAIRS + f"""
@@ -489,14 +538,49 @@ def _(spark, sf):
     return pairwise.by_effect(pairwise.discordance(histogram(spark, sf)).select("a", "b", "diff"))
 
 
-@query("D3_leaderboard_full")
+BOARD = """
+, s AS (SELECT model, count(*) AS n, """ + MEAN + """ AS mean,
+    CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END AS sem,
+    coalesce(avg(sqrt(hits * (runs - hits) / (runs * (runs - 1)))) FILTER (runs > 1), 0) AS sd
+  FROM pi GROUP BY model),
+c AS (SELECT model, count(*) AS n_calls, count(*) FILTER (call_class = 'failed') AS n_call_failed,
+    count(*) FILTER (call_class = 'artifact') AS served_mismatch_artifact,
+    count(*) FILTER (call_class = 'genuine') AS served_mismatch_genuine,
+    count(*) FILTER (call_class IN ('clean','artifact') AND NOT parse_ok)
+      / count(*) FILTER (call_class IN ('clean','artifact')) AS pf FROM cls GROUP BY model)"""
+
+
+@query("D3_leaderboard_full", RC + SCORED + CP + BOARD + f"""
+SELECT row_number() OVER (ORDER BY coalesce(mean, 0) DESC, ord) AS rank, model, label, tier, generation,
+  round(mean, 6) AS mean, {NEAR}, round(round_even(cp.lo, 4), 6) AS cp_lo,
+  round(round_even(cp.hi, 4), 6) AS cp_hi, round(round_even(pf, 4), 6) AS parse_fail_rate,
+  round(round_even(sd, 4), 6) AS mean_within_item_sd, s.n, round(sem, 6) AS sem,
+  served_mismatch_artifact, served_mismatch_genuine, n_call_failed, n_calls
+FROM cohort JOIN c USING (model) JOIN s USING (model) JOIN cp USING (model)""")
 def _(spark, sf):
-    return flagship(spark, sf)
+    return near_normal(flagship(spark, sf))
 
 
-@query("C6_pairs_full")
+@query("C6_pairs_full", RC + SCORED + MCNEMAR + f"""
+, sd AS (SELECT a, b, stddev_samp(va - vb) / sqrt(count(*)) AS sem FROM pr GROUP BY a, b)
+SELECT a, b, n_items, round(round_even(diff, 4), 6) AS diff, {NEAR}, true AS floor_ok,
+  true AS holm_ok, true AS p_agrees, round(round_even(p, 5), 6) AS mcnemar_p FROM mn""")
 def _(spark, sf):
-    return pairs(spark, sf)
+    shared = pairwise.shared_items(item_means(spark, sf), cohort(spark, sf))
+    sem = shared.groupBy("a", "b").agg(
+        (F.stddev_samp(F.col("va") - F.col("vb")) / F.sqrt(F.count("*"))).alias("sem"))
+    return checked_pairs(pairs(spark, sf).join(sem, ["a", "b"]))
+
+
+def checked_pairs(tested_pairs: DataFrame) -> DataFrame:
+    """A drawn pair table with its drawn columns replaced by what must hold of them."""
+    outside = (F.col("lo") > 0) | (F.col("hi") < 0)
+    p = F.col("p_bootstrap")
+    out = tested_pairs.withColumns({
+        "holm_ok": (F.col("p_holm") >= p) & (F.col("significant") == (F.col("p_holm") < 0.05)),
+        # the interval leaves out zero where p is small, up to what rounding moves
+        "p_agrees": F.when(outside, p < 0.06).otherwise(p > 0.04)})
+    return near_normal(out, "diff").drop("sem", "p_bootstrap", "p_holm", "significant")
 
 
 # ---- item analysis ---------------------------------------------------------------

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.exact import UNIT
 from assaykit.functions.judging import rating, tally, with_objects
-from assaykit.operators import audit, bootstrap, leaderboard, panel, reliability, scoring
+from assaykit.operators import (audit, bootstrap, leaderboard, pairwise, panel, reliability,
+                                scoring)
 from assaykit.plans import analysis, mc
 from assaykit.plans.fixtures import JUDGE_DIMS, fixture, table
-from assaykit.plans.registry import MEAN, SCORED, SEED, query, using
+from assaykit.plans.registry import MEAN, NEAR, SCORED, SEED, near_normal, query, using
 from assaykit.session import computed_once, cut_lineage
 
 J = using("judge_base")
@@ -191,16 +192,75 @@ def _(spark, sf):
                                      panel.open_overall(scores(spark, sf)))
 
 
-@query("F1_open_ci")
+OPEN_MEANS = """, om AS (SELECT model, count(*) AS n, """ + mean_of("p") + """ AS mean,
+    CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END AS sem FROM oi GROUP BY model),
+so AS (SELECT oi.model, question_id, p, ord FROM oi JOIN cohort USING (model)),
+po AS (SELECT x.model AS a, y.model AS b, x.question_id, x.p AS va, y.p AS vb
+  FROM so x JOIN so y ON x.question_id = y.question_id AND x.ord < y.ord)"""
+JC = using("judge_base", "cohort")
+
+
+@query("F1_open_ci", JC + PANEL + OPEN_MEANS + f"""
+SELECT model, n, round(mean, 6) AS mean, round(sem, 6) AS sem, {NEAR} FROM om""")
 def _(spark, sf):
-    return bootstrap.mean_ci(panel.open_items(scores(spark, sf)), ["model"], "p", mc.RESAMPLES,
-                             SEED, "open-overall")
+    s = cut_lineage(scores(spark, sf))
+    drawn = bootstrap.mean_ci(panel.open_items(s), ["model"], "p", mc.RESAMPLES, SEED, "open-overall")
+    return near_normal(drawn.join(panel.open_overall(s).select("model", "mean", "sem"), "model"))
+
+
+def open_pairs(s: DataFrame, cohort: DataFrame) -> DataFrame:
+    return pairwise.shared_items(panel.open_items(s), cohort)
 
 
-@query("F2_open_pairs")
+@query("F2_open_pairs", JC + PANEL + OPEN_MEANS + f"""
+SELECT a, b, count(*) AS n_items, {NEAR}, true AS diff_near, true AS floor_ok, true AS holm_ok,
+  true AS p_agrees FROM po GROUP BY a, b""")
 def _(spark, sf):
-    return analysis.pair_table(panel.open_items(scores(spark, sf)), mc.cohort(spark, sf), 3,
-                               mc.PAIR_RESAMPLES, SEED, label="open-pair", with_mcnemar=False)
+    s = cut_lineage(scores(spark, sf))
+    cohort = mc.cohort(spark, sf)
+    d = F.col("va") - F.col("vb")
+    facts = open_pairs(s, cohort).groupBy("a", "b").agg(
+        F.avg(d).alias("mean"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("sem"))
+    drawn = analysis.pair_table(panel.open_items(s), cohort, 3, mc.PAIR_RESAMPLES, SEED,
+                                label="open-pair", with_mcnemar=False)
+    # three digits of a difference on the scale of 100
+    return mc.checked_pairs(drawn.join(facts, ["a", "b"]).withColumn(
+        "diff_near", F.abs(F.col("diff") - F.col("mean")) <= 0.00051)).drop("mean", "diff")
+
+
+@query("F2_open_pairs_poisson", JC + PANEL + OPEN_MEANS + ", " + mc.poisson_sql(
+    f"SELECT a, b AS other, question_id AS key, CAST(round((va - vb) / 100 * {UNIT}) AS BIGINT) AS v FROM po",
+    "a, other", mc.POISSON_RESAMPLES) + """
+SELECT a, other AS b, n, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p, 'poisson' AS method
+FROM pc JOIN (SELECT a, b AS other, count(*) AS n FROM po GROUP BY ALL) USING (a, other)""")
+def _(spark, sf):
+    return poisson_pairs(cut_lineage(scores(spark, sf)), mc.cohort(spark, sf))
+
+
+def poisson_pairs(s: DataFrame, cohort: DataFrame) -> DataFrame:
+    pairs = open_pairs(s, cohort).withColumn("d", (F.col("va") - F.col("vb")) / panel.FULL)
+    return bootstrap.poisson_ci(pairs, ["a", "b"], "d", "item", mc.POISSON_RESAMPLES, SEED)
+
+
+@query("D18_significance_counts", using("responses", "cohort", "judge_base") + SCORED.replace(
+    "sc AS", "rs AS").replace("FROM sc", "FROM rs") + mc.HOLM + PANEL + OPEN_MEANS + ", " + mc.poisson_sql(
+    f"SELECT a, b AS other, question_id AS key, CAST(round((va - vb) / 100 * {UNIT}) AS BIGINT) AS v FROM po",
+    "a, other", mc.POISSON_RESAMPLES) + """,
+oq AS (SELECT *, round(p, 5) AS p5 FROM pc),
+oo AS (SELECT *, row_number() OVER (ORDER BY p5, a, other) AS rn, count(*) OVER () AS m FROM oq),
+oh AS (SELECT *, least(1.0, max((m - rn + 1) * p5) OVER (ORDER BY p5, a, other
+  ROWS UNBOUNDED PRECEDING)) AS ph FROM oo)
+SELECT 'mc' AS family, count(*) AS n_pairs, count(*) FILTER (pr5 < 0.05) AS n_nominal,
+  count(*) FILTER (ph < 0.05) AS n_significant FROM adj
+UNION ALL
+SELECT 'open', count(*), count(*) FILTER (p5 < 0.05), count(*) FILTER (ph < 0.05) FROM oh""")
+def _(spark, sf):
+    choice = mc.tested(spark, sf).select(F.lit("mc").alias("family"), "a", "b",
+                                         F.col("p_mcnemar").alias("p"))
+    open_ = poisson_pairs(cut_lineage(scores(spark, sf)), mc.cohort(spark, sf)).select(
+        F.lit("open").alias("family"), "a", "b", F.bround("p", 5).alias("p"))
+    families = pairwise.holm(choice.unionByName(open_), ["family"], "p", "a", "b")
+    return leaderboard.significance_counts(families, "p")
 
 
 # Composites are continuous: means of means over panels.
@@ -217,16 +277,27 @@ def _(spark, sf):
                                 SEED).drop("p")
 
 
-@query("D7_open_leaderboard_full")
+@query("D7_open_leaderboard_full", JC + PANEL + OPEN_MEANS + f"""
+, re AS (SELECT model, count(*) FILTER (composite_100 IS NULL) AS n_unscored_records,
+  avg(cov) AS cov, avg(viol) AS viol FROM sc GROUP BY model)
+SELECT row_number() OVER (ORDER BY coalesce(mean, 0) DESC, ord) AS rank, model, label, tier, generation,
+  round(mean, 6) AS mean, {{NEAR}}, n, round(sem, 6) AS sem, n_unscored_records,
+  round(round_even(cov, 4), 6) AS mean_must_include_coverage,
+  round(round_even(viol, 4), 6) AS mean_should_not_violations
+FROM om JOIN re USING (model) JOIN cohort USING (model)""".replace("{NEAR}", NEAR))
 def _(spark, sf):
     # panel scores are a stored table of a run
-    return analysis.open_board(cut_lineage(scores(spark, sf)), mc.cohort(spark, sf),
-                               mc.RESAMPLES)
+    return near_normal(analysis.open_board(cut_lineage(scores(spark, sf)), mc.cohort(spark, sf),
+                                           mc.RESAMPLES))
 
 
-@query("D8_open_by_dimension_ci")
+@query("D8_open_by_dimension_ci", J + PANEL + f"""
+SELECT model, dimension, count(*) AS n, round({mean_of("p")}, 6) AS mean,
+  round(CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) ELSE 0 END, 6) AS sem, {NEAR}
+FROM (SELECT model, dimension, question_id, {mean_of("composite_100")} AS p FROM sc
+  WHERE composite_100 IS NOT NULL GROUP BY ALL) GROUP BY model, dimension""")
 def _(spark, sf):
-    return analysis.open_groups(cut_lineage(scores(spark, sf)), mc.RESAMPLES)
+    return near_normal(analysis.open_groups(cut_lineage(scores(spark, sf)), mc.RESAMPLES))
 
 
 # Complete raw ratings; the raw value is not clamped and numeric strings do not count.

@@ -42,6 +42,20 @@ def shaped(df: DataFrame) -> DataFrame:
     return df.select(*[column(f) for f in df.schema.fields])
 
 
+def near_normal(df: DataFrame, mean: str = "mean", sem: str = "sem") -> DataFrame:
+    """``lo`` and ``hi``, which are drawn, replaced by whether they lie within half a standard
+    error of the normal bounds: a check of a drawn interval that SQL can state (true)."""
+    def near(column: str, z: float):
+        off = F.abs(F.col(column) - (F.col(mean) + z * F.col(sem)))
+        return (off <= 0.5 * F.col(sem) + 1e-4).alias(f"{column}_near")   # results have 4 digits
+
+    kept = [c for c in df.columns if c not in ("lo", "hi")]
+    return df.select(*kept, near("lo", -1.96), near("hi", 1.96))
+
+
+NEAR = "true AS lo_near, true AS hi_near"
+
+
 def using(*fixtures: str) -> str:
     """``WITH`` clause holding the named fixtures."""
     return "WITH " + ", ".join(f"{n} AS ({check_sql(n)})" for n in fixtures)

@@ -9,7 +9,6 @@ duckdb = pytest.importorskip("duckdb")
 QUERIES, CHECKS = entry_point.queries(), entry_point.oracle_sql()
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-SLOW = {"F2_paired_difference_hash"}  # E1_holm replays the same draws
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in CHECKS and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in CHECKS])
 def test_matches_sql(spark, check, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -41,7 +40,13 @@ def test_matches_sql(spark, check, sf_dir, name):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in CHECKS])
 def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+    df = QUERIES[name](spark, sf_dir)
+    rows = df.limit(5).collect()
+    assert rows and any(v is not None for v in rows[0])
+
+
+def test_only_optional_operators_lack_sql():
+    assert all(n == "pipeline" or n.startswith("op") for n in QUERIES if n not in CHECKS)
 
 
 def test_entry(spark):
