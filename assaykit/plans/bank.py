@@ -10,6 +10,7 @@ from assaykit.functions.text import content_basis, content_id, stem
 from assaykit.operators import bank, prompts, reliability, reviews, validate, worklist
 from assaykit.plans.fixtures import REVIEWERS, VALID, fixture, table
 from assaykit.plans.registry import SEED, query, using
+from assaykit.session import scratch_path
 from assaykit.sources import shards
 
 HOLDOUT = 0.2
@@ -624,6 +625,19 @@ def _(spark, sf):
                         F.try_variant_get(v, "$.note.size", "bigint").alias("size"))
 
 
+@query("A3_objects_of_files", """
+SELECT unnest([p_partkey, -p_partkey]) AS id, unnest([NULL, p_size])::BIGINT AS size FROM part""")
+def _(spark, sf):
+    # the same texts as files; what never closes would swallow the texts after it
+    closed = F.replace("text", F.lit("broken\n"), F.lit("broken}\n"))
+    path = scratch_path(spark, "shards")
+    shard_texts(spark, sf).select(closed.alias("value")).write.text(path)
+    v = F.try_parse_json("json")
+    return shards.read_objects(spark, path).select(
+        F.try_variant_get(v, "$.id", "bigint").alias("id"),
+        F.try_variant_get(v, "$.note.size", "bigint").alias("size"))
+
+
 def array_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Responses holding item arrays: clean, fenced, broken, or none; some nest deeply."""
     k = F.col("p_partkey")

@@ -234,6 +234,35 @@ def test_shards(spark, tmp_path):
     assert ("a.jsonl", '{"a": 1}') in [(f, j) for f, _, j in got]
 
 
+@pytest.mark.parametrize("seed, split", [(1, 64), (2, 200), (3, 7), (4, 100000)])
+def test_objects_of_a_file_in_many_splits(spark, tmp_path, seed, split):
+    """Splits of any size give what a walk over the whole text gives."""
+    import random
+    rng = random.Random(seed)
+    for f in range(3):
+        parts = []
+        for i in range(60):
+            parts.append(rng.choice([
+                f'{{"i": {i}}}', f'{{\n "i": {i},\n "in": {{\n  "d": [{{"x": 1}}]\n }}\n}}', "prose", "", "```json",
+                f'{{"i": {i}, "s": "}}"}}', '{"open": {', "}}", "}", f'```\n{{"i": {i}}}\n```', '{"i": \n3}',
+                "{ " * rng.randrange(4) + "x", "[1, 2]", f'{{"t": "{"y" * 90}"}}']))
+        (tmp_path / f"f{f}.jsonl").write_text("\n".join(parts) + rng.choice(["", "\n"]))
+    whole = shards.split_objects(shards.read_shards(spark, str(tmp_path)), "file")
+    want = [(r.file, r.json) for r in whole.orderBy("file", "pos").collect()]
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = shards.read_objects(spark, str(tmp_path)).orderBy("file", "split", "line").collect()
+        splits = shards.read_lines(spark, str(tmp_path)).select("file", "split").distinct().count()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert [(r.file, r.json) for r in got] == want and len(want) > 10
+    assert splits > 9 or split > 200
+    assert len({(r.file, r.split, r.line) for r in got}) == len(got)
+
+
 def test_array_items(spark):
     texts = ['x [{"a":1},{"b":[2]}] y', '[{"a":1} {"b":2},{"c":}]', "none", "[broken", "[]", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
