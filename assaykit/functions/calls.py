@@ -5,19 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lower-case substrings of errors that no retry can heal.
-PERMANENT_ERRORS = (
-    "claude cli not found",
-    "served_mismatch",
-    "model not found", "unknown model", "invalid model",
-    "unknown option", "unrecognized option",
-    "invalid_request", "not_found_error",
-    "authentication", "permission", "billing",
-    "try pulling",
-    "does not support think",
-    "openai http 400", "openai http 401", "openai http 403", "openai http 404",
-)
-
 # The effort ladder.
 EFFORTS = ("low", "medium", "high", "xhigh", "max")
 
@@ -60,9 +47,13 @@ def all_models(usage: Column) -> Column:
     return F.when(F.size(usage) > 1, F.array_join(F.map_keys(usage), ","))
 
 
-def is_permanent(error: Column) -> Column:
-    """Whether an error is worth no retry; a missing error is not permanent."""
-    return F.coalesce(F.lower(error).rlike("|".join(PERMANENT_ERRORS)), F.lit(False))
+def is_permanent(error: Column, markers: list[str]) -> Column:
+    """Whether an error holds one of the markers of what no retry can heal, in any case.
+
+    Markers are configuration of the backends in use. A missing error is not permanent.
+    """
+    pattern = "|".join(rf"\Q{m.lower()}\E" for m in markers)
+    return F.coalesce(F.lower(error).rlike(pattern), F.lit(False)) if markers else F.lit(False)
 
 
 def work_key(backend: Column, model: Column, system: Column, prompt: Column,

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.text import letter_at
 
-# Default answer instructions.
-MC_TEMPLATE = ("{question}\n\n{options}\n\nThink it through if helpful, then end your response "
-               "with a line in exactly\nthis format:\nANSWER: <letter>")
-HARNESS_TEMPLATE = ("{question}\n\n{options}\n\nThink it through if helpful, then end with a "
-                    "line exactly: ANSWER: <letter>")
+# Defaults; a pack brings its own. What answer extraction reads is the last line's form.
+MC_TEMPLATE = ("{question}\n\n{options}\n\nGive your reasons first. The last line holds the letter "
+               "alone:\nANSWER: <letter>")
+HARNESS_TEMPLATE = "{question}\n\n{options}\n\nLast line: ANSWER: <letter>"
 OPEN_TEMPLATE = "{prompt}"
 
 

@@ -137,7 +137,11 @@ def missing_runs(items: DataFrame, cohort: DataFrame, present: DataFrame, n_runs
             .join(places, "place").select(item, "model", "run_index"))
 
 
-def retry_list(records: DataFrame) -> DataFrame:
-    """Failed calls with their error class; permanent ones are not worth a retry."""
+def retry_list(records: DataFrame, markers: DataFrame) -> DataFrame:
+    """Failed calls with their error class; permanent ones are not worth a retry.
+
+    ``markers`` (one column ``marker``) is a configuration table of permanent errors.
+    """
+    known = sorted(r.marker for r in markers.select("marker").distinct().collect() if r.marker)
     return (records.where(~F.coalesce("call_ok", F.lit(True)))
-            .withColumn("permanent", is_permanent(F.col("error"))))
+            .withColumn("permanent", is_permanent(F.col("error"), known)))

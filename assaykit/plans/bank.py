@@ -45,66 +45,62 @@ def validated(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
                                    fixture(spark, sf, "types"))
 
 
-MC_ERRORS = """, vm AS (SELECT i.*, t.axis AS want, t.dimension IS NOT NULL AS known FROM items i
-  LEFT JOIN taxonomy t ON t.dimension = i.dimension AND t.format = 'mc'),
-em AS (SELECT *, list_filter([
-  CASE WHEN axis NOT IN (SELECT axis FROM taxonomy) THEN 'bad axis: ' || axis END,
-  CASE WHEN NOT known THEN 'bad mc dimension: ' || dimension END,
+# Errors as "code field detail", in the order of the rules.
+SHARED_ERRORS = """
   CASE WHEN difficulty NOT IN ('basic', 'intermediate', 'advanced', 'expert')
-    THEN 'bad difficulty: ' || difficulty END,
-  CASE WHEN length(trim(question)) < 10 THEN 'question too short/missing' END,
-  CASE WHEN len(list_filter(choices, lambda c: trim(c) = '')) > 0 THEN 'empty choice present' END,
+    THEN 'unlisted difficulty ' || difficulty END,
+  CASE WHEN NOT known THEN 'unlisted dimension ' || dimension END,
+  CASE WHEN axis NOT IN (SELECT axis FROM taxonomy) THEN 'unlisted axis ' || axis END,
+  CASE WHEN want <> axis THEN 'foreign axis ' || want END,"""
+
+MC_ERRORS = f""", vm AS (SELECT i.*, t.axis AS want, t.dimension IS NOT NULL AS known FROM items i
+  LEFT JOIN taxonomy t ON t.dimension = i.dimension AND t.format = 'mc'),
+em AS (SELECT *, list_filter([{SHARED_ERRORS}
+  CASE WHEN length(trim(question)) < 10 THEN 'short question' END,
+  CASE WHEN source = '' THEN 'absent source' END,
+  CASE WHEN answer_index NOT BETWEEN 0 AND len(choices) - 1 THEN 'range answer_index ' || answer_index END,
+  CASE WHEN len(list_filter(choices, lambda c: trim(c) = '')) > 0 THEN 'blank choices' END,
   CASE WHEN len(list_distinct(list_transform(choices, lambda c: lower(trim(c))))) < len(choices)
-    THEN 'duplicate choices' END,
-  CASE WHEN answer_index NOT BETWEEN 0 AND len(choices) - 1 THEN 'answer_index out of range' END,
+    THEN 'repeat choices' END,
   CASE WHEN distractor_types IS NULL THEN NULL
-    WHEN len(distractor_types) <> len(choices) THEN 'distractor_types length must match choices'
-    WHEN list_contains(distractor_types, 'bogus') THEN 'bad distractor_type'
+    WHEN len(distractor_types) <> len(choices) THEN 'length distractor_types ' || len(distractor_types)
+    WHEN list_contains(distractor_types, 'bogus') THEN 'unlisted distractor_types'
     WHEN len(list_filter(distractor_types, lambda x: x = 'correct')) <> 1 THEN
-      'distractor_types must contain exactly one ''correct'' (found '
-      || len(list_filter(distractor_types, lambda x: x = 'correct')) || ')'
+      'keys distractor_types ' || len(list_filter(distractor_types, lambda x: x = 'correct'))
     WHEN answer_index < 4 AND distractor_types[answer_index + 1] <> 'correct'
-      THEN '''correct'' distractor_type is not at answer_index' END,
-  CASE WHEN source = '' THEN 'missing source' END,
-  CASE WHEN want <> axis THEN 'axis ''' || axis || ''' inconsistent with dimension '''
-    || dimension || ''' (expected ''' || want || ''')' END], lambda x: x IS NOT NULL) AS e FROM vm),
-mc_errors AS (SELECT *, CASE WHEN format <> 'mc' THEN 'unknown format: ' || format
+      THEN 'off_key distractor_types' END], lambda x: x IS NOT NULL) AS e FROM vm),
+mc_errors AS (SELECT *, CASE WHEN format <> 'mc' THEN 'unlisted format ' || format
   ELSE coalesce(array_to_string(e, '; '), '') END AS errors FROM em)"""
 
-OPEN_ERRORS = """, vo AS (SELECT o.*, t.axis AS want, t.dimension IS NOT NULL AS known
+OPEN_ERRORS = f""", vo AS (SELECT o.*, t.axis AS want, t.dimension IS NOT NULL AS known
   FROM open_items o LEFT JOIN taxonomy t ON t.dimension = o.dimension AND t.format = 'open'),
-open_errors AS (SELECT *, coalesce(array_to_string(list_filter([
-  CASE WHEN axis NOT IN (SELECT axis FROM taxonomy) THEN 'bad axis: ' || axis END,
-  CASE WHEN NOT known THEN 'bad open dimension: ' || dimension END,
-  CASE WHEN length(trim(regexp_replace(prompt, '^\\s+|\\s+$', '', 'g'))) < 20 THEN 'prompt too short/missing' END,
-  CASE WHEN len(must_include) = 0 THEN 'rubric.must_include missing/empty' END,
-  CASE WHEN len(should_not) = 0 THEN 'rubric.should_not missing/empty' END,
-  CASE WHEN ideal = '' THEN 'rubric.ideal_reasoning_pattern missing' END,
-  CASE WHEN want <> axis THEN 'axis ''' || axis || ''' inconsistent with dimension '''
-    || dimension || ''' (expected ''' || want || ''')' END], lambda x: x IS NOT NULL), '; '), '')
+open_errors AS (SELECT *, coalesce(array_to_string(list_filter([{SHARED_ERRORS}
+  CASE WHEN length(trim(regexp_replace(prompt, '^\\s+|\\s+$', '', 'g'))) < 20 THEN 'short prompt' END,
+  CASE WHEN len(must_include) = 0 THEN 'absent rubric.must_include' END,
+  CASE WHEN len(should_not) = 0 THEN 'absent rubric.should_not' END,
+  CASE WHEN ideal = '' THEN 'absent rubric.ideal_reasoning_pattern' END], lambda x: x IS NOT NULL), '; '), '')
   AS errors FROM vo)"""
 
 
 @query("B1_validate_mc", ITEM_VOCAB + MC_ERRORS + " SELECT p_partkey, errors FROM mc_errors")
 def _(spark, sf):
     return validated(spark, sf, items(spark, sf)).select(
-        "p_partkey", F.array_join("errors", "; ").alias("errors"))
+        "p_partkey", validate.shown().alias("errors"))
 
 
 @query("B2_validate_open", OPEN_VOCAB + OPEN_ERRORS + " SELECT doc_id, errors FROM open_errors")
 def _(spark, sf):
     rows = all_items(spark, sf).where("format = 'open'")
     return validated(spark, sf, rows).select(
-        (F.col("nr") - 10**9).alias("doc_id"), F.array_join("errors", "; ").alias("errors"))
+        (F.col("nr") - 10**9).alias("doc_id"), validate.shown().alias("errors"))
 
 
 @query("B3_axis_consistency", ITEM_VOCAB + MC_ERRORS + """
 SELECT p_partkey, axis, dimension FROM mc_errors
-WHERE format = 'mc' AND errors LIKE '%inconsistent with dimension%'""")
+WHERE format = 'mc' AND errors LIKE '%foreign axis%'""")
 def _(spark, sf):
     rows = validated(spark, sf, all_items(spark, sf)).where("format = 'mc'")
-    return rows.where(F.exists("errors", lambda e: F.contains(
-        e, F.lit("inconsistent with dimension")))).select(
+    return rows.where(F.exists("errors", lambda e: e["code"] == "foreign")).select(
         F.col("nr").alias("p_partkey"), "axis", "dimension")
 
 
@@ -150,8 +146,8 @@ OPTIONS = """array_to_string(list_transform(range(0, len(choices)),
 
 @query("B7_choice_prompts", using("items") + f"""
 SELECT p_partkey, question || chr(10) || chr(10) || {OPTIONS} || chr(10) || chr(10)
-  || 'Think it through if helpful, then end your response with a line in exactly' || chr(10)
-  || 'this format:' || chr(10) || 'ANSWER: <letter>' AS prompt FROM items""")
+  || 'Give your reasons first. The last line holds the letter alone:' || chr(10)
+  || 'ANSWER: <letter>' AS prompt FROM items""")
 def _(spark, sf):
     return items(spark, sf).select("p_partkey", prompts.mc_prompt().alias("prompt"))
 
@@ -209,7 +205,7 @@ def _(spark, sf):
 
 @query("A10_harness_dataset", using("items") + f"""
 SELECT p_partkey AS question_id, question || chr(10) || chr(10) || {OPTIONS} || chr(10) || chr(10)
-  || 'Think it through if helpful, then end with a line exactly: ANSWER: <letter>' AS doc_text,
+  || 'Last line: ANSWER: <letter>' AS doc_text,
   substr('ABCDEFGH', answer_index + 1, 1) AS target FROM items WHERE {VALID}""")
 def _(spark, sf):
     return prompts.harness_dataset(valid_items(spark, sf))

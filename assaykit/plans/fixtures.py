@@ -246,7 +246,7 @@ SELECT event_id, ts, concat('k', CAST(user_id AS VARCHAR(20)), '-', event_type)
     WHEN 1 THEN concat('model-', event_type, '-fast') WHEN 2 THEN NULL
     ELSE concat('model-', event_type) END AS model_served,
   CASE WHEN event_id % 7 <> 0 THEN NULL WHEN event_id % 3 = 0 THEN 'HTTP 429 rate limit'
-    WHEN event_id % 3 = 1 THEN 'Served_Mismatch: requested x' ELSE 'OpenAI HTTP 401' END AS error
+    WHEN event_id % 3 = 1 THEN 'Served_Mismatch: requested x' ELSE 'Backend http 401' END AS error
 FROM events"""
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "

@@ -339,7 +339,8 @@ def _(spark, sf):
 @query("G10_retry_list", CL + """
 SELECT event_id, event_id % 3 <> 0 AS permanent FROM calls WHERE NOT call_ok""")
 def _(spark, sf):
-    return worklist.retry_list(fixture(spark, sf, "calls")).select("event_id", "permanent")
+    markers = spark.createDataFrame([("served_mismatch",), ("HTTP 401",)], "marker string")
+    return worklist.retry_list(fixture(spark, sf, "calls"), markers).select("event_id", "permanent")
 
 
 @query("G11_work_keys", using("items") + """
