@@ -113,24 +113,42 @@ def per_item(scored: DataFrame, item: str = "question_id") -> DataFrame:
             .withColumn("p", F.col("hits") / F.col("runs")))
 
 
+def _accounting() -> dict[str, Column]:
+    """Counts of a log by call class; all add up."""
+    kept = F.col("call_class").isin("clean", "artifact")
+
+    def of(kind: str) -> Column:
+        return F.count_if(F.col("call_class") == kind)
+
+    return {"runs": F.count_if(kept), "hits": F.count_if(kept & F.col("correct")),
+            "n_unparsed": F.count_if(kept & ~F.col("parse_ok")), "n_calls": F.count("*"),
+            "n_call_failed": of("failed"), "served_mismatch_artifact": of("artifact"),
+            "served_mismatch_genuine": of("genuine")}
+
+
 def item_table(classified: DataFrame, item: str = "question_id") -> DataFrame:
     """``per_item`` plus call accounting, from one aggregation over the whole log.
 
     Keeps rows whose calls were all excluded (``runs`` 0, ``p`` null) so that per-model
     call counts are sums over this table and the log is not read a second time.
     """
+    return (classified.groupBy("model", item)
+            .agg(*[c.alias(n) for n, c in _accounting().items()])
+            .withColumn("p", F.try_divide("hits", "runs")))
+
+
+def cell_table(classified: DataFrame, seq: str, item: str = "question_id") -> DataFrame:
+    """One row per (model, run, item): the accounting, and ``x``, the outcome (0/1) of the last
+    scoreable record by ``seq`` (BIGINT). What every choice statistic needs of a log."""
     kept = F.col("call_class").isin("clean", "artifact")
+    last = F.max_by(F.col("correct").cast("int"), F.when(kept, F.col(seq)))
+    return classified.groupBy("model", "run_index", item).agg(
+        *[c.alias(n) for n, c in _accounting().items()], last.alias("x"))
 
-    def of(kind: str) -> Column:
-        return F.count_if(F.col("call_class") == kind)
 
-    return (classified.groupBy("model", item)
-            .agg(F.count_if(kept).alias("runs"),
-                 F.count_if(kept & F.col("correct")).alias("hits"),
-                 F.count_if(kept & ~F.col("parse_ok")).alias("n_unparsed"),
-                 F.count("*").alias("n_calls"), of("failed").alias("n_call_failed"),
-                 of("artifact").alias("served_mismatch_artifact"),
-                 of("genuine").alias("served_mismatch_genuine"))
+def cell_items(cells: DataFrame, item: str = "question_id") -> DataFrame:
+    """The item table, from cells."""
+    return (cells.groupBy("model", item).agg(*[F.sum(n).alias(n) for n in _accounting()])
             .withColumn("p", F.try_divide("hits", "runs")))
 
 

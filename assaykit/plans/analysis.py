@@ -145,3 +145,33 @@ def analyze_open(scores: DataFrame, verdicts: DataFrame, cohort: DataFrame, dims
         "judge_irr": reliability.judge_agreement_summary(complete, dims),
         "judge_irr_by_metric": reliability.judge_agreement(complete, dims),
     }
+
+
+SECTIONS = ("mc_overall", "mc_by", "mc_pairwise", "mc_items", "open_overall", "open_by_dim",
+            "open_judge_dims", "open_pairwise", "judge_irr")
+
+
+def summary(cells: DataFrame, bank: DataFrame, panels: DataFrame, ratings: DataFrame,
+            cohort: DataFrame, dims: list[str], open_cohort: DataFrame | None = None,
+            resamples: int = RESAMPLES, pair_resamples: int | None = None, seed: int = SEED,
+            ci: float = CI) -> dict[str, DataFrame]:
+    """All sections of a run's results, from tables that hold each evaluation once: ``cells``
+    (``scoring.cell_table``), ``panels`` (panel scores) and ``ratings`` (``panel.last_complete``).
+
+    Pass stored tables: every section reads one of them, and no section reads a log.
+    """
+    table = scoring.cell_items(cells)
+    items, pairs = scoring.scored_items(table), pair_resamples or resamples
+    open_models = cohort if open_cohort is None else open_cohort
+    outcomes = cells.where(F.col("x").isNotNull()).select("model", "run_index", "question_id", "x")
+    return {
+        "mc_overall": mc_board(table, cohort, resamples, seed, ci),
+        "mc_by": mc_groups(items, bank, resamples, seed, ci),
+        "mc_pairwise": pair_table(items, cohort, 4, pairs, seed, ci),
+        "mc_items": item_stats.item_analysis(outcomes),
+        "open_overall": open_board(panels, open_models, resamples, seed, ci),
+        "open_by_dim": open_groups(panels, resamples, seed, ci),
+        "open_judge_dims": panel.judge_dimension_means(panels),
+        "open_pairwise": pair_table(panel.open_items(panels), open_models, 3, pairs, seed, ci,
+                                    "open-pair", with_mcnemar=False),
+        "judge_irr": reliability.judge_agreement_summary(ratings, dims)}

@@ -600,13 +600,16 @@ ia AS (SELECT question_id, avg(x) AS difficulty_p, count(*) AS n_resp,
     AS discrimination FROM kept JOIN tot USING (model, run_index) GROUP BY question_id)"""
 
 
+def sequence():
+    """Rows that agree in these keys agree in their outcome, so the price is not part of the order."""
+    return packed((F.col("l_orderkey"), 26), (F.col("l_linenumber"), 3), (F.col("question_id"), 20),
+                  (F.col("l_suppkey"), 14))
+
+
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    # rows that agree in these keys agree in their outcome, so the price is not part of the order
-    seq = packed((F.col("l_orderkey"), 26), (F.col("l_linenumber"), 3), (F.col("question_id"), 20),
-                 (F.col("l_suppkey"), 14))
     dense = scored(spark, sf).select(
         F.col("tier").alias("model"), (F.col("run_index") % 2).alias("run_index"), "question_id",
-        "correct", seq.alias("seq"))
+        "correct", sequence().alias("seq"))
     return item_stats.last_outcome(dense, "question_id", "seq")
 
 

@@ -54,7 +54,11 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Panel scores with the item's dimension."""
-    typed = panel.sanitise(panel.primary(verdicts(spark, sf)).drop("text", "call_ok"), DIMS)
+    return panels(verdicts(spark, sf).drop("text"))
+
+
+def panels(rated: DataFrame) -> DataFrame:
+    typed = panel.sanitise(panel.primary(rated).drop("call_ok"), DIMS)
     last = panel.last_per_judge(typed, "seq")
     meta = F.concat(F.lit("dim"), (F.col("question_id") % 4).cast("string"))
     return panel.panel_scores(last, DIMS).withColumn("dimension", meta)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,13 @@ from assaykit import schemas
 from assaykit.functions import calls as call_fns
 from assaykit.functions.answers import answer_letter, harness_letter, letter_matches_key
 from assaykit.functions.text import LETTERS, utc, without_reasoning
-from assaykit.operators import scoring, worklist
+from assaykit.operators import panel, scoring, worklist
 from assaykit.operators.bank import sample_keys
-from assaykit.plans import bank, mc
+from assaykit.plans import analysis, bank, mc
+from assaykit.plans import open as open_plans
 from assaykit.plans.fixtures import ANSWER_CHOICES, ANSWERS, fixture, table
 from assaykit.plans.registry import SCORED, SEED, query, using
-from assaykit.session import scratch_path
+from assaykit.session import cut_lineage, scratch_path, stored
 from assaykit.sources import jsonl, tables
 from assaykit.streaming import intake, waves
 
@@ -95,21 +98,49 @@ def _(spark, sf):
     return tables.stamp_configuration(live, manifest.drop("n_nationkey"))
 
 
-@query("A9_summary_sections", using("responses") + SCORED + """
-SELECT 'mc_overall' AS section, count(DISTINCT model) AS n_rows FROM cls
-UNION ALL SELECT 'mc_items', count(*) FROM pi
-UNION ALL SELECT 'mc_by', count(*) FROM (SELECT 1 FROM pi
-  GROUP BY GROUPING SETS ((model), (model, dimension), (model, difficulty), (model, axis)))""")
-def _(spark, sf):
-    from assaykit.operators import leaderboard
+# Tiers in two sessions stand for models and runs, so that most items are complete.
+@query("A9_summary_sections", using("responses", "cohort", "judge_base") + SCORED.replace(
+    "sc AS", "rs AS").replace("FROM sc", "FROM rs") + mc.DENSE.replace("FROM sc", "FROM rs")
+    + open_plans.PANEL + open_plans.OPEN_MEANS + open_plans.COMPLETE + """,
+ti AS (SELECT DISTINCT tier, question_id, dimension, difficulty, axis FROM rs),
+tp AS (SELECT x.tier AS a, y.tier AS b, count(*) AS n FROM ti x JOIN ti y
+  ON x.question_id = y.question_id AND x.tier < y.tier GROUP BY ALL)
+SELECT 'mc_overall' AS section, count(DISTINCT tier) AS n_rows, count(*)::DOUBLE AS total FROM ti
+UNION ALL SELECT 'mc_by', (SELECT count(*) FROM (SELECT DISTINCT tier, dimension FROM ti))
+  + (SELECT count(*) FROM (SELECT DISTINCT tier, difficulty FROM ti))
+  + (SELECT count(*) FROM (SELECT DISTINCT tier, axis FROM ti)), 3.0 * count(*) FROM ti
+UNION ALL SELECT 'mc_pairwise', count(*), sum(n) FROM tp
+UNION ALL SELECT 'mc_items', count(*), sum(n_resp) FROM ia
+UNION ALL SELECT 'open_overall', count(*), sum(n) FROM om JOIN cohort USING (model)
+UNION ALL SELECT 'open_by_dim', (SELECT count(*) FROM (SELECT DISTINCT model, dimension FROM sc
+    WHERE composite_100 IS NOT NULL)), count(*) FROM oi
+UNION ALL SELECT 'open_judge_dims', (SELECT count(*) FROM (UNPIVOT (SELECT DISTINCT model,
+    max(accuracy) AS accuracy, max(voice) AS voice, max(wisdom) AS wisdom, max(distinct_) AS d FROM sc
+    GROUP BY model) ON accuracy, voice, wisdom, d INTO NAME k VALUE v)), (SELECT count(DISTINCT model) FROM sc)
+UNION ALL SELECT 'open_pairwise', count(*), sum(n) FROM (SELECT a, b, count(*) AS n FROM po GROUP BY ALL)
+UNION ALL SELECT 'judge_irr', 1, (SELECT count(DISTINCT (model, question_id, run_index)) FROM cr)""")
+def _(spark, sf):
+    log = mc.classified(spark, sf).select(
+        F.col("tier").alias("model"), (F.col("run_index") % 2).alias("run_index"), "question_id", "correct",
+        "parse_ok", "call_class", mc.sequence().alias("seq"))
+    tiers = table(spark, sf, "region").select(
+        F.col("r_name").alias("model"), F.col("r_name").alias("label"), F.col("r_name").alias("tier"),
+        F.lit(None).cast("double").alias("generation"), F.col("r_regionkey").alias("ord"))
+    rated = cut_lineage(open_plans.verdicts(spark, sf).drop("text"))     # the judges' texts are read once
+    sections = analysis.summary(
+        stored(scoring.cell_table(log, "seq"), "cells"), fixture(spark, sf, "bank"),
+        stored(open_plans.panels(rated), "panels"),
+        stored(panel.last_complete(rated, open_plans.DIMS, "seq"), "ratings"), tiers, open_plans.DIMS,
+        mc.cohort(spark, sf), resamples=200)
     root = scratch_path(spark, "summary")
-    items = mc.item_means(spark, sf)
-    tables.write_summary({"mc_overall": mc.overall(spark, sf), "mc_items": items,
-                          "mc_by": leaderboard.mc_breakdown(items, fixture(spark, sf, "bank"))}, root)
-    parts = [spark.read.parquet(f"{root}/{n}").agg(F.lit(n).alias("section"),
-                                                   F.count("*").alias("n_rows"))
-             for n in ("mc_overall", "mc_items", "mc_by")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tables.publish(sections, root, "run")
+    found = tables.published(spark, root, "run")
+    totals = {"mc_pairwise": F.sum("n_items"), "mc_items": F.sum("n_resp"), "open_pairwise": F.sum("n_items"),
+              "open_judge_dims": F.count_if("weakest"), "judge_irr": F.sum("n_units")}
+    parts = [df.agg(F.lit(n).alias("section"), F.count("*").alias("n_rows"),
+                    totals.get(n, F.sum("n") if "n" in df.columns else F.lit(0)).cast("double").alias("total"))
+             for n, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---- work lists -----------------------------------------------------------------------

@@ -68,7 +68,25 @@ def stamp_configuration(live: DataFrame, manifest: DataFrame) -> DataFrame:
                     .alias("provenance")))
 
 
-def write_summary(sections: dict[str, DataFrame], root: str) -> None:
-    """One table per section of the results."""
+def publish(sections: dict[str, DataFrame], root: str, run_id: str) -> str:
+    """Write a table per section, then publish them all by one manifest row.
+
+    Readers follow the manifest, so they see the sections of one evaluation or none of them.
+    Returns the folder of this version.
+    """
+    version = f"{root}/versions/{uuid.uuid4().hex}"
     for name, df in sections.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        df.write.parquet(f"{version}/{name}")
+    spark = next(iter(sections.values())).sparkSession
+    (spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(version).alias("path"),
+                           F.array(*[F.lit(n) for n in sections]).alias("sections"),
+                           F.current_timestamp().alias("at"))
+     .coalesce(1).write.mode("append").parquet(f"{root}/manifest"))
+    return version
+
+
+def published(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
+    """The sections that were published last for a run (reads one manifest row on the driver)."""
+    last = (spark.read.parquet(f"{root}/manifest").where(F.col("run_id") == run_id)
+            .orderBy(F.desc("at")).limit(1).collect())
+    return {n: spark.read.parquet(f"{r.path}/{n}") for r in last for n in r.sections}
