@@ -471,6 +471,33 @@ def _(spark, sf):
                                           "done")
 
 
+# Events come in four waves by time; every tenth comes one wave late.
+@query("J2_stream_late", """
+WITH r AS (SELECT epoch(min(ts))::BIGINT AS lo, epoch(max(ts))::BIGINT AS hi FROM events),
+e AS (SELECT ts, event_type AS model, least(3, (epoch(ts)::BIGINT - lo) * 4 // (hi - lo + 1)
+    + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS wave FROM events, r),
+w AS (SELECT x.wave, max(y.ts) - INTERVAL 2 DAY AS mark
+  FROM (SELECT DISTINCT wave FROM e) x LEFT JOIN e y ON y.wave < x.wave GROUP BY 1),
+l AS (SELECT model, time_bucket(INTERVAL 1 DAY, ts) AS start,
+    coalesce(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= mark, false) AS late
+  FROM e JOIN w USING (wave))
+SELECT epoch(start)::BIGINT AS start, model, count(*) FILTER (NOT late) AS done, count(*) FILTER (late) AS late
+FROM l GROUP BY 1, 2""")
+def _(spark, sf):
+    seconds = F.unix_timestamp("at")
+    log = timed(spark, sf).select("model", "at", "event_id")
+    ends = log.agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi")).first()
+    quarter = F.floor((seconds - ends.lo) * 4 / (ends.hi - ends.lo + 1))
+    wave = F.least(F.lit(3), quarter + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
+    source = scratch_path(spark, "timed")
+    out, mark = scratch_path(spark, "late"), scratch_path(spark, "mark")
+    for number in range(4):
+        log.where(wave == number).select("model", "at").write.mode("append").parquet(source)
+        intake.run_rate(intake.response_stream(spark, source, "model string, at timestamp", "parquet"),
+                        out, mark, "at", "1 day", "2 DAY")
+    return intake.rates(spark, out).select(F.unix_timestamp("start").alias("start"), "model", "done", "late")
+
+
 @query("J3_stream_once_per_key", """
 SELECT DISTINCT concat(user_id, '-', event_type) AS key FROM events""")
 def _(spark, sf):

@@ -55,6 +55,43 @@ def rate(stream: DataFrame, time: str, width: str, delay: str) -> DataFrame:
             .select(F.col("w.start").alias("start"), "model", "done"))
 
 
+def run_rate(stream: DataFrame, out: str, checkpoint: str, time: str, width: str,
+             delay: str) -> None:
+    """Completed calls per model and window, with the calls that came too late counted beside them.
+
+    A row is late when its window ended ``delay`` or more before the largest event time of the
+    earlier batches. Each batch writes what it adds and its own largest event time under its
+    number, so a replayed batch replaces its rows; there is no state to evict, and no row
+    leaves without being counted (runs the stream).
+    """
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = _batches(spark, f"{out}/latest", "latest timestamp").where(F.col("batch") < number)
+        mark = seen.agg((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("m")).first().m
+        rows = batch.select("model", F.col(time).alias("at"), F.window(time, width).alias("w"))
+        late = F.lit(False) if mark is None else F.col("w.end") <= F.lit(mark)
+        added = rows.groupBy(F.col("w.start").alias("start"), "model").agg(
+            F.count_if(~late).alias("done"), F.count_if(late).alias("late"))
+        for df, name in ((added, "added"), (batch.agg(F.max(time).alias("latest")), "latest")):
+            (df.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/{name}"))
+
+    (stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def _batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What batches wrote so far; nothing before the first."""
+    spark.createDataFrame([], f"{schema}, batch long").write.mode("ignore").partitionBy("batch").parquet(path)
+    return spark.read.schema(f"{schema}, batch long").parquet(path)
+
+
+def rates(spark: SparkSession, out: str) -> DataFrame:
+    """start, model, done and late over all batches of ``run_rate``."""
+    return (_batches(spark, f"{out}/added", "start timestamp, model string, done long, late long")
+            .groupBy("start", "model").agg(F.sum("done").alias("done"), F.sum("late").alias("late")))
+
+
 def run_updates(table: DataFrame, out: str, checkpoint: str) -> None:
     """Update-mode rows to ``out``: each batch appends the rows that changed, tagged with the
     batch number; the last row of a key is its current state, open windows included."""
