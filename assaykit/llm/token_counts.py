@@ -24,6 +24,7 @@ PIECES = "word_bpe_49k"
 STEP = 256
 KEYS = ["source", "lang", "tokenizer"]
 MEASURES = ["docs", "tokens", "chars"]
+LEDGER = "doc_id long, source string, lang string, tokenizer string, sign int, tokens long, chars long"
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str):
@@ -68,8 +69,7 @@ class TokenRollups:
             return self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
-        return self._read(self.ledger_path, "doc_id long, source string, lang string, tokenizer "
-                          "string, sign int, tokens long, chars long, batch long")
+        return self._read(self.ledger_path, f"{LEDGER}, batch long")
 
     def current(self, before: int) -> DataFrame:
         """What the batches before ``before`` left: a row per document, group and version."""
@@ -82,9 +82,11 @@ class TokenRollups:
 
         ``insert`` and ``revise`` put the row's text in the place of whatever the id had before;
         ``delete`` removes it; an id that was not there loses nothing. Repeated inserts of an id
-        in one batch are documents of their own; a null id is never deleted or revised. A later
-        commit of an earlier batch number is not supported; a repeated commit of the same batch
-        replaces it. An empty batch commits nothing.
+        in one batch are documents of their own; a null id is never deleted or revised. All changes
+        of a batch are of one moment: what an id had before the batch goes, and every row that
+        the batch inserts or revises stays, a delete of the same id in it or not. A later commit of
+        an earlier batch number is not supported; a repeated commit of the same batch replaces
+        it, also by an empty one.
         """
         plus = counted(changes.where("op in ('insert', 'revise')"), self.path) \
             .withColumn("sign", F.lit(1))
@@ -92,7 +94,9 @@ class TokenRollups:
             F.col("doc_id").cast("long").alias("doc_id")).distinct()
         minus = (self.current(batch).join(touched, "doc_id", "left_semi")
                  .withColumn("sign", -F.col("times").cast("int")).drop("times"))
-        rows = plus.unionByName(minus)
+        # a row of its own for the batch, so that one without rows replaces what it had before
+        mark = self.spark.createDataFrame([(None, None, None, None, 0, 0, 0)], LEDGER)
+        rows = plus.unionByName(minus).unionByName(mark)
         self._overwrite(rows.withColumn("batch", F.lit(batch).cast("long")), self.ledger_path)
         mine = self.ledger().where(F.col("batch") == batch)
         rollup = mine.groupBy(*KEYS).agg(
@@ -109,5 +113,5 @@ class TokenRollups:
         """source, lang, tokenizer, docs, tokens, chars, batches over all committed batches."""
         rollup = self._read(self.rollup_path, "source string, lang string, tokenizer string, "
                             "docs long, tokens long, chars long, batch long")
-        return rollup.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in MEASURES],
+        return rollup.where("tokenizer is not null").groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in MEASURES],
                                          F.countDistinct("batch").alias("batches"))

@@ -178,7 +178,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, learnable: Column,
     n = marks.count()
     if n > limit:
         u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-        marks = marks.where(u < int((1 << 30) * 0.95 * limit / n)).limit(limit)
+        # the smallest hashes: of the few rows that the share lets through, exactly the first
+        marks = marks.where(u < int((1 << 30) * 1.1 * limit / n)).orderBy(u, "doc_id").limit(limit)
     # broadcast is safe: the limit above bounds this side, about 24 bytes a row
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(marks), "doc_id")

@@ -94,11 +94,12 @@ def listed_hits(rows: DataFrame, column: str, listed: DataFrame) -> DataFrame:
     possible = reduce(Column.__and__, [
         F.coalesce(F.col(f"w{k}").bitwiseAND(bit(F.col(column), k)) != 0, F.lit(False))
         for k in range(WORDS)])
-    # only possible hits carry a key into the exact join
-    asked = probe.withColumn("_ask", F.when(possible, F.col(column))).drop(
-        "block", *[f"w{k}" for k in range(WORDS)])
-    return (asked.join(keys, F.col("_ask") == F.col("_listed"), "left")
-            .withColumn("listed", F.col("_listed").isNotNull()).drop("_ask", "_listed"))
+    asked = probe.withColumn("_possible", possible).drop("block", *[f"w{k}" for k in range(WORDS)])
+    # only possible hits enter the exact join; all others would meet there under one key
+    hits = (asked.where("_possible").join(keys, F.col(column) == F.col("_listed"), "left")
+            .withColumn("listed", F.col("_listed").isNotNull()).drop("_listed"))
+    rest = asked.where("NOT _possible").withColumn("listed", F.lit(False))
+    return hits.unionByName(rest).drop("_possible")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:

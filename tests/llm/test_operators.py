@@ -426,3 +426,30 @@ def test_rows_that_share_an_id_stand_for_themselves(spark):
     got = jaccard_join.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(r.size for r in got.collect()) == ["e", "f", "m", "x", "z"]
+
+
+def test_a_replayed_batch_without_rows_takes_its_rows_back(spark, docs):
+    rollups = token_counts.TokenRollups(spark, scratch_path(spark, "rollups"))
+    some = docs.where("doc_id % 3 = 0").withColumn("op", F.lit("insert"))
+    rollups.commit(1, some)
+    one = sorted(map(str, rollups.totals().collect()))
+    rollups.commit(2, docs.where("doc_id % 3 = 1").withColumn("op", F.lit("insert")))
+    assert sorted(map(str, rollups.totals().collect())) != one
+    rollups.commit(2, some.where("false"))
+    assert sorted(map(str, rollups.totals().collect())) == one
+    rollups.commit(3, some.withColumn("op", F.lit("delete")))
+    assert {r.docs for r in rollups.totals().collect()} == {0}
+
+
+def test_only_possible_hits_are_joined(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(500).select((F.col("id") % 50).cast("string").alias("u"))
+        listed = spark.createDataFrame([("7",), ("nowhere",)], "u string")
+        got = url_filters.listed_hits(rows, "u", listed)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r.u, r.listed) for r in got.collect()} == {(str(i), i == 7) for i in range(50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "Union" in plan and "_ask" not in plan and got.count() == 500
