@@ -1,13 +1,17 @@
-"""Toxicity by class-conditional letter models with absolute discounting (operator 4).
-
-Two models of the same shape, one of toxic and one of ordinary text, over the stream of a text's
-letters with one mark between words. The probability of a letter after the letters before it is
-discounted absolutely in each class, and what the discount frees goes to the estimate of the same
-order that both classes' counts give together (no continuation counts, no lower order): an expression that a class has rarely seen is smoothed towards the
-common model, and one that neither knows says nothing. A text's evidence is the difference of
-its two log-likelihoods divided by its length; a logistic curve, fitted on labelled rows that
-the counts have not seen, turns it into a score. Orders above the word (pairs of words) and
-whole words were tried and left out: the mixture of languages in the classes drowned them.
+"""Toxicity by class-conditional Kneser-Ney models of letters (operator 4).
+
+Two interpolated Kneser-Ney models of order ``ORDER``, one of toxic and one of ordinary text, over
+the stream of a text's letters with one mark between words. At the highest order each class has
+its own counts, discounted absolutely; what the discount frees goes to the lower orders, which
+both classes share: there a gram counts by the number of different letters that come before it
+in either class (continuation counts), down to single letters and the uniform distribution. So
+an expression that a class has rarely seen is smoothed towards what is common to both, and one
+that neither has seen says only what its context says.
+
+A text's evidence is the difference of its two log-likelihoods divided by its length; a logistic
+curve, fitted on labelled rows that the counts have not seen, turns it into a score. Orders above
+the word (pairs of words) and whole words were tried and left out: the mixture of languages in
+the classes drowned them.
 """
 
 from __future__ import annotations
@@ -46,21 +50,34 @@ def stream(run: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(text, spans + 1)
 
 
-def ngrams(run: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of texts, of all but their last letter, and their text."""
-    x, text = stream(run)
-    n = x.size - order + 1
-    if n <= 0:
-        none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.int64)
-    v, h = mix(x + U64(77)), np.zeros(n, np.uint64)
+def gram_hash(v: np.ndarray, last: int, length: int, n: int) -> np.ndarray:
+    """Hashes of the ``length`` letters up to place ``last`` of ``n`` grams, one place apart."""
+    h = np.full(n, U64(length))
     with np.errstate(over="ignore"):
-        for k in range(order - 1):
-            h = h * U64(0xA0761D6478BD642F) + v[k:n + k]
-        context = mix(h)
-        h = mix(h * U64(0xA0761D6478BD642F) + v[order - 1:])
+        for k in range(last - length + 1, last + 1):
+            h = mix(h * U64(0xA0761D6478BD642F) + v[k:n + k])
+    return h
+
+
+def ngrams(run: list[str], order: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of texts, and their text.
+
+    One row per hash: the gram and its context (all but its last letter); with ``lower`` also
+    those of its last ``order - 1``, ``order - 2``, ... letters, and last the single letter.
+    """
+    x, text = stream(run)
+    n = max(0, x.size - order + 1)
     ok = text[order - 1:] == text[:n]
-    return h[ok], context[ok], text[order - 1:][ok]
+    v = mix(x + U64(77))
+    rows = [gram_hash(v, order - 1 - away, length - away, n)
+            for length in range(order, 1 if lower else order - 1, -1) for away in (0, 1)]
+    rows += [gram_hash(v, order - 1, 1, n)] if lower else []
+    return np.stack(rows)[:, ok], text[order - 1:][ok]
+
+
+def gram_columns(order: int) -> list[str]:
+    """Names of the rows of ``ngrams`` with lower orders: g4, c4, g3, c3, g2, c2, g1."""
+    return [f"{kind}{k}" for k in range(order, 1, -1) for kind in "gc"] + ["g1"]
 
 
 def _runs(texts: pa.Array):
@@ -70,24 +87,24 @@ def _runs(texts: pa.Array):
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int):
-    """(toxic, n-gram, context, count) of a batch of labelled rows."""
+    """(toxic, the columns of ``gram_columns``, count) of a batch of labelled rows."""
+    names = gram_columns(order)
     for batch in batches:
         toxic = column(batch, "toxic").to_numpy()
         parts: dict[int, list] = {0: [], 1: []}
         for at, run in _runs(column(batch, "text")):
-            h, context, text = ngrams(run, order)
+            h, text = ngrams(run, order, lower=True)
             for c in (0, 1):
-                own = toxic[at + text] == c
-                parts[c].append(np.stack([h[own], context[own]]))
+                parts[c].append(h[:, toxic[at + text] == c])
         for c, found in parts.items():
             if not found:
                 continue
-            h, context = np.concatenate(found, axis=1)
-            keys, first, counts = np.unique(h, return_index=True, return_counts=True)
+            h = np.concatenate(found, axis=1)
+            keys, first, counts = np.unique(h[0], return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(keys.size, c, np.int32)), pa.array(keys.view(np.int64)),
-                 pa.array(context[first].view(np.int64)), pa.array(counts)],
-                ["toxic", "gram", "context", "count"])
+                [pa.array(np.full(keys.size, c, np.int32)),
+                 *[pa.array(row[first].view(np.int64)) for row in h], pa.array(counts)],
+                ["toxic", *names, "count"])
 
 
 @dataclass
@@ -111,7 +128,7 @@ class Model:
 
     def evidence(self, run: list[str]) -> np.ndarray:
         """Length-normalised log-likelihood difference of each text."""
-        h, context, text = ngrams(run, self.order)
+        (h, context), text = ngrams(run, self.order)
         table, contexts = self.tables()
         at = table.find(h)
         hit = at >= 0
@@ -127,24 +144,67 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -30, 30)))
 
 
+def shared_probabilities(grams: pd.DataFrame, order: int, d: float) -> np.ndarray:
+    """Kneser-Ney probability of the last letter of each gram after its last ``order - 2`` letters,
+    from the distinct grams of both classes.
+
+    A shorter gram counts by the different letters before it, that is by the distinct grams one
+    letter longer that end in it.
+    """
+    longer = grams
+    levels = []
+    for k in range(order - 1, 0, -1):
+        rest = gram_columns(k)
+        level = longer.groupby(f"g{k}", sort=False).agg(
+            **{c: (c, "first") for c in rest if c != f"g{k}"}, n=(f"g{k}", "size")).reset_index()
+        levels.append(level)
+        longer = level
+    single = levels.pop()
+    seen, total = len(single), max(int(single["n"].sum()), 1)
+    # a letter that was never seen has the share of one among those that were
+    single["p"] = (single["n"] - d) / total + d * seen / total / (seen + 1)
+    below = single
+    for k, level in zip(range(2, order), reversed(levels)):
+        context = level.groupby(f"c{k}")["n"]
+        t, kinds = context.transform("sum"), context.transform("size")
+        backoff = level[f"g{k - 1}"].map(below.set_index(f"g{k - 1}")["p"])
+        level["p"] = (level["n"] - d) / t + d * kinds / t * backoff
+        below = level
+    return grams[f"g{order - 1}"].map(below.set_index(f"g{order - 1}")["p"]).to_numpy(float)
+
+
+def probabilities(counts: pd.DataFrame, order: int, d: float) -> pd.DataFrame:
+    """Per distinct gram: its columns, ``shared``, and of each class the probability of its last
+    letter (p0, p1) and the share that its context leaves to the lower orders (l0, l1)."""
+    names = gram_columns(order)
+    wide = counts.pivot_table(index=names[0], columns="toxic", values="count", aggfunc="sum",
+                              fill_value=0)
+    out = counts.drop_duplicates(names[0]).set_index(names[0])[names[1:]].loc[wide.index].reset_index()
+    out["shared"] = shared_probabilities(out, order, d)
+    for c in (0, 1):
+        x = pd.Series(wide[c].to_numpy(float) if c in wide else np.zeros(len(wide)))
+        by = out[names[1]]
+        total, kinds = x.groupby(by).transform("sum"), (x > 0).groupby(by).transform("sum")
+        some = np.maximum(total, 1)
+        out[f"l{c}"] = np.where(total > 0, d * kinds / some, 1.0)
+        out[f"p{c}"] = np.maximum(x - d, 0) / some + out[f"l{c}"] * out["shared"]
+    return out
+
+
 def build(counts: pd.DataFrame, order: int = ORDER, d: float = DISCOUNT) -> Model:
-    """A model of n-gram counts (toxic, gram, context, count)."""
-    wide = counts.pivot_table(index=["gram", "context"], columns="toxic", values="count",
-                              aggfunc="sum", fill_value=0) if len(counts) else pd.DataFrame()
-    f = [wide[c].to_numpy(float) if c in wide else np.zeros(len(wide)) for c in (0, 1)]
-    grams = wide.index.get_level_values(0).to_numpy(np.int64) if len(wide) else np.zeros(0, np.int64)
-    contexts, of = np.unique(wide.index.get_level_values(1).to_numpy(np.int64)
-                             if len(wide) else np.zeros(0, np.int64), return_inverse=True)
-    total = [np.bincount(of, x, minlength=len(contexts)) for x in f]
-    shared = (f[0] + f[1]) / np.maximum(total[0] + total[1], 1)[of]
-    p, free = [], []
-    for x, t in zip(f, total):
-        lam = np.where(t > 0, np.bincount(of, np.minimum(x, d), minlength=len(contexts))
-                       / np.maximum(t, 1), 1.0)
-        p.append(np.maximum(x - d, 0) / np.maximum(t, 1)[of] + lam[of] * shared)
-        free.append(lam)
-    return Model(grams.view(np.uint64), np.log(p[1] / p[0]), contexts.view(np.uint64),
-                 np.log(free[1] / free[0]), order=order)
+    """A model of gram counts (toxic, the columns of ``gram_columns``, count)."""
+    if not len(counts):
+        none = np.zeros(0)
+        return Model(none.astype(np.uint64), none, none.astype(np.uint64), none, order=order)
+    p = probabilities(counts, order, d)
+    contexts = p.drop_duplicates(f"c{order}").sort_values(f"c{order}")
+
+    def keys(frame, name):
+        return frame[name].to_numpy(np.int64).view(np.uint64)
+
+    return Model(keys(p, f"g{order}"), np.log(p["p1"] / p["p0"]).to_numpy(),
+                 keys(contexts, f"c{order}"), np.log(contexts["l1"] / contexts["l0"]).to_numpy(),
+                 order=order)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -189,10 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column,
         limit: int = SAMPLE_ROWS) -> Model:
     """Learn from the labelled rows where ``learnable`` (of doc_id) holds."""
     rows = written(training_rows(docs, labels, learnable, limit), "labelled")
+    names = gram_columns(ORDER)
+    # the other columns follow from the gram
     counts = (rows.where("fold = 0").select("toxic", "text")
               .mapInArrow(lambda b: _count(b, ORDER),
-                          "toxic int, gram long, context long, count long")
-              .groupBy("toxic", "gram", "context").agg(F.sum("count").alias("count")))
+                          f"toxic int, {', '.join(f'{c} long' for c in names)}, count long")
+              .groupBy("toxic", names[0]).agg(F.sum("count").alias("count"),
+                                              *[F.min(c).alias(c) for c in names[1:]]))
     model = build(counts.toPandas())
     tune = rows.where("fold = 1").select("toxic", "text").mapInArrow(
         lambda b: _evidence(b, model, "toxic"), "toxic int, evidence double").toPandas()

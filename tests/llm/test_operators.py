@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -453,3 +454,69 @@ def test_only_possible_hits_are_joined(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "Union" in plan and "_ask" not in plan and got.count() == 500
+
+
+# 4, by dictionaries of letters
+
+def letters_of_text(text):
+    return "".join("\0" + "".join(w) for w in re.findall(r"[^\W\d_]+", text.lower()))
+
+
+def plain_kneser_ney(texts_of, d, order=4):
+    """(probability of a letter after three, by class; share left to lower orders; vocabulary)."""
+    tops = {c: collections.Counter(s[i:i + order] for s in map(letters_of_text, ts)
+                                   for i in range(len(s) - order + 1)) for c, ts in texts_of.items()}
+    counts = {order: set(tops[0]) | set(tops[1])}
+    conts = {}
+    for k in range(order - 1, 0, -1):
+        conts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+        counts[k] = set(conts[k])
+    total, seen = sum(conts[1].values()), len(conts[1])
+
+    def shared(g):
+        if not g:
+            return 1 / (seen + 1)
+        if len(g) == 1:
+            return max(conts[1][g] - d, 0) / total + d * seen / total * shared("")
+        own = {h: n for h, n in conts[len(g)].items() if h[:-1] == g[:-1]}
+        t = sum(own.values())
+        if not t:
+            return shared(g[1:])
+        return max(own.get(g, 0) - d, 0) / t + d * len(own) / t * shared(g[1:])
+
+    def left(c, context):
+        own = [n for h, n in tops[c].items() if h[:-1] == context]
+        return d * len(own) / sum(own) if own else 1.0
+
+    def p(c, g):
+        t = sum(n for h, n in tops[c].items() if h[:-1] == g[:-1])
+        return (max(tops[c][g] - d, 0) / t if t else 0) + left(c, g[:-1]) * shared(g[1:])
+
+    return p, left, set(conts[1]), counts[order]
+
+
+TOXIC_TEXTS = {0: ["a calm day, a calm sea", "the sea and the day", "Über dem See", "end"],
+               1: ["calm down you fool", "fool fool day", "the foul sea"]}
+
+
+def test_kneser_ney_equals_a_plain_version():
+    d = toxicity.DISCOUNT
+    p, left, vocabulary, grams = plain_kneser_ney(TOXIC_TEXTS, d)
+    for c in (0, 1):
+        for context in {g[:-1] for g in grams}:      # all letters, and the one never seen
+            assert sum(p(c, context + w) for w in [*vocabulary, "?"]) == pytest.approx(1)
+    rows = [(c, t) for c, ts in TOXIC_TEXTS.items() for t in ts]
+    batch = pa.record_batch({"toxic": pa.array([c for c, _ in rows], pa.int32()),
+                             "text": pa.array([t for _, t in rows])})
+    model = toxicity.build(pa.Table.from_batches(toxicity._count(iter([batch]), 4)).to_pandas())
+    assert len(model.keys) == len(grams)
+    for text in ["the calm fool", "a foul day", "xyz you", "you qqq", "Über", "ab"]:
+        s = letters_of_text(text)
+        want = 0.0
+        for g in (s[i:i + 4] for i in range(len(s) - 3)):
+            if g in grams:
+                want += math.log(p(1, g) / p(0, g))
+            else:
+                want += math.log(left(1, g[:-1]) / left(0, g[:-1]))
+        n = max(0, len(s) - 3)
+        assert model.evidence([text])[0] == pytest.approx(want / (n + toxicity.PRIOR_LENGTH))
