@@ -18,7 +18,7 @@ from assaykit.session import cut_lineage
 
 RESAMPLES = 2000        # kernel resamples of the mean intervals
 PAIR_RESAMPLES = 20000  # 2*m/(B+1) must stay below the family level for m pairs
-POISSON_RESAMPLES = 100
+POISSON_RESAMPLES = 50
 FEW_ITEMS = 25          # groups with fewer items are not held against normal bounds
 HASH_RESAMPLES = 40  # resamples of the SQL-checkable form
 R = using("responses")
