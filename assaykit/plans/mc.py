@@ -13,13 +13,12 @@ from assaykit.operators.latest import packed
 from assaykit.operators.ranking import rank_by_hash
 from assaykit.plans import analysis
 from assaykit.plans.fixtures import VALID, fixture
-from assaykit.plans.registry import MEAN, NEAR, SCORED, SEED, near_normal, query, using
+from assaykit.plans.registry import FEW_ITEMS, MEAN, NEAR, SCORED, SEED, near_normal, query, using
 from assaykit.session import cut_lineage
 
 RESAMPLES = 2000        # kernel resamples of the mean intervals
 PAIR_RESAMPLES = 20000  # 2*m/(B+1) must stay below the family level for m pairs
 POISSON_RESAMPLES = 50
-FEW_ITEMS = 25          # groups with fewer items are not held against normal bounds
 HASH_RESAMPLES = 40  # resamples of the SQL-checkable form
 R = using("responses")
 RC = using("responses", "cohort")
@@ -285,9 +284,7 @@ SELECT model, breakdown, level, count(*) AS n, round({MEAN}, 6) AS mean,
 FROM (SELECT *, unnest(['dimension', 'difficulty', 'axis']) AS breakdown,
     unnest([dimension, difficulty, axis]) AS level FROM pi) GROUP BY ALL""")
 def _(spark, sf):
-    groups = near_normal(analysis.mc_groups(item_means(spark, sf), fixture(spark, sf, "bank"), RESAMPLES))
-    few = F.col("n") < FEW_ITEMS        # the normal bounds are no guide for a few items
-    return groups.withColumns({c: F.when(few, F.lit(True)).otherwise(F.col(c)) for c in ("lo_near", "hi_near")})
+    return near_normal(analysis.mc_groups(item_means(spark, sf), fixture(spark, sf, "bank"), RESAMPLES))
 
 
 UNITS = f", u AS (SELECT *, CAST(round(p * {UNIT}) AS BIGINT) AS v FROM pi)"
@@ -334,7 +331,7 @@ pc AS (SELECT {by}, quantile_cont(s::DOUBLE / w / {UNIT}, 0.025) FILTER (w > 0)
 
 @query("F1_mean_ci_poisson", R + SCORED + ", " + poisson_sql(
     "SELECT model, question_id AS key, pu AS v FROM pi", "model", POISSON_RESAMPLES) + """
-SELECT model, n, round(lo, 6) AS lo, round(hi, 6) AS hi, 'poisson' AS method
+SELECT model, n, round(lo, 6) + 0 AS lo, round(hi, 6) + 0 AS hi, 'poisson' AS method
 FROM pc JOIN (SELECT model, count(*) AS n FROM pi GROUP BY model) USING (model)""")
 def _(spark, sf):
     return bootstrap.poisson_ci(item_means(spark, sf), ["model"], "p", "question_id",
@@ -413,7 +410,7 @@ def _(spark, sf):
     drawn = bootstrap.paired_ci(cut_lineage(histogram(spark, sf)), ["a", "b"], PAIR_RESAMPLES,
                                 SEED, "mc-pair")
     outside = (F.col("lo") > 0) | (F.col("hi") < 0)
-    agrees = F.when(outside, F.col("p") < 0.06).otherwise(F.col("p") > 0.04)
+    agrees = (F.col("n") < FEW_ITEMS) | F.when(outside, F.col("p") < 0.06).otherwise(F.col("p") > 0.04)
     return near_normal(drawn.join(facts, ["a", "b"]).withColumn("p_agrees", agrees)).drop(
         "mean", "sem", "p")
 
@@ -579,8 +576,8 @@ def checked_pairs(tested_pairs: DataFrame) -> DataFrame:
     out = tested_pairs.withColumns({
         "holm_ok": (F.col("p_holm") >= p) & (F.col("significant") == (F.col("p_holm") < 0.05)),
         # the interval leaves out zero where p is small, up to what rounding moves
-        "p_agrees": F.when(outside, p < 0.06).otherwise(p > 0.04)})
-    return near_normal(out, "diff").drop("sem", "p_bootstrap", "p_holm", "significant")
+        "p_agrees": (F.col("n_items") < FEW_ITEMS) | F.when(outside, p < 0.06).otherwise(p > 0.04)})
+    return near_normal(out, "diff", n="n_items").drop("sem", "p_bootstrap", "p_holm", "significant")
 
 
 # ---- item analysis ---------------------------------------------------------------

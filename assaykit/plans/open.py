@@ -235,7 +235,7 @@ def _(spark, sf):
 @query("F2_open_pairs_poisson", JC + PANEL + OPEN_MEANS + ", " + mc.poisson_sql(
     f"SELECT a, b AS other, question_id AS key, CAST(round((va - vb) / 100 * {UNIT}) AS BIGINT) AS v FROM po",
     "a, other", mc.POISSON_RESAMPLES) + """
-SELECT a, other AS b, n, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p, 'poisson' AS method
+SELECT a, other AS b, n, round(lo, 6) + 0 AS lo, round(hi, 6) + 0 AS hi, round(p, 6) AS p, 'poisson' AS method
 FROM pc JOIN (SELECT a, b AS other, count(*) AS n FROM po GROUP BY ALL) USING (a, other)""")
 def _(spark, sf):
     return poisson_pairs(cut_lineage(scores(spark, sf)), mc.cohort(spark, sf))
@@ -273,7 +273,7 @@ UNITS_AS_V = f"CAST(round(p / 100 * {UNIT}) AS BIGINT)"
 
 @query("F1_open_ci_poisson", J + PANEL + ", " + mc.poisson_sql(
     f"SELECT model, question_id AS key, {UNITS_AS_V} AS v FROM oi", "model", mc.POISSON_RESAMPLES) + """
-SELECT model, n, round(lo, 6) AS lo, round(hi, 6) AS hi, 'poisson' AS method
+SELECT model, n, round(lo, 6) + 0 AS lo, round(hi, 6) + 0 AS hi, 'poisson' AS method
 FROM pc JOIN (SELECT model, count(*) AS n FROM oi GROUP BY model) USING (model)""")
 def _(spark, sf):
     items = panel.open_items(scores(spark, sf)).withColumn("share", F.col("p") / panel.FULL)

@@ -42,12 +42,17 @@ def shaped(df: DataFrame) -> DataFrame:
     return df.select(*[column(f) for f in df.schema.fields])
 
 
-def near_normal(df: DataFrame, mean: str = "mean", sem: str = "sem") -> DataFrame:
+FEW_ITEMS = 25   # the normal bounds are no guide for fewer items
+
+
+def near_normal(df: DataFrame, mean: str = "mean", sem: str = "sem", n: str = "n") -> DataFrame:
     """``lo`` and ``hi``, which are drawn, replaced by whether they lie within half a standard
-    error of the normal bounds: a check of a drawn interval that SQL can state (true)."""
+    error of the normal bounds (true for few items): a check of a drawn interval that SQL can
+    state."""
     def near(column: str, z: float):
         off = F.abs(F.col(column) - (F.col(mean) + z * F.col(sem)))
-        return (off <= 0.5 * F.col(sem) + 1e-4).alias(f"{column}_near")   # results have 4 digits
+        ok = off <= 0.5 * F.col(sem) + 1e-4   # results have 4 digits
+        return F.when(F.col(n) < FEW_ITEMS, F.lit(True)).otherwise(ok).alias(f"{column}_near")
 
     kept = [c for c in df.columns if c not in ("lo", "hi")]
     return df.select(*kept, near("lo", -1.96), near("hi", 1.96))
