@@ -56,6 +56,12 @@ def _largest(rows: DataFrame) -> int:
     return rows.groupBy("_group").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
 
 
+def _group(groups: list[str], digest: str) -> Column:
+    """The group as one column. Without groups it is 0 for every row, computed from the digest: a
+    constant would be folded out of the join's keys and leave a nested loop."""
+    return F.struct(*(groups or [F.pmod(F.xxhash64(digest), F.lit(1)).alias("all")])).alias("_group")
+
+
 def hash_thresholds(df: DataFrame, groups: list[str], digest: str, quota: Column,
                     *ties: str) -> DataFrame:
     """The last row that each group's ``quota`` takes by ``digest``, then ``ties``.
@@ -67,7 +73,7 @@ def hash_thresholds(df: DataFrame, groups: list[str], digest: str, quota: Column
     rows are neither shuffled nor sorted.
     """
     at = F.struct(F.col(digest).alias("_d"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(ties)])
-    rows = df.select(F.struct(*(groups or [F.lit(0)])).alias("_group"), at.alias("_at"))
+    rows = df.select(_group(groups, digest), at.alias("_at"))
     digits = HASH_DIGITS
     bucket = F.substring("_at._d", 1, digits)
     counts = rows.groupBy("_group", bucket.alias("_bucket")).agg(F.count("*").alias("_bc"))
@@ -102,7 +108,7 @@ def take_by_hash(df: DataFrame, groups: list[str], digest: str, quota: Column,
     """
     limits = hash_thresholds(df, groups, digest, quota, *ties)
     at = F.struct(F.col(digest).alias("_d"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(ties)])
-    rows = (df.withColumn("_group", F.struct(*(groups or [F.lit(0)]))).withColumn("_at", at)
+    rows = (df.withColumn("_group", _group(groups, digest)).withColumn("_at", at)
             .join(limits, "_group", "left"))
     helpers = ("_group", "_at", "_last", "_equal", "_need")
     if limits.where("_need < _equal").isEmpty():
