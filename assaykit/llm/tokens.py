@@ -15,7 +15,7 @@ import numpy as np
 
 from assaykit.llm.words import SLICE_BYTES, kept
 
-KEPT = 1 << 19
+KEPT = 1 << 20
 _MARK = "\x01"
 _BREAKS = re.compile(r"[ \t\n\r\f\v]+")
 
