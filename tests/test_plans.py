@@ -3,7 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry_point
-from assaykit.operators import latest
+from assaykit.operators import items, latest
+from assaykit.plans import mc
 from pyspark.sql import functions as F
 
 QUERIES = entry_point.queries()
@@ -54,3 +55,15 @@ def test_last_and_first_rows(spark):
     values = {r.k: r.v for r in latest.last_values(
         df.withColumn("v", F.when(F.col("seq") != 9, F.col("seq"))), ["k"], "seq").collect()}
     assert values == {"k": None, None: 1, "j": 2}
+
+
+def test_last_outcome_with_keys_of_large_tables(spark):
+    # 360 times the tables of sf0.1: 7.2 million parts, 360,000 suppliers, 54 million orders
+    rows = [(order, line, 7_199_999, supplier) for order in (3, 53_999_999) for line in (1, 7)
+            for supplier in (0, 16_384, 359_999)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, question_id long, l_suppkey long")
+    seq = df.withColumn("seq", mc.sequence())
+    assert [tuple(r)[:4] for r in seq.orderBy("seq").collect()] == sorted(rows)
+    last = items.last_outcome(seq.withColumn("model", F.lit("m")).withColumn("run_index", F.lit(0)).withColumn(
+        "correct", F.col("l_suppkey") == 359_999), "question_id", "seq").collect()
+    assert [(r.question_id, r.x) for r in last] == [(7_199_999, 1)]
