@@ -173,6 +173,34 @@ def test_hash_form_equals_brute_force(spark):
     assert [r.s / UNIT for r in sorted(got, key=lambda r: r.resample)] == want
 
 
+def test_hash_form_over_buckets_and_groups(spark, monkeypatch):
+    """Groups of one item to many, a null group and null values, cut into many buckets."""
+    import hashlib
+
+    def md5(s):
+        return hashlib.md5(s.encode()).hexdigest()
+
+    monkeypatch.setattr(bootstrap, "BUCKET_ROWS", 300)
+    rng = np.random.default_rng(3)
+    data = {"one": 1, "three": 3, None: 70, "many": 1500, "more": 2300}
+    rows = [(g, int(i), None if i % 13 == 5 else float(rng.integers(-20, 21)) / 20)
+            for g, n in data.items() for i in rng.choice(10**6, n, replace=False)]
+    want = {}
+    for g in data:
+        xs = [round(p * UNIT) for _, p in sorted((md5(str(i)), p) for h, i, p in rows
+                                                 if h == g and p is not None)]
+        for b in range(12):
+            want[g, len(xs), b] = sum(xs[math.floor(int(md5(f"9|{b}|{j}")[:8], 16) / 2 ** 32 * len(xs))]
+                                      for j in range(len(xs)))
+    df = spark.createDataFrame(rows, "g string, i long, p double").repartition(5)
+    drawn = bootstrap.hash_bootstrap(df, ["g"], "p", "i", 12, 9)
+    assert {(r.g, r.n, r.resample): r.s for r in drawn.collect()} == {
+        k: v for k, v in want.items() if k[1]}
+    # items go to their buckets once; no draw is made per item
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+
+
 def paired(spark, a, b, resamples=1000):
     rows = [("x", "y", float(u), float(v)) for u, v in zip(a, b)]
     df = spark.createDataFrame(rows, "a string, b string, va double, vb double")
