@@ -67,3 +67,10 @@ def test_last_outcome_with_keys_of_large_tables(spark):
     last = items.last_outcome(seq.withColumn("model", F.lit("m")).withColumn("run_index", F.lit(0)).withColumn(
         "correct", F.col("l_suppkey") == 359_999), "question_id", "seq").collect()
     assert [(r.question_id, r.x) for r in last] == [(7_199_999, 1)]
+
+
+def test_holm_corrects_the_whole_bootstrap_family(spark, sf_dir):
+    family = QUERIES["F2_paired_difference_hash"](spark, sf_dir).collect()
+    tested = {(r.a, r.b): r.p_bootstrap for r in QUERIES["E1_holm"](spark, sf_dir).collect()}
+    assert tested.keys() == {(r.a, r.b) for r in family}
+    assert all(abs(tested[r.a, r.b] - r.p) < 1e-5 for r in family)
