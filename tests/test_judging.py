@@ -165,3 +165,29 @@ def test_last_of_repeated_crosschecks_counts(spark):
         "scores", F.try_parse_json("js"))
     r = panel.crosscheck_pairs(df, DIMS, "seq").first()
     assert (r.primary, r.crosscheck) == (2.0, 3.0)
+
+
+def test_deep_and_unclosed_texts_stay_in_the_jvm(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from assaykit.functions import judging
+
+    @F.pandas_udf("array<string>")
+    def none(texts):
+        assert texts.isna().all()
+        return texts.map(lambda t: None)
+
+    monkeypatch.setattr(judging, "_scanner", lambda strings: none)
+    deep = '{"a": ' * 27 + "1" + "}" * 27
+    texts = [deep, f"x {deep} y {deep}", '{"x": "{"} and {so on', deep + ' {"open": "{}', "{", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = judging.with_objects(df, F.col("t"), "o").collect()
+    assert [r.o for r in got] == [None if t is None else spans(t) for t in texts]
+
+
+def test_last_object_is_parsed_from_the_end(spark):
+    from pyspark.sql import functions as F
+    texts = ['{"a": 1} {"a": 2} {draft}', '{"a": 1} {"b": 2}', '{draft} {"a": null}', "{draft}", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = with_last_object(df, F.col("t"), "v", ["a"]).select(F.to_json("v").alias("j")).collect()
+    assert [r.j for r in got] == ['{"a":2}', '{"a":1}', '{"a":null}', None, None]
