@@ -191,3 +191,17 @@ def test_last_object_is_parsed_from_the_end(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = with_last_object(df, F.col("t"), "v", ["a"]).select(F.to_json("v").alias("j")).collect()
     assert [r.j for r in got] == ['{"a":2}', '{"a":1}', '{"a":null}', None, None]
+
+
+def test_numbers_are_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from assaykit.operators import panel
+    text = '{"a": "4", "b": 9, "must_include_hits": 3, "must_include_total": 2, "should_not_violations": -1}'
+    raw = spark.createDataFrame([("m", 1, 0, 0, None, 1, text)], "model string, question_id int, "
+                                "run_index int, persona int, judge_role string, seq long, text string")
+    typed = panel.sanitise(raw.withColumn("scores", F.try_parse_json("text")), ["a", "b"])
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(f"$.{k},") == 1 for k in ("a", "b", panel.HITS, panel.TOTAL, panel.VIOLATIONS))
+    r = typed.first()
+    assert (r.a, r.b, r.hits, r.points, r.violations, r.judged) == (4.0, 5.0, 2.0, 2.0, None, True)
