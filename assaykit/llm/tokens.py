@@ -18,6 +18,13 @@ from assaykit.llm.words import SLICE_BYTES, kept
 KEPT = 1 << 20
 _MARK = "\x01"
 _BREAKS = re.compile(r"[ \t\n\r\f\v]+")
+_STEM = re.compile(r"([!-~\xa1-\xff]*[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([!-/:-@\[-`{-~]*)")
+# How a vocabulary must treat words whose stems and closing punctuation are encoded apart.
+_LOWER_CASED = 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])'
+_CUT_AT_KINDS = (
+    r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|"""
+    r"""[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, """
+    r"""trim_offsets=True, use_regex=False)])""")
 
 
 def default_path() -> str:
@@ -43,7 +50,9 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {"": b""}
+        self.apart = (repr(self.tokenizer.normalizer) == _LOWER_CASED
+                      and repr(self.tokenizer.pre_tokenizer) == _CUT_AT_KINDS)
         self.mark, = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     @staticmethod
@@ -53,6 +62,15 @@ class Encoder:
             return [w for w in _BREAKS.split(text) if w]
         return text.split()
 
+    def form(self, word: str) -> tuple[str, str]:
+        """(stem, closing punctuation) with the ids of the word, one after the other.
+
+        Where the vocabulary lower-cases and cuts between a letter or digit and punctuation. Only
+        words of Latin-1 are taken apart: there, case and normal form go character by character.
+        """
+        parts = _STEM.fullmatch(word) if self.apart and "<|" not in word else None
+        return (parts[1].lower(), parts[2]) if parts else (word, "")
+
     def _encode_words(self, new: list[str]) -> dict[str, bytes]:
         """Ids of words: many at a time, joined by a mark that no word holds."""
         found, joined = {}, []
@@ -63,8 +81,10 @@ class Encoder:
                 joined.append(w)
         for at in range(0, len(joined), 1024):
             some = joined[at:at + 1024]
-            ids = np.asarray(self.tokenizer.encode(f" {_MARK} ".join(some),
-                                                   add_special_tokens=False).ids, "<u4")
+            # fast: without the places of the ids in the text
+            encoded, = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)],
+                                                        add_special_tokens=False)
+            ids = np.asarray(encoded.ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), ids.size).tolist()
             raw, start = ids.tobytes(), 0
             for w, end in zip(some, ends, strict=True):
@@ -76,19 +96,23 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.split(t) for t in texts]
         own = dict.fromkeys(chain.from_iterable(parts))
-        kept = self.kept
-        new = [w for w in own if w not in kept]
-        if new:
-            found = self._encode_words(new)
-            if len(kept) + len(found) <= KEPT:
-                kept.update(found)
-            else:
-                own.update(found)
-                for w in own.keys() - found.keys():
-                    own[w] = kept[w]
-                get = own.__getitem__
-                return [b"".join(map(get, p)) for p in parts]
-        get = kept.__getitem__
+        kept, new = self.kept, []
+        for w in own:
+            own[w] = ids = kept.get(w)
+            if ids is None:
+                new.append(w)
+        forms = [self.form(w) for w in new]
+        pieces = dict.fromkeys(chain.from_iterable(forms))
+        found = self._encode_words([p for p in pieces if p not in kept])
+        for p in pieces:
+            pieces[p] = found[p] if p in found else kept[p]
+        if len(kept) + len(found) <= KEPT:
+            kept.update(found)
+        for w, (stem, tail) in zip(new, forms, strict=True):
+            own[w] = pieces[stem] + pieces[tail] if tail else pieces[stem]
+        if len(kept) + len(new) <= KEPT:
+            kept.update((w, own[w]) for w in new)
+        get = own.__getitem__      # of this slice: small, so that looking up is cheap
         return [b"".join(map(get, p)) for p in parts]
 
 
