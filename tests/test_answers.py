@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaykit.functions.answers import answer_letter, harness_letter, letter_matches_key
-from assaykit.functions.text import stem, without_reasoning
+from assaykit.functions.text import stem, strip, without_reasoning
 from assaykit.plans.fixtures import ANSWER_CHOICES, ANSWERS
 
 MORE = [
@@ -54,3 +54,14 @@ def test_stem_is_normalised_and_cut(spark):
     df = spark.createDataFrame([("  What's  UP, Doc?! ",), ("ab " * 100,), ("中文",), (None,)], "t string")
     got = [r[0] for r in df.select(stem(F.col("t"), 160)).collect()]
     assert got[0] == "what s up doc" and len(got[1]) == 160 and got[2:] == ["", ""]
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["", "a", "  ", " a b ", "　\x1c x y\x85\r\n", "​a​", "­ a",
+             "".join(spaces), "x".join(spaces), *[f"{s}é🙂{s}" for s in spaces], None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(F.col("t")).alias("s"))
+    for r in df.collect():
+        assert r.s == (None if r.t is None else r.t.strip())
+    # a pattern is tried at every character of a text
+    assert "regexp" not in df._jdf.queryExecution().toString()
