@@ -276,3 +276,18 @@ def test_shared_folder_comes_from_the_session(spark):
     if configured:
         assert session.shared_dir(spark) == configured.rstrip("/")
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+
+def test_streamed_responses_of_one_file_are_scored_by_many_tasks(spark):
+    rows = [(i, i % 3, True, f"{'Then. ' * 9}ANSWER: {'ABCD'[i % 4]}") for i in range(400)]
+    log = spark.createDataFrame(rows, "n int, question_id int, call_ok boolean, text string")
+    items = spark.createDataFrame([(q, ["w", "x", "y", "z"], q) for q in range(3)],
+                                  "question_id int, choices array<string>, answer_index int")
+    items = session.stored(items, "items")
+    source, out, mark = (scratch_path(spark, n) for n in ("one", "scored", "mark"))
+    log.coalesce(1).write.parquet(source)
+    stream = intake.response_stream(spark, source, log.schema, "parquet", 1)
+    intake.run_available(intake.score_stream(stream, items).select("n", "parsed_letter"), out, mark)
+    scored = spark.read.parquet(out)
+    assert {r.n: r.parsed_letter for r in scored.collect()} == {i: "ABCD"[i % 4] for i in range(400)}
+    assert scored.select(F.input_file_name()).distinct().count() == session.parallelism(spark)
