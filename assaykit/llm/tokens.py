@@ -15,7 +15,7 @@ import numpy as np
 
 from assaykit.llm.words import SLICE_BYTES, kept
 
-KEPT = 1 << 20
+KEPT = 1 << 19
 _MARK = "\x01"
 _BREAKS = re.compile(r"[ \t\n\r\f\v]+")
 _STEM = re.compile(r"([!-~\xa1-\xff]*[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([!-/:-@\[-`{-~]*)")
