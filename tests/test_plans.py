@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from assaykit.operators import items, latest
-from assaykit.plans import fixtures, mc
+from assaykit.plans import fixtures, mc, open as open_plans
 from pyspark.sql import functions as F
 
 QUERIES = entry_point.queries()
@@ -76,6 +76,17 @@ def test_holm_corrects_the_whole_bootstrap_family(spark, sf_dir):
     assert all(abs(tested[r.a, r.b] - r.p) < 1e-5 for r in family)
 
 
+def test_clear_differences_survive_holm_in_the_open_family(spark, sf_dir, monkeypatch):
+    """Every model is ahead of the next on every item: all pairs are significant."""
+    models = [r.model for r in mc.cohort(spark, sf_dir).orderBy("ord").collect()]
+    rows = [(m, q, 90.0 - 3 * i + q % 2) for i, m in enumerate(models) for q in range(40)]
+    scores = spark.createDataFrame(rows, "model string, question_id long, composite_100 double")
+    monkeypatch.setattr(open_plans, "scores", lambda *_: scores)
+    got = {r.family: r for r in QUERIES["D18_significance_counts"](spark, sf_dir).collect()}["open"]
+    pairs = len(models) * (len(models) - 1) // 2
+    assert (got.n_pairs, got.n_nominal, got.n_significant) == (pairs, pairs, pairs)
+
+
 @pytest.mark.parametrize("name", ["judge_base", "judge_text"])
 def test_verdicts_are_dealt_by_their_number(spark, sf_dir, monkeypatch, name):
     orders = fixtures.table(spark, sf_dir, "orders").count()

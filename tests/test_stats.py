@@ -1,3 +1,5 @@
+import hashlib
+import json
 import math
 import random
 
@@ -320,6 +322,23 @@ def test_poisson_weights_have_the_law():
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.25
 
 
+def test_poisson_sums_of_many_resamples(spark):
+    """Resamples in several shards, the last one shorter, and items that both groups share."""
+    rng = np.random.default_rng(4)
+    rows = [(g, f"q{i}", int(v) / 20) for g, n in (("a", 40), ("b", 25))
+            for i, v in enumerate(rng.integers(-20, 21, n))]
+    df = spark.createDataFrame(rows, "g string, q string, x double").repartition(3)
+    parts = bootstrap.poisson_sums(df, ["g"], "x", "q", 1100, 7).collect()
+    for g in ("a", "b"):
+        own = [(q, round(x * UNIT)) for h, q, x in rows if h == g]
+        keys = np.array([int(hashlib.md5(f"7|{q}".encode()).hexdigest()[:15], 16) for q, _ in own])
+        w = bootstrap.poisson_weights(keys, 0, 1100)
+        mine = sorted((r for r in parts if json.loads(r["_g"])["g"] == g), key=lambda r: r.shard)
+        assert [len(r.sums) for r in mine] == [500, 500, 100]
+        assert sum((r.sums for r in mine), []) == (np.array([v for _, v in own]) @ w).tolist()
+        assert sum((r.weights for r in mine), []) == w.sum(axis=0).tolist()
+
+
 def test_poisson_agrees_with_the_histogram(spark, monkeypatch):
     """Continuous values, several groups, one of them a single item."""
     rng = np.random.default_rng(2)
