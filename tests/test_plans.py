@@ -76,6 +76,14 @@ def test_holm_corrects_the_whole_bootstrap_family(spark, sf_dir):
     assert all(abs(tested[r.a, r.b] - r.p) < 1e-5 for r in family)
 
 
+def test_holm_family_has_the_resamples_it_needs(spark, sf_dir):
+    family = mc.hash_pairs(spark, sf_dir, mc.PAIR_RESAMPLES).collect()
+    tested = {(r.a, r.b): r for r in QUERIES["E1_holm"](spark, sf_dir).collect()}
+    assert tested.keys() == {(r.a, r.b) for r in family}
+    assert all(abs(tested[r.a, r.b].p_bootstrap - r.p) < 1e-5 for r in family)
+    assert 0 < sum(r.significant for r in tested.values()) < len(family)
+
+
 def test_clear_differences_survive_holm_in_the_open_family(spark, sf_dir, monkeypatch):
     """Every model is ahead of the next on every item: all pairs are significant."""
     models = [r.model for r in mc.cohort(spark, sf_dir).orderBy("ord").collect()]
